@@ -163,6 +163,8 @@ def pack(found: DataFrame, capacity: int = 1024, partitions: int | None = None)
     spark = found.sparkSession
     scratch = Scratch(spark, "packing")
     parts = partitions or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    # Range bounds are sampled by a pass of their own; written first, documents are encoded once.
+    found = scratch.save(found.select("doc_id", "piece", "start", "length", "ids_crc32"))
     ordered = found.repartitionByRange(parts, F.col("length").desc(), F.xxhash64("doc_id", "piece")).sortWithinPartitions(F.col("length").desc(), F.xxhash64("doc_id", "piece"))
 
     def number(batches):
@@ -181,7 +183,7 @@ def pack(found: DataFrame, capacity: int = 1024, partitions: int | None = None)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(rank), part, np.int32)), pa.array(rank.astype(np.int64))], names=[*batch.schema.names, "part", "rank"])
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long"
-    ranked = scratch.save(ordered.select("doc_id", "piece", "start", "length", "ids_crc32").mapInArrow(number, f"{schema}, part int, rank long"))
+    ranked = scratch.save(ordered.mapInArrow(number, f"{schema}, part int, rank long"))
     held = ranked.groupBy("length", "part").agg(F.count("*").alias("n"))
     before = held.select("length", "part", "n", (F.sum("n").over(Window.partitionBy("length").orderBy("part")) - F.col("n")).alias("before"))
     table = before.collect()  # partitions + capacity rows at most
