@@ -1 +1 @@
-"""Functions."""
+"""Scalar functions as column expressions."""

@@ -1 +1 @@
-"""Plans."""
+"""Whole plans: detection, editing, review, and hooks for outside services."""

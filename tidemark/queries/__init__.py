@@ -6,9 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+from tidemark.queries import detection, media, records, spans, words
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**detection.QUERIES, **spans.QUERIES, **records.QUERIES, **words.QUERIES, **media.QUERIES}
+ORACLE_SQL: dict[str, str] = {**detection.ORACLE_SQL, **spans.ORACLE_SQL, **records.ORACLE_SQL, **words.ORACLE_SQL, **media.ORACLE_SQL}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/events.parquet")
+    """Which moments of a stream should a person look at, best first?"""
+    return detection.ranked_moments(spark, sf_dir).orderBy("score", "peak_us", ascending=[False, True])

@@ -1 +1 @@
-"""Sources."""
+"""Readers and writers: chat files and streams, samples, logs, documents, exports, retention."""

@@ -1 +1 @@
-"""Streaming."""
+"""The detection operators over unbounded input."""
