@@ -15,8 +15,10 @@
     members outside the bucket's largest component are set against the rest,
     and only where the sizes allow a link: shingles that no other candidate
     holds cannot be shared, so of a set of ``n`` shingles with ``c`` common
-    ones no partner may have more than ``(1 + t) / t * c - n``.  Both sides must
-    allow each other.  These bounds are exact; no link is lost to them.  After
+    ones no partner may have more than ``(1 + t) / t * c - n``.  Common shingles
+    also set bits of a small bitmap, and each bit that one side has and the
+    other lacks is a shingle they do not share.  Both sides must allow each
+    other.  These bounds are exact; no link is lost to them.  After
     this round every pair in a bucket is in one component, excluded by a bound
     or an estimate, or verified.
 
@@ -37,11 +39,12 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import Scratch, kept, map_batches, small_batches, texts_of
 from tidemark.llm.components import components
-from tidemark.llm.shingles import REGISTERS, Words, band_keys, digest, estimate, expected_by_chance, registers, shingle_set
+from tidemark.llm.shingles import REGISTERS, Words, band_keys, digest, estimate, registers, shingle_set
 
 LEAST_ESTIMATE_GAP = 0.2  #: an estimate this far below the threshold rules a pair out
 SMALL_SET = 64  #: sets with fewer shingles are verified whatever the estimate
 MOST_BROADCAST = 1 << 20
+BITMAP = 1024  #: bits that common shingles set, for an exact bound on what two sets share
 
 
 def _words() -> Words:
@@ -86,8 +89,9 @@ def near_components(docs: DataFrame, width: int = 5, threshold: tuple[int, int]
     texts = texts_of(docs, id_col, text_col)
     rows = scratch.save(sketches(texts, width))
     real = rows.filter((F.col("n") > 0) & F.col("doc_id").isNotNull())
-    classes = real.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("size"))
-    reps = scratch.save(real.join(classes.filter("size > 1").select("digest", "rep"), "digest", "left").filter(F.col("rep").isNull() | (F.col("rep") == F.col("doc_id"))).select(F.col("doc_id").alias("doc"), "n", "registers").dropDuplicates(["doc"]))
+    # Written first: a join of two plain shuffles can split a digest that many rows share.
+    classes = scratch.save(real.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("size")).filter("size > 1").select("digest", "rep"))
+    reps = scratch.save(real.join(classes, "digest", "left").filter(F.col("rep").isNull() | (F.col("rep") == F.col("doc_id"))).select(F.col("doc_id").alias("doc"), "n", "registers").dropDuplicates(["doc"]))
 
     keyed = bands(reps)
     buckets = keyed.groupBy("key").agg(F.count("*").alias("size"), F.min("doc").alias("center")).filter(F.col("size") > 1)
@@ -139,12 +143,34 @@ def near_components(docs: DataFrame, width: int = 5, threshold: tuple[int, int]
     held = placed.join(active.select("key", "main"), "key")
     wanted = held.select("doc").distinct()
     shingles = full.join(wanted, "doc", "left_semi")
-    own = shingles.select("doc", F.explode("shingles").alias("s")).groupBy("s").agg(F.count("*").alias("m"), F.min("doc").alias("doc")).filter("m = 1").groupBy("doc").agg(F.count("*").alias("alone"))
-    # |A & B| >= t / (1 + t) * (|A| + |B|), and |A & B| <= common shingles of either side.
-    limits = shingles.select("doc", F.size("shingles").cast("long").alias("n")).join(own, "doc", "left").select("doc", "n", F.floor(((F.col("n") - F.coalesce("alone", F.lit(0))) * (top + bottom) - F.col("n") * top) / top).alias("most"))
+    alone = shingles.select("doc", F.explode("shingles").alias("s")).groupBy("s").agg(F.count("*").alias("m"), F.min("doc").alias("doc")).filter("m = 1").groupBy("doc").agg(F.collect_list("s").alias("alone"))
+
+    def bound(batch: pa.RecordBatch) -> pa.RecordBatch:
+        n, common, bits = [], [], []
+        for all_, alone in zip(batch.column(1), batch.column(2), strict=True):
+            own = all_.values.to_numpy()
+            shared = np.setdiff1d(own, alone.values.to_numpy(), assume_unique=True) if alone.is_valid else own
+            n.append(len(own))
+            common.append(len(shared))
+            marks = np.zeros(BITMAP, np.uint8)
+            marks[shared.view(np.uint64) % np.uint64(BITMAP)] = 1
+            bits.append(np.packbits(marks).view(np.int64))
+        columns = np.array(bits, np.int64).reshape(len(n), -1)
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(common, pa.int64()), *(pa.array(columns[:, k]) for k in range(BITMAP // 64))], names=["doc", "n", "common", *maps])
+
+    maps = [f"m{k}" for k in range(BITMAP // 64)]
+    limits = map_batches(shingles.join(alone, "doc", "left").select("doc", "shingles", "alone"), bound, f"doc long, n long, common long, {', '.join(f'{m} long' for m in maps)}")
+    # |A & B| >= t / (1 + t) * (|A| + |B|), and |A & B| <= what both may share.
+    limits = limits.withColumn("most", F.floor((F.col("common") * (top + bottom) - F.col("n") * top) / top))
     held = scratch.save(held.join(limits, "doc").filter(F.col("most") * bottom >= F.col("n") * top))
     left, right = held.filter("comp != main").alias("l"), held.alias("r")
-    allowed = (F.col("l.key") == F.col("r.key")) & (F.col("l.comp") != F.col("r.comp")) & (F.col("l.n") <= F.col("r.most")) & (F.col("r.n") <= F.col("l.most")) & (F.least("l.n", "r.n") * bottom >= F.greatest("l.n", "r.n") * top)
+    lacks = lambda x, y: sum((F.bit_count(F.col(f"{x}.{m}").bitwiseAND(F.bitwise_not(F.col(f"{y}.{m}")))) for m in maps), F.lit(0))
+    needed = (F.col("l.n") + F.col("r.n")) * top
+    allowed = (
+        (F.col("l.key") == F.col("r.key")) & (F.col("l.comp") != F.col("r.comp")) & (F.col("l.n") <= F.col("r.most")) & (F.col("r.n") <= F.col("l.most"))
+        & (F.least("l.n", "r.n") * bottom >= F.greatest("l.n", "r.n") * top)
+        & ((F.col("l.common") - lacks("l", "r")) * (top + bottom) >= needed) & ((F.col("r.common") - lacks("r", "l")) * (top + bottom) >= needed)
+    )
     pairs = left.join(right, allowed).select(F.least("l.doc", "r.doc").alias("a"), F.greatest("l.doc", "r.doc").alias("b")).distinct()
     more = links_of(pairs)
     names = first.select(F.col("node"), "label")
@@ -155,7 +181,7 @@ def near_components(docs: DataFrame, width: int = 5, threshold: tuple[int, int]
     both = first.join(ends, F.col("label") == F.col("comp"), "left").select(F.col("node").alias("rep"), F.coalesce("low", "label").alias("component"))
     alone = ends.join(first.select(F.col("node").alias("comp")), "comp", "left_anti").select(F.col("comp").alias("rep"), F.col("low").alias("component"))
     found = both.union(alone)
-    of_class = classes.filter("size > 1").select("digest", F.col("rep").alias("class_rep"))
+    of_class = classes.select("digest", F.col("rep").alias("class_rep"))
     out = rows.select("doc_id", "n", "digest").join(of_class, "digest", "left")
     out = out.withColumn("rep", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.coalesce("class_rep", "doc_id")))
     out = out.join(found, "rep", "left").withColumn("component_id", F.coalesce("component", "rep", "doc_id"))
