@@ -168,8 +168,15 @@ def drop_rows(docs: DataFrame, gone: DataFrame) -> DataFrame:
 
 
 def keep_first(docs: DataFrame, decided: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that ``exact_duplicates`` keeps, with all their columns."""
+    """The rows of ``docs`` that ``exact_duplicates`` keeps, with all their columns.
+
+    A row is told by its doc_id and the digest of its text, as null or repeated
+    ids may name several texts.
+    """
     dropped = decided.filter(~F.col("kept"))
-    other = drop_rows(docs, dropped.filter(~F.col("doc_id").eqNullSafe(F.col("keep_id"))))
+    gone = dropped.filter(~F.col("doc_id").eqNullSafe(F.col("keep_id"))).select(F.col("doc_id").alias("gone_id"), F.col("text_sha256").alias("gone_sha"))
+    few = gone.count() <= MOST_BROADCAST // 4
+    same = docs["doc_id"].eqNullSafe(F.col("gone_id")) & (F.sha2(F.coalesce(docs["text"], F.lit("")), 256) == F.col("gone_sha"))
+    other = docs.join(F.broadcast(gone) if few else gone, same, "left_anti")
     again = dropped.filter(F.col("doc_id").eqNullSafe(F.col("keep_id"))).limit(1).count()
     return other.dropDuplicates(["doc_id", "text"]) if again else other
