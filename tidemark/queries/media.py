@@ -181,7 +181,7 @@ SELECT user_id, round(coalesce(median(off) FILTER (WHERE score >= 0.6), 0.0), 5)
  CASE WHEN count(*) FILTER (WHERE score >= 0.6) > 0 THEN avg(score) ELSE max(score) END >= 0.6 AS is_confident FROM o GROUP BY user_id""",
     "baseline_median": f"WITH {EVENTS} SELECT us // 86400000000 AS day, round(median(value), 6) AS median FROM e GROUP BY 1",
     "burst_end": f"""WITH {_E}, {_BEST}, k AS (SELECT unnest(range(1, 13)) AS k), c AS (SELECT candidate_id, source_ts, k, (SELECT count(*) FROM s WHERE s.t > source_ts + 300.0 * k - 600.0 AND s.t <= source_ts + 300.0 * k) AS n FROM b CROSS JOIN k)
-SELECT candidate_id, round(source_ts + coalesce(least(max(300.0 * k) FILTER (WHERE n / 600.0::DOUBLE >= 1.0::DOUBLE / 300), 3600.0), 0.0), 3) AS burst_end FROM c GROUP BY candidate_id, source_ts""",
+SELECT candidate_id, round(source_ts + least(coalesce(max(300.0 * k) FILTER (WHERE n / 600.0::DOUBLE >= 1.0::DOUBLE / 300), 0.0), 3600.0), 3) AS burst_end FROM c GROUP BY candidate_id, source_ts""",
     "level_decay": f"""WITH {_E}, {_BEST}, m AS (SELECT candidate_id, source_ts, median(value) AS base FROM b JOIN s ON user_id = candidate_id AND t BETWEEN source_ts - 864000.0 AND source_ts GROUP BY ALL)
 SELECT candidate_id, round(min(t), 3) AS decay FROM m JOIN s ON user_id = candidate_id AND t BETWEEN source_ts AND source_ts + 864000.0 WHERE value < greatest(0.02::DOUBLE, 1.5::DOUBLE * base) GROUP BY candidate_id""",
     "review_windows": f"""WITH {_E}, a AS (SELECT seq AS candidate_id, t, greatest(0.0, t - value / 2) AS s0, t + value AS e0 FROM s),

@@ -10,11 +10,11 @@ from tidemark.queries.common import table
 
 
 def _log_id():
-    """A line item's place in its order's log: the line number, then part and supplier, as numbers repeat."""
-    return F.col("l_linenumber").cast("long") * 10**12 + F.col("l_partkey") * 10**6 + F.col("l_suppkey")
+    """A line item's place in its order's log: the line number, then part and price, as numbers repeat."""
+    return F.col("l_linenumber").cast("long") * 10**18 + F.col("l_partkey") * 10**11 + F.round(F.col("l_extendedprice") * 100).cast("long")
 
 
-_LOG_ID = "CAST(l_linenumber AS BIGINT) * 1000000000000 + l_partkey * 1000000 + l_suppkey"
+_LOG_ID = "(CAST(l_linenumber AS BIGINT) * 1000000000000000000 + l_partkey * 100000000000 + CAST(round(l_extendedprice * 100) AS BIGINT))"
 
 
 def _tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
