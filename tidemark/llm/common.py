@@ -98,9 +98,12 @@ _KEPT: dict = {}
 
 
 def kept(key, make: Callable):
-    """An object that a Python worker makes once and keeps for its later tasks."""
+    """An object that a Python worker makes once and keeps for its later tasks.
+
+    Only the last one is kept: workers outlive a stage, and the caches of
+    earlier stages would add up.
+    """
     if key not in _KEPT:
-        if len(_KEPT) > 8:
-            _KEPT.clear()
+        _KEPT.clear()
         _KEPT[key] = make()
     return _KEPT[key]

@@ -115,6 +115,7 @@ class PieceModel:
             if self.merge(p) == [p]:
                 self.automaton.add_word(p[::-1], (len(p), i))
         self.automaton.make_automaton()
+        self._joined: set[str] | None = None
         self._pairs: dict[int, bool] = {}
         self._cache: dict[str, bytes] = {}
         raw = {i: bytes([b]) for b, i in self.bytes.items()}
@@ -225,7 +226,9 @@ class PieceModel:
 
     def _windows(self, chunk: str) -> Iterator[list[int]]:
         """A very long chunk, cut where the two characters stand together in no piece, or else merged as one."""
-        joined = kept(("joined", id(self)), lambda: {p[k : k + 2] for p in self.score for k in range(len(p) - 1)})
+        if self._joined is None:
+            self._joined = {p[k : k + 2] for p in self.score for k in range(len(p) - 1)}
+        joined = self._joined
         start = 0
         for k in range(1, len(chunk)):
             if chunk[k - 1 : k + 1] not in joined:
