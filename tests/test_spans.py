@@ -73,8 +73,7 @@ def test_dead_air_reasons(spark):
 def test_dead_air_speed(spark):
     got, s = plan(spark, [(2, 5)], mode="speed")
     assert round(s.removed_seconds, 4) == round(2.6 * (1 - 1 / 1.5), 4)
-    clips = spark.createDataFrame([("a", 10.0)], "clip_id string, duration double")
-    parts = sorted((r.start, r.end, r.speed) for r in deadair.render_segments(got, clips, DeadAir(mode="speed")).collect())
+    parts = sorted((r.start, r.end, r.speed) for r in deadair.render_segments(got, DeadAir(mode="speed")).collect())
     assert parts == [(0.0, 2.2, 1.0), (2.2, 4.8, 1.5), (4.8, 10.0, 1.0)]
 
 

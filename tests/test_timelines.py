@@ -86,8 +86,10 @@ def test_dedupe_matches_a_loop(spark, seed):
     assert sorted(r.seq for r in sequences.dedupe_nearby(df, ["k"], 6).collect()) == sorted(h[1] for h in held)
 
 
-@pytest.mark.parametrize("seed", range(5))
-def test_fusion_matches_a_loop(spark, seed):
+@pytest.mark.parametrize("folded", [0, 10**6])
+@pytest.mark.parametrize("seed", range(4))
+def test_fusion_matches_a_loop(spark, monkeypatch, seed, folded):
+    monkeypatch.setattr(fusion, "MOST_FOLDED", folded)
     rng = random.Random(seed)
     a = sorted((rng.randrange(150), k) for k in range(25))
     b = sorted((rng.randrange(150), k) for k in range(25))

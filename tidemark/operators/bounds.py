@@ -7,12 +7,10 @@ is joined by candidate_id: words (start, end, text), chat times (t) and levels
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.config import Bounds, ChatRates
-from tidemark.operators import spans as sp
-
 KEY = ["candidate_id"]
 
 
@@ -85,61 +83,85 @@ def constrain(df: DataFrame, cfg: Bounds = Bounds()) -> DataFrame:
     return out.withColumn("rules", rules).drop("late", "open", "trim_start", "trim_end", "short", "room")
 
 
-def _snap(df: DataFrame, words: DataFrame, gaps: DataFrame, at: str, edge: str, tolerance: float, to: str) -> DataFrame:
-    """Adds ``{at}_moved``: the end ``to`` of a word that holds the time, else the nearest gap edge within tolerance, else the time."""
-    inside = df.select("candidate_id", at).join(words.select("candidate_id", "start", "end"), KEY).filter((F.col("start") < F.col(at)) & (F.col(at) < F.col("end")))
-    word = inside.groupBy("candidate_id").agg(F.min_by(to, F.struct("start", "end")).alias("in_word"))
-    edges = gaps.select("candidate_id", F.col(edge).alias("edge"))
-    near = df.select("candidate_id", at).join(edges, KEY).groupBy("candidate_id").agg(F.min(F.struct(F.abs(F.col("edge") - F.col(at)).alias("d"), "edge")).alias("near"))
-    out = df.join(word, KEY, "left").join(near, KEY, "left")
-    close = (F.col("near.d") > 0) & (F.col("near.d") <= tolerance)
-    return out.withColumn(f"{at}_moved", F.coalesce("in_word", F.when(close, F.col("near.edge")), F.col(at))).drop("in_word", "near")
+def _gathered(candidates: DataFrame, evidence: DataFrame, name: str, order: list[str], overlap: bool = False) -> DataFrame:
+    """(candidate_id, array of the evidence in its window): as long as the window, however long the stream."""
+    return within(evidence, candidates, overlap).groupBy("candidate_id").agg(F.array_sort(F.collect_list(F.struct(*order))).alias(name))
+
+
+def _median(values: Column) -> Column:
+    """Median of an array of numbers, null of an empty one."""
+    v, n = F.array_sort(values), F.size(values)
+    low, high = F.try_element_at(v, F.floor((n + 1) / 2).cast("int")), F.try_element_at(v, (F.floor(n / 2) + 1).cast("int"))
+    return F.when(n > 0, (low + high) / 2)
+
+
+def _joined_words(words: Column, gap: float) -> Column:
+    """Words (start, end), sorted, less than ``gap`` apart as one utterance (start, end)."""
 
+    def step(acc: Column, w: Column) -> Column:
+        last = F.try_element_at(acc, F.lit(-1))
+        grown = F.struct(last["start"].alias("start"), F.greatest(last["end"], w["end"]).alias("end"))
+        new = F.struct(w["start"].alias("start"), w["end"].alias("end"))
+        return F.when(F.coalesce(w["start"] - last["end"] < gap, F.lit(False)), F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(grown))).otherwise(F.concat(acc, F.array(new)))
 
-def decide(candidates: DataFrame, words: DataFrame, chat: DataFrame, levels: DataFrame, cfg: Bounds = Bounds(), rate: ChatRates = ChatRates(), min_rms: float = 0.02) -> DataFrame:
+    return F.aggregate(words, F.array().cast("array<struct<start:double,end:double>>"), step)
+
+
+def _snapped(at: Column, words: Column, gaps: Column, edge: str, tolerance: float, to: str) -> Column:
+    """The end ``to`` of a word that holds the time, else the nearest gap edge within tolerance, else the time."""
+    word = F.try_element_at(F.filter(words, lambda w: (w["start"] < at) & (at < w["end"])), F.lit(1))
+    near = F.array_min(F.transform(gaps, lambda x: F.struct(F.abs(x[edge] - at).alias("d"), x[edge].alias("edge"))))
+    return F.when(word.isNotNull(), word[to]).when((near["d"] > 0) & (near["d"] <= tolerance), near["edge"]).otherwise(at)
+
+
+def decide(candidates: DataFrame, words: DataFrame, chat: DataFrame, levels: DataFrame, cfg: Bounds = Bounds(), rate: ChatRates = ChatRates(), min_rms: float = 0.02, baseline: float = 30.0) -> DataFrame:
     """Final bounds of every candidate from whatever evidence it has; without any, the review window.
 
-    Returns candidate_id, start, end, main_ts, hook_ts, payoff_ts, method, the
-    evidence (main_end, burst_end, decay, natural_end) and the rules that acted.
+    Each kind of evidence is gathered once per candidate; what follows is
+    expressions on arrays, so the plan has one exchange per input.  Returns
+    candidate_id, start, end, main_ts, hook_ts, payoff_ts, method, the evidence
+    (main_end, burst_end, decay, natural_end) and the rules that acted.
     """
     at, tail = F.col("source_ts"), max(0.0, cfg.reaction_tail)
-    base = candidates.withColumn("floor", F.greatest(F.lit(0.0), at - F.col("pre"))).withColumn("ceiling", at + F.col("post"))
-    words, chat, levels = within(words, candidates, True), within(chat, candidates), within(levels, candidates)
-    real = words.filter(F.col("end") > F.col("start"))
-    said = sp.utterances(real, KEY, cfg.utterance_gap)
-    order = Window.partitionBy(*KEY).orderBy("start")
-    said = said.withColumn("previous", F.lag("start").over(order))
-    quiet = sp.gaps(said.select("candidate_id", "start", "end"), KEY, base.join(said.select("candidate_id").distinct(), KEY, "left_semi").select("candidate_id", F.col("floor").alias("low"), F.col("ceiling").alias("high")))
-    main = said.join(candidates.select("candidate_id", "source_ts"), KEY).filter(F.col("source_ts").between(F.col("start"), F.col("end"))).groupBy("candidate_id").agg(F.min(F.struct("start", "end", "previous")).alias("main"))
-    has = lambda df, name: df.groupBy("candidate_id").agg(F.count("*").alias(name))
-    out = base.join(main, KEY, "left")
-    for df, name in ((words, "n_words"), (said, "n_said"), (chat, "n_chat"), (levels, "n_levels")):
-        out = out.join(has(df, name), KEY, "left")
-    out = out.join(burst_end(candidates, chat, rate, tail), KEY, "left").join(level_decay(candidates, levels, min_rms=min_rms, search=tail), KEY, "left")
-    main_end = F.greatest(at, F.coalesce("main.end", at))
-    reaction = F.least(F.coalesce(F.greatest("burst_end", "decay"), at), at + tail)
-    out = out.withColumn("main_ts", at).withColumn("main_end", main_end).withColumn("payoff_ts", F.greatest(F.col("main_end"), reaction))
-    natural = quiet.join(out.select("candidate_id", "payoff_ts"), KEY).filter(F.col("start") >= F.col("payoff_ts")).groupBy("candidate_id").agg(F.min("start").alias("natural_end"))
-    out = out.join(natural, KEY, "left")
+    out = candidates.withColumn("floor", F.greatest(F.lit(0.0), at - F.col("pre"))).withColumn("ceiling", at + F.col("post"))
+    words = words.withColumns({"start": F.col("start").cast("double"), "end": F.col("end").cast("double")})
+    for df, name, order, overlap in ((words, "words", ["start", "end"], True), (chat, "chat", ["t"], False), (levels, "levels", ["t", "value"], False)):
+        out = out.join(_gathered(candidates, df, name, order, overlap), KEY, "left")
+    none = F.array()
+    out = out.withColumns({"evidence": F.col("words").isNotNull() | F.col("chat").isNotNull() | F.col("levels").isNotNull(), "words": F.filter(F.coalesce("words", none.cast("array<struct<start:double,end:double>>")), lambda w: w["end"] > w["start"])})
+    out = out.withColumn("said", _joined_words(F.col("words"), cfg.utterance_gap))
+    low, high = F.col("floor"), F.col("ceiling")
+    heads = F.transform("said", lambda u, i: F.struct(F.greatest(F.when(i > 0, F.try_element_at(F.col("said"), i)["end"]).otherwise(low), low).alias("start"), F.least(u["start"], high).alias("end")))
+    rest = F.array(F.struct(F.greatest(F.try_element_at("said", F.lit(-1))["end"], low).alias("start"), high.alias("end")))
+    quiet = F.when(F.size("said") > 0, F.filter(F.concat(heads, rest), lambda x: x["end"] > x["start"])).otherwise(none.cast("array<struct<start:double,end:double>>"))
+    numbered = F.transform("said", lambda u, i: F.struct(u["start"].alias("start"), u["end"].alias("end"), F.when(i > 0, F.try_element_at(F.col("said"), i)["start"]).alias("previous")))
+    main = F.try_element_at(F.filter(numbered, lambda u: (u["start"] <= at) & (at <= u["end"])), F.lit(1))
+    out = out.withColumns({"quiet": quiet, "main": main})
+    w = max(0.5, rate.window)
+    step, reach = max(0.5, w / 2), max(w, tail)
+    lasting = lambda k: F.size(F.filter("chat", lambda c: (c["t"] > at + k * step - w) & (c["t"] <= at + k * step))) / w >= rate.min_rate
+    moments = F.filter(F.sequence(F.lit(0), F.lit(int(reach / step + 1e-9))), lambda k: (k == 0) | lasting(k))
+    near = F.exists("chat", lambda c: c["t"].between(at - w, at + reach))
+    burst = F.when(F.coalesce(near, F.lit(False)), F.least(at + F.array_max(moments) * step, at + tail))
+    base = _median(F.transform(F.filter("levels", lambda x: x["t"].between(at - baseline, at)), lambda x: x["value"]))
+    out = out.withColumns({"burst_end": burst, "level": F.greatest(F.lit(min_rms), 1.5 * F.coalesce(base, F.lit(min_rms))), "main_ts": at, "main_end": F.greatest(at, F.coalesce("main.end", at))})
+    out = out.withColumn("decay", F.array_min(F.transform(F.filter("levels", lambda x: x["t"].between(at, at + tail) & (x["value"] < F.col("level"))), lambda x: x["t"])))
+    out = out.withColumn("payoff_ts", F.greatest(F.col("main_end"), F.least(F.coalesce(F.greatest("burst_end", "decay"), at), at + tail)))
+    out = out.withColumn("natural_end", F.array_min(F.filter(F.transform("quiet", lambda x: x["start"]), lambda x: x >= F.col("payoff_ts"))))
     hook = (
         F.when(F.col("main.previous").isNotNull(), F.greatest(at - cfg.hook_lookback, F.least(F.col("main.previous"), at - cfg.min_context)))
-        .when(F.coalesce("n_said", F.lit(0)) == 0, at - max(0.0, max(cfg.min_seconds, cfg.target_seconds) - tail))
+        .when(F.size("said") == 0, at - max(0.0, max(cfg.min_seconds, cfg.target_seconds) - tail))
         .otherwise(at - cfg.hook_lookback)
     )
-    out = out.withColumn("hook_ts", F.greatest(F.col("floor"), F.least(hook, at))).withColumn("stop_ts", F.coalesce("natural_end", "payoff_ts"))
-    out = _snap(out, real, quiet, "hook_ts", "start", cfg.start_tolerance, "start")
-    out = _snap(out, real, quiet, "stop_ts", "end", cfg.end_tolerance, "end")
-    out = out.withColumn("start", F.greatest("floor", "hook_ts_moved")).withColumn("end", F.col("stop_ts_moved"))
-    out = constrain(out, cfg)
-    evidence = (F.coalesce("n_words", F.lit(0)) + F.coalesce("n_chat", F.lit(0)) + F.coalesce("n_levels", F.lit(0))) > 0
-    usable = evidence & (F.col("end") > F.col("start"))
-    window = review_window(candidates, cfg).select("candidate_id", *(F.col(c).alias(f"w_{c}") for c in ("start", "end", "main_ts", "hook_ts", "payoff_ts")))
-    out = out.join(window, KEY)
-    pick = lambda own, name: F.when(usable, own).otherwise(F.col(f"w_{name}")).alias(name)
-    inside = lambda c: F.least(F.greatest(F.col(c), F.col("start")), F.col("end"))
-    return out.select(
-        "candidate_id", pick(F.col("start"), "start"), pick(F.col("end"), "end"), pick(F.col("main_ts"), "main_ts"), pick(inside("hook_ts"), "hook_ts"), pick(inside("payoff_ts"), "payoff_ts"),
-        F.when(usable, "signal_evidence").otherwise("review_window").alias("method"), "main_end", "burst_end", "decay", "natural_end", F.when(usable, F.col("rules")).otherwise(F.array().cast("array<string>")).alias("rules"),
+    out = out.withColumns({"hook_ts": F.greatest(F.col("floor"), F.least(hook, at)), "stop_ts": F.coalesce("natural_end", "payoff_ts")})
+    out = out.withColumns({"start": F.greatest("floor", _snapped(F.col("hook_ts"), F.col("words"), F.col("quiet"), "start", cfg.start_tolerance, "start")), "end": _snapped(F.col("stop_ts"), F.col("words"), F.col("quiet"), "end", cfg.end_tolerance, "end")})
+    window = review_window(constrain(out, cfg).withColumnsRenamed({c: f"own_{c}" for c in ("start", "end", "main_ts", "hook_ts", "payoff_ts")}), cfg)
+    usable = F.col("evidence") & (F.col("own_end") > F.col("own_start"))
+    inside = lambda c: F.least(F.greatest(F.col(c), F.col("own_start")), F.col("own_end"))
+    pick = lambda own, name: F.when(usable, own).otherwise(F.col(name)).alias(name)
+    return window.select(
+        "candidate_id", pick(F.col("own_start"), "start"), pick(F.col("own_end"), "end"), pick(F.col("own_main_ts"), "main_ts"), pick(inside("own_hook_ts"), "hook_ts"), pick(inside("own_payoff_ts"), "payoff_ts"),
+        F.when(usable, "signal_evidence").otherwise("review_window").alias("method"), "main_end", "burst_end", "decay", "natural_end", F.when(usable, F.col("rules")).otherwise(none.cast("array<string>")).alias("rules"),
     )
 
 

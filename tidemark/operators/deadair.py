@@ -1,59 +1,107 @@
-"""Which silences of a clip to cut, within a budget."""
+"""Which silences of a clip to cut, within a budget.
+
+Spans of a clip are gathered once, into one array per clip, and every step is
+an expression on it; a clip holds at most as many spans as it has seconds.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.config import DeadAir
-from tidemark.operators import spans as sp
 
+SPANS = "array<struct<start:double,end:double>>"
+
+
+def _span(start: Column, end: Column) -> Column:
+    return F.struct(start.cast("double").alias("start"), end.cast("double").alias("end"))
+
+
+def _none() -> Column:
+    return F.array().cast(SPANS)
+
+
+def _real(spans: Column) -> Column:
+    return F.filter(spans, lambda s: s["end"] > s["start"])
+
+
+def merged(spans: Column, close_gap: float = 0.0) -> Column:
+    """Union of an array of spans, clipped at zero; those at most ``close_gap`` apart become one."""
+    ordered = F.array_sort(_real(F.transform(spans, lambda s: _span(F.greatest(s["start"], F.lit(0.0)), s["end"]))))
+
+    def step(acc: Column, s: Column) -> Column:
+        last = F.try_element_at(acc, F.lit(-1))
+        near = F.coalesce(s["start"] - last["end"] <= close_gap, F.lit(False))
+        return F.when(near, F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(_span(last["start"], F.greatest(last["end"], s["end"]))))).otherwise(F.concat(acc, F.array(_span(s["start"], s["end"]))))
+
+    return F.aggregate(ordered, _none(), step)
 
-def budgeted(spans: DataFrame, keys: list[str], budget: str) -> DataFrame:
-    """Drop the longest spans (by length rounded to milliseconds, the earliest of equals) until the rest is within ``budget``.
+
+def without(spans: Column, blocks: Column) -> Column:
+    """An array of spans less what the blocks cover."""
+    rest = lambda s, b: F.array(_span(s["start"], F.least(s["end"], b["start"])), _span(F.greatest(s["start"], b["end"]), s["end"]))
+    return F.aggregate(blocks, spans, lambda acc, b: _real(F.flatten(F.transform(acc, lambda s: rest(s, b)))))
+
+
+def between(spans: Column, low: Column, high: Column) -> Column:
+    """What merged spans leave of [low, high], head and tail included."""
+    heads = F.transform(spans, lambda s, i: _span(F.when(i > 0, F.try_element_at(spans, i)["end"]).otherwise(low), s["start"]))
+    tail = F.array(_span(F.coalesce(F.try_element_at(spans, F.lit(-1))["end"], low), high))
+    return _real(F.concat(heads, tail))
+
+
+def budgeted(spans: Column, budget: Column) -> Column:
+    """Drop the longest spans (by length rounded to milliseconds, the earliest of equals) until the rest is within the budget.
 
     Drops always come off the top, so what stays is the longest run from the
     shortest span up whose sum is within the budget.
     """
-    length = F.col("end") - F.col("start")
-    order = Window.partitionBy(*keys).orderBy(F.round(length, 3), F.col("start").desc())
-    running = F.sum(length).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    return spans.withColumn("running", running).filter(F.col("running") <= F.col(budget) + 1e-9).drop("running")
+    order = F.array_sort(F.transform(spans, lambda s: F.struct(F.round(s["end"] - s["start"], 3).alias("length"), (-s["start"]).alias("late"), s.alias("s"))))
+    start = F.struct(F.lit(0.0).alias("sum"), _none().alias("kept"))
+
+    def step(acc: Column, x: Column) -> Column:
+        run = acc["sum"] + (x["s"]["end"] - x["s"]["start"])
+        return F.struct(run.alias("sum"), F.when(run <= budget + 1e-9, F.concat(acc["kept"], F.array(x["s"]))).otherwise(acc["kept"]).alias("kept"))
+
+    return F.array_sort(F.aggregate(order, start, step, lambda acc: acc["kept"]))
+
+
+def length(spans: Column) -> Column:
+    return F.aggregate(spans, F.lit(0.0), lambda t, s: t + (s["end"] - s["start"]))
+
+
+def _per_clip(rows: DataFrame | None, name: str) -> DataFrame | None:
+    return None if rows is None else rows.groupBy("clip_id").agg(F.collect_list(_span(F.col("start"), F.col("end"))).alias(name))
 
 
-def plan(clips: DataFrame, silences: DataFrame, cfg: DeadAir = DeadAir(), words: DataFrame | None = None, protect: DataFrame | None = None, bucket: float = 30.0) -> dict[str, DataFrame]:
+def plan(clips: DataFrame, silences: DataFrame, cfg: DeadAir = DeadAir(), words: DataFrame | None = None, protect: DataFrame | None = None) -> dict[str, DataFrame]:
     """Cuts of clips (clip_id, duration): ``gaps`` to remove, ``keeps`` to show and a ``summary`` per clip.
 
     Silences, words and protected parts are rows (clip_id, start, end) in
     seconds.  The summary has mode, applied, removed_seconds and a reason where
     nothing is cut.
     """
-    keys = ["clip_id"]
-    live = clips.filter(F.col("duration") > 0) if cfg.enabled else clips.limit(0)
-    inside = silences.join(live, keys).select("clip_id", F.greatest("start", F.lit(0.0)).alias("start"), F.least("end", "duration").alias("end"))
-    heard = sp.merge(inside, keys, cfg.keep_pad)
-    free = heard if words is None else sp.subtract(heard, sp.merge(words, keys), keys, bucket)
-    open_ = free if protect is None else sp.subtract(free, protect.filter(F.col("end") > F.col("start")), keys, bucket)
-    long_ = sp.shrink(open_, keys, cfg.keep_pad).filter(F.col("end") - F.col("start") >= cfg.min_gap)
-    cut = budgeted(long_.join(live, keys).withColumn("budget", F.col("duration") * cfg.max_removed_ratio), keys, "budget").select("clip_id", "start", "end")
-    stage = lambda df, name: df.groupBy("clip_id").agg(F.count("*").alias(name))
-    counts = clips.select("clip_id", "duration")
-    for df, name in ((heard, "heard"), (free, "free"), (open_, "open"), (long_, "long"), (cut, "cut")):
-        counts = counts.join(stage(df, name), keys, "left")
-    n = lambda c: F.coalesce(F.col(c), F.lit(0))
-    removed = sp.total(cut, keys).withColumnRenamed("length", "cut_seconds")
+    out = clips.select("clip_id", F.col("duration").cast("double").alias("duration"))
+    for rows, name in ((silences, "silences"), (words, "words"), (protect, "protect")):
+        found = _per_clip(rows, name)
+        out = out.withColumn(name, _none()) if found is None else out.join(found, "clip_id", "left").withColumn(name, F.coalesce(name, _none()))
+    whole = F.array(_span(F.lit(0.0), F.col("duration")))
+    live = (F.col("duration") > 0) & F.lit(cfg.enabled)
+    inside = F.transform("silences", lambda s: _span(F.greatest(s["start"], F.lit(0.0)), F.least(s["end"], F.col("duration"))))
+    out = out.withColumn("heard", F.when(live, merged(inside, cfg.keep_pad)).otherwise(_none()))
+    out = out.withColumn("free", without(F.col("heard"), merged(F.col("words"))))
+    out = out.withColumn("open", without(F.col("free"), _real(F.col("protect"))))
+    shrunk = merged(F.transform("open", lambda s: _span(s["start"] + cfg.keep_pad, s["end"] - cfg.keep_pad)))
+    out = out.withColumn("long", F.filter(shrunk, lambda s: s["end"] - s["start"] >= cfg.min_gap))
+    out = out.withColumn("cut", budgeted(F.col("long"), F.col("duration") * cfg.max_removed_ratio))
     if cfg.mode == "speed":
-        rate = max(1.0, cfg.speed_factor)
-        keeps = counts.select("clip_id", F.lit(0.0).alias("start"), F.col("duration").alias("end"))
-        kept = counts.join(removed, keys, "left").withColumn("removed", F.coalesce("cut_seconds", F.lit(0.0)) * (1.0 - 1.0 / rate)).withColumn("left", F.lit(1))
+        out = out.withColumns({"shown": whole, "removed": length(F.col("cut")) * (1.0 - 1.0 / max(1.0, cfg.speed_factor))})
     else:
-        parts = sp.gaps(cut, keys, live.join(cut.select("clip_id").distinct(), keys).select("clip_id", F.lit(0.0).alias("low"), F.col("duration").alias("high")))
-        shown = parts.filter(F.col("end") - F.col("start") >= cfg.min_keep)
-        kept = counts.join(shown.groupBy("clip_id").agg(F.sum(F.col("end") - F.col("start")).alias("kept"), F.count("*").alias("left")), keys, "left")
-        kept = kept.withColumn("removed", F.greatest(F.lit(0.0), F.col("duration") - F.col("kept")))
-        whole = counts.join(shown.select("clip_id").distinct(), keys, "left_anti").select("clip_id", F.lit(0.0).alias("start"), F.col("duration").alias("end"))
-        keeps = shown.unionByName(whole)
-    applied = (n("cut") > 0) & (n("left") > 0)
+        out = out.withColumn("shown", F.filter(between(F.col("cut"), F.lit(0.0), F.col("duration")), lambda s: s["end"] - s["start"] >= cfg.min_keep))
+        out = out.withColumn("removed", F.greatest(F.lit(0.0), F.col("duration") - length(F.col("shown"))))
+    n = lambda c: F.size(c)
+    out = out.withColumn("applied", (n("cut") > 0) & (n("shown") > 0))
     reason = (
         F.when(F.lit(not cfg.enabled), "dead-air removal disabled")
         .when(F.col("duration") <= 0, "clip has no duration")
@@ -62,16 +110,17 @@ def plan(clips: DataFrame, silences: DataFrame, cfg: DeadAir = DeadAir(), words:
         .when(n("open") == 0, "the only silence was inside the payoff region")
         .when(n("long") == 0, "every silent gap was too short to be worth cutting")
         .when(n("cut") == 0, "the cap left nothing cuttable")
-        .when(n("left") == 0, "cutting would have removed the whole clip")
+        .when(n("shown") == 0, "cutting would have removed the whole clip")
     )
-    summary = kept.select("clip_id", "duration", F.lit(cfg.mode).alias("mode"), applied.alias("applied"), F.when(applied, F.col("removed")).otherwise(0.0).alias("removed_seconds"), (n("cut") < n("long")).alias("capped"), n("cut").alias("n_gaps"), reason.alias("reason"))
-    return {"gaps": cut, "keeps": keeps, "summary": summary}
+    summary = out.select("clip_id", "duration", F.lit(cfg.mode).alias("mode"), "applied", F.when(F.col("applied"), F.col("removed")).otherwise(0.0).alias("removed_seconds"), (n("cut") < n("long")).alias("capped"), n("cut").cast("long").alias("n_gaps"), reason.alias("reason"))
+    keeps = out.select("clip_id", F.inline(F.when(F.col("applied"), F.col("shown")).otherwise(whole)))
+    return {"gaps": out.select("clip_id", F.inline("cut")), "keeps": keeps, "summary": summary, "clips": out}
 
 
-def render_segments(planned: dict[str, DataFrame], clips: DataFrame, cfg: DeadAir = DeadAir()) -> DataFrame:
-    """(clip_id, start, end, speed) in order: kept parts at 1, or all parts with gaps at the speed factor."""
+def render_segments(planned: dict[str, DataFrame], cfg: DeadAir = DeadAir()) -> DataFrame:
+    """(clip_id, start, end, speed): kept parts at 1, or all parts with gaps at the speed factor."""
     if cfg.mode != "speed":
         return planned["keeps"].select("clip_id", "start", "end", F.lit(1.0).alias("speed"))
-    gaps = planned["gaps"]
-    rest = sp.gaps(gaps, ["clip_id"], clips.select("clip_id", F.lit(0.0).alias("low"), F.col("duration").alias("high")))
-    return rest.select("clip_id", "start", "end", F.lit(1.0).alias("speed")).unionByName(gaps.select("clip_id", "start", "end", F.lit(max(1.0, cfg.speed_factor)).alias("speed")))
+    at = lambda spans, speed: F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(speed).alias("speed")))
+    rest = between(F.col("cut"), F.lit(0.0), F.col("duration"))
+    return planned["clips"].select("clip_id", F.inline(F.concat(at(rest, 1.0), at(F.col("cut"), max(1.0, cfg.speed_factor)))))

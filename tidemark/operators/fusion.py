@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.sequences import islands
 
+#: Pairs of a run up to which it is folded natively; longer runs are walked.
+MOST_FOLDED = 4096
+
 
 def fuse(first: DataFrame, second: DataFrame, keys: Sequence[str], proximity: int, weight: float = 0.5, at: str = "us", seq: str = "seq", score: str = "score") -> DataFrame:
     """Each row of ``first``, in order, takes the nearest free row of ``second`` within ``proximity``.
@@ -28,6 +32,8 @@ def fuse(first: DataFrame, second: DataFrame, keys: Sequence[str], proximity: in
         F.array_sort(F.collect_list(F.when(F.col("side") == 0, F.struct("us", "seq", "score")))).alias("a"),
         F.array_sort(F.collect_list(F.when(F.col("side") == 1, F.struct("us", "seq", "score")))).alias("b"),
     )
+    large = F.size("a") * F.size("b") > MOST_FOLDED
+    folded, walked = rows.filter(~large), rows.filter(large)
     pair = "array<struct<a:struct<us:bigint,seq:bigint,score:double>,b:struct<us:bigint,seq:bigint,score:double>>>"
 
     def step(acc: Column, x: Column) -> Column:
@@ -36,7 +42,7 @@ def fuse(first: DataFrame, second: DataFrame, keys: Sequence[str], proximity: in
         best = F.try_element_at(F.array_sort(F.transform(free, lambda y: F.struct(F.abs(y["us"] - x["us"]).alias("d"), (-y["us"]).alias("u"), (-y["seq"]).alias("s"), y.alias("y")))), F.lit(1))
         return F.concat(acc, F.array(F.struct(x.alias("a"), best["y"].alias("b"))))
 
-    matched = rows.withColumn("pairs", F.aggregate("a", F.array().cast(pair), step))
+    matched = folded.withColumn("pairs", F.aggregate("a", F.array().cast(pair), step))
     left = F.filter("b", lambda y: ~F.exists("pairs", lambda p: p["b"]["seq"].eqNullSafe(y["seq"])))
     fused = F.transform(
         "pairs",
@@ -48,7 +54,43 @@ def fuse(first: DataFrame, second: DataFrame, keys: Sequence[str], proximity: in
     )
     none = F.lit(None).cast("long")
     rest = F.transform(left, lambda y: F.struct(y["us"].alias("us"), F.lit("second").alias("kind"), y["score"].alias("score"), none.alias("first_seq"), y["seq"].alias("second_seq"), y["us"].alias("second_us")))
-    return matched.select(*keys, F.inline(F.concat(fused, rest)))
+    small = matched.select(*keys, F.inline(F.concat(fused, rest)))
+    return small.unionByName(_walked(walked, keys, proximity, weight))
+
+
+def _walked(rows: DataFrame, keys: Sequence[str], proximity: int, weight: float) -> DataFrame:
+    """The same over long runs: a walk that looks only at the rows within reach, where a fold would look at all."""
+    kinds = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in keys)
+
+    def walk(batches):
+        for frame in batches:
+            for r in frame.to_dict("records"):
+                a, b = list(r["a"]), list(r["b"])
+                times, free, out, low = [y["us"] for y in b], [True] * len(b), [], 0
+                for x in a:
+                    while low < len(b) and times[low] < x["us"] - proximity:
+                        low += 1
+                    best, at = None, low
+                    while at < len(b) and times[at] <= x["us"] + proximity:
+                        d = abs(times[at] - x["us"])
+                        if free[at] and (best is None or d <= best[0]):
+                            best = (d, at)
+                        at += 1
+                    if best is None:
+                        out.append((x["us"], "first", x["score"], x["seq"], None, None))
+                    else:
+                        y = b[best[1]]
+                        free[best[1]] = False
+                        out.append((x["us"], "pair", min(1.0, x["score"] + weight * y["score"]), x["seq"], y["seq"], y["us"]))
+                out += [(y["us"], "second", y["score"], None, y["seq"], y["us"]) for y, f in zip(b, free, strict=True) if f]
+                got = pd.DataFrame(out, columns=["us", "kind", "score", "first_seq", "second_seq", "second_us"])
+                for c in ("first_seq", "second_seq", "second_us"):
+                    got[c] = got[c].astype("Int64")
+                for k in keys:
+                    got[k] = r[k]
+                yield got[[*keys, "us", "kind", "score", "first_seq", "second_seq", "second_us"]]
+
+    return rows.select(*keys, "a", "b").mapInPandas(walk, f"{kinds}, us long, kind string, score double, first_seq long, second_seq long, second_us long")
 
 
 def nearest_sample(times: DataFrame, samples: DataFrame, keys: Sequence[str], reach: int, at: str = "us", values: Sequence[str] = ("value",)) -> DataFrame:

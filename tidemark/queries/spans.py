@@ -82,7 +82,7 @@ def deadair_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def deadair_speed(spark: SparkSession, sf_dir: str) -> DataFrame:
     clips, quiet = _clips(spark, sf_dir)
     cfg = DeadAir(mode="speed")
-    got = deadair.render_segments(deadair.plan(clips, quiet, cfg), clips, cfg)
+    got = deadair.render_segments(deadair.plan(clips, quiet, cfg), cfg)
     return got.select("clip_id", F.round("start", 3).alias("start"), F.round("end", 3).alias("end"), "speed")
 
 
