@@ -9,13 +9,18 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators.rates import histogram, normalize
-
 LEAST_ACTIVE_BINS = 3
 MEANINGFUL_SCORE = 0.05
 CONFIDENT_SCORE = 0.6
 
 
+def binned(df: DataFrame, keys: Sequence[str], time: Column, size: float, bins: int, value: Column | None = None) -> DataFrame:
+    """The bins of a histogram that are not zero (keys, bin, level)."""
+    spot = F.greatest(F.lit(0), F.least(F.lit(bins - 1), (time / size).cast("long"))).cast("long")
+    what = F.count("*").cast("double") if value is None else F.avg(value)
+    return df.groupBy(*keys, spot.alias("bin")).agg(what.alias("level")).filter("level <> 0")
+
+
 def timeline_offset(first: DataFrame, second: DataFrame, keys: Sequence[str], size: float, bins: int, reach: int, second_value: Column | None = None, time: str = "t") -> DataFrame:
     """Lag (in bins) at which the binned ``second`` follows ``first`` best, within ``reach`` bins either way.
 
@@ -23,21 +28,42 @@ def timeline_offset(first: DataFrame, second: DataFrame, keys: Sequence[str], si
     least), active_first, active_second.  Fewer than three active bins on either
     side give lag 0 and score 0.  Of equal sums the smallest lag wins.
 
-    Each bin meets the ``2 * reach + 1`` bins around it through an equi-join.
+    Only bins that are not zero meet.  The sum of z-scores over the bins that
+    overlap at a lag is that of the products of levels, less the means times
+    the overlapping sums, plus the product of means for each bin; the sums of
+    the parts that do not overlap come from the ``reach`` bins at the ends.
     """
-    a = histogram(first, keys, F.col(time), size, bins)
-    b = histogram(second, keys, F.col(time), size, bins, second_value)
-    active = lambda df, name: df.groupBy(*keys).agg(F.count_if(F.col("level") > 0).alias(name))
-    za = normalize(a, keys).select(*keys, F.col("bin").alias("bin_a"), F.col("z").alias("za"))
-    zb = normalize(b, keys).select(*keys, F.col("bin"), F.col("z").alias("zb"))
-    spread = za.withColumn("lag", F.explode(F.sequence(F.lit(-reach).cast("long"), F.lit(reach).cast("long")))).withColumn("bin", F.col("bin_a") + F.col("lag"))
-    sums = spread.join(zb, [*keys, "bin"]).groupBy(*keys, "lag").agg(F.sum(F.col("za") * F.col("zb")).alias("sum"))
-    best = sums.groupBy(*keys).agg(F.max_by("lag", F.struct(F.round("sum", 9), -F.col("lag"))).alias("lag"), F.max("sum").alias("sum"))
-    counts = active(a, "active_first").join(active(b, "active_second"), list(keys)) if keys else active(a, "active_first").crossJoin(F.broadcast(active(b, "active_second")))
-    out = counts.join(best, list(keys), "left") if keys else counts.crossJoin(F.broadcast(best))
-    enough = (F.col("active_first") >= LEAST_ACTIVE_BINS) & (F.col("active_second") >= LEAST_ACTIVE_BINS) & F.col("lag").isNotNull()
-    lag = F.when(enough, F.col("lag")).otherwise(F.lit(0).cast("long"))
-    return out.select(*keys, lag.alias("lag"), (lag * float(size)).alias("offset"), F.when(enough, F.greatest(F.lit(0.0), F.col("sum") / bins)).otherwise(0.0).alias("score"), "active_first", "active_second")
+    a, c = binned(first, keys, F.col(time), size, bins), binned(second, keys, F.col(time), size, bins, second_value)
+
+    def stats(df: DataFrame, n: str) -> DataFrame:
+        mean = F.sum("level") / bins
+        var = F.greatest(F.sum(F.col("level") * F.col("level")) / bins - mean * mean, F.lit(0.0))
+        ends = F.when((F.col("bin") < reach) | (F.col("bin") >= bins - reach), F.struct("bin", "level"))
+        return df.groupBy(*keys).agg(F.count_if(F.col("level") > 0).alias(f"active_{n}"), F.sum("level").alias(f"total_{n}"), mean.alias(f"mean_{n}"), F.sqrt(var).alias(f"dev_{n}"), F.collect_list(ends).alias(f"ends_{n}"))
+
+    spread = a.select(*keys, "bin", F.col("level").alias("la")).withColumn("lag", F.explode(F.sequence(F.lit(-reach).cast("long"), F.lit(reach).cast("long")))).withColumn("bin", F.col("bin") + F.col("lag"))
+    products = spread.join(c.select(*keys, "bin", F.col("level").alias("lc")), [*keys, "bin"]).groupBy(*keys, "lag").agg(F.sum(F.col("la") * F.col("lc")).alias("product"))
+    maps = products.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("lag", "product"))).alias("products"))
+    sa, sc = stats(a, "first"), stats(c, "second")
+    both = sa.join(sc, list(keys)) if keys else sa.crossJoin(F.broadcast(sc))
+    both = both.join(maps, list(keys), "left") if keys else both.crossJoin(F.broadcast(maps))
+    outside = lambda ends, cond: F.aggregate(F.filter(ends, cond), F.lit(0.0), lambda s, x: s + x["level"])
+
+    def total(lag: Column) -> Column:
+        # Bins i of the first side with 0 <= i < bins and 0 <= i + lag < bins, and i + lag of the second.
+        over_a = F.col("total_first") - outside("ends_first", lambda x: (x["bin"] + lag < 0) | (x["bin"] + lag >= bins))
+        over_c = F.col("total_second") - outside("ends_second", lambda x: (x["bin"] - lag < 0) | (x["bin"] - lag >= bins))
+        n = F.greatest(F.lit(0), bins - F.abs(lag))
+        product = F.coalesce(F.try_element_at("products", lag), F.lit(0.0))
+        return product - F.col("mean_second") * over_a - F.col("mean_first") * over_c + n * F.col("mean_first") * F.col("mean_second")
+
+    flat = (F.col("dev_first") <= 1e-9) | (F.col("dev_second") <= 1e-9)
+    scale = F.col("dev_first") * F.col("dev_second")
+    each = F.transform(F.sequence(F.lit(-reach).cast("long"), F.lit(reach).cast("long")), lambda lag: F.struct(F.when(flat, 0.0).otherwise(F.round(F.try_divide(total(lag), scale), 9)).alias("sum"), (-lag).alias("back")))
+    best = both.withColumn("best", F.array_max(each))
+    enough = (F.col("active_first") >= LEAST_ACTIVE_BINS) & (F.col("active_second") >= LEAST_ACTIVE_BINS)
+    lag = F.when(enough, -F.col("best.back")).otherwise(F.lit(0).cast("long"))
+    return best.select(*keys, lag.alias("lag"), (lag * float(size)).alias("offset"), F.when(enough, F.greatest(F.lit(0.0), F.col("best.sum") / bins)).otherwise(0.0).alias("score"), "active_first", "active_second")
 
 
 def probe(messages: DataFrame, series: DataFrame, keys: Sequence[str], start: float, duration: float, search: float, size: float = 1.0) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +11,7 @@ from tidemark.functions.times import MICROS, timestamp_micros
 from tidemark.operators import fusion, rates, sequences
 from tidemark.operators.reasons import extract_reason
 from tidemark.queries.common import EVENTS, events, table
+from tidemark.session import shared_folder
 
 W, B, MULTIPLIER, MIN_RATE = 300 * MICROS, 3600 * MICROS, 3.0, 0.008
 
@@ -117,8 +118,7 @@ def stream_rate_spikes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     source = table(spark, sf_dir, "events")
     stream = spark.readStream.schema(source.schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    place = f"{shared.rstrip('/')}/tidemark-stream-{abs(hash((sf_dir, id(stream))))}"
+    place = f"{shared_folder(spark)}/tidemark-stream-{uuid.uuid4().hex}"
     live.collect_arrived(stream, f"{place}/table", f"{place}/offsets")
     e = spark.read.schema(source.schema).parquet(f"{place}/table").select(F.col("event_id").alias("seq"), timestamp_micros(F.col("ts")).alias("us"), F.lit(0).cast("long").alias("stream_id"))
     return _spikes(e, ["stream_id"])

@@ -3,10 +3,19 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
 from pyspark.sql import SparkSession
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share; a temporary one only for local sessions that name none."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return (found or tempfile.gettempdir()).rstrip("/")
+
+
 def local_session(name: str = "tidemark", cpus: int | None = None, partitions: int = 8) -> SparkSession:
     """A local session for tests and benchmarks; on a cluster, pass a session of your own."""
     n = cpus or os.cpu_count() or 1
