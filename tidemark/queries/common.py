@@ -6,12 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.times import timestamp_micros
+from tidemark.session import make_importable
 
 #: Events as SQL has them.
 EVENTS = "e AS (SELECT event_id AS seq, epoch_us(ts) AS us, user_id, event_type, value FROM events)"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    make_importable(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

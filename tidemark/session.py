@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -16,6 +17,15 @@ def shared_folder(spark: SparkSession) -> str:
     return (found or tempfile.gettempdir()).rstrip("/")
 
 
+def make_importable(spark: SparkSession) -> None:
+    """Let Python workers find this package where the driver found it, whatever their working folder is."""
+    root = str(Path(__file__).resolve().parents[1])
+    env = spark.sparkContext.environment
+    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([root, *paths])
+
+
 def local_session(name: str = "tidemark", cpus: int | None = None, partitions: int = 8) -> SparkSession:
     """A local session for tests and benchmarks; on a cluster, pass a session of your own."""
     n = cpus or os.cpu_count() or 1
