@@ -115,7 +115,8 @@ class PieceModel:
             if self.merge(p) == [p]:
                 self.automaton.add_word(p[::-1], (len(p), i))
         self.automaton.make_automaton()
-        self._joined: set[str] | None = None
+        #: Neighbouring characters of some piece; between any others a text falls apart.
+        self._joined = {p[k : k + 2] for p in self.score for k in range(len(p) - 1)}
         self._pairs: dict[int, bool] = {}
         self._cache: dict[str, bytes] = {}
         raw = {i: bytes([b]) for b, i in self.bytes.items()}
@@ -226,8 +227,6 @@ class PieceModel:
 
     def _windows(self, chunk: str) -> Iterator[list[int]]:
         """A very long chunk, cut where the two characters stand together in no piece, or else merged as one."""
-        if self._joined is None:
-            self._joined = {p[k : k + 2] for p in self.score for k in range(len(p) - 1)}
         joined = self._joined
         start = 0
         for k in range(1, len(chunk)):
@@ -250,16 +249,27 @@ class PieceModel:
         for chunk in self._chunk.findall(text):
             got = cache.get(chunk)
             if got is None:
-                ids = self.encode_chunk(chunk)
-                got = struct.pack(f"<{len(ids)}I", *ids)
-                if len(chunk) <= 48:
-                    if len(cache) >= 1_000_000:
-                        cache.clear()
-                    cache[chunk] = got
+                # A last character that stands in no piece with the one before it (mostly a full stop) comes off.
+                if chunk[-2:] not in self._joined and len(chunk) > 1:
+                    got = self._kept(chunk[:-1]) + self._kept(chunk[-1])
+                else:
+                    got = self._kept(chunk)
             parts.append(got)
         parts.append(struct.pack("<I", self.eos))
         return b"".join(parts)
 
+    def _kept(self, chunk: str) -> bytes:
+        """Ids of a chunk, kept for its next occurrence within a bound."""
+        got = self._cache.get(chunk)
+        if got is None:
+            ids = self.encode_chunk(chunk)
+            got = struct.pack(f"<{len(ids)}I", *ids)
+            if len(chunk) <= 48:
+                if len(self._cache) >= 1_000_000:
+                    self._cache.clear()
+                self._cache[chunk] = got
+        return got
+
     # -- decoding --------------------------------------------------------
 
     def decode_bytes(self, ids: bytes) -> bytes:
