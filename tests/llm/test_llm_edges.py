@@ -6,6 +6,7 @@ import hashlib
 import re
 import zlib
 
+import numpy as np
 import pytest
 
 from tidemark.llm import dedup, jpeg, lines, minhash, packing, secrets, sentencepiece, toxicity, wordpiece
@@ -242,3 +243,11 @@ def test_held_out_labels_are_never_learned(spark):
     labels = spark.createDataFrame([(i, int(i in out or i % 2)) for i in ids], "doc_id long, toxic int")
     machine = toxicity.fit(own, labels, held_out=toxicity.held_out_rows())
     assert not {b for b in toxicity.document_terms("hidden zap").tolist()} & set(machine.buckets.tolist())
+
+
+def test_scores_keep_the_share_when_the_sample_does_not(spark):
+    own = spark.createDataFrame([(i, "the same text for all") for i in range(2000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 10 == 0)) for i in range(2000)], "doc_id long, toxic int")
+    for max_rows in (5000, 300):  # all rows, and 150 of each class
+        machine = toxicity.fit(own, labels, max_rows=max_rows)
+        assert abs(1 / (1 + np.exp(-machine.bias)) - 0.1) < 0.02

@@ -8,7 +8,9 @@ five and six characters, hashed into ``2**BITS`` buckets.  The score is
 so a pair of terms (an insult and the mention of a group) can weigh more than
 both alone.  Weights are fitted by AdaGrad on a bounded, hash-ordered sample of
 the labelled rows (``max_rows``), each class filling at most half of it beyond
-what the other leaves free; scoring reads every document.  Buckets that say
+what the other leaves free; w0 is then moved by the log of the sampling odds, so
+scores follow the share of toxic rows among all labelled rows at every size;
+scoring reads every document.  Buckets that say
 nothing about the label (chi-square below ``LEAST_CHI``) get no weight, so long
 clean documents do not gather noise.
 
@@ -20,7 +22,7 @@ labels of one document count as toxic if any is; null labels are left out.
 from __future__ import annotations
 
 import zlib
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -145,7 +147,9 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 12_000, label_col: s
     found = {v: marks.filter(F.col("label") == v).orderBy(*order).limit(max_rows).collect() for v in (0, 1)}  # 2 * max_rows pairs of integers at most
     most_toxic = max(max_rows // 2, max_rows - len(found[0]))
     sample = found[1][:most_toxic]
-    sample += found[0][: max_rows - len(sample)]
+    taken = {1: len(sample), 0: min(len(found[0]), max_rows - len(sample))}
+    sample += found[0][: taken[0]]
+    there = {r[0]: r[1] for r in marks.groupBy("label").count().collect()}
     if not sample:
         return train([], np.zeros(0), np.zeros(0, np.int32))
     spark = docs.sparkSession
@@ -182,7 +186,14 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 12_000, label_col: s
 
     fitted = map_batches(rows, index, "doc_id long, label int, terms binary").collect()  # max_rows rows of MOST_TERMS numbers at most
     fitted.sort(key=lambda r: (r[0], r[1], bytes(r[2])))
-    return train([np.frombuffer(r[2], np.int32).astype(np.int64) for r in fitted], np.array([r[1] for r in fitted], float), buckets)
+    machine = train([np.frombuffer(r[2], np.int32).astype(np.int64) for r in fitted], np.array([r[1] for r in fitted], float), buckets)
+    # Both classes have rows here; which part of each was taken shows in the bias only.
+    return replace(machine, bias=machine.bias - sampling_log_odds(taken, there))
+
+
+def sampling_log_odds(taken: dict[int, int], there: dict[int, int]) -> float:
+    """Log of how many times likelier a toxic row was taken into the sample than a clean one."""
+    return float(np.log(taken[1] / there[1]) - np.log(taken[0] / there[0]))
 
 
 def score(machine: Machine, docs: DataFrame, text: Column) -> Column:
