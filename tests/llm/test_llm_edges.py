@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 import zlib
 
@@ -251,3 +252,21 @@ def test_scores_keep_the_share_when_the_sample_does_not(spark):
     for max_rows in (5000, 300):  # all rows, and 150 of each class
         machine = toxicity.fit(own, labels, max_rows=max_rows)
         assert abs(1 / (1 + np.exp(-machine.bias)) - 0.1) < 0.02
+
+
+@pytest.fixture(scope="module")
+def scanner():
+    with open(tokenizer("byte_bpe_50k.tiktoken"), "rb") as f:
+        return secrets.Scanner(f.read(), pre_token_pattern())
+
+
+def test_the_ratio_judges_all_but_numbers(scanner):
+    rng = random.Random(3)
+    keys = ["".join(rng.choices("0123456789abcdef", k=24)) for _ in range(300)]
+    heavy = [k for k in keys if sum(c.isdigit() for c in k) >= 17]
+    assert len(heavy) > 50
+    for k in keys:
+        assert scanner.is_random(k) == (len(k) < secrets.LEAST_RATIO * len(scanner.encoding.encode_ordinary(k)))
+    assert sum(map(scanner.is_random, heavy)) > len(heavy) / 2
+    assert scanner.spans("key qZxLwVbNnKpRtYcGhJdSfMm end") == [(4, 27, "random")]
+    assert not any(map(scanner.is_random, ("2024-01-05-10-22-33-0001", "978-3-16-148410-0/2/11", "00491512345678901234567", "TheQuickBrownFoxJumpsOver")))

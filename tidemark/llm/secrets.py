@@ -5,9 +5,10 @@ runs of hexadecimal digits.  The method adds candidates (long runs of the
 characters that keys are made of) whose characters per token under a byte-level
 BPE vocabulary are few: a vocabulary that covers prose needs many tokens for
 random strings.  Known digests (runs of hexadecimal digits of the usual
-lengths), UUIDs, numbers and strings without digits or of one class of
-characters are left out first, and so is what a base span covers; identifiers
-made of words pass the test itself, as the vocabulary has their words.
+lengths), UUIDs and strings of one class of characters (numbers with any
+separators among them) are left out first, and so is what a base span covers;
+identifiers made of words pass the test itself, as the vocabulary has their
+words.
 
 Defined results: null and empty texts have no spans.  Offsets are code points,
 the end exclusive.
@@ -37,8 +38,6 @@ CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}")
 #: Lengths of MD5, SHA-1, SHA-224, SHA-256, SHA-384 and SHA-512 in hexadecimal digits.
 DIGESTS = (32, 40, 56, 64, 96, 128)
 UUID = re.compile(r"[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}")
-#: Strings with this share of digits are numbers: dates, catalogue and account numbers.
-NUMBER_SHARE = 0.7
 #: A string with fewer characters for each token counts as random.
 LEAST_RATIO = 1.9
 _MIXED = (string.ascii_lowercase, string.ascii_uppercase, string.digits)
@@ -55,8 +54,7 @@ class Scanner:
         """Few characters per token, and neither a known digest nor an identifier."""
         if len(text) in DIGESTS and re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", text) or UUID.fullmatch(text):
             return False
-        digits, signs = sum(c in string.digits for c in text), sum(c.isalnum() for c in text)
-        if not digits or digits >= NUMBER_SHARE * signs or sum(any(c in own for c in text) for own in _MIXED) < 2:
+        if sum(any(c in own for c in text) for own in _MIXED) < 2:
             return False
         return len(text) < LEAST_RATIO * len(self.encoding.encode_ordinary(text))
 
