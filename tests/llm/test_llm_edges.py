@@ -270,3 +270,18 @@ def test_the_ratio_judges_all_but_numbers(scanner):
     assert sum(map(scanner.is_random, heavy)) > len(heavy) / 2
     assert scanner.spans("key qZxLwVbNnKpRtYcGhJdSfMm end") == [(4, 27, "random")]
     assert not any(map(scanner.is_random, ("2024-01-05-10-22-33-0001", "978-3-16-148410-0/2/11", "00491512345678901234567", "TheQuickBrownFoxJumpsOver")))
+
+
+def test_words_and_base_spans_hide_no_keys(scanner):
+    rng = random.Random(5)
+    signs = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    for before in ("production-service-account-key-", "https-config/database/credentials/", "projects/internal/config/secretstore/"):
+        for _ in range(100):
+            key = "".join(rng.choices(signs, k=32))
+            spans = scanner.spans(f"x {before}{key} y")
+            assert any(s <= 2 + len(before) and e >= 2 + len(before) + 32 for s, e, _ in spans)
+    key = "".join(rng.choices(signs, k=24)) + "Z" + "0123456789abcdef" * 2 + "Z" + "".join(rng.choices(signs, k=5))
+    spans = scanner.spans(key)
+    assert spans == [(0, 25, "random"), (25, 57, "hex"), (57, 63, "random")]
+    assert scanner.spans("projects/internal/config/store/production-service-account") == []
+    assert scanner.spans("https-config/users/550e8400-e29b-41d4-a716-446655440000/profile/settings") == []

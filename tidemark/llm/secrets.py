@@ -8,7 +8,9 @@ random strings.  Known digests (runs of hexadecimal digits of the usual
 lengths), UUIDs and strings of one class of characters (numbers with any
 separators among them) are left out first, and so is what a base span covers;
 identifiers made of words pass the test itself, as the vocabulary has their
-words.
+words.  Where a whole run is not random, or a base span covers some of it, its parts
+between separators are tested: neighbours that are no words are taken together,
+as keys may hold separators, and then each part alone.
 
 Defined results: null and empty texts have no spans.  Offsets are code points,
 the end exclusive.
@@ -34,15 +36,39 @@ HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{32,}")
 KINDS = ("assign", "access", "hex", "random")
 LEAST_ASSIGN, LEAST_ACCESS = 8, 16
 
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}")
+LEAST_RUN = 20
+CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{%d,}" % LEAST_RUN)
 #: Lengths of MD5, SHA-1, SHA-224, SHA-256, SHA-384 and SHA-512 in hexadecimal digits.
 DIGESTS = (32, 40, 56, 64, 96, 128)
 UUID = re.compile(r"[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}")
+#: The parts of a run; a UUID is one of them.
+PART = re.compile(r"(?<![A-Za-z0-9])" + UUID.pattern + r"(?![A-Za-z0-9])|[A-Za-z0-9]+")
 #: A string with fewer characters for each token counts as random.
 LEAST_RATIO = 1.9
 _MIXED = (string.ascii_lowercase, string.ascii_uppercase, string.digits)
 
 
+#: From this length a part of many characters per token is a word, and ends what may be one key.
+LEAST_WORD = 4
+
+
+def is_known(text: str) -> bool:
+    """A digest of a usual length, or a UUID."""
+    return bool(len(text) in DIGESTS and re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", text) or UUID.fullmatch(text))
+
+
+def uncovered(part: tuple[int, int], covered: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """What sorted ``covered`` spans leave of a part."""
+    out, at = [], part[0]
+    for s, e in covered:
+        if s >= part[1]:
+            break
+        if s > at:
+            out.append((at, s))
+        at = max(at, e)
+    return [*out, (at, part[1])] if at < part[1] else out
+
+
 class Scanner:
     def __init__(self, ranks: bytes, pattern: str):
         import tiktoken
@@ -50,13 +76,43 @@ class Scanner:
         table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines())}
         self.encoding = tiktoken.Encoding("secrets", pat_str=pattern, mergeable_ranks=table, special_tokens={})
 
+    def is_dense(self, text: str) -> bool:
+        """Few characters per token, as in random strings."""
+        return len(text) < LEAST_RATIO * len(self.encoding.encode_ordinary(text))
+
     def is_random(self, text: str) -> bool:
         """Few characters per token, and neither a known digest nor an identifier."""
-        if len(text) in DIGESTS and re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", text) or UUID.fullmatch(text):
-            return False
-        if sum(any(c in own for c in text) for own in _MIXED) < 2:
+        if is_known(text) or sum(any(c in own for c in text) for own in _MIXED) < 2:
             return False
-        return len(text) < LEAST_RATIO * len(self.encoding.encode_ordinary(text))
+        return self.is_dense(text)
+
+    def random_parts(self, run: str, covered: list[tuple[int, int]]) -> list[tuple[int, int]]:
+        """What of a run is random, but for what is covered."""
+        if not covered and self.is_random(run):
+            return [(0, len(run))]
+        groups: list[list[tuple[int, int]]] = [[]]
+        for m in PART.finditer(run):
+            a, b = m.span()
+            if is_known(m.group()) or any(s <= a and b <= e for s, e in covered) or b - a >= LEAST_WORD and not self.is_dense(m.group()):
+                groups.append([])
+            else:
+                groups[-1].append((a, b))
+        out: list[tuple[int, int]] = []
+        for group in groups:
+            # Words too short to end a group ("key", "in") may stand inside a key, but do not begin or end one.
+            while group and not self.is_dense(run[slice(*group[0])]):
+                group = group[1:]
+            while group and not self.is_dense(run[slice(*group[-1])]):
+                group = group[:-1]
+            if not group:
+                continue
+            whole = (group[0][0], group[-1][1])
+            found = [whole] if self._is_key(run, whole) else [p for p in group if self._is_key(run, p)]
+            out += [piece for p in found for piece in uncovered(p, covered)]
+        return out
+
+    def _is_key(self, run: str, part: tuple[int, int]) -> bool:
+        return part[1] - part[0] >= LEAST_RUN and self.is_random(run[slice(*part)])
 
     def spans(self, text: str) -> list[tuple[int, int, str]]:
         """(start, end, kind) by start, then kind as listed."""
@@ -70,8 +126,8 @@ class Scanner:
         base = sorted(out)
         for m in CANDIDATE.finditer(text):
             a, b = m.span()
-            if not any(s < b and a < e for s, e, _ in base) and self.is_random(m.group()):
-                out.append((a, b, 3))
+            covered = [(max(s, a) - a, min(e, b) - a) for s, e, _ in base if s < b and a < e]
+            out += [(a + s, a + e, 3) for s, e in self.random_parts(m.group(), covered)]
         return [(s, e, KINDS[k]) for s, e, k in sorted(out, key=lambda x: (x[0], x[2]))]
 
 
