@@ -198,3 +198,35 @@ def test_plain_replies(spark):
     links = got.groupBy("conv_id", "turn", "link").agg(F.count("*").alias("n"), F.max("invalid").alias("bad")).orderBy("conv_id", "turn").collect()
     assert [tuple(r) for r in links] == [(1, 0, "linked", 1, None), (1, 1, "linked", 2, None), (1, 2, "unanswered", 1, "text is too short"), (2, 3, "orphan", 1, None)]
     assert chat.link_calls(chat.reply_events(m.limit(0)), REPLY_SCHEMA).count() == 0
+
+
+def _call(name: str, needs: list[str]) -> str:
+    return '{"tool_call":{"id":"%s","name":"get","arguments":{},"needs":[%s]}}' % (name, ",".join(f'"{n}"' for n in needs))
+
+
+def test_a_chain_of_calls_of_any_length_is_no_cycle(spark):
+    n = 300
+    rows = [(1, n - k, "assistant", _call(f"c{k}", [f"c{k - 1}"] if k else [])) for k in range(n)]
+    rows += [(2, 0, "assistant", _call("p", ["q"])), (2, 1, "assistant", _call("q", ["p"])), (2, 2, "assistant", _call("behind", ["q", "free"])), (2, 3, "assistant", _call("free", []))]
+    m = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {(r.conv_id, r.event_id): r for r in chat.link_calls(chat.embedded_events(m), {"get": {}}).collect()}
+    assert all((r.order_turn, r.order_level, r.cyclic) == (n, k, False) for k in range(n) for r in [got[1, f"c{k}"]])
+    assert {e for (c, e), r in got.items() if r.cyclic} == {"p", "q", "behind"}
+
+
+def test_places_of_calls_equal_a_plain_walk(spark):
+    rng = random.Random(11)
+    rows, turns, answers, needs = [], {}, {}, {}
+    for k in range(60):
+        turns[k], needs[k] = rng.randrange(100), sorted(rng.sample(range(k), min(k, rng.choice((0, 1, 1, 1, 2, 3)))))
+        rows.append((1, turns[k], "assistant", _call(f"c{k}", [f"c{x}" for x in needs[k]])))
+        if rng.random() < 0.5:
+            answers[k] = rng.randrange(100)
+            rows.append((1, answers[k], "tool", '{"tool_result":{"id":"c%d"}}' % k))
+    want = {}
+    for k in range(60):
+        after = max(((a, v) if (r := answers.get(x)) is None else (r, 0) if r > a else (a, v + 1) for x in needs[k] for a, v in [want[x]]), default=(-1, 0))
+        want[k] = (after[0], after[1] + 1) if after[0] >= turns[k] else (turns[k], 0)
+    m = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = chat.link_calls(chat.embedded_events(m), {"get": {}}).filter("kind = 'call'").collect()
+    assert {r.event_id: (r.order_turn, r.order_level, r.cyclic) for r in got} == {f"c{k}": (*want[k], False) for k in range(60)}

@@ -11,7 +11,8 @@ reduced to one row per identifier first, so repeated identifiers never multiply.
 Topological order is by sort key, not by a rank over a conversation: a result
 comes no earlier than its call, a call no earlier than the calls it needs.  Keys
 are (anchor turn, level, turn); the anchor is the largest turn met on the way to
-a message and the level its distance there, found by rounds of joins.  So a
+a message and the level its distance there, found by rounds of joins, as many as
+it takes (a chain of n calls takes about log2 n).  So a
 conversation may hold any share of all rows.  A message on a cycle, or behind
 one, keeps its own turn and is marked.
 
@@ -119,7 +120,7 @@ def reply_events(messages: DataFrame) -> DataFrame:
     )
 
 
-def link_calls(events: DataFrame, schemas: dict[str, dict], most_rounds: int = 64) -> DataFrame:
+def link_calls(events: DataFrame, schemas: dict[str, dict]) -> DataFrame:
     """Messages (conv_id, turn, role, text and the event columns) linked, ordered and validated.
 
     Returns conv_id, turn, role, text, kind (call, result, message), event_id,
@@ -136,7 +137,7 @@ def link_calls(events: DataFrame, schemas: dict[str, dict], most_rounds: int = 6
         F.min_by(F.when(F.col("kind") == "call", F.col("needs")), F.when(F.col("kind") == "call", least)).alias("call_needs"),
     )
     order = sides.select("conv_id", "event_id", "call", "result", F.coalesce("call_needs", F.array().cast("array<string>")).alias("call_needs"), F.col("call.turn").alias("anchor"), F.lit(0).alias("level"), F.lit(False).alias("cyclic"))
-    order = _order_calls(order, most_rounds)
+    order = _order_calls(order)
     order = order.select(F.col("conv_id").alias("of_conv"), F.col("event_id").alias("of_event"), "call", "result", "anchor", "level", "cyclic")
     out = rows.join(order, F.col("conv_id").eqNullSafe(F.col("of_conv")) & (F.col("event_id") == F.col("of_event")), "left").drop("of_conv", "of_event")
     own = F.struct("turn", F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha"))
@@ -169,34 +170,60 @@ def link_calls(events: DataFrame, schemas: dict[str, dict], most_rounds: int = 6
     return out.select(conv, "turn", "role", "text", "kind", "event_id", "link", "invalid", "order_turn", "order_level", "cyclic", json.alias("json"))
 
 
-def _order_calls(order: DataFrame, most_rounds: int) -> DataFrame:
-    """Anchors and levels of calls that need others, by rounds; those that never settle are on or behind a cycle."""
+#: Above any level, and small enough to add two of them; only calls on or behind a cycle get there.
+_TOP = 1 << 40
+
+
+def _order_calls(order: DataFrame) -> DataFrame:
+    """Anchors and levels of calls that need others; those that never settle are on or behind a cycle.
+
+    The place of a call is the largest of its own (turn, 0), (turn, 1) of the results it awaits, and the places of the
+    calls it needs with the level raised, so places are longest paths.  Each round puts in, for every needed call, what
+    is known of it: a settled one is replaced by its place, one with a single need by that need.  Chains thus halve in
+    each round, needs never grow in number, and a round settles a call as long as any is left that is not behind a cycle.
+    """
     waiting = order.filter(F.size("call_needs") > 0)
     if not waiting.limit(1).count():
         return order
     scratch = Scratch(order.sparkSession, "chat")
     order = scratch.save(order)
-    edges = order.select("conv_id", "event_id", F.explode(F.array_distinct("call_needs")).alias("need"))
-    known = order.select(F.col("conv_id").alias("c"), F.col("event_id").alias("e")).filter(F.col("call").isNotNull())
-    edges = scratch.save(edges.join(known, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("need") == F.col("e"))).select("conv_id", "event_id", "need"))
-    state = scratch.save(order.withColumn("settled", F.lit(False)))
-    for _ in range(most_rounds):
-        # What a call waits for is the result of the other, where there is one.
-        answered = F.col("result.turn")
-        place = F.greatest(F.col("anchor"), F.coalesce(answered, F.col("anchor")))
-        depth = F.when(answered.isNull(), F.col("level")).when(answered > F.col("anchor"), 0).otherwise(F.col("level") + 1)
-        done = state.select(F.col("conv_id").alias("c"), F.col("event_id").alias("e"), place.alias("na"), depth.alias("nl"), F.col("settled").alias("ns"))
-        need = edges.join(done, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("need") == F.col("e"))).groupBy("conv_id", "event_id").agg(F.max(F.struct("na", "nl")).alias("after"), F.min("ns").alias("ready"))
-        need = need.select(F.col("conv_id").alias("c"), F.col("event_id").alias("e"), "after", "ready")
-        joined = state.join(need, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("event_id") == F.col("e")), "left")
-        may = ~F.col("settled") & F.coalesce("ready", F.lit(True))
-        push = F.col("after.na") >= F.coalesce(F.col("call.turn"), F.col("after.na"))
-        after = joined.select("conv_id", "event_id", "call", "result", "call_needs", F.when(may & push, F.col("after.na")).otherwise(F.col("anchor")).alias("anchor"), F.when(may & push, F.col("after.nl") + 1).otherwise(F.col("level")).alias("level"), "cyclic", (F.col("settled") | may).alias("settled"), may.alias("changed"))
-        after = scratch.save(after)
-        changed = after.filter("changed").limit(1).count()
+    is_of = lambda event: F.col("conv_id").eqNullSafe(F.col("c")) & (F.col(event) == F.col("e"))
+    raised = lambda at, by: F.struct(at["turn"].alias("turn"), F.least(at["level"] + by, F.lit(_TOP)).alias("level"))
+    calls = order.filter(F.col("call").isNotNull())
+    known = calls.select(F.col("conv_id").alias("c"), F.col("event_id").alias("e"), F.col("result.turn").alias("answered"))
+    edges = order.select("conv_id", "event_id", F.explode(F.array_distinct("call_needs")).alias("need")).join(known, is_of("need"))
+    # A need is a way to a call and its length; ``least`` is what the way is worth at least.
+    is_answered = F.col("answered").isNotNull()
+    edges = scratch.save(edges.select("conv_id", "event_id", "need", F.when(is_answered, 2).otherwise(1).cast("long").alias("far"), F.when(is_answered, F.struct(F.col("answered").alias("turn"), F.lit(1).cast("long").alias("level"))).alias("least")))
+    start = calls.select("conv_id", "event_id", F.struct(F.col("call.turn").alias("turn"), F.lit(0).cast("long").alias("level")).alias("place"))
+
+    def gathered(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+        own = edges.groupBy(F.col("conv_id").alias("c"), F.col("event_id").alias("e")).agg(F.max("least").alias("least"), F.count("need").alias("n"), F.max("need").alias("via"), F.max(F.when(F.col("need").isNotNull(), F.col("far"))).alias("via_far"))
+        return scratch.save(nodes.join(own, is_of("event_id"), "left").select("conv_id", "event_id", F.greatest("place", "least").alias("place"), F.coalesce("n", F.lit(0)).alias("open"), "via", "via_far"))
+
+    state = gathered(start, edges)
+    left = state.filter("open > 0").count()
+    while left:
+        needed = state.select(F.col("conv_id").alias("c"), F.col("event_id").alias("e"), "place", "open", "via", "via_far")
+        step = edges.join(needed, is_of("need")).select(
+            "conv_id",
+            "event_id",
+            F.when(F.col("open") == 1, F.col("via")).when(F.col("open") > 1, F.col("need")).alias("need"),
+            F.when(F.col("open") == 1, F.least(F.col("far") + F.col("via_far"), F.lit(_TOP))).otherwise(F.col("far")).alias("far"),
+            F.when(F.col("open") <= 1, raised(F.col("place"), F.col("far"))).alias("least"),
+        )
+        after_edges = scratch.save(step.groupBy("conv_id", "event_id", "need").agg(F.max("far").alias("far"), F.max("least").alias("least")))
+        after = gathered(state.select("conv_id", "event_id", "place"), after_edges)
+        scratch.drop(edges)
         scratch.drop(state)
-        state = after.drop("changed")
-        state._tidemark_path = after._tidemark_path
-        if not changed:
+        edges, state = after_edges.filter(F.col("need").isNotNull()), after
+        edges._tidemark_path = after_edges._tidemark_path
+        before, left = left, state.filter("open > 0").count()
+        if left == before:
             break
-    return state.withColumn("cyclic", ~F.col("settled")).drop("settled")
+    found = state.select(F.col("conv_id").alias("c"), F.col("event_id").alias("e"), "place", "open")
+    is_cyclic = F.coalesce(F.col("open") > 0, F.lit(False))
+    is_placed = F.col("place").isNotNull() & ~is_cyclic
+    return order.join(found, is_of("event_id"), "left").select(
+        "conv_id", "event_id", "call", "result", "call_needs", F.when(is_placed, F.col("place.turn")).otherwise(F.col("anchor")).alias("anchor"), F.when(is_placed, F.col("place.level")).otherwise(F.col("level").cast("long")).alias("level"), is_cyclic.alias("cyclic")
+    )
