@@ -230,3 +230,14 @@ def test_places_of_calls_equal_a_plain_walk(spark):
     m = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
     got = chat.link_calls(chat.embedded_events(m), {"get": {}}).filter("kind = 'call'").collect()
     assert {r.event_id: (r.order_turn, r.order_level, r.cyclic) for r in got} == {f"c{k}": (*want[k], False) for k in range(60)}
+
+
+def test_plain_replies_run_the_ordering(spark, monkeypatch):
+    rows = [(c, t, "assistant" if t % 2 else "user", f"text {t}") for c in (1, 2) for t in range(40)] + [(3, 0, "user", "a"), (3, 0, "user", "b"), (3, 2, "user", "c"), (None, None, "user", None)]
+    m = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    assert {r.turn: r.needs for r in chat.reply_events(m.filter("conv_id = 1")).collect() if r.call_id}[4] == ["3"]
+    gathered = []
+    monkeypatch.setattr(chat.Scratch, "save", lambda self, df, _save=chat.Scratch.save: gathered.append(1) or _save(self, df))
+    got = chat.link_calls(chat.reply_events(m), REPLY_SCHEMA).collect()
+    assert len(got) == len(rows) and len(gathered) > 3
+    assert all((r.order_turn, r.order_level, r.cyclic) == (r.turn, 0, False) for r in got)

@@ -107,7 +107,10 @@ def embedded_events(messages: DataFrame) -> DataFrame:
 
 
 def reply_events(messages: DataFrame) -> DataFrame:
-    """Plain dialogues as calls: a user turn calls ``reply``, awaited at the next turn; an assistant turn is the result awaited there."""
+    """Plain dialogues as calls: a user turn calls ``reply``, awaited at the next turn; an assistant turn is the result awaited there.
+
+    Each call needs the call of the user turn before its reply, two turns up, where there is one.
+    """
     at = F.col("turn").cast("string")
     is_user, is_reply = F.col("role") == "user", F.col("role") == "assistant"
     return messages.select(
@@ -115,7 +118,7 @@ def reply_events(messages: DataFrame) -> DataFrame:
         F.when(is_user, (F.col("turn") + 1).cast("string")).alias("call_id"),
         F.when(is_user, F.lit("reply")).alias("tool"),
         F.when(is_user, canonical({"text": quoted(F.col("text"))})).alias("arguments"),
-        F.array().cast("array<string>").alias("needs"),
+        F.when(is_user & F.col("turn").isNotNull(), F.array((F.col("turn") - 1).cast("string"))).otherwise(F.array().cast("array<string>")).alias("needs"),
         F.when(is_reply, at).alias("result_id"),
     )
 
