@@ -149,7 +149,7 @@ def test_registers_estimate_similarity():
                 common = rng.permutation(a)[:both]
                 b = np.sort(np.concatenate([common, np.setdiff1d(x, a)[: n - both]]))
                 j = len(np.intersect1d(a, b)) / len(np.union1d(a, b))
-                diffs.append(shingles.estimate((shingles.registers(a) == shingles.registers(b)).mean(), len(a), len(b)) - j)
+                diffs.append(shingles.estimates(np.array([(shingles.registers(a) == shingles.registers(b)).mean()]), np.array([len(a)]), np.array([len(b)]))[0] - j)
             assert abs(np.mean(diffs)) < 0.04
 
 

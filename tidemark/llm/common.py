@@ -49,6 +49,7 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{shared_dir(spark)}/tidemark/{name}-{uuid.uuid4().hex}"
         self.made = 0
+        self.saved: list[str] = []
 
     def save(self, df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
         """Write ``df`` and return the written table."""
@@ -58,16 +59,25 @@ class Scratch:
         if partition_by:
             writer = writer.partitionBy(*partition_by)
         writer.parquet(path)
+        self.saved.append(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._tidemark_path = path
         return out
 
     def drop(self, df: DataFrame) -> None:
-        path = getattr(df, "_tidemark_path", None)
-        if path:
-            jvm = self.spark._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+        if path := getattr(df, "_tidemark_path", None):
+            self._delete(path)
+
+    def keep_only(self, *read: DataFrame) -> None:
+        """Drop every table but those that the result still reads."""
+        still = {getattr(df, "_tidemark_path", None) for df in read}
+        for path in [p for p in self.saved if p not in still]:
+            self._delete(path)
+
+    def _delete(self, path: str) -> None:
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+        self.saved = [p for p in self.saved if p != path]
 
 
 def map_batches(df: DataFrame, per_batch: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
@@ -88,6 +98,15 @@ def texts_of(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     return df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
 
 
+def private(df: DataFrame, stem: str) -> str:
+    """A column name that ``df`` does not have, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    name = f"_{stem}"
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def file_bytes(path: str, most: int = 64 << 20) -> bytes:
     """A vocabulary file, read on the driver to be sent along; refused beyond ``most`` bytes."""
     size = os.path.getsize(path)

@@ -2,32 +2,37 @@
 
 1.  Each text becomes the set of its word shingles and 128 registers of 16 bits
     (leading zeros and mantissa of each bucket's minimum).  Equal sets collapse
-    to the document with the smallest id; only these representatives go on.
-2.  32 bands of four registers give keys; keys with two or more representatives
-    are buckets.  Two sets with similarity 0.8 miss each other in all bands
-    once in 20 million.
-3.  Round 1 sets each member against the smallest member of its bucket: as many
-    pairs as members.  Pairs whose corrected estimate is below ``LEAST_ESTIMATE``
-    are left out (five standard errors and more below the threshold; sets of
+    to one row, the node; only nodes go on.
+2.  32 bands of four registers give keys; keys with two or more nodes are
+    buckets.  Two sets with similarity 0.8 miss each other in all bands once in
+    20 million.
+3.  Round 1 sets each member against one member of its bucket: as many pairs as
+    members.  Pairs whose corrected estimate is below the threshold by
+    ``LEAST_ESTIMATE_GAP`` are left out (five standard errors and more; sets of
     fewer than 64 shingles are never left out), the others are verified on the
     full sets.  Verified links give components.
-4.  Round 2 looks into buckets that still hold several components.  Only
-    members outside the bucket's largest component are set against the rest,
-    and only where the sizes allow a link: shingles that no other candidate
-    holds cannot be shared, so of a set of ``n`` shingles with ``c`` common
-    ones no partner may have more than ``(1 + t) / t * c - n``.  Common shingles
-    also set bits of a small bitmap, and each bit that one side has and the
-    other lacks is a shingle they do not share.  Both sides must allow each
-    other.  These bounds are exact; no link is lost to them.  After
-    this round every pair in a bucket is in one component, excluded by a bound
-    or an estimate, or verified.
-
-No bucket is ever gathered in one task: buckets are counted with partial
-aggregation and joined by their key, and joins split skewed keys.
+4.  Round 2 does the same in buckets that still hold several components, now
+    with the most typical member: the one with the largest share of shingles
+    that others hold too.  What was made from a common text mostly links there.
+5.  Round 3 settles the rest exactly.  Shingles are put in one order, rarest
+    first; two sets of similarity t share a shingle among the first
+    ``n - ceil(t n) + 1`` of either.  Members outside their bucket's largest
+    component are joined to the others by these shingles, and only pairs that
+    sizes and places in the order allow come out.  Shingles of one set only make
+    no pair, so a set with many of its own meets nobody.  A pair must share a
+    band and pass its estimate, as before, to be verified.
+
+Steps 4 and 5 look at no pair within a component.  No bucket is gathered in one
+task: buckets are counted with partial aggregation and joined by their key, and
+joins of written tables split skewed keys.
 
 Defined results: null texts and texts without words have the empty set and link
 with nothing; fewer words than a shingle's are one shingle; repeated rows fall
-into one component; rows without doc_id are kept and stand alone.
+into one component; rows of one doc_id with several texts are one document,
+which the links of each of them join (its rows without words still stand
+alone); rows without doc_id are kept and stand alone; very long texts count
+whole; columns other than id and text are ignored, whatever their names; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -39,12 +44,12 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import Scratch, kept, map_batches, small_batches, texts_of
 from tidemark.llm.components import components
-from tidemark.llm.shingles import REGISTERS, Words, band_keys, digest, estimate, registers, shingle_set
+from tidemark.llm.shingles import REGISTERS, ROWS, Words, band_keys, digest, estimates, registers, shingle_set
 
 LEAST_ESTIMATE_GAP = 0.2  #: an estimate this far below the threshold rules a pair out
 SMALL_SET = 64  #: sets with fewer shingles are verified whatever the estimate
+#: Ids to look up are broadcast up to this many (8 bytes each); beyond it they are joined by a shuffle.
 MOST_BROADCAST = 1 << 20
-BITMAP = 1024  #: bits that common shingles set, for an exact bound on what two sets share
 
 
 def _words() -> Words:
@@ -66,56 +71,49 @@ def sketches(docs: DataFrame, width: int) -> DataFrame:
     return map_batches(docs, per_batch, "doc_id long, n long, digest binary, registers binary")
 
 
-def bands(reps: DataFrame) -> DataFrame:
-    """(key, doc) for each band of each representative (doc, registers)."""
+def bands(nodes: DataFrame) -> DataFrame:
+    """(key, node) for each band of each node (node, registers)."""
 
     def per_batch(batch: pa.RecordBatch) -> pa.RecordBatch:
         regs = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint16).reshape(-1, REGISTERS)
         keys = band_keys(regs)
-        return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64).reshape(-1)), pa.array(np.repeat(batch.column(0).to_numpy(), keys.shape[1]))], names=["key", "doc"])
+        return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64).reshape(-1)), pa.array(np.repeat(batch.column(0).to_numpy(), keys.shape[1]))], names=["key", "node"])
 
-    return map_batches(reps.select("doc", "registers"), per_batch, "key long, doc long")
+    return map_batches(nodes.select("node", "registers"), per_batch, "key long, node long")
 
 
-def near_components(docs: DataFrame, width: int = 5, threshold: tuple[int, int] = (4, 5), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: doc_id, n_shingles, component_id (smallest doc_id reachable by links), kept.
-
-    ``threshold`` is the least similarity of a link as a fraction of integers.
-    """
-    top, bottom = threshold
-    spark = docs.sparkSession
-    small_batches(spark)
-    scratch = Scratch(spark, "minhash")
-    texts = texts_of(docs, id_col, text_col)
-    rows = scratch.save(sketches(texts, width))
-    real = rows.filter((F.col("n") > 0) & F.col("doc_id").isNotNull())
-    # Written first: a join of two plain shuffles can split a digest that many rows share.
-    classes = scratch.save(real.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("size")).filter("size > 1").select("digest", "rep"))
-    reps = scratch.save(real.join(classes, "digest", "left").filter(F.col("rep").isNull() | (F.col("rep") == F.col("doc_id"))).select(F.col("doc_id").alias("doc"), "n", "registers").dropDuplicates(["doc"]))
-
-    keyed = bands(reps)
-    buckets = keyed.groupBy("key").agg(F.count("*").alias("size"), F.min("doc").alias("center")).filter(F.col("size") > 1)
-    members = scratch.save(keyed.join(buckets.select("key", "center"), "key"))
-    candidates = members.select("doc").distinct()
+def full_sets(texts: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
+    """(node, shingles) of the nodes (node, doc_id, digest), their shingles taken from the texts again."""
 
     def sets(batch: pa.RecordBatch) -> pa.RecordBatch:
         words = _words()
-        own = [shingle_set(x, width, words).view(np.int64) for x in batch.column(1).to_pylist()]
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.list_(pa.int64()))], names=["doc", "shingles"])
+        own = [shingle_set(x, width, words) for x in batch.column(1).to_pylist()]
+        return pa.RecordBatch.from_arrays(
+            [batch.column(0), pa.array([digest(s) for s in own], pa.binary()), pa.array([s.view(np.int64) for s in own], pa.list_(pa.int64()))], names=["doc_id", "digest", "shingles"]
+        )
 
-    few = candidates.count() <= MOST_BROADCAST
-    chosen = texts.join(F.broadcast(candidates) if few else candidates, F.col("doc_id") == F.col("doc"), "left_semi")
-    full = scratch.save(map_batches(chosen, sets, "doc long, shingles array<long>").dropDuplicates(["doc"]))
+    few = nodes.count() <= MOST_BROADCAST
+    side = F.broadcast if few else lambda x: x
+    chosen = texts.join(side(nodes.select("doc_id").distinct()), "doc_id", "left_semi").select("doc_id", "text")
+    # Rows repeated as a whole have one node and one set.
+    return map_batches(chosen, sets, "doc_id long, digest binary, shingles array<long>").join(side(nodes), ["doc_id", "digest"]).select("node", "shingles").dropDuplicates(["node"])
+
+
+def verified(pairs: DataFrame, nodes: DataFrame, full: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+    """Links (a, b: structs of doc_id and node) among distinct pairs (a, b) of nodes, by estimate and then by full sets."""
+    top, bottom = threshold
     least = top / bottom - LEAST_ESTIMATE_GAP
+    schema = "da long, a long, db long, b long"
+    names = ["da", "a", "db", "b"]
 
     def likely(batch: pa.RecordBatch) -> pa.RecordBatch:
         a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint16).reshape(-1, REGISTERS) for k in ("ra", "rb"))
         na, nb = batch.column("na").to_numpy(), batch.column("nb").to_numpy()
-        agree = (a == b).mean(axis=1)
-        guess = np.array([estimate(x, n, m) for x, n, m in zip(agree, na, nb, strict=True)])
+        same = a == b
+        meet = same.reshape(len(same), -1, ROWS).all(axis=2).any(axis=1)
         fits = np.minimum(na, nb) * bottom >= np.maximum(na, nb) * top
-        keep = np.flatnonzero(fits & ((guess >= least) | (np.minimum(na, nb) < SMALL_SET)))
-        return pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).take(pa.array(keep))
+        keep = np.flatnonzero(meet & fits & ((estimates(same.mean(axis=1), na, nb) >= least) | (np.minimum(na, nb) < SMALL_SET)))
+        return pa.RecordBatch.from_arrays([batch.column(k) for k in names], names=names).take(pa.array(keep))
 
     def verify(batch: pa.RecordBatch) -> pa.RecordBatch:
         keep = []
@@ -124,65 +122,112 @@ def near_components(docs: DataFrame, width: int = 5, threshold: tuple[int, int]
             both = len(np.intersect1d(x, y, assume_unique=True))
             if bottom * both >= top * (len(x) + len(y) - both):
                 keep.append(k)
-        return pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).take(pa.array(keep, pa.int64()))
+        return pa.RecordBatch.from_arrays([batch.column(k) for k in names], names=names).take(pa.array(keep, pa.int64()))
 
-    def links_of(pairs: DataFrame) -> DataFrame:
-        """Verified links of distinct pairs (a, b)."""
-        regs = [reps.select(F.col("doc").alias(k), F.col("n").alias(f"n{k}"), F.col("registers").alias(f"r{k}")) for k in "ab"]
-        some = map_batches(pairs.join(regs[0], "a").join(regs[1], "b"), likely, "a long, b long")
-        whole = [full.select(F.col("doc").alias(k), F.col("shingles").alias(f"s{k}")) for k in "ab"]
-        return scratch.save(map_batches(some.join(whole[1], "b").join(whole[0], "a").select("a", "b", "sa", "sb"), verify, "a long, b long"))
+    known = [nodes.select(F.col("node").alias(k), F.col("doc_id").alias(f"d{k}"), F.col("n").alias(f"n{k}"), F.col("registers").alias(f"r{k}")) for k in "ab"]
+    some = map_batches(pairs.join(known[0], "a").join(known[1], "b"), likely, schema)
+    whole = [full.select(F.col("node").alias(k), F.col("shingles").alias(f"s{k}")) for k in "ab"]
+    links = map_batches(some.join(whole[1], "b").join(whole[0], "a").select(*names, "sa", "sb"), verify, schema)
+    return links.select(F.struct(F.col("da").alias("doc_id"), F.col("a").alias("node")).alias("a"), F.struct(F.col("db").alias("doc_id"), F.col("b").alias("node")).alias("b"))
 
-    stars = members.filter("doc != center").select(F.col("center").alias("a"), F.col("doc").alias("b")).distinct()
-    first = components(links_of(stars), scratch)
 
-    placed = members.select("key", "doc").join(first.select(F.col("node").alias("doc"), "label"), "doc", "left").select("key", "doc", F.coalesce("label", "doc").alias("comp"))
+def _looked_up(scratch: Scratch, by_key: DataFrame) -> DataFrame:
+    """A table of one row a key, written, so that a join with it can split hot keys; broadcast up to ``MOST_BROADCAST``."""
+    saved = scratch.save(by_key)
+    return F.broadcast(saved) if saved.count() <= MOST_BROADCAST else saved
+
+
+def unsettled(members: DataFrame, labels: DataFrame, scratch: Scratch) -> DataFrame:
+    """(key, node, comp, main) of buckets of three and more members that hold several components; main is the largest."""
+    placed = members.join(labels.select(F.col("node.node").alias("node"), F.col("label.node").alias("comp")), "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
     placed = scratch.save(placed)
     by_comp = placed.groupBy("key", "comp").agg(F.count("*").alias("m"))
-    active = by_comp.groupBy("key").agg(F.count("*").alias("comps"), F.max_by("comp", F.struct("m", "comp")).alias("main"), F.sum("m").alias("size")).filter("comps > 1 and size > 2")
-    held = placed.join(active.select("key", "main"), "key")
-    wanted = held.select("doc").distinct()
-    shingles = full.join(wanted, "doc", "left_semi")
-    alone = shingles.select("doc", F.explode("shingles").alias("s")).groupBy("s").agg(F.count("*").alias("m"), F.min("doc").alias("doc")).filter("m = 1").groupBy("doc").agg(F.collect_list("s").alias("alone"))
-
-    def bound(batch: pa.RecordBatch) -> pa.RecordBatch:
-        n, common, bits = [], [], []
-        for all_, alone in zip(batch.column(1), batch.column(2), strict=True):
-            own = all_.values.to_numpy()
-            shared = np.setdiff1d(own, alone.values.to_numpy(), assume_unique=True) if alone.is_valid else own
-            n.append(len(own))
-            common.append(len(shared))
-            marks = np.zeros(BITMAP, np.uint8)
-            marks[shared.view(np.uint64) % np.uint64(BITMAP)] = 1
-            bits.append(np.packbits(marks).view(np.int64))
-        columns = np.array(bits, np.int64).reshape(len(n), -1)
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(common, pa.int64()), *(pa.array(columns[:, k]) for k in range(BITMAP // 64))], names=["doc", "n", "common", *maps])
-
-    maps = [f"m{k}" for k in range(BITMAP // 64)]
-    limits = map_batches(shingles.join(alone, "doc", "left").select("doc", "shingles", "alone"), bound, f"doc long, n long, common long, {', '.join(f'{m} long' for m in maps)}")
-    # |A & B| >= t / (1 + t) * (|A| + |B|), and |A & B| <= what both may share.
-    limits = limits.withColumn("most", F.floor((F.col("common") * (top + bottom) - F.col("n") * top) / top))
-    held = scratch.save(held.join(limits, "doc").filter(F.col("most") * bottom >= F.col("n") * top))
-    left, right = held.filter("comp != main").alias("l"), held.alias("r")
-    lacks = lambda x, y: sum((F.bit_count(F.col(f"{x}.{m}").bitwiseAND(F.bitwise_not(F.col(f"{y}.{m}")))) for m in maps), F.lit(0))
-    needed = (F.col("l.n") + F.col("r.n")) * top
-    allowed = (
-        (F.col("l.key") == F.col("r.key")) & (F.col("l.comp") != F.col("r.comp")) & (F.col("l.n") <= F.col("r.most")) & (F.col("r.n") <= F.col("l.most"))
-        & (F.least("l.n", "r.n") * bottom >= F.greatest("l.n", "r.n") * top)
-        & ((F.col("l.common") - lacks("l", "r")) * (top + bottom) >= needed) & ((F.col("r.common") - lacks("r", "l")) * (top + bottom) >= needed)
-    )
-    pairs = left.join(right, allowed).select(F.least("l.doc", "r.doc").alias("a"), F.greatest("l.doc", "r.doc").alias("b")).distinct()
-    more = links_of(pairs)
-    names = first.select(F.col("node"), "label")
-    lifted = more.join(names.select(F.col("node").alias("a"), F.col("label").alias("la")), "a", "left").join(names.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
-    second = components(lifted, scratch)
-    ends = second.select(F.col("node").alias("comp"), F.col("label").alias("low"))
-    # A component of round 1 is named by its smallest member, and so is a join of such components.
-    both = first.join(ends, F.col("label") == F.col("comp"), "left").select(F.col("node").alias("rep"), F.coalesce("low", "label").alias("component"))
-    alone = ends.join(first.select(F.col("node").alias("comp")), "comp", "left_anti").select(F.col("comp").alias("rep"), F.col("low").alias("component"))
-    found = both.union(alone)
-    of_class = classes.select("digest", F.col("rep").alias("class_rep"))
-    out = rows.select("doc_id", "n", "digest").join(of_class, "digest", "left")
-    out = out.withColumn("rep", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.coalesce("class_rep", "doc_id")))
-    out = out.join(found, "rep", "left").withColumn("component_id", F.coalesce("component", "rep", "doc_id"))
+    several = by_comp.groupBy("key").agg(F.count("*").alias("comps"), F.max_by("comp", F.struct("m", "comp")).alias("main"), F.sum("m").alias("size")).filter("comps > 1 and size > 2")
+    return placed.join(_looked_up(scratch, several.select("key", "main")), "key")
+
+
+def profiles(full: DataFrame, wanted: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+    """Of the nodes in ``wanted``: n, common (shingles that another of them holds too) and prefix, those of the first shingles in the order that are common.
+
+    Nodes that can have no partner among them are left out.
+    """
+    top, bottom = threshold
+    sets = full.join(wanted, "node", "left_semi")
+    spelled = sets.select("node", F.explode("shingles").alias("s"))
+    counts = spelled.groupBy("s").agg(F.count("*").alias("m")).filter("m > 1")
+    shared = spelled.join(counts, "s").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("m", "s"))).alias("shared"))
+    out = sets.select("node", F.size("shingles").cast("long").alias("n")).join(shared, "node").withColumn("common", F.size("shared").cast("long"))
+    # The first n - ceil(t n) + 1 shingles begin with those that no other set holds.
+    first = F.col("n") - F.ceil(F.col("n") * top / bottom) + 1 - (F.col("n") - F.col("common"))
+    return out.withColumn("first", first.cast("int")).filter("first > 0").select("node", "n", "common", F.transform(F.slice("shared", 1, F.greatest("first", F.lit(0))), lambda x: x["s"]).alias("prefix"))
+
+
+def prefix_pairs(left: DataFrame, right: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+    """Distinct pairs (a, b) of nodes of ``left`` and ``right`` (node, comp, n, common, prefix) in several components that may be similar."""
+    top, bottom = threshold
+
+    def spread(side: DataFrame, k: str) -> DataFrame:
+        return side.select(F.col("node").alias(f"node{k}"), F.col("comp").alias(f"comp{k}"), F.col("n").alias(f"n{k}"), F.col("common").alias(f"common{k}"), F.posexplode("prefix").alias(f"at{k}", "s"))
+
+    size = F.col("na") + F.col("nb")
+    # Where s is the first shingle that both hold, they share no more than what stands from there on in either.
+    most = F.least(F.col("commona") - F.col("ata"), F.col("commonb") - F.col("atb"))
+    allowed = (F.col("compa") != F.col("compb")) & (F.least("na", "nb") * bottom >= F.greatest("na", "nb") * top) & (most * (top + bottom) >= size * top)
+    return spread(left, "a").join(spread(right, "b"), "s").filter(allowed).select(F.least("nodea", "nodeb").alias("a"), F.greatest("nodea", "nodeb").alias("b")).distinct()
+
+
+def near_components(docs: DataFrame, width: int = 5, threshold: tuple[int, int] = (4, 5), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row: doc_id, n_shingles, component_id (smallest doc_id reachable by links), kept.
+
+    ``threshold`` is the least similarity of a link as a fraction of integers.
+    """
+    top, bottom = threshold
+    spark = docs.sparkSession
+    small_batches(spark)
+    scratch = Scratch(spark, "minhash")
+    texts = texts_of(docs, id_col, text_col)
+    # Numbers are given once, as the table is written, and read from it ever after.
+    rows = scratch.save(sketches(texts, width).withColumn("node", F.monotonically_increasing_id()))
+    real = rows.filter((F.col("n") > 0) & F.col("doc_id").isNotNull())
+    # Written first: a join of two plain shuffles can split a digest that many rows share.
+    classes = scratch.save(real.groupBy("digest").agg(F.min(F.struct("doc_id", "node")).alias("low"), F.count("*").alias("size")).filter("size > 1").select("digest", "low"))
+    nodes = scratch.save(real.join(classes, "digest", "left").filter(F.col("low").isNull() | (F.col("low.node") == F.col("node"))).select("node", "doc_id", "n", "digest", "registers"))
+
+    keyed = bands(nodes)
+    buckets = keyed.groupBy("key").agg(F.count("*").alias("size"), F.min("node").alias("center")).filter(F.col("size") > 1)
+    members = scratch.save(keyed.join(buckets.select("key", "center"), "key"))
+    candidates = members.select("node").distinct()
+    full = scratch.save(full_sets(texts, nodes.select("node", "doc_id", "digest").join(candidates, "node", "left_semi"), width))
+
+    stars = members.filter("node != center").select(F.col("center").alias("a"), F.col("node").alias("b")).distinct()
+    labels = components(scratch.save(verified(stars, nodes, full, threshold)), scratch)
+
+    def joined(labels: DataFrame, links: DataFrame) -> DataFrame:
+        return components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).filter("a != b").union(links), scratch)
+
+    held = scratch.save(unsettled(members, labels, scratch))
+    known = scratch.save(profiles(full, held.select("node").distinct(), threshold))
+    held = scratch.save(held.join(known.drop("prefix"), "node"))
+    typical = held.groupBy("key").agg(F.max_by(F.struct("node", "comp", "n", "common"), F.struct(F.col("common") / F.col("n"), "n", "node")).alias("t"))
+    # Two sets share at least t / (1 + t) of their sizes together, and at most what is common of either.
+    able = (F.least("n", "t.n") * bottom >= F.greatest("n", "t.n") * top) & (F.least("common", "t.common") * (top + bottom) >= (F.col("n") + F.col("t.n")) * top)
+    stars = held.join(_looked_up(scratch, typical), "key").filter((F.col("comp") != F.col("t.comp")) & able).select(F.least("node", "t.node").alias("a"), F.greatest("node", "t.node").alias("b")).distinct()
+    labels = joined(labels, scratch.save(verified(stars, nodes, full, threshold)))
+
+    held = unsettled(held.select("key", "node"), labels, scratch)
+    placed = scratch.save(held.groupBy("node").agg(F.first("comp").alias("comp"), F.max(F.col("comp") != F.col("main")).alias("aside")).join(known, "node"))
+    pairs = prefix_pairs(placed.filter("aside"), placed, threshold)
+    links = scratch.save(verified(pairs, nodes, full, threshold))
+    # Documents with several texts: each of them is linked to the first.
+    several = real.groupBy("doc_id").agg(F.min("digest").alias("one"), F.max("digest").alias("other")).filter("one != other").select("doc_id")
+    texts_of_one = scratch.save(real.join(several, "doc_id").join(classes, "digest", "left").select("doc_id", F.coalesce("low", F.struct("doc_id", "node")).alias("b")).distinct())
+    links = links.union(texts_of_one.join(texts_of_one.groupBy("doc_id").agg(F.min("b").alias("a")), "doc_id").filter("a != b").select("a", "b"))
+    labels = joined(labels, links)
+
+    linked = labels.select(F.col("node.node").alias("node"), F.col("label.doc_id").alias("component")).join(nodes.select("node", "digest"), "node")
+    named = classes.select("digest", F.col("low.doc_id").alias("low")).join(linked.select("digest", "component"), "digest", "full").select("digest", F.coalesce("component", "low").alias("component"))
+    named = scratch.save(named)
+    is_real = (F.col("n") > 0) & F.col("doc_id").isNotNull()
+    out = rows.select("doc_id", "n", "digest").join(named, "digest", "left").withColumn("component_id", F.when(is_real, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id")))
+    scratch.keep_only(rows, named)
     return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 
 import numpy as np
@@ -11,6 +12,7 @@ REGISTERS = 128
 ROWS = 4  #: registers of a band: 4 * 16 bits are its 64-bit key
 MANTISSA = 10  #: bits kept after the first one of a minimum
 _SHIFT = 57  #: the top 7 bits choose the register
+_STEPS = 32  #: sizes up to 2**32 are told apart by the correction
 
 _U = np.uint64
 _FACTORS = np.array([xxhash.xxh64_intdigest(b"factor", k) | 1 for k in range(64)], np.uint64)
@@ -29,7 +31,7 @@ class Words(dict):
     def __missing__(self, word: bytes) -> int:
         h = xxhash.xxh64_intdigest(word, 1)
         if len(word) <= 48:
-            if len(self) >= 1_000_000:
+            if len(self) >= 400_000:
                 self.clear()
             self[word] = h
         return h
@@ -96,17 +98,27 @@ def band_keys(regs: np.ndarray) -> np.ndarray:
     return mix(packed ^ mix(bands + _U(977)))
 
 
-def expected_by_chance(n: int, m: int) -> float:
-    """Share of registers of disjoint sets of ``n`` and ``m`` that agree by chance.
+@functools.cache
+def _chance_table() -> np.ndarray:
+    """Expected share of registers of disjoint sets that agree by chance, by size in steps of half a power of two.
 
-    For minima of about equal scale a register agrees when exponent and
-    mantissa do: the exponents with probability about 1/3, the mantissas with
-    ``2 ** -MANTISSA``.
+    The sum over all cells (exponent, mantissa) of the probabilities that the
+    minimum of one and of the other bucket falls there.
     """
-    return (1 / 3) * 2.0**-MANTISSA * min(n, m) / max(n, m, 1)
+    edges = np.concatenate([2.0 ** -(k + 1) * (1 + np.arange(1 << MANTISSA) / (1 << MANTISSA)) for k in range(_SHIFT - MANTISSA)])
+    width = 2.0 ** -np.repeat(np.arange(1, _SHIFT - MANTISSA + 1), 1 << MANTISSA) / (1 << MANTISSA)
+    per_bucket = 2.0 ** (np.arange(2 * _STEPS) / 2) / REGISTERS
+    cells = np.array([np.exp(n * np.log1p(-edges)) * -np.expm1(n * np.log1p(np.maximum(-width / np.maximum(1 - edges, width), -1 + 1e-16))) for n in per_bucket])
+    return cells @ cells.T
 
 
-def estimate(agreeing: float, n: int, m: int) -> float:
-    """Collision-corrected Jaccard estimate from the share of agreeing registers."""
+def expected_by_chance(n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Share of registers of disjoint sets of sizes ``n`` and ``m`` that agree by chance."""
+    at = [np.clip(np.rint(2 * np.log2(np.maximum(x, 1))), 0, 2 * _STEPS - 1).astype(np.int64) for x in (n, m)]
+    return _chance_table()[at[0], at[1]]
+
+
+def estimates(agreeing: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Collision-corrected Jaccard estimates from the shares of agreeing registers."""
     c = expected_by_chance(n, m)
-    return max(0.0, (agreeing - c) / (1 - c))
+    return np.maximum(0.0, (agreeing - c) / (1 - c))
