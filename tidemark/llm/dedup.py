@@ -13,9 +13,13 @@
 
 A fingerprint that a third of all rows share is sent once by each partition, and
 its texts meet as one partial row of each partition, so no task gathers copies.
+The few groups that can be so large are joined back by broadcast.
 
 Defined results: a null text counts as empty; a null doc_id is smaller than any
-other; of repeated rows with equal doc_id and text just one stays.
+other; of repeated rows with equal doc_id and text just one stays, whichever;
+very long texts count whole; an empty table gives an empty result; columns other
+than id and text are ignored here and returned as they are by ``keep_first``,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -31,12 +35,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Scratch, small_batches, texts_of
+from tidemark.llm.common import Scratch, private, small_batches, texts_of
 
 EXTRA = 12  #: bits of a fingerprint beyond log2 of the rows; one row in 2**EXTRA is suspected by chance
 SEED = 42  #: of xxhash64, as Spark's own function has it
 #: Suspected fingerprints are broadcast up to this many (8 bytes each); beyond it they are joined by a shuffle.
 MOST_BROADCAST = 1 << 20
+HOT_GROUPS = 1024  #: groups of more than this part of all rows are joined by broadcast; there are no more of them than this
 OWN_ROWS = 1 << 18  #: fingerprints an owner is meant to hold
 
 
@@ -143,6 +148,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         return pd.DataFrame({"part": mine["part"], "row": mine["row"], "doc_id": mine["doc_id"].astype("Int64"), "finger": mine["finger"], "sha": mine["sha"], "suspect": marked[np.searchsorted(values, fingers)]})
 
     marked = scratch.save(own_rows.groupBy("part").cogroup(bitmaps.groupBy("part")).applyInPandas(mark, "part int, row long, doc_id long, finger long, sha binary, suspect boolean"))
+    scratch.keep_only(marked)
     suspects, clear = marked.filter("suspect"), marked.filter(~F.col("suspect"))
 
     wanted = suspects.select("finger").distinct()
@@ -154,29 +160,44 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     # Of the rows with the largest doc_id, the first one met stays.
     first = suspects.groupBy("sha").agg(F.max_by(F.struct("part", "row"), F.struct("doc_id", -F.col("part"), -F.col("row"))).alias("stays"), F.count("*").alias("seen"))
     groups = groups.join(first, "sha").withColumn("group_size", F.when(F.col("seen") == F.col("group_size"), F.col("group_size")).otherwise(F.raise_error(F.lit("texts of one SHA-256 differ, or rows changed between scans")).cast("long")))
+    groups = scratch.save(groups.select("sha", "keep_id", "group_size", "stays"))
+    # At most HOT_GROUPS groups can hold more than that share of the rows: they are broadcast, so no task gathers their rows.
+    is_hot = F.col("group_size") > rows // HOT_GROUPS
+    hot = F.broadcast(groups.filter(is_hot))
+    of_groups = suspects.join(hot, "sha").unionByName(suspects.join(hot, "sha", "left_anti").join(groups.filter(~is_hot), "sha"))
     named = F.lower(F.hex("sha")).alias("text_sha256")
-    of_groups = suspects.join(groups, "sha").select("doc_id", "keep_id", "group_size", (F.struct("part", "row") == F.col("stays")).alias("kept"), named)
+    of_groups = of_groups.select("doc_id", "keep_id", "group_size", (F.struct("part", "row") == F.col("stays")).alias("kept"), named)
     single = clear.select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), named)
     return single.unionByName(of_groups)
 
 
-def drop_rows(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """``docs`` without the ids in ``gone``, which are broadcast up to ``MOST_BROADCAST`` and shuffled beyond."""
-    gone = gone.select(F.col("doc_id").alias("gone_id"))
+def drop_rows(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """``docs`` without the ids in ``gone`` (doc_id), which are broadcast up to ``MOST_BROADCAST`` and shuffled beyond."""
+    other = private(docs, "gone")
+    gone = gone.select(F.col("doc_id").alias(other))
     few = gone.count() <= MOST_BROADCAST
-    return docs.join(F.broadcast(gone) if few else gone, docs["doc_id"].eqNullSafe(F.col("gone_id")), "left_anti")
+    return docs.join(F.broadcast(gone) if few else gone, docs[id_col].cast("long").eqNullSafe(gone[other]), "left_anti")
 
 
-def keep_first(docs: DataFrame, decided: DataFrame) -> DataFrame:
+def keep_first(docs: DataFrame, decided: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that ``exact_duplicates`` keeps, with all their columns.
 
-    A row is told by its doc_id and the digest of its text, as null or repeated
-    ids may name several texts.
+    A row is told by its doc_id and the digest of its text (null as empty), as
+    null or repeated ids may name several texts.  Of rows repeated with both
+    alike one stays; only such rows are shuffled whole.
     """
-    dropped = decided.filter(~F.col("kept"))
-    gone = dropped.filter(~F.col("doc_id").eqNullSafe(F.col("keep_id"))).select(F.col("doc_id").alias("gone_id"), F.col("text_sha256").alias("gone_sha"))
-    few = gone.count() <= MOST_BROADCAST // 4
-    same = docs["doc_id"].eqNullSafe(F.col("gone_id")) & (F.sha2(F.coalesce(docs["text"], F.lit("")), 256) == F.col("gone_sha"))
-    other = docs.join(F.broadcast(gone) if few else gone, same, "left_anti")
-    again = dropped.filter(F.col("doc_id").eqNullSafe(F.col("keep_id"))).limit(1).count()
-    return other.dropDuplicates(["doc_id", "text"]) if again else other
+    scratch = Scratch(docs.sparkSession, "copies")
+    sha, gone_id, gone_sha = (private(docs, x) for x in ("sha", "gone_id", "gone_sha"))
+    again = F.col("doc_id").eqNullSafe(F.col("keep_id"))
+    dropped = scratch.save(decided.filter(~F.col("kept")).select(F.col("doc_id").alias(gone_id), F.col("text_sha256").alias(gone_sha), again.alias("again")).distinct())
+    known = docs.withColumn(sha, F.sha2(F.coalesce(docs[text_col].cast("string"), F.lit("")), 256))
+
+    def meet(rows: DataFrame, pairs: DataFrame, how: str) -> DataFrame:
+        few = pairs.count() <= MOST_BROADCAST // 4
+        return rows.join(F.broadcast(pairs) if few else pairs, rows[id_col].cast("long").eqNullSafe(pairs[gone_id]) & (rows[sha] == pairs[gone_sha]), how)
+
+    repeated, gone = dropped.filter("again").drop("again"), dropped.filter("NOT again").drop("again")
+    out = meet(known, gone, "left_anti")
+    if repeated.limit(1).count():
+        out = meet(out, repeated, "left_anti").unionByName(meet(out, repeated, "left_semi").dropDuplicates([id_col, sha]))
+    return out.select(docs.columns)
