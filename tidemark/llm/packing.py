@@ -72,7 +72,7 @@ class ByteBpe:
             if got is None:
                 got = array("I", ordinary(chunk)).tobytes()
                 if len(chunk) <= 48:
-                    if len(cache) >= 800_000:
+                    if len(cache) >= 400_000:
                         cache.clear()
                     cache[chunk] = got
             out.append(got)

@@ -265,7 +265,7 @@ class PieceModel:
             ids = self.encode_chunk(chunk)
             got = struct.pack(f"<{len(ids)}I", *ids)
             if len(chunk) <= 48:
-                if len(self._cache) >= 1_000_000:
+                if len(self._cache) >= 400_000:
                     self._cache.clear()
                 self._cache[chunk] = got
         return got
