@@ -285,3 +285,57 @@ def test_words_and_base_spans_hide_no_keys(scanner):
     assert spans == [(0, 25, "random"), (25, 57, "hex"), (57, 63, "random")]
     assert scanner.spans("projects/internal/config/store/production-service-account") == []
     assert scanner.spans("https-config/users/550e8400-e29b-41d4-a716-446655440000/profile/settings") == []
+
+
+def test_copies_of_one_id_and_large_groups(spark):
+    rows = [(5, None), (5, ""), (6, "x"), (9, "x"), (9, "x"), (None, "y"), (None, "y"), *((100 + k, "many") for k in range(3000)), *((5000 + k, f"own {k}") for k in range(50))]
+    own = spark.createDataFrame([(i, t, 1, "z") for i, t in rows], "doc_id long, text string, gone_id long, Gone_Sha string").repartition(5)
+    decided = dedup.exact_duplicates(own)
+    sizes = {(r.keep_id, r.group_size) for r in decided.collect()}
+    assert {(3099, 3000), (5, 2), (9, 3), (None, 2), (5000, 1)} <= sizes
+    rest = dedup.keep_first(own, decided)
+    assert rest.columns == own.columns
+    same([(r.doc_id, r.text or "") for r in rest.collect()], [(5, ""), (9, "x"), (None, "y"), (3099, "many"), *((5000 + k, f"own {k}") for k in range(50))])
+
+
+@pytest.mark.parametrize("filler", [4, 40])
+def test_fit_learns_pairs_that_say_nothing_alone(spark, filler):
+    """Toxic is the exclusive-or of two words: no weight of one word alone can tell."""
+    rng = random.Random(filler)
+    rows = []
+    for k in range(4000):
+        a, b = rng.random() < 0.5, rng.random() < 0.5
+        words = [f"{rng.choice('bdfgklm')}{rng.randrange(60)}ilo" for _ in range(filler)] + ["grobnak"] * a + ["zimbul"] * b
+        rng.shuffle(words)
+        rows.append((k, " ".join(words), int(a != b)))
+    own = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    machine = toxicity.fit(own.select("doc_id", "text"), own.select("doc_id", "toxic"), held_out=toxicity.held_out_rows())
+    got = {r.doc_id: r.s for r in own.select("doc_id", toxicity.score(machine, own, F.col("text")).alias("s")).collect()}
+    held = [(got[i], y) for i, _, y in rows if zlib.crc32(str(i).encode()) % 4 == 2]
+    assert len(held) > 900 and sum((s >= 0.5) == bool(y) for s, y in held) > 0.95 * len(held)
+
+
+def test_scores_are_the_sum_over_all_pairs(spark):
+    rng = np.random.default_rng(2)
+    words = [f"word{k}" for k in range(30)]
+    buckets = np.unique(np.concatenate([toxicity.document_terms(w) for w in words[:20]]))
+    machine = toxicity.Machine(-0.5, buckets, rng.normal(0, 1, len(buckets)), rng.normal(0, 0.5, (len(buckets), 3)), "pairs")
+    texts = [" ".join(rng.choice(words, size=n)) for n in (0, 1, 2, 5, 9, 30)] + ["", "Word1, word1 WORD2!", "nothing known"]
+    own = spark.createDataFrame([(k, t) for k, t in enumerate([*texts, None])], "doc_id long, text string")
+    got = {r.doc_id: r.s for r in own.select("doc_id", toxicity.score(machine, own, F.col("text")).alias("s")).collect()}
+    for k, t in enumerate([*texts, ""]):
+        held = sorted({x for w in t.lower().split() for x in toxicity.terms(w)} & set(buckets.tolist()))
+        at = [buckets.tolist().index(x) for x in held]
+        z = machine.bias + sum(machine.linear[i] for i in at) + sum(float(machine.factors[i] @ machine.factors[j]) for n, i in enumerate(at) for j in at[:n])
+        assert abs(got[k] - 1 / (1 + np.exp(-np.clip(z, -40, 40)))) < 1e-9
+
+
+def test_repeated_ids_are_learned_once(spark, monkeypatch):
+    rows = [(k % 50, f"row {k} of many" + " grobnak" * (k % 2), k % 2) for k in range(3000)]
+    own = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows[:50]], "doc_id long, toxic int")
+    seen = []
+    plain = toxicity.train
+    monkeypatch.setattr(toxicity, "train", lambda r, *rest, **k: seen.append(len(r)) or plain(r, *rest, **k))
+    toxicity.fit(own, labels, max_rows=40)
+    assert seen and seen[0] <= 40

@@ -85,3 +85,31 @@ def test_stages(spark, corpus):
     assert {r.doc_id for r in packed} == set(want)
     whole = corpus_pipeline.run(spark, folder).collect()
     assert sorted((r.doc_id, r.piece, r.ids_crc32) for r in whole) == sorted((r.doc_id, r.piece, r.ids_crc32) for r in packed)
+
+
+def test_stages_take_any_rows(spark, tmp_path):
+    """Null ids and texts, repeated rows, texts without words, and columns named as the stages' own."""
+    clash = "gone long, _gone long, gone_id long, gone_sha string, sha string, toxicity_score double, kept boolean, node long, suspect boolean"
+    rows = [(5, None), (5, ""), (6, "x"), (None, "no id"), (None, "no id"), (None, "other"), (7, "a b c d e f"), (7, "a b c d e f"), (8, " \n "), (2, "twice"), (1, "twice"), (3, "word " * 3000)]
+    extra = (1, 2, 3, "s", "t", 0.5, True, 9, False)
+    docs = spark.createDataFrame([(i, t, None, None, None, *extra) for i, t in rows], f"{COLUMNS}, {clash}")
+    spark.createDataFrame([], COLUMNS).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    want = {"toxicity": rows, "exact dedup": [(5, ""), (6, "x"), (None, "no id"), (None, "other"), (7, "a b c d e f"), (8, " \n "), (2, "twice"), (3, "word " * 3000)]}
+    want["near dedup"] = want["secrets"] = want["exact dedup"]
+    key = lambda x: (str(x[0]), x[1] or "")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, str(tmp_path)).cache()
+        got = docs.collect()
+        assert sorted(((r.doc_id, r.text or "") for r in got), key=key) == sorted(((i, t or "") for i, t in want[name]), key=key), name
+        assert all(tuple(r)[5:] == extra for r in got)
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).collect()
+    assert sorted(str(r.doc_id) for r in packed if r.piece == 0) == sorted(str(i) for i, _ in want["secrets"])
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_an_id_with_and_without_words_loses_its_near_copy_only(spark):
+    text = " ".join(f"w{k}" for k in range(60))
+    docs = spark.createDataFrame([(5, text + " end"), (5, ""), (2, text), (6, None)], "doc_id long, text string")
+    got = corpus_pipeline.drop_near_copies(spark, docs, "").collect()
+    assert sorted((r.doc_id, r.text or "") for r in got) == [(2, text), (5, ""), (6, "")]

@@ -10,13 +10,21 @@ both alone.  Weights are fitted by AdaGrad on a bounded, hash-ordered sample of
 the labelled rows (``max_rows``), each class filling at most half of it beyond
 what the other leaves free; w0 is then moved by the log of the sampling odds, so
 scores follow the share of toxic rows among all labelled rows at every size;
-scoring reads every document.  Buckets that say
-nothing about the label (chi-square below ``LEAST_CHI``) get no weight, so long
-clean documents do not gather noise.
-
-Defined results: null and empty texts score sigmoid(w0); without labelled rows
-of both classes every score is the share of toxic rows (0 without rows); several
-labels of one document count as toxic if any is; null labels are left out.
+scoring reads every document.
+
+Terms that say nothing get no weight, so long clean documents do not gather
+noise.  A term is kept if it tells the classes apart alone (chi-square of
+``LEAST_CHI``; of more than ``MOST_TERMS`` such terms the best), or in company:
+all pairs of the ``PAIRED_TERMS`` most frequent terms are counted in the sample,
+whatever their labels, and both terms of a pair are kept that tells the classes
+apart by ``LEAST_PAIR_CHI`` more than either alone.
+
+Defined results: null and empty texts score sigmoid(w0); very long texts are
+read whole; repeated rows score alike, and are learned from once: of an id with
+several texts the smallest is; several labels of one document count as toxic if
+any is; null labels and ids are left out; without labelled rows of both classes
+every score is the share of toxic rows (0 without rows); an empty table gives an
+empty column; columns other than those named are never read.
 """
 
 from __future__ import annotations
@@ -30,13 +38,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import kept, map_batches, texts_of
+from tidemark.llm.common import Scratch, kept, map_batches, texts_of
 
 BITS = 20
 PREFIXES = (4, 5, 6)
 STRIP = ".,;:!?\"'()[]{}<>*#&%$-_"
 LEAST_CHI = 20.0
 MOST_TERMS = 8192
+LEAST_PAIR_CHI = 40.0
+PAIRED_TERMS = 1024
 FACTORS = 4
 THRESHOLD = 0.3
 
@@ -87,7 +97,7 @@ class Machine:
                 if own is None:
                     own = tuple(where[t] for t in terms(word) if t in where)
                     if len(word) <= 48:
-                        if len(cache) >= 1_000_000:
+                        if len(cache) >= 400_000:
                             cache.clear()
                         cache[word] = own
                 if own:
@@ -153,8 +163,11 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 12_000, label_col: s
     if not sample:
         return train([], np.zeros(0), np.zeros(0, np.int32))
     spark = docs.sparkSession
+    scratch = Scratch(spark, "toxicity")
     chosen = F.broadcast(spark.createDataFrame(pd.DataFrame({"doc_id": [r[0] for r in sample], "label": [r[1] for r in sample]}), "doc_id long, label int"))
-    rows = texts_of(docs).join(chosen, "doc_id")
+    # One row for each sampled id, written once: max_rows texts at most.
+    one = texts_of(docs).join(chosen, "doc_id").groupBy("doc_id").agg(F.min(F.struct("text", "label")).alias("row"))
+    rows = scratch.save(one.select("doc_id", "row.text", "row.label"))
 
     def count(batch: pa.RecordBatch) -> pa.RecordBatch:
         sums = np.zeros((2, 1 << BITS), np.int64)
@@ -163,34 +176,67 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 12_000, label_col: s
         some = np.flatnonzero(sums.sum(axis=0))
         return pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(sums[0, some]), pa.array(sums[1, some])], names=["bucket", "clean", "toxic"])
 
-    totals = rows.groupBy("label").count().collect()
-    n = {r[0]: r[1] for r in totals}
+    n = {r[0]: r[1] for r in rows.groupBy("label").count().collect()}
     n0, n1 = n.get(0, 0), n.get(1, 0)
     if not n0 or not n1:
         return train([np.zeros(0, np.int64)] * (n0 + n1), np.array([0] * n0 + [1] * n1, float), np.zeros(0, np.int32))
-    sums = map_batches(rows, count, "bucket int, clean long, toxic long").groupBy("bucket").agg(F.sum("clean").alias("c"), F.sum("toxic").alias("t"))
-    c, t = F.col("c").cast("double"), F.col("t").cast("double")
-    whole, used = F.lit(float(n0 + n1)), c + t
-    chi = whole * F.pow(t * (n0 - c) - c * (n1 - t), 2) / (used * (whole - used + 1) * float(n0) * float(n1))
-    best = sums.filter(used >= 3).withColumn("chi", chi).filter(F.col("chi") >= LEAST_CHI).orderBy(F.desc("chi"), "bucket").limit(MOST_TERMS).select("bucket").collect()
-    buckets = np.array(sorted(r[0] for r in best), np.int32)
+    sums = scratch.save(map_batches(rows, count, "bucket int, clean long, toxic long").groupBy("bucket").agg(F.sum("clean").alias("c"), F.sum("toxic").alias("t")).filter("c + t >= 3"))
+    alone = sums.withColumn("chi", chi_square(F.col("c").cast("double"), F.col("t").cast("double"), float(n0), float(n1)))
+    best = alone.filter(F.col("chi") >= LEAST_CHI).orderBy(F.desc("chi"), "bucket").limit(MOST_TERMS).select("bucket").collect()
+    often = sums.filter(F.col("c") + F.col("t") < 0.95 * (n0 + n1)).orderBy(F.desc(F.col("c") + F.col("t")), "bucket").limit(PAIRED_TERMS).select("bucket").collect()
+    telling, often = (np.array(sorted(r[0] for r in x), np.int32) for x in (best, often))
+    either = np.union1d(telling, often)
 
     def index(batch: pa.RecordBatch) -> pa.RecordBatch:
-        own = []
-        for text in batch.column(1).to_pylist():
-            found = document_terms(text)
-            at = np.searchsorted(buckets, found)
-            at = at[(at < len(buckets)) & (buckets[np.minimum(at, max(0, len(buckets) - 1))] == found)] if len(buckets) else at[:0]
-            own.append(np.sort(at).astype(np.int32).tobytes())
+        own = [np.flatnonzero(np.isin(either, document_terms(text), assume_unique=True)).astype(np.int32).tobytes() for text in batch.column(1).to_pylist()]
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(own, pa.binary())], names=["doc_id", "label", "terms"])
 
-    fitted = map_batches(rows, index, "doc_id long, label int, terms binary").collect()  # max_rows rows of MOST_TERMS numbers at most
-    fitted.sort(key=lambda r: (r[0], r[1], bytes(r[2])))
-    machine = train([np.frombuffer(r[2], np.int32).astype(np.int64) for r in fitted], np.array([r[1] for r in fitted], float), buckets)
+    fitted = map_batches(rows, index, "doc_id long, label int, terms binary").collect()  # max_rows rows of MOST_TERMS + PAIRED_TERMS numbers at most
+    scratch.keep_only()
+    fitted.sort(key=lambda r: r[0])
+    terms_of = [np.frombuffer(r[2], np.int32).astype(np.int64) for r in fitted]
+    labels_of = np.array([r[1] for r in fitted], float)
+    buckets = np.union1d(telling, either[paired(terms_of, labels_of, np.flatnonzero(np.isin(either, often)))])
+    place = np.full(len(either), -1)
+    place[np.isin(either, buckets)] = np.arange(len(buckets))
+    terms_of = [p[p >= 0] for p in (place[own] for own in terms_of)]
+    machine = train(terms_of, labels_of, buckets)
     # Both classes have rows here; which part of each was taken shows in the bias only.
     return replace(machine, bias=machine.bias - sampling_log_odds(taken, there))
 
 
+def chi_square(clean, toxic, n_clean: float, n_toxic: float):
+    """How far the share of toxic rows among ``clean + toxic`` rows is from that of all; columns, numbers or arrays."""
+    whole, used = n_clean + n_toxic, clean + toxic
+    apart = toxic * (n_clean - clean) - clean * (n_toxic - toxic)
+    return whole * apart * apart / (used * (whole - used + 1) * n_clean * n_toxic)
+
+
+def paired(rows: list[np.ndarray], labels: np.ndarray, often: np.ndarray) -> np.ndarray:
+    """Those of the terms ``often`` that are in a pair of them which tells the classes apart better than both alone."""
+    k = len(often)
+    if not k:
+        return often
+    place = np.full(max(int(often.max()), max((int(r.max()) for r in rows if len(r)), default=0)) + 1, -1)
+    place[often] = np.arange(k)
+    both = {0: np.zeros((k, k), np.float32), 1: np.zeros((k, k), np.float32)}
+    for label, sums in both.items():
+        own = [rows[i] for i in np.flatnonzero(labels == label)]
+        for start in range(0, len(own), 1024):
+            part = np.zeros((min(1024, len(own) - start), k), np.float32)
+            for at, r in enumerate(own[start : start + 1024]):
+                p = place[r]
+                part[at, p[p >= 0]] = 1
+            sums += part.T @ part
+    n = [float((labels == v).sum()) for v in (0, 1)]
+    clean, toxic = (both[v].astype(np.float64) for v in (0, 1))
+    chi = np.where(clean + toxic >= 3, chi_square(np.where(clean + toxic, clean, 1), toxic, *n), 0)
+    alone = np.diag(chi)
+    better = chi >= np.maximum(alone[:, None], alone[None, :]) + LEAST_PAIR_CHI
+    np.fill_diagonal(better, False)
+    return often[better.any(axis=1)]
+
+
 def sampling_log_odds(taken: dict[int, int], there: dict[int, int]) -> float:
     """Log of how many times likelier a toxic row was taken into the sample than a clean one."""
     return float(np.log(taken[1] / there[1]) - np.log(taken[0] / there[0]))
