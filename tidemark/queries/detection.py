@@ -124,6 +124,22 @@ def stream_rate_spikes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _spikes(e, ["stream_id"])
 
 
+def live_rate_spikes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events arrive as a stream and are judged with state per type as the watermark passes them; a last message moves it past all."""
+    from tidemark.streaming import live
+
+    source = table(spark, sf_dir, "events")
+    place = f"{shared_folder(spark)}/tidemark-live-{uuid.uuid4().hex}"
+    columns = [F.col("event_type"), timestamp_micros(F.col("ts")).alias("us"), F.col("event_id").alias("seq")]
+    source.limit(1).select(F.lit("last").alias("event_type"), F.lit(1 << 52).alias("us"), F.lit(-1).cast("long").alias("seq")).write.parquet(f"{place}/last")
+    arrived = spark.readStream.schema(source.schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir).select(*columns)
+    last = spark.readStream.schema("event_type string, us long, seq long").parquet(f"{place}/last")
+    found = live.rate_spikes(arrived.union(last), W, B, MULTIPLIER, MIN_RATE, 600 * MICROS, key="event_type")
+    live.collect_arrived(found, f"{place}/table", f"{place}/offsets")
+    out = spark.read.schema(found.schema).parquet(f"{place}/table")
+    return out.select("event_type", "seq", "us", *(F.round(c, 6).alias(c) for c in ("window_rate", "baseline_rate", "ratio")))
+
+
 _COUNTS = f"""c AS (SELECT *, count(*) OVER (PARTITION BY k ORDER BY us RANGE BETWEEN {W} PRECEDING AND CURRENT ROW) AS wc,
                     count(*) OVER (PARTITION BY k ORDER BY us RANGE BETWEEN {B} PRECEDING AND CURRENT ROW) AS bc FROM (SELECT *, {{key}} AS k FROM e) x),
      q AS (SELECT k, seq, us, wc / 300.0::DOUBLE AS wr, bc / 3600.0::DOUBLE AS br FROM c WHERE wc / 300.0::DOUBLE >= 0.008::DOUBLE AND wc / 300.0::DOUBLE >= bc / 3600.0::DOUBLE * 3.0::DOUBLE),
@@ -171,7 +187,7 @@ SELECT user_id, min(us) AS start_us, max(us) AS end_us, max(us) FILTER (WHERE be
        max(event_type) FILTER (WHERE best = 1) AS peak_kind, count(*) AS event_count, array_to_string(list_sort(list(DISTINCT event_type)), ',') AS kinds
 FROM r GROUP BY user_id, s"""
 
-QUERIES = {f.__name__: f for f in (rate_window_counts, rate_spikes, rate_spikes_by_type, value_spikes, rms_frames, dedupe_nearby, thinned, fuse_signals, coalesce_moments, ranked_moments, ema_smooth, forward_fill, nearest_sample, activity_histogram, normalized_activity, stream_rate_spikes)}
+QUERIES = {f.__name__: f for f in (rate_window_counts, rate_spikes, rate_spikes_by_type, value_spikes, rms_frames, dedupe_nearby, thinned, fuse_signals, coalesce_moments, ranked_moments, ema_smooth, forward_fill, nearest_sample, activity_histogram, normalized_activity, stream_rate_spikes, live_rate_spikes)}
 _HIST = """h AS (SELECT event_type, bin, coalesce(n, 0)::DOUBLE AS level FROM (SELECT DISTINCT event_type FROM e) t CROSS JOIN (SELECT unnest(range(0, 720)) AS bin) b
      LEFT JOIN (SELECT event_type, greatest(0, least(719, trunc((us - 1704067200000000) / 1000000.0::DOUBLE / 3600.0::DOUBLE)))::BIGINT AS bin, count(*) AS n FROM e GROUP BY ALL) c USING (event_type, bin))"""
 ORACLE_SQL = {
@@ -179,6 +195,7 @@ ORACLE_SQL = {
     "rate_spikes": _spike_sql("0", ""),
     "rate_spikes_by_type": _spike_sql("event_type", "q.k AS event_type, "),
     "stream_rate_spikes": _spike_sql("0", ""),
+    "live_rate_spikes": _spike_sql("event_type", "q.k AS event_type, "),
     "value_spikes": f"WITH RECURSIVE {EVENTS}, {_LEVELS.format(key='event_type')} SELECT lq.k AS event_type, lq.seq, round(value, 6) AS value, round(level, 6) AS level FROM lq JOIN lt ON lq.k = lt.k AND lq.us = lt.us",
     "rms_frames": f"WITH {EVENTS} SELECT seq // 50 AS frame, round((seq // 50 + 0.5)::DOUBLE, 6) AS t, round(sqrt(avg(value * value)), 6) AS rms FROM e GROUP BY 1, 2 HAVING count(*) = 50",
     "dedupe_nearby": _DEDUPE,

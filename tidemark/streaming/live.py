@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 from typing import Any
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,49 +13,50 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def rate_spikes(messages: DataFrame, window: int, baseline: int, multiplier: float, min_rate: float, delay: int, key: str = "stream_id", at: str = "us", seq: str = "seq") -> DataFrame:
-    """Spikes of a stream of messages (key, us, seq, event_time timestamp), as ``operators.rates.rate_spikes`` finds them.
+    """Spikes of a stream of messages (key, us, seq), as ``operators.rates.rate_spikes`` finds them.
 
-    Messages may come up to ``delay`` microseconds late; they are held until the
-    latest time met is that far ahead, then judged in order of (us, seq).  Later
-    ones are dropped.  State per key: the times within one baseline, messages
-    still held, and the last spike.
+    Messages may come up to ``delay`` microseconds late: they are held until the
+    watermark, which all keys share, has passed them, then judged in order of
+    (us, seq).  Later ones are dropped.  State per key: the times within one
+    baseline, messages still held, and the last spike; it is removed once the
+    watermark is a baseline past the last message.
     """
 
     def judge(name: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        past, held, last, top = state.get if state.exists else ([], [], -(1 << 62), -(1 << 62))
+        past, held, last = state.get if state.exists else ([], [], -(1 << 62))
         held = [tuple(h) for h in held]
         for frame in frames:
-            rows = list(zip(frame[at].astype("int64"), frame[seq].astype("int64"), strict=True))
-            held += [(int(u), int(s)) for u, s in rows]
-            if rows:
-                top = max(top, max(int(u) for u, _ in rows))
-        end = state.hasTimedOut
-        ready = sorted(h for h in held if end or h[0] <= top - delay)
-        held = [h for h in held if not (end or h[0] <= top - delay)]
-        times = list(past)
-        out = []
+            held += zip(frame[at].astype("int64").tolist(), frame[seq].astype("int64").tolist(), strict=True)
+        passed = state.getCurrentWatermarkMs() * 1000
+        ready = sorted(h for h in held if h[0] <= passed)
+        held = [h for h in held if h[0] > passed]
+        times, first, out = list(past), 0, []
         for us, s in ready:
-            if times and us < times[-1]:
-                continue
             times.append(us)
-            low = np.searchsorted(times, us - baseline)
-            times = times[low:]
-            n, m = len(times), len(times) - int(np.searchsorted(times, us - window))
+            first = bisect_left(times, us - baseline, first)
+            n, m = len(times) - first, len(times) - bisect_left(times, us - window, first)
             wr, br = m / (window / 1e6), n / (baseline / 1e6)
             if wr >= min_rate and wr >= br * multiplier and us - last >= window:
                 last = us
                 out.append((name[0], us, s, wr, br, wr / br, m))
-        if end:
+        times = times[first:]
+        if held:
+            due = min(h[0] for h in held)
+        else:
+            due = times[-1] + baseline if times else passed
+        if due <= passed:
             state.remove()
         else:
-            state.update(([int(t) for t in times], [[int(a), int(b)] for a, b in held], int(last), int(top)))
-            state.setTimeoutDuration(600_000)
+            state.update((times, [list(h) for h in held], last))
+            # Due as soon as the watermark, in milliseconds, has reached ``due``.
+            state.setTimeoutTimestamp(-(-due // 1000) - 1)
         yield pd.DataFrame(out, columns=[key, "us", "seq", "window_rate", "baseline_rate", "ratio", "window_count"])
 
     kind = messages.schema[key].dataType.simpleString()
-    return messages.select(key, at, seq).groupBy(key).applyInPandasWithState(
+    timed = messages.select(key, at, seq, F.timestamp_micros(at).alias("event_time")).withWatermark("event_time", f"{delay} microseconds")
+    return timed.groupBy(key).applyInPandasWithState(
         judge, f"{key} {kind}, us long, seq long, window_rate double, baseline_rate double, ratio double, window_count long",
-        "past array<long>, held array<array<long>>, last long, top long", "append", GroupStateTimeout.ProcessingTimeTimeout,
+        "past array<long>, held array<array<long>>, last long", "append", GroupStateTimeout.EventTimeTimeout,
     )
 
 
