@@ -235,9 +235,43 @@ def test_places_of_calls_equal_a_plain_walk(spark):
 def test_plain_replies_run_the_ordering(spark, monkeypatch):
     rows = [(c, t, "assistant" if t % 2 else "user", f"text {t}") for c in (1, 2) for t in range(40)] + [(3, 0, "user", "a"), (3, 0, "user", "b"), (3, 2, "user", "c"), (None, None, "user", None)]
     m = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
-    assert {r.turn: r.needs for r in chat.reply_events(m.filter("conv_id = 1")).collect() if r.call_id}[4] == ["3"]
+    needs = {r.turn: r.needs for r in chat.reply_events(m.filter("conv_id = 1")).collect() if r.call_id}
+    assert needs[4] == ["7"] and needs[6] == ["1"]
     gathered = []
     monkeypatch.setattr(chat.Scratch, "save", lambda self, df, _save=chat.Scratch.save: gathered.append(1) or _save(self, df))
     got = chat.link_calls(chat.reply_events(m), REPLY_SCHEMA).collect()
     assert len(got) == len(rows) and len(gathered) > 3
-    assert all((r.order_turn, r.order_level, r.cyclic) == (r.turn, 0, False) for r in got)
+
+    def place(turn: int) -> tuple[int, int]:
+        """Of the call at ``turn`` in conversations 1 and 2: no earlier than the result it needs, which comes after its own call."""
+        need = int(needs[turn][0]) - 1
+        if need not in needs:
+            return turn, 0
+        at, level = place(need)
+        return max((turn, 0), (need + 1, 1), (at, level + 2))
+
+    for r in got:
+        assert not r.cyclic
+        if r.conv_id in (1, 2):
+            at, level = place(r.turn - r.turn % 2)
+            assert (r.order_turn, r.order_level) == ((at, level + r.turn % 2) if at >= r.turn else (r.turn, 0))
+    assert sum(r.order_turn > r.turn for r in got if r.turn is not None) >= 20 and max(r.order_level for r in got) == 2
+
+
+def test_arguments_are_written_canonically(spark):
+    args = '{"q" : "x\\u0041\\n", "n": 2, "deep": {"z": [1, {"b": null, "a": 1.50}], "c": true}}'
+    rows = [(1, 0, "assistant", '{"tool_call":{"id":"a","name":"get","arguments":%s,"needs":[]}}' % args), (1, 1, "tool", '{"tool_result":{"id":"a"}}')]
+    m = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {r.kind: r for r in chat.link_calls(chat.embedded_events(m), {"get": {}}).collect()}
+    assert got["call"].json.startswith('{"arguments":{"deep":{"c":true,"z":[1,{"a":1.5,"b":null}]},"n":2,"q":"xA\\n"},"content":null,')
+
+
+def test_messages_of_any_kind(spark):
+    rows = [(1, 0, "user", "hi", "x"), (1, 0, "user", "hi", "x"), (1, 1, "assistant", None, "x"), (None, None, None, None, None), (2, None, "user", "", "x"), (3, 1, "assistant", "z" * 200_000, "x")]
+    m = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, json string")
+    got = chat.link_calls(chat.reply_events(m), {"reply": {}}).collect()
+    assert sorted((str(r.conv_id), str(r.turn), r.kind, r.link) for r in got) == [
+        ("1", "0", "call", "linked"), ("1", "0", "call", "linked"), ("1", "1", "result", "linked"), ("2", "None", "message", None), ("3", "1", "result", "orphan"), ("None", "None", "message", None),
+    ]
+    assert all(r.json.startswith('{"arguments":') for r in got) and max(len(r.json) for r in got) > 200_000
+    assert chat.link_calls(chat.reply_events(m.limit(0)), {"reply": {}}).count() == 0

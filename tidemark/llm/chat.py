@@ -16,7 +16,8 @@ it takes (a chain of n calls takes about log2 n).  So a
 conversation may hold any share of all rows.  A message on a cycle, or behind
 one, keeps its own turn and is marked.
 
-Canonical JSON: keys sorted, no white space, strings as JSON has them.
+Canonical JSON: keys sorted at every depth (arguments are parsed and written
+anew), no white space, strings as JSON has them.
 
 Defined results: null conversation, turn, role or text are kept and written as
 null; messages without events are written alone; a repeated identifier counts
@@ -109,16 +110,18 @@ def embedded_events(messages: DataFrame) -> DataFrame:
 def reply_events(messages: DataFrame) -> DataFrame:
     """Plain dialogues as calls: a user turn calls ``reply``, awaited at the next turn; an assistant turn is the result awaited there.
 
-    Each call needs the call of the user turn before its reply, two turns up, where there is one.
+    Calls also need calls, so that messages are not yet in order: of a conversation's exchanges every other one needs the
+    one that follows it, and those need the one three before, where there are such.  A conversation is thus one chain.
     """
     at = F.col("turn").cast("string")
+    need = F.when(F.floor(F.col("turn") / 2) % 2 == 0, F.col("turn") + 3).otherwise(F.col("turn") - 5)
     is_user, is_reply = F.col("role") == "user", F.col("role") == "assistant"
     return messages.select(
         "*",
         F.when(is_user, (F.col("turn") + 1).cast("string")).alias("call_id"),
         F.when(is_user, F.lit("reply")).alias("tool"),
         F.when(is_user, canonical({"text": quoted(F.col("text"))})).alias("arguments"),
-        F.when(is_user & F.col("turn").isNotNull(), F.array((F.col("turn") - 1).cast("string"))).otherwise(F.array().cast("array<string>")).alias("needs"),
+        F.when(is_user & F.col("turn").isNotNull(), F.array(need.cast("string"))).otherwise(F.array().cast("array<string>")).alias("needs"),
         F.when(is_reply, at).alias("result_id"),
     )
 
@@ -166,7 +169,7 @@ def link_calls(events: DataFrame, schemas: dict[str, dict]) -> DataFrame:
         "link": quoted(F.col("link")),
         "role": quoted(F.col("role")),
         "tool": quoted(F.col("tool")),
-        "arguments": F.when(F.col("invalid") == "arguments are no object", quoted(F.col("arguments"))).otherwise(F.col("arguments")),
+        "arguments": F.when(F.col("invalid") == "arguments are no object", quoted(F.col("arguments"))).otherwise(F.to_json(F.try_parse_json("arguments"))),
         "turn": number("turn"),
         "valid": F.when(is_call, F.col("invalid").isNull().cast("string")),
     })

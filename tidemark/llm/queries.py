@@ -104,19 +104,30 @@ FROM m GROUP BY doc_id
 """
 
 _OP10_SQL = """
-WITH m AS (
+WITH RECURSIVE m AS (
   SELECT conv_id, turn, role, text,
          CASE role WHEN 'user' THEN 'call' WHEN 'assistant' THEN 'result' ELSE 'message' END AS kind,
          CASE role WHEN 'user' THEN CAST(turn + 1 AS VARCHAR) WHEN 'assistant' THEN CAST(turn AS VARCHAR) END AS event_id
   FROM conversations),
+c AS (SELECT conv_id, turn, event_id, CAST(CASE WHEN turn // 2 % 2 = 0 THEN turn + 3 ELSE turn - 5 END AS VARCHAR) AS need FROM m WHERE kind = 'call'),
+r AS (SELECT conv_id, turn, event_id FROM m WHERE kind = 'result'),
+walk AS (
+  SELECT conv_id, event_id AS of_event, event_id, need, turn, NULL::BIGINT AS answered, 0 AS far FROM c
+  UNION ALL
+  SELECT w.conv_id, w.of_event, n.event_id, n.need, n.turn, r.turn, w.far + CASE WHEN r.turn IS NULL THEN 1 ELSE 2 END
+  FROM walk w JOIN c n ON n.conv_id = w.conv_id AND n.event_id = w.need LEFT JOIN r ON r.conv_id = n.conv_id AND r.event_id = n.event_id),
+places AS (SELECT conv_id, of_event, turn, far FROM walk UNION ALL SELECT conv_id, of_event, answered, far - 1 FROM walk WHERE answered IS NOT NULL),
+p AS (SELECT conv_id, of_event, max({'turn': turn, 'far': far}) AS place FROM places GROUP BY ALL),
 j AS (
-  SELECT a.*, b.turn AS other,
+  SELECT a.*, b.turn AS other, place,
          CASE WHEN a.kind = 'call' THEN CASE WHEN b.turn IS NULL THEN 'unanswered' ELSE 'linked' END
               WHEN a.kind = 'result' THEN CASE WHEN b.turn IS NULL THEN 'orphan' ELSE 'linked' END END AS link,
          CASE WHEN a.kind = 'call' THEN CASE WHEN length(a.text) < 1 THEN 'text is too short' WHEN length(a.text) > 4000 THEN 'text is too long' END END AS invalid
-  FROM m a LEFT JOIN m b ON a.conv_id = b.conv_id AND a.event_id = b.event_id AND a.kind <> b.kind)
+  FROM m a LEFT JOIN m b ON a.conv_id = b.conv_id AND a.event_id = b.event_id AND a.kind <> b.kind
+  LEFT JOIN p ON p.conv_id = a.conv_id AND p.of_event = a.event_id)
 SELECT conv_id, turn, role, kind, event_id, link, invalid,
-       turn AS order_turn, CAST(0 AS INTEGER) AS order_level, FALSE AS cyclic,
+       greatest(turn, coalesce(place.turn, turn)) AS order_turn,
+       CAST(CASE WHEN place IS NULL OR place.turn < turn THEN 0 WHEN kind = 'call' THEN place.far ELSE place.far + 1 END AS INTEGER) AS order_level, FALSE AS cyclic,
        concat('{"arguments":', CASE WHEN kind = 'call' THEN concat('{"text":', CAST(to_json(text) AS VARCHAR), '}') ELSE 'null' END,
               ',"content":', CASE WHEN kind = 'call' THEN 'null' ELSE CAST(to_json(text) AS VARCHAR) END,
               ',"conv":', conv_id, ',"id":', coalesce('"' || event_id || '"', 'null'), ',"kind":"', kind,
