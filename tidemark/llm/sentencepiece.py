@@ -9,13 +9,17 @@ adjacent pieces are compatible when merging their characters anew yields just
 these two pieces.  For strictly ordered merges the encoding of every prefix is
 unique, so a position that failed once need never be tried again.
 
-Pieces of equal score are only met in runs of spaces (checked when the model is
-loaded); a chunk with such a run is encoded by the merge loop itself, in
-O(n log n).
+Pieces of equal score are only met in runs of spaces, and score below all others
+(checked when the model is loaded).  So the word after a run is encoded first,
+with one space, by the search; only what is left of the run, spaces and nothing
+else, is merged from the left in O(n log n), as equal scores have it.  There is
+no other way past the search: chunks of any length go through it whole.
 
 Defined results: a null text counts as empty; an empty text has only the begin
 and end ids; a character outside the vocabulary becomes its UTF-8 byte pieces;
-repeated rows give repeated results; other columns of the input are ignored.
+repeated rows give repeated results; very long texts are encoded whole; other
+columns of the input are ignored, whatever their names; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -24,6 +28,7 @@ import hashlib
 import heapq
 import re
 import struct
+from array import array
 from collections.abc import Iterator
 
 import ahocorasick
@@ -104,8 +109,10 @@ class PieceModel:
                 raise ValueError(f"pieces {seen[s]!r} and {p!r} have one score; merges must be strictly ordered")
             if len(p) > 1:
                 seen[s] = p
-        if any(SPACE in p.lstrip(SPACE) for p in self.score):
-            raise ValueError("a piece holds a space after another character")
+        if any(SPACE in p.lstrip(SPACE) or p.startswith(SPACE * 2) and p.strip(SPACE) for p in self.score):
+            raise ValueError("a piece holds a space after another character, or several before one")
+        if any(s <= self.score.get(SPACE * 2, -np.inf) for p, s in self.score.items() if len(p) > 1 and p.strip(SPACE)):
+            raise ValueError("spaces are merged before other characters")
         held = {c for p in self.score if len(p) > 1 for c in p}
         #: Line ends are in no piece of several characters, so chunks end there too.
         self.line_apart = "\n" not in held
@@ -113,8 +120,14 @@ class PieceModel:
         self.automaton = ahocorasick.Automaton()
         for p, i in self.ids.items():
             if self.merge(p) == [p]:
-                self.automaton.add_word(p[::-1], (len(p), i))
+                self.automaton.add_word(p[::-1], i)
         self.automaton.make_automaton()
+        #: Of each piece its length and the longest shorter piece that it begins with.
+        self._sizes = [len(p) for p in self.pieces]
+        self._shorter = [-1] * len(self.pieces)
+        for p, i in self.ids.items():
+            self._shorter[i] = next((self.ids[p[:k]] for k in range(len(p) - 1, 0, -1) if p[:k] in self.ids and self.automaton.exists(p[:k][::-1])), -1)
+        self._space = self.ids.get(SPACE, len(self.pieces) + ord(SPACE))
         #: Neighbouring characters of some piece; between any others a text falls apart.
         self._joined = {p[k : k + 2] for p in self.score for k in range(len(p) - 1)}
         self._pairs: dict[int, bool] = {}
@@ -171,53 +184,59 @@ class PieceModel:
 
     def _search(self, chunk: str) -> list[int]:
         """Tokens of one chunk without runs of spaces; characters outside the vocabulary are numbers past it."""
-        n, base = len(chunk), len(self.pieces)
-        starts: list[list[tuple[int, int]]] = [[] for _ in range(n)]
-        for end, found in self.automaton.iter(chunk[::-1]):
-            starts[n - 1 - end].append(found)
-        for k, own in enumerate(starts):
-            if not own or own[-1][0] != 1:
-                own.append((1, base + ord(chunk[k])))
-        pairs, failed = self._pairs, 0
+        n, base, sizes, shorter = len(chunk), len(self.pieces), self._sizes, self._shorter
+        longest = array("i", [-1]) * n
+        for end, token in self.automaton.iter(chunk[::-1]):
+            if longest[n - 1 - end] < 0:  # of the pieces that start at one place the longest comes first
+                longest[n - 1 - end] = token
+        pairs, failed = self._pairs, bytearray(n // 8 + 1)
         tokens: list[int] = []
-        places: list[int] = []
-        choices: list[int] = []
-        at = choice = 0
+        at, token = 0, longest[0] if longest[0] >= 0 else base + ord(chunk[0])
         while at < n:
-            own = starts[at]
-            while choice < len(own):
-                length, token = own[choice]
-                if not failed >> (at + length) & 1:
+            while token >= 0:
+                end = at + (sizes[token] if token < base else 1)
+                if not failed[end >> 3] >> (end & 7) & 1:
                     if not tokens:
                         break
                     key = tokens[-1] << 32 | token
                     fits = pairs.get(key)
                     if fits is None:
-                        if len(pairs) > 2_000_000:
+                        if len(pairs) > 1_000_000:
                             pairs.clear()
                         fits = pairs[key] = self.compatible(tokens[-1], token)
                     if fits:
                         break
-                choice += 1
-            if choice < len(own):
+                token = self._next(token, chunk[at])
+            if token >= 0:
                 tokens.append(token)
-                places.append(at)
-                choices.append(choice)
-                at, choice = at + length, 0
+                at = end
+                if at < n:
+                    token = longest[at] if longest[at] >= 0 else base + ord(chunk[at])
             else:
-                failed |= 1 << at
-                tokens.pop()
-                at, choice = places.pop(), choices.pop() + 1
+                failed[at >> 3] |= 1 << (at & 7)
+                last = tokens.pop()
+                at -= sizes[last] if last < base else 1
+                token = self._next(last, chunk[at])
         return tokens
 
+    def _next(self, token: int, first: str) -> int:
+        """The next shorter piece that starts where ``token`` does, at last the character alone, then -1."""
+        if token >= len(self.pieces):
+            return -1
+        found = self._shorter[token]
+        return len(self.pieces) + ord(first) if found < 0 and self._sizes[token] > 1 else found
+
     def _bytes_of(self, char: str) -> list[int]:
         return [self.bytes[b] for b in char.encode("utf-8")] if self.bytes else [self.unk]
 
     def encode_chunk(self, chunk: str) -> list[int]:
-        if SPACE * 2 in chunk:
-            found = [self.ids[p] if p in self.ids else ord(p) + len(self.pieces) for p in self.merge(chunk)]
-        elif len(chunk) > 4096:
-            return [i for part in self._windows(chunk) for i in part]
+        word = chunk.lstrip(SPACE)
+        run = len(chunk) - len(word)
+        if run > 1:
+            # Every other merge comes before those of spaces, so the word takes what it can of the last space first.
+            found = self._search(SPACE + word) if word else []
+            whole = run if not found or found[0] == self._space else run - 1
+            found = self._spaces(whole) + (found[1:] if whole == run else found)
         else:
             found = self._search(chunk)
         out: list[int] = []
@@ -225,19 +244,9 @@ class PieceModel:
             out.extend((i,) if i < len(self.pieces) else self._bytes_of(self._piece(i)))
         return out
 
-    def _windows(self, chunk: str) -> Iterator[list[int]]:
-        """A very long chunk, cut where the two characters stand together in no piece, or else merged as one."""
-        joined = self._joined
-        start = 0
-        for k in range(1, len(chunk)):
-            if chunk[k - 1 : k + 1] not in joined:
-                yield self._part(chunk[start:k])
-                start = k
-        yield self._part(chunk[start:])
-
-    def _part(self, part: str) -> list[int]:
-        found = self._search(part) if len(part) <= 65_536 else [self.ids[p] if p in self.ids else ord(p) + len(self.pieces) for p in self.merge(part)]
-        return [x for i in found for x in ((i,) if i < len(self.pieces) else self._bytes_of(self._piece(i)))]
+    def _spaces(self, n: int) -> list[int]:
+        """Tokens of a run of spaces: its merges all score alike and are done from the left."""
+        return [self.ids[p] if p in self.ids else ord(p) + len(self.pieces) for p in self.merge(SPACE * n)]
 
     def encode(self, text: str) -> bytes:
         """Ids of a whole text with begin and end, as little-endian unsigned 32-bit integers."""
