@@ -167,6 +167,43 @@ _HIST = lambda name, where: f"{name} AS (SELECT u.user_id, b.bin, coalesce(c.n,
 _Z = lambda name, src: f"{name} AS (SELECT user_id, bin, CASE WHEN stddev_pop(v) OVER w <= 1e-9 THEN 0.0 ELSE (v - avg(v) OVER w) / stddev_pop(v) OVER w END AS z FROM {src} WINDOW w AS (PARTITION BY user_id))"
 _BEST = "b AS (SELECT user_id AS candidate_id, t AS source_ts FROM s QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY value DESC, t) = 1)"
 _TR = f"""{_E}, r AS (SELECT user_id AS clip_id, seq, t, (value % 100) / 100 AS x, (t % 86400) / 86400 AS y, CASE WHEN event_type = 'view' THEN 0.2::DOUBLE ELSE 0.0::DOUBLE END AS height FROM s)"""
+_STEADY = lambda band: f"""{_TR}, n AS (SELECT *, row_number() OVER (PARTITION BY clip_id ORDER BY t, seq) AS rn FROM r),
+g AS (SELECT clip_id, rn, x, 0.0::DOUBLE AS start, 1 AS k FROM n WHERE rn = 1 UNION ALL
+ SELECT n.clip_id, n.rn, CASE WHEN abs(n.x - g.x) >= {band}::DOUBLE THEN n.x ELSE g.x END, CASE WHEN abs(n.x - g.x) >= {band}::DOUBLE THEN n.t ELSE g.start END, CASE WHEN abs(n.x - g.x) >= {band}::DOUBLE THEN g.k + 1 ELSE g.k END FROM g JOIN n ON n.clip_id = g.clip_id AND n.rn = g.rn + 1),
+d AS (SELECT DISTINCT clip_id, k, start, x FROM g)"""
+_CAPPED = f"""WITH RECURSIVE {_STEADY(0.02)},
+c AS (SELECT clip_id, list(start ORDER BY k) AS starts, list(x ORDER BY k) AS xs FROM d GROUP BY clip_id
+ UNION ALL
+ SELECT clip_id, starts[1:j] || starts[j + 2:], CASE WHEN j = 1 THEN xs[2:] ELSE xs[1:j - 1] || xs[j + 1:] END
+ FROM (SELECT *, list_position(steps, list_min(steps)) AS j FROM (SELECT *, list_transform(range(1, len(xs)), lambda i: abs(xs[i + 1] - xs[i])) AS steps FROM c WHERE len(xs) > 24) a) b),
+f AS (SELECT clip_id, starts || [2592000.0::DOUBLE] AS edges, xs FROM c WHERE len(xs) <= 24),
+l AS (SELECT clip_id, edges, xs, unnest(range(1, len(xs) + 1)) AS i FROM f)
+SELECT clip_id, round(edges[i], 2) AS start, round(edges[i + 1], 2) AS "end", round(xs[i], 6) AS x FROM l WHERE edges[i + 1] > edges[i]"""
+_FACES = f"""WITH RECURSIVE {_E},
+b AS (SELECT user_id AS clip_id, floor(t / 86400)::BIGINT AS frame, CASE WHEN event_type = 'view' THEN 0.1::DOUBLE ELSE 0.6::DOUBLE END AS x, 0.2::DOUBLE AS y, (value % 10) / 100 + 0.1::DOUBLE AS w FROM s),
+n AS (SELECT *, x + w / 2 AS cx, y + w / 2 AS cy, w * w AS area, row_number() OVER (PARTITION BY clip_id ORDER BY frame, w * w DESC, x, y) AS rn FROM b),
+f AS (SELECT clip_id, rn, [{{'cx': cx, 'cy': cy, 'area': area, 'frame': frame}}] AS faces, 1::BIGINT AS mine FROM n WHERE rn = 1
+ UNION ALL
+ SELECT clip_id, rn, CASE WHEN k IS NULL THEN faces || [own] WHEN faces[k].frame = own.frame THEN faces ELSE list_transform(range(1, len(faces) + 1), lambda i: CASE WHEN i = k THEN own ELSE faces[i] END) END,
+        CASE WHEN k IS NULL THEN len(faces) + 1 WHEN faces[k].frame = own.frame THEN NULL ELSE k END
+ FROM (SELECT clip_id, rn, faces, own, list_sort(list_filter(list_transform(range(1, len(faces) + 1), lambda i: {{'d': sqrt((own.cx - faces[i].cx) * (own.cx - faces[i].cx) + (own.cy - faces[i].cy) * (own.cy - faces[i].cy)), 'i': i, 'area': faces[i].area}}),
+         lambda c: c.d <= 0.15::DOUBLE AND (c.area <= 0 OR own.area BETWEEN c.area / 2.5::DOUBLE AND c.area * 2.5::DOUBLE)))[1].i AS k
+       FROM (SELECT n.clip_id, n.rn, f.faces, {{'cx': n.cx, 'cy': n.cy, 'area': n.area, 'frame': n.frame}} AS own FROM f JOIN n ON n.clip_id = f.clip_id AND n.rn = f.rn + 1) j) q),
+o AS (SELECT n.clip_id, n.frame, f.mine, n.x, n.y, n.w FROM n JOIN f USING (clip_id, rn) WHERE f.mine IS NOT NULL),
+v AS (SELECT clip_id, mine, count(*) / 30 AS persistence, median(w * w) AS area FROM o GROUP BY ALL HAVING count(*) >= 4),
+win AS (SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY clip_id ORDER BY persistence * area DESC, persistence DESC, area DESC, mine) = 1),
+h AS (SELECT o.* FROM o JOIN win USING (clip_id, mine) WHERE persistence >= 0.2::DOUBLE),
+sp AS (SELECT clip_id, unnest(range(0, 30)) AS frame FROM (SELECT DISTINCT clip_id FROM h) d),
+c AS (SELECT sp.clip_id, sp.frame, last_value(h.x + h.w / 2 IGNORE NULLS) OVER u AS x, last_value(h.y + h.w / 2 IGNORE NULLS) OVER u AS y, last_value(h.w IGNORE NULLS) OVER u AS w FROM sp LEFT JOIN h USING (clip_id, frame) WINDOW u AS (PARTITION BY sp.clip_id ORDER BY sp.frame ROWS UNBOUNDED PRECEDING))
+SELECT clip_id, frame AS seq, round(greatest(0.0, least(1.0, coalesce(x, 0.5))), 6) AS x, round(greatest(0.0, least(1.0, coalesce(y, 0.5))), 6) AS y, round(coalesce(w, 0.0), 6) AS width FROM c"""
+_NCC = """WITH v AS (SELECT vec_id AS clip_id, embedding::DOUBLE[] AS e, len(embedding) // 4 AS q FROM embeddings),
+a AS (SELECT clip_id, q, list_transform(e, lambda x: x - list_avg(e)) AS w, e[q + 1:q + q] AS raw FROM v),
+c AS (SELECT clip_id, q, w, list_transform(raw, lambda x: x - list_avg(raw)) AS c FROM a),
+l AS (SELECT clip_id, q, w, c, unnest(range(0, len(w) - q + 1)) AS lag FROM c),
+p AS (SELECT clip_id, lag, c, w[lag + 1:lag + q] AS part FROM l),
+s AS (SELECT clip_id, lag, CASE WHEN sqrt(list_dot_product(part, part)) > 1e-9 THEN list_dot_product(c, part) / (sqrt(list_dot_product(c, c)) * sqrt(list_dot_product(part, part))) ELSE 0.0 END AS score FROM p),
+m AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY clip_id ORDER BY round(score, 9) DESC, lag) = 1)
+SELECT clip_id, CASE WHEN score > 0 THEN lag ELSE 0 END AS lag, round(greatest(score, 0.0), 4) AS score FROM m"""
 _COVER = lambda a, b: f"avg(CASE WHEN greatest(0.0, y - h) * 1080 * 1920 / 1080 <= {b} AND least(1.0, y + h) * 1080 * 1920 / 1080 >= {a} THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END)"
 
 QUERIES = {f.__name__: f for f in (timeline_offset, sliding_ncc, verified_offset, baseline_median, burst_end, level_decay, bounds_decision, review_windows, edit_plans, deadband_segments, capped_segments, centroids, crop_centers, coverage_ratio, layout_plans, face_tracks)}
@@ -188,11 +225,11 @@ SELECT candidate_id, round(min(t), 3) AS decay FROM m JOIN s ON user_id = candid
 z AS (SELECT *, CASE WHEN e0 - s0 > 45.0 THEN 45.0::DOUBLE WHEN e0 - s0 < 10.0 THEN 10.0::DOUBLE END AS size FROM a),
 c AS (SELECT *, CASE WHEN size IS NULL THEN s0 ELSE greatest(0.0, t - size / 2) END AS s1 FROM z), d AS (SELECT *, CASE WHEN size IS NULL THEN e0 ELSE s1 + size END AS e1 FROM c), m AS (SELECT *, least(greatest(t, s1), e1) AS mt FROM d)
 SELECT candidate_id, round(s1, 6) AS start, round(e1, 6) AS "end", round(mt, 6) AS main_ts, round(greatest(s1, mt - 30.0), 6) AS hook_ts, round(least(e1, mt + 3.0), 6) AS payoff_ts FROM m""",
-    "deadband_segments": f"""WITH RECURSIVE {_TR}, n AS (SELECT *, row_number() OVER (PARTITION BY clip_id ORDER BY t, seq) AS rn FROM r),
-g AS (SELECT clip_id, rn, x, 0.0::DOUBLE AS start, 1 AS k FROM n WHERE rn = 1 UNION ALL
- SELECT n.clip_id, n.rn, CASE WHEN abs(n.x - g.x) >= 0.3::DOUBLE THEN n.x ELSE g.x END, CASE WHEN abs(n.x - g.x) >= 0.3::DOUBLE THEN n.t ELSE g.start END, CASE WHEN abs(n.x - g.x) >= 0.3::DOUBLE THEN g.k + 1 ELSE g.k END FROM g JOIN n ON n.clip_id = g.clip_id AND n.rn = g.rn + 1),
-d AS (SELECT DISTINCT clip_id, k, start, x FROM g), l AS (SELECT clip_id, start, coalesce(lead(start) OVER (PARTITION BY clip_id ORDER BY k), 2592000.0) AS stop, x FROM d)
+    "sliding_ncc": _NCC,
+    "deadband_segments": f"""WITH RECURSIVE {_STEADY(0.3)}, l AS (SELECT clip_id, start, coalesce(lead(start) OVER (PARTITION BY clip_id ORDER BY k), 2592000.0) AS stop, x FROM d)
 SELECT clip_id, round(start, 2) AS start, round(stop, 2) AS "end", round(x, 6) AS x FROM l WHERE stop > start""",
+    "capped_segments": _CAPPED,
+    "face_tracks": _FACES,
     "centroids": f"""WITH {_E}, h AS (SELECT user_id, floor((t % 86400) / 3600) AS place, sum(value) AS energy FROM s GROUP BY ALL)
 SELECT user_id, round(CASE WHEN sum(energy) <= 1e-9 THEN 0.5 ELSE 0.65::DOUBLE * (sum(energy * (place + 0.5)) / 24 / sum(energy)) + 0.175::DOUBLE END, 6) AS center FROM h GROUP BY user_id""",
     "crop_centers": f"""WITH {_TR}, l AS (SELECT clip_id, list_sort(list(y) FILTER (WHERE height > 0)) AS ys FROM r GROUP BY clip_id)

@@ -105,6 +105,30 @@ _TOKENS = "unnest(regexp_extract_all(lower(text), '([a-z0-9_]+)', 1)) AS token"
 _EDGE = """regexp_replace(regexp_replace(trim(text), '^[.,!?"''()\\[\\]]+', ''), '[.,!?"''()\\[\\]]+$', '')"""
 _EMO = ", ".join(f"'{w}'" for w in tx.EMOTION_WORDS)
 
+#: Words with their times; a word's place in a turn gives both.
+_TIMED = f"""{_W}, x AS (SELECT conv_id, turn, seq, s + seq * (10.0::DOUBLE / n) AS start, s + (seq + 1) * (10.0::DOUBLE / n) AS stop, text FROM w)"""
+_SENTENCE = "regexp_matches(rtrim({}), '[.!?…]$')"
+_CUES = f"""WITH RECURSIVE {_TIMED},
+y AS (SELECT *, row_number() OVER o AS rn, coalesce(start - lag(stop) OVER o >= 0.35::DOUBLE OR {_SENTENCE.format("lag(text) OVER o")}, TRUE) AS fresh FROM x WINDOW o AS (PARTITION BY conv_id ORDER BY start, stop, text)),
+pk AS (SELECT conv_id, rn, 1 AS cue, start, greatest(stop, start) AS stop, length(text) AS chars, text FROM y WHERE rn = 1
+ UNION ALL
+ SELECT y.conv_id, y.rn, CASE WHEN full_ THEN pk.cue + 1 ELSE pk.cue END, CASE WHEN full_ THEN y.start ELSE pk.start END, CASE WHEN full_ THEN greatest(y.stop, y.start) ELSE greatest(y.stop, pk.start) END,
+        CASE WHEN full_ THEN length(y.text) ELSE pk.chars + 1 + length(y.text) END, y.text
+ FROM pk JOIN y ON y.conv_id = pk.conv_id AND y.rn = pk.rn + 1, LATERAL (SELECT y.fresh OR pk.chars + 1 + length(y.text) > 36 OR y.stop - pk.start > 2.2::DOUBLE AS full_) l),
+c AS (SELECT conv_id, cue, min(start) AS start, arg_max(stop, rn) AS stop, string_agg(text, ' ' ORDER BY rn) AS text FROM pk GROUP BY ALL),
+o AS (SELECT *, CASE WHEN start >= max(stop) OVER (PARTITION BY conv_id ORDER BY start, stop ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) IS NOT FALSE THEN 1 ELSE 0 END AS opens FROM c),
+i AS (SELECT *, sum(opens) OVER (PARTITION BY conv_id ORDER BY start, stop ROWS UNBOUNDED PRECEDING) AS island FROM o),
+m AS (SELECT conv_id, island, min(start) AS start, arg_max(stop, {{'a': start, 'b': stop}}) AS stop, string_agg(text, ' ' ORDER BY start, stop) AS text FROM i GROUP BY ALL),
+s AS (SELECT conv_id, island, start, greatest(stop, start + 0.5::DOUBLE) AS stop, text, lead(start) OVER (PARTITION BY conv_id ORDER BY start, island) AS next FROM m)
+SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY start, island) AS cue, round(start, 6) AS start, round(CASE WHEN next IS NULL THEN stop ELSE least(stop, greatest(start, next)) END, 6) AS "end", text FROM s"""
+_FIRST = lambda n: f"array_to_string(string_split(regexp_replace(trim(said), '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1))[1:{n}], ' ')"
+_FALLBACK = f"""WITH {_TURNS}, f AS (SELECT conv_id AS clip_id, arg_min(text, turn) AS said FROM t GROUP BY 1),
+k AS (SELECT clip_id, unnest(regexp_extract_all(lower(said), '([a-z0-9_]+)', 1)) AS token FROM f),
+a AS (SELECT clip_id, token AS tag, 2 AS rank, -count(*) AS weight FROM k WHERE length(token) >= 4 AND token NOT IN ({_STOP}) AND NOT regexp_full_match(token, '[0-9]+') GROUP BY ALL UNION ALL SELECT clip_id, 'someone', 0, 0 FROM f),
+b AS (SELECT clip_id, tag, min(rank * 1000000000000 + weight) AS o FROM a GROUP BY ALL),
+h AS (SELECT clip_id, string_agg(tag, ',' ORDER BY o, tag) AS hashtags FROM (SELECT * FROM b QUALIFY row_number() OVER (PARTITION BY clip_id ORDER BY o, tag) <= 6) z GROUP BY clip_id)
+SELECT clip_id, rtrim({_FIRST(1)}[1:60]) AS title, trim({_FIRST(2)} || ' (via someone)') AS description, hashtags FROM f JOIN h USING (clip_id)"""
+
 QUERIES = {f.__name__: f for f in (keyword_hits, chat_context, chat_context_messages, repeated_texts, hashtags, token_counts, emphasis_words, words_interpolated, cues, subtitle_lines, emote_only, fallback_metadata)}
 ORACLE_SQL = {
     "keyword_hits": f"WITH {_TURNS} SELECT conv_id, turn, keyword FROM (SELECT *, coalesce({_KW}) AS keyword FROM t) WHERE keyword IS NOT NULL",
@@ -126,6 +150,11 @@ x AS (SELECT conv_id, seq, lower(core) AS word, CASE WHEN length(core) > 1 AND r
 s AS (SELECT conv_id, word, CAST(sum(score) AS BIGINT) AS score, min(seq) AS first FROM x WHERE score > 0 GROUP BY ALL),
 n AS (SELECT *, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY score DESC, first, word) AS INTEGER) AS place FROM s) SELECT conv_id, place, word, score FROM n WHERE place <= 12""",
     "words_interpolated": f'WITH {_W} SELECT conv_id, turn, seq, round(s + seq * (10.0::DOUBLE / n), 6) AS start, round(s + (seq + 1) * (10.0::DOUBLE / n), 6) AS "end", text FROM w',
+    "cues": _CUES,
+    "subtitle_lines": f"""WITH {_TIMED}, z AS (SELECT *, round_even(greatest(start, 0.0) * 100, 0)::BIGINT AS c FROM x)
+SELECT conv_id, turn, seq, printf('%d:%02d:%02d.%02d', c // 360000, c // 6000 % 60, c // 100 % 60, c % 100) AS at, regexp_replace(translate(replace(text, chr(92), chr(92) || chr(92)), '{{}}', '()'), '[\\r\\n]+', ' ', 'g') AS shown,
+ lower({_EDGE}) AS form, {_SENTENCE.format("text")} AS ends FROM z""",
+    "fallback_metadata": _FALLBACK,
     "emote_only": f"""WITH {_W}, c AS (SELECT conv_id, regexp_replace(regexp_replace(lower(text), '^[!?.]+', ''), '[!?.]+$', '') AS core FROM w)
 SELECT conv_id, core IN ({", ".join(f"'{x}'" for x in tx.EMOTES)}) OR NOT regexp_matches(core, '[\\pL\\pN]') AS empty, count(*) AS n FROM c GROUP BY 1, 2""",
 }
