@@ -14,4 +14,4 @@ ORACLE_SQL: dict[str, str] = {**detection.ORACLE_SQL, **spans.ORACLE_SQL, **reco
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which moments of a stream should a person look at, best first?"""
-    return detection.ranked_moments(spark, sf_dir).orderBy("score", "peak_us", ascending=[False, True])
+    return detection.ranked_moments(spark, sf_dir).orderBy("score", "source_ts", ascending=[False, True])

@@ -7,9 +7,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.config import AudioLevels, ChatRates, Fusion, Settings
 from tidemark.functions.times import MICROS, timestamp_micros
 from tidemark.operators import fusion, rates, sequences
-from tidemark.operators.reasons import extract_reason
+from tidemark.plans import detection
 from tidemark.queries.common import EVENTS, events, table
 from tidemark.session import shared_folder
 
@@ -64,20 +65,27 @@ def coalesce_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("user_id", "start_us", "end_us", "peak_us", F.round("peak_score", 6).alias("peak_score"), "peak_kind", "event_count", F.array_join("kinds", ",").alias("kinds"))
 
 
+#: Errors are what is asked for; five minutes are loud against the last sixty values.
+MOMENTS = Settings(
+    chat=ChatRates(window=300.0, baseline=3600.0, multiplier=MULTIPLIER, min_rate=MIN_RATE, keywords=("error",), dedupe_gap=1800.0),
+    audio=AudioLevels(frame=300.0, baseline=18_000.0),
+    fusion=Fusion(proximity=600.0, coalesce_gap=1200.0),
+)
+
+
+def _said(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return events(spark, sf_dir).select("stream_id", "seq", "us", F.col("user_id").cast("string").alias("user"), F.col("event_type").alias("text"))
+
+
+def chat_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keyword and rate events, without those near a better one of their kind."""
+    return detection.chat_signals(_said(spark, sf_dir), MOMENTS).select("seq", "us", "kind", "score")
+
+
 def ranked_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rate and level spikes fused, coalesced and ranked, with the reason in words: the whole detection plan."""
-    e = events(spark, sf_dir)
-    rate = rates.rate_spikes(e, ["stream_id"], W, B, MULTIPLIER, MIN_RATE).select("stream_id", "us", "seq", F.lit(0.85).alias("score"), "ratio")
-    level = rates.level_spikes(e, ["stream_id"], 60, 2.5, 0.02, 600 * MICROS).select("stream_id", "us", "seq", F.lit(0.75).alias("score"), (F.col("value") / F.col("level")).alias("times"))
-    fused = fusion.fuse(rate, level, ["stream_id"], 600 * MICROS)
-    j = fused.join(rate.select(F.col("seq").alias("first_seq"), "ratio"), "first_seq", "left").join(level.select(F.col("seq").alias("second_seq"), "times"), "second_seq", "left")
-    chat = F.when(F.col("ratio").isNotNull(), F.to_json(F.struct(F.lit("rate_spike").alias("kind"), F.round("ratio", 3).alias("multiplier"))))
-    audio = F.when(F.col("times").isNotNull(), F.to_json(F.struct(F.lit("intensity_spike").alias("kind"), F.round("times", 3).alias("multiplier"))))
-    signals = F.concat(F.lit('{"events":['), F.concat_ws(",", chat, audio), F.lit("]}"))
-    kind = F.when(F.col("kind") == "pair", "chat_audio").when(F.col("kind") == "first", "rate_spike").otherwise("intensity_spike")
-    ev = j.select("stream_id", "us", F.coalesce("first_seq", "second_seq").alias("seq"), kind.alias("kind"), "score", signals.alias("signals"))
-    found = sequences.coalesce_sessions(ev, ["stream_id"], 1200 * MICROS, payload=F.col("signals"))
-    return found.select("peak_us", F.round("peak_score", 6).alias("score"), "peak_kind", "event_count", F.array_join("kinds", ",").alias("kinds"), extract_reason(F.element_at("events", 1)).alias("reason"))
+    """Keywords, rate and level spikes fused, coalesced and ranked, with the reason in words: the whole detection plan."""
+    found = detection.detect(_said(spark, sf_dir), events(spark, sf_dir).select("stream_id", "seq", "us", "value"), MOMENTS)
+    return found.select("source_ts", F.round("score", 6).alias("score"), "event_count", F.array_join("kinds", ",").alias("kinds"), "reason")
 
 
 def ema_smooth(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -179,6 +187,35 @@ SELECT us, CASE WHEN bseq IS NULL THEN 'first' ELSE 'pair' END AS kind, round(CA
 UNION ALL
 SELECT us, 'second', round(score, 6), NULL, seq FROM b WHERE seq NOT IN (SELECT bseq FROM w WHERE bseq IS NOT NULL)"""
 
+_LOUD = _LEVELS.format(key="0")
+_SIGNALS = f"""{EVENTS}, {_COUNTS.format(key="0")}, {_LOUD},
+kw AS (SELECT us, seq, user_id FROM e WHERE event_type = 'error'),
+kt AS (SELECT min(us) AS us FROM kw UNION ALL SELECT min(kw.us) FROM kt JOIN kw ON kw.us >= kt.us + 1800000000 HAVING min(kw.us) IS NOT NULL),
+rs AS (SELECT q.us, q.seq, round(wr / br, 3) AS times FROM q JOIN t ON q.us = t.us),
+rn AS (SELECT *, row_number() OVER (ORDER BY us, seq) AS rn FROM rs),
+rd AS (SELECT rn, us AS held FROM rn WHERE rn = 1 UNION ALL SELECT rn.rn, CASE WHEN rn.us - rd.held >= 1800000000 THEN rn.us ELSE rd.held END FROM rd JOIN rn ON rn.rn = rd.rn + 1),
+ch AS (SELECT kw.us, kw.seq, 'keyword' AS kind, 0.7::DOUBLE AS score, kw.user_id AS who, NULL::DOUBLE AS times FROM kw JOIN kt USING (us)
+       UNION ALL SELECT rn.us, rn.seq, 'rate_spike', 0.85::DOUBLE, NULL, times FROM rn JOIN rd USING (rn) WHERE rn.us = rd.held)"""
+_ONE = "printf('%.1f', floor(x * 10 + 0.5) / 10)"
+_MOMENTS = f"""WITH RECURSIVE {_SIGNALS},
+a AS (SELECT us, seq * 2 + (kind = 'rate_spike')::INT AS seq, kind, score, who, times, row_number() OVER (ORDER BY us, seq * 2 + (kind = 'rate_spike')::INT) AS rn FROM ch),
+b AS (SELECT lq.us, lq.seq, 0.75::DOUBLE AS score, round(value / level, 3) AS loud FROM lq JOIN lt ON lq.k = lt.k AND lq.us = lt.us),
+p AS (SELECT a.rn, a.us, b.seq AS bseq, b.us AS bus FROM a JOIN b ON b.us BETWEEN a.us - 600000000 AND a.us + 600000000),
+m AS (SELECT 0::BIGINT AS rn, CAST(NULL AS BIGINT) AS bseq, CAST([] AS BIGINT[]) AS used
+      UNION ALL
+      SELECT m.rn + 1, x.bseq, list_filter(list_append(m.used, x.bseq), lambda u: u IS NOT NULL)[-2000:]
+      FROM m LEFT JOIN LATERAL (SELECT p.bseq FROM p WHERE p.rn = m.rn + 1 AND NOT list_contains(m.used, p.bseq) ORDER BY abs(p.bus - p.us), p.bus DESC, p.bseq DESC LIMIT 1) x ON TRUE
+      WHERE m.rn < (SELECT max(rn) FROM a)),
+f AS (SELECT a.us, a.seq, CASE WHEN b.seq IS NULL THEN a.kind ELSE 'chat_audio' END AS kind, CASE WHEN b.seq IS NULL THEN a.score ELSE least(1.0, a.score + 0.5 * b.score) END AS score, a.kind AS chat, who, times, loud FROM a JOIN m USING (rn) LEFT JOIN b ON b.seq = m.bseq
+      UNION ALL SELECT us, seq, 'intensity_spike', score, NULL, NULL, NULL, loud FROM b WHERE seq NOT IN (SELECT bseq FROM m WHERE bseq IS NOT NULL)),
+g AS (SELECT *, CASE WHEN us - lag(us) OVER (ORDER BY us, seq) <= 1200000000 THEN 0 ELSE 1 END AS fresh FROM f),
+h AS (SELECT *, sum(fresh) OVER (ORDER BY us, seq ROWS UNBOUNDED PRECEDING) AS s FROM g),
+z AS (SELECT s, arg_max(us, {{'a': score, 'b': -us, 'c': -seq}}) / 1e6 AS source_ts, max(score) AS score, count(*) AS event_count, array_to_string(list_sort(list(DISTINCT kind)), ',') AS kinds,
+             arg_min(who, {{'a': us, 'b': seq}}) FILTER (WHERE who IS NOT NULL) AS who, arg_min(times, {{'a': us, 'b': seq}}) FILTER (WHERE times IS NOT NULL) AS times, arg_min(loud, {{'a': us, 'b': seq}}) FILTER (WHERE loud IS NOT NULL) AS loud FROM h GROUP BY s)
+SELECT source_ts, round(score, 6) AS score, event_count, kinds,
+ concat_ws('; ', CASE WHEN who IS NOT NULL THEN 'Chat asked to clip it ("error" from ' || who || ')' END, CASE WHEN times IS NOT NULL THEN 'Chat rate jumped ' || {_ONE.replace("x", "times")} || 'x vs the last minute' END,
+  CASE WHEN loud IS NOT NULL THEN 'Audio got ' || {_ONE.replace("x", "loud")} || 'x louder than the recent baseline' END) AS reason FROM z"""
+
 _SESSIONS = f"""WITH {EVENTS},
 f AS (SELECT *, CASE WHEN us - lag(us) OVER (PARTITION BY user_id ORDER BY us, seq) <= 43200000000 THEN 0 ELSE 1 END AS fresh FROM e),
 g AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY us, seq) AS s FROM f),
@@ -187,7 +224,7 @@ SELECT user_id, min(us) AS start_us, max(us) AS end_us, max(us) FILTER (WHERE be
        max(event_type) FILTER (WHERE best = 1) AS peak_kind, count(*) AS event_count, array_to_string(list_sort(list(DISTINCT event_type)), ',') AS kinds
 FROM r GROUP BY user_id, s"""
 
-QUERIES = {f.__name__: f for f in (rate_window_counts, rate_spikes, rate_spikes_by_type, value_spikes, rms_frames, dedupe_nearby, thinned, fuse_signals, coalesce_moments, ranked_moments, ema_smooth, forward_fill, nearest_sample, activity_histogram, normalized_activity, stream_rate_spikes, live_rate_spikes)}
+QUERIES = {f.__name__: f for f in (rate_window_counts, rate_spikes, rate_spikes_by_type, value_spikes, rms_frames, dedupe_nearby, thinned, fuse_signals, coalesce_moments, chat_signals, ranked_moments, ema_smooth, forward_fill, nearest_sample, activity_histogram, normalized_activity, stream_rate_spikes, live_rate_spikes)}
 _HIST = """h AS (SELECT event_type, bin, coalesce(n, 0)::DOUBLE AS level FROM (SELECT DISTINCT event_type FROM e) t CROSS JOIN (SELECT unnest(range(0, 720)) AS bin) b
      LEFT JOIN (SELECT event_type, greatest(0, least(719, trunc((us - 1704067200000000) / 1000000.0::DOUBLE / 3600.0::DOUBLE)))::BIGINT AS bin, count(*) AS n FROM e GROUP BY ALL) c USING (event_type, bin))"""
 ORACLE_SQL = {
@@ -202,6 +239,8 @@ ORACLE_SQL = {
     "thinned": f"WITH RECURSIVE {EVENTS}, t AS (SELECT user_id, min(us) AS us FROM e GROUP BY user_id UNION ALL SELECT e.user_id, min(e.us) FROM t JOIN e ON e.user_id = t.user_id AND e.us >= t.us + 21600000000 GROUP BY e.user_id) SELECT e.user_id, e.seq, e.us FROM e JOIN t ON e.user_id = t.user_id AND e.us = t.us",
     "fuse_signals": _FUSE,
     "coalesce_moments": _SESSIONS,
+    "chat_signals": f"WITH RECURSIVE {_SIGNALS} SELECT seq, us, kind, score FROM ch",
+    "ranked_moments": _MOMENTS,
     "ema_smooth": f"""WITH RECURSIVE {EVENTS}, n AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY us, seq) AS rn FROM e),
 s AS (SELECT user_id, seq, rn, value AS v FROM n WHERE rn = 1 UNION ALL SELECT n.user_id, n.seq, n.rn, s.v + 0.12::DOUBLE * (n.value - s.v) FROM s JOIN n ON n.user_id = s.user_id AND n.rn = s.rn + 1)
 SELECT user_id, seq, round(v, 6) AS smoothed FROM s""",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.config import Bounds, ChatRates
+from tidemark.config import Bounds, ChatRates, Settings
 from tidemark.functions.times import MICROS
 from tidemark.operators import alignment, bounds, layout, track
 from tidemark.plans import editing
@@ -66,18 +66,23 @@ def level_decay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bounds.level_decay(_moments(e), levels, 864_000.0, 0.02, 864_000.0).select("candidate_id", F.round("decay", 3).alias("decay"))
 
 
-def _decided(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+#: Bounds and rates of events that are minutes apart.
+WIDE = Settings(
+    bounds=Bounds(min_seconds=600.0, max_seconds=5400.0, target_seconds=1800.0, hook_lookback=3600.0, reaction_tail=1800.0, min_context=300.0, start_tolerance=600.0, end_tolerance=900.0, utterance_gap=60.0),
+    chat=ChatRates(window=600.0, min_rate=1 / 300),
+)
+
+
+def _evidence(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Each user's best event as a candidate, with that user's events as words, chat and levels."""
     e = _seconds(events(spark, sf_dir))
-    m = _moments(e)
-    words = e.select(F.col("user_id").alias("candidate_id"), F.col("t").alias("start"), (F.col("t") + F.col("value") * 10).alias("end"), F.col("event_type").alias("text"))
-    chat = e.select(F.col("user_id").alias("candidate_id"), "t")
-    levels = e.select(F.col("user_id").alias("candidate_id"), "t", "value")
-    cfg = Bounds(min_seconds=600.0, max_seconds=5400.0, target_seconds=1800.0, hook_lookback=3600.0, reaction_tail=1800.0, min_context=300.0, start_tolerance=600.0, end_tolerance=900.0, utterance_gap=60.0)
-    return bounds.decide(m, words, chat, levels, cfg, ChatRates(window=600.0, min_rate=1 / 300)), m
+    own = F.col("user_id").alias("candidate_id")
+    words = e.select(own, F.col("t").alias("start"), (F.col("t") + F.col("value") * 10).alias("end"), F.col("event_type").alias("text"))
+    return _moments(e), words, e.select(own, "t"), e.select(own, "t", "value")
 
 
 def bounds_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = _decided(spark, sf_dir)[0]
+    got = bounds.decide(*_evidence(spark, sf_dir), WIDE.bounds, WIDE.chat)
     return got.select("candidate_id", *(F.round(c, 3).alias(c) for c in ("start", "end", "main_ts", "hook_ts", "payoff_ts")), "method", F.array_join("rules", "; ").alias("rules"))
 
 
@@ -89,11 +94,22 @@ def review_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def edit_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Plans of the twenty best candidates from all their evidence; some ask for a strategy or style of their own."""
+    moments, *evidence = _evidence(spark, sf_dir)
+    third = F.col("candidate_id") % 3
+    asked = moments.select("candidate_id", F.when(third == 0, "irl").when(third == 1, "auto").alias("strategy"), F.when(third == 0, "minimal").alias("style"))
+    return editing.build_plans(moments, *evidence, overrides=asked, cfg=WIDE).select("candidate_id", F.round("start", 3).alias("start"), F.round("end", 3).alias("end"), "strategy", "style")
+
+
+def proposed_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The detection windows, with starts and ends proposed by a service held within the rules."""
     e = _seconds(events(spark, sf_dir))
-    m = _moments(e)
-    none = e.select(F.col("user_id").alias("candidate_id"), "t", "value").limit(0)
-    words = e.select(F.col("user_id").alias("candidate_id"), F.col("t").alias("start"), (F.col("t") + 60).alias("end"), F.col("event_type").alias("text"))
-    return editing.build_plans(m, words, none.select("candidate_id", "t"), none).select("candidate_id", F.round("start", 3).alias("start"), F.round("end", 3).alias("end"), "strategy", "style")
+    m = e.select(F.col("seq").alias("candidate_id"), F.col("t").alias("source_ts"), (F.col("value") / 2).alias("pre"), F.col("value").alias("post"))
+    held = bounds.review_window(m).withColumns({"floor": F.greatest(F.lit(0.0), F.col("source_ts") - 60), "ceiling": F.col("source_ts") + 90})
+    odd = F.col("candidate_id") % 3
+    asked = m.select("candidate_id", F.when(odd > 0, F.col("source_ts") - F.col("post") / 4 + 5).cast("string").alias("start"), F.when(odd > 1, F.col("source_ts") + F.col("post")).otherwise(None).cast("string").alias("end"), F.lit("soon").alias("main_ts"), F.lit(None).cast("string").alias("payoff_ts"))
+    got = bounds.apply_proposal(held, asked)
+    return got.select("candidate_id", *(F.round(c, 6).alias(c) for c in ("start", "end", "main_ts", "payoff_ts")), F.array_join("rules", "; ").alias("rules"))
 
 
 def _track(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -167,6 +183,61 @@ _HIST = lambda name, where: f"{name} AS (SELECT u.user_id, b.bin, coalesce(c.n,
 _Z = lambda name, src: f"{name} AS (SELECT user_id, bin, CASE WHEN stddev_pop(v) OVER w <= 1e-9 THEN 0.0 ELSE (v - avg(v) OVER w) / stddev_pop(v) OVER w END AS z FROM {src} WINDOW w AS (PARTITION BY user_id))"
 _BEST = "b AS (SELECT user_id AS candidate_id, t AS source_ts FROM s QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY value DESC, t) = 1)"
 _TR = f"""{_E}, r AS (SELECT user_id AS clip_id, seq, t, (value % 100) / 100 AS x, (t % 86400) / 86400 AS y, CASE WHEN event_type = 'view' THEN 0.2::DOUBLE ELSE 0.0::DOUBLE END AS height FROM s)"""
+_SNAP = lambda at, edge, to, tolerance: f"""coalesce((SELECT {to} FROM w WHERE w.candidate_id = h.candidate_id AND ws < {at} AND {at} < we ORDER BY ws, we LIMIT 1),
+ (SELECT CASE WHEN n.d > 0 AND n.d <= {tolerance} THEN n.e END FROM (SELECT min({{'d': abs({edge} - {at}), 'e': {edge}}}) AS n FROM quiet WHERE quiet.candidate_id = h.candidate_id) z), {at})"""
+_DECIDED = f"""{_E}, {_BEST},
+c AS (SELECT candidate_id, source_ts AS mid, greatest(0.0, source_ts - 3600.0) AS lo, source_ts + 7200.0 AS hi FROM b),
+w AS (SELECT candidate_id, t AS ws, t + value * 10 AS we FROM c JOIN s ON user_id = candidate_id WHERE t + value * 10 > lo AND t < hi AND t + value * 10 > t),
+wf AS (SELECT *, CASE WHEN ws - max(we) OVER (PARTITION BY candidate_id ORDER BY ws, we ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) < 60.0 THEN 0 ELSE 1 END AS fresh FROM w),
+wi AS (SELECT *, sum(fresh) OVER (PARTITION BY candidate_id ORDER BY ws, we ROWS UNBOUNDED PRECEDING) AS i FROM wf),
+u AS (SELECT candidate_id, i, min(ws) AS us, max(we) AS ue FROM wi GROUP BY ALL),
+un AS (SELECT *, lag(us) OVER o AS pus, lag(ue) OVER o AS pue FROM u WINDOW o AS (PARTITION BY candidate_id ORDER BY i)),
+quiet AS (SELECT * FROM (SELECT candidate_id, greatest(coalesce(pue, lo), lo) AS qs, least(us, hi) AS qe FROM un JOIN c USING (candidate_id) UNION ALL SELECT candidate_id, greatest(max(ue), any_value(lo)), any_value(hi) FROM u JOIN c USING (candidate_id) GROUP BY candidate_id) q WHERE qe > qs),
+main AS (SELECT candidate_id, ue, pus FROM un JOIN c USING (candidate_id) WHERE us <= mid AND mid <= ue QUALIFY row_number() OVER (PARTITION BY candidate_id ORDER BY i) = 1),
+near AS (SELECT candidate_id, mid, t, value FROM c JOIN s ON user_id = candidate_id WHERE t BETWEEN lo AND hi),
+bk AS (SELECT candidate_id, k FROM c CROSS JOIN (SELECT unnest(range(1, 7)) AS k) k WHERE (SELECT count(*) FROM near WHERE near.candidate_id = c.candidate_id AND near.t > c.mid + k * 300.0 - 600.0 AND near.t <= c.mid + k * 300.0) / 600.0::DOUBLE >= 1.0::DOUBLE / 300),
+burst AS (SELECT candidate_id, max(k) AS k FROM bk GROUP BY 1),
+base AS (SELECT candidate_id, median(value) AS base FROM near WHERE t BETWEEN mid - 30.0 AND mid GROUP BY 1),
+dec AS (SELECT near.candidate_id, min(t) AS decay FROM near LEFT JOIN base USING (candidate_id) WHERE t BETWEEN mid AND mid + 1800.0 AND value < greatest(0.02::DOUBLE, 1.5::DOUBLE * coalesce(base, 0.02::DOUBLE)) GROUP BY 1),
+pay AS (SELECT c.*, main.pus, (SELECT count(*) FROM u WHERE u.candidate_id = c.candidate_id) AS said,
+  greatest(greatest(mid, coalesce(main.ue, mid)), least(greatest(least(mid + coalesce(k, 0) * 300.0, mid + 1800.0), decay), mid + 1800.0)) AS payoff
+  FROM c LEFT JOIN main USING (candidate_id) LEFT JOIN burst USING (candidate_id) LEFT JOIN dec USING (candidate_id)),
+h AS (SELECT *, greatest(lo, least(CASE WHEN pus IS NOT NULL THEN greatest(mid - 3600.0, least(pus, mid - 300.0)) WHEN said = 0 THEN mid ELSE mid - 3600.0 END, mid)) AS hook,
+  coalesce((SELECT min(qs) FROM quiet WHERE quiet.candidate_id = pay.candidate_id AND qs >= payoff), payoff) AS stop FROM pay),
+k0 AS (SELECT *, greatest(lo, {_SNAP('h.hook', 'qs', 'ws', 600.0)}) AS a, {_SNAP('h.stop', 'qe', 'we', 900.0)} AS z FROM h),
+k1 AS (SELECT * REPLACE (least(a, z) AS a, greatest(a, z) AS z) FROM k0),
+k2 AS (SELECT * REPLACE (CASE WHEN a > mid THEN greatest(lo, mid - 300.0) ELSE a END AS a, greatest(z, payoff) AS z), a > mid AS late, z < payoff AS opened FROM k1),
+k3 AS (SELECT *, least(greatest(a, z - 5400.0), greatest(lo, mid - 300.0)) AS moved FROM k2),
+k4 AS (SELECT * REPLACE (CASE WHEN z - a > 5400.0 AND moved > a THEN moved ELSE a END AS a), z - a > 5400.0 AND moved > a AS first_cut FROM k3),
+k5 AS (SELECT * REPLACE (CASE WHEN z - a > 5400.0 THEN a + 5400.0 ELSE z END AS z), z - a > 5400.0 AS last_cut FROM k4),
+k6 AS (SELECT *, z - a < 600.0 AS short, least(hi, a + 600.0) - a >= 600.0 AS room FROM k5),
+k7 AS (SELECT * REPLACE (CASE WHEN short AND NOT room THEN least(a, greatest(lo, z - 600.0)) ELSE a END AS a) FROM k6),
+k8 AS (SELECT * REPLACE (CASE WHEN short THEN least(hi, a + 600.0) ELSE z END AS z) FROM k7),
+k9 AS (SELECT * REPLACE (greatest(lo, a) AS a) FROM k8),
+own AS (SELECT * REPLACE (least(hi, greatest(z, a)) AS z) FROM k9)"""
+#: The hard rules with their defaults, over rows of a, z (start, end), mid, payoff, lo and hi.
+_RULES = """k1 AS (SELECT * REPLACE (least(a, z) AS a, greatest(a, z) AS z) FROM k0),
+k2 AS (SELECT * REPLACE (CASE WHEN a > mid THEN greatest(lo, mid - 1.5) ELSE a END AS a, greatest(z, payoff) AS z), a > mid AS late, z < payoff AS opened FROM k1),
+k3 AS (SELECT *, least(greatest(a, z - 45.0), greatest(lo, mid - 1.5)) AS moved FROM k2),
+k4 AS (SELECT * REPLACE (CASE WHEN z - a > 45.0 AND moved > a THEN moved ELSE a END AS a), z - a > 45.0 AND moved > a AS first_cut FROM k3),
+k5 AS (SELECT * REPLACE (CASE WHEN z - a > 45.0 THEN a + 45.0 ELSE z END AS z), z - a > 45.0 AS last_cut FROM k4),
+k6 AS (SELECT *, z - a < 10.0 AS short, least(hi, a + 10.0) - a >= 10.0 AS room FROM k5),
+k7 AS (SELECT * REPLACE (CASE WHEN short AND NOT room THEN least(a, greatest(lo, z - 10.0)) ELSE a END AS a) FROM k6),
+k8 AS (SELECT * REPLACE (CASE WHEN short THEN least(hi, a + 10.0) ELSE z END AS z) FROM k7),
+k9 AS (SELECT * REPLACE (greatest(lo, a) AS a) FROM k8),
+own AS (SELECT * REPLACE (least(hi, greatest(z, a)) AS z) FROM k9)"""
+_SAID = """concat_ws('; ', CASE WHEN late THEN 'start moved back before the main event' END, CASE WHEN opened THEN 'end extended to the payoff' END, CASE WHEN first_cut THEN 'start trimmed to the ceiling' END,
+  CASE WHEN last_cut THEN 'end trimmed to the ceiling' END, CASE WHEN short THEN 'extended to the minimum length' END) AS rules"""
+_REVIEW = f"""{_E}, a AS (SELECT seq AS candidate_id, t, value, greatest(0.0, t - value / 2) AS s0, t + value AS e0 FROM s),
+z AS (SELECT *, CASE WHEN e0 - s0 > 45.0 THEN 45.0::DOUBLE WHEN e0 - s0 < 10.0 THEN 10.0::DOUBLE END AS size FROM a),
+c AS (SELECT *, CASE WHEN size IS NULL THEN s0 ELSE greatest(0.0, t - size / 2) END AS s1 FROM z), d AS (SELECT *, CASE WHEN size IS NULL THEN e0 ELSE s1 + size END AS e1 FROM c), m AS (SELECT *, least(greatest(t, s1), e1) AS mt FROM d)"""
+_PROPOSED = f"""WITH {_REVIEW}, k0 AS (SELECT candidate_id, CASE WHEN candidate_id % 3 > 0 THEN t - value / 4 + 5 ELSE s1 END AS a, CASE WHEN candidate_id % 3 > 1 THEN t + value ELSE e1 END AS z, mt AS mid, least(e1, mt + 3.0) AS payoff, greatest(0.0, t - 60) AS lo, t + 90 AS hi FROM m),
+{_RULES}
+SELECT candidate_id, round(a, 6) AS start, round(z, 6) AS "end", round(mid, 6) AS main_ts, round(payoff, 6) AS payoff_ts, {_SAID} FROM own"""
+_PLANS = f"""WITH {_DECIDED}, top AS (SELECT user_id AS candidate_id FROM s GROUP BY 1 ORDER BY max(value) DESC, arg_min(t, {{'a': -value, 'b': t}}), user_id LIMIT 20)
+SELECT candidate_id, round(a, 3) AS start, round(z, 3) AS "end", CASE candidate_id % 3 WHEN 0 THEN 'irl' ELSE '' END AS strategy, CASE candidate_id % 3 WHEN 0 THEN 'minimal' ELSE 'karaoke_highlight' END AS style FROM own JOIN top USING (candidate_id)"""
+_BOUNDS = f"""WITH {_DECIDED}
+SELECT candidate_id, round(a, 3) AS start, round(z, 3) AS "end", round(mid, 3) AS main_ts, round(least(greatest(hook, a), z), 3) AS hook_ts, round(least(greatest(payoff, a), z), 3) AS payoff_ts, 'signal_evidence' AS method, {_SAID} FROM own"""
 _STEADY = lambda band: f"""{_TR}, n AS (SELECT *, row_number() OVER (PARTITION BY clip_id ORDER BY t, seq) AS rn FROM r),
 g AS (SELECT clip_id, rn, x, 0.0::DOUBLE AS start, 1 AS k FROM n WHERE rn = 1 UNION ALL
  SELECT n.clip_id, n.rn, CASE WHEN abs(n.x - g.x) >= {band}::DOUBLE THEN n.x ELSE g.x END, CASE WHEN abs(n.x - g.x) >= {band}::DOUBLE THEN n.t ELSE g.start END, CASE WHEN abs(n.x - g.x) >= {band}::DOUBLE THEN g.k + 1 ELSE g.k END FROM g JOIN n ON n.clip_id = g.clip_id AND n.rn = g.rn + 1),
@@ -206,7 +277,7 @@ m AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY clip_id ORDER BY r
 SELECT clip_id, CASE WHEN score > 0 THEN lag ELSE 0 END AS lag, round(greatest(score, 0.0), 4) AS score FROM m"""
 _COVER = lambda a, b: f"avg(CASE WHEN greatest(0.0, y - h) * 1080 * 1920 / 1080 <= {b} AND least(1.0, y + h) * 1080 * 1920 / 1080 >= {a} THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END)"
 
-QUERIES = {f.__name__: f for f in (timeline_offset, sliding_ncc, verified_offset, baseline_median, burst_end, level_decay, bounds_decision, review_windows, edit_plans, deadband_segments, capped_segments, centroids, crop_centers, coverage_ratio, layout_plans, face_tracks)}
+QUERIES = {f.__name__: f for f in (timeline_offset, sliding_ncc, verified_offset, baseline_median, burst_end, level_decay, bounds_decision, review_windows, proposed_bounds, edit_plans, deadband_segments, capped_segments, centroids, crop_centers, coverage_ratio, layout_plans, face_tracks)}
 ORACLE_SQL = {
     "timeline_offset": f"""WITH {_E}, {_HIST('ha', "event_type = 'click'")}, {_HIST('hb', "event_type <> 'click'")}, {_Z('za', 'ha')}, {_Z('zb', 'hb')},
 x AS (SELECT za.user_id, zb.bin - za.bin AS lag, sum(za.z * zb.z) AS total FROM za JOIN zb ON za.user_id = zb.user_id AND zb.bin BETWEEN za.bin - 24 AND za.bin + 24 GROUP BY ALL),
@@ -221,11 +292,12 @@ SELECT user_id, round(coalesce(median(off) FILTER (WHERE score >= 0.6), 0.0), 5)
 SELECT candidate_id, round(source_ts + least(coalesce(max(300.0 * k) FILTER (WHERE n / 600.0::DOUBLE >= 1.0::DOUBLE / 300), 0.0), 3600.0), 3) AS burst_end FROM c GROUP BY candidate_id, source_ts""",
     "level_decay": f"""WITH {_E}, {_BEST}, m AS (SELECT candidate_id, source_ts, median(value) AS base FROM b JOIN s ON user_id = candidate_id AND t BETWEEN source_ts - 864000.0 AND source_ts GROUP BY ALL)
 SELECT candidate_id, round(min(t), 3) AS decay FROM m JOIN s ON user_id = candidate_id AND t BETWEEN source_ts AND source_ts + 864000.0 WHERE value < greatest(0.02::DOUBLE, 1.5::DOUBLE * base) GROUP BY candidate_id""",
-    "review_windows": f"""WITH {_E}, a AS (SELECT seq AS candidate_id, t, greatest(0.0, t - value / 2) AS s0, t + value AS e0 FROM s),
-z AS (SELECT *, CASE WHEN e0 - s0 > 45.0 THEN 45.0::DOUBLE WHEN e0 - s0 < 10.0 THEN 10.0::DOUBLE END AS size FROM a),
-c AS (SELECT *, CASE WHEN size IS NULL THEN s0 ELSE greatest(0.0, t - size / 2) END AS s1 FROM z), d AS (SELECT *, CASE WHEN size IS NULL THEN e0 ELSE s1 + size END AS e1 FROM c), m AS (SELECT *, least(greatest(t, s1), e1) AS mt FROM d)
+    "review_windows": f"""WITH {_REVIEW}
 SELECT candidate_id, round(s1, 6) AS start, round(e1, 6) AS "end", round(mt, 6) AS main_ts, round(greatest(s1, mt - 30.0), 6) AS hook_ts, round(least(e1, mt + 3.0), 6) AS payoff_ts FROM m""",
+    "proposed_bounds": _PROPOSED,
+    "edit_plans": _PLANS,
     "sliding_ncc": _NCC,
+    "bounds_decision": _BOUNDS,
     "deadband_segments": f"""WITH RECURSIVE {_STEADY(0.3)}, l AS (SELECT clip_id, start, coalesce(lead(start) OVER (PARTITION BY clip_id ORDER BY k), 2592000.0) AS stop, x FROM d)
 SELECT clip_id, round(start, 2) AS start, round(stop, 2) AS "end", round(x, 6) AS x FROM l WHERE stop > start""",
     "capped_segments": _CAPPED,
