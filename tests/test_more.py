@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import alignment, bounds, layout, messages, metadata, store
+from tidemark.operators import alignment, bounds, layout, messages, metadata, store, track
 from tidemark.plans import editing
 
 WORD = "start double, end double, text string"
@@ -52,11 +52,11 @@ def test_facecam_tile_is_the_median_face(spark):
 
 def test_layout_strategies_draw_their_layers(spark):
     df = spark.createDataFrame([("conversation",), ("gaming",), ("fit_blur",), ("irl",)], "s string")
-    half = F.lit(0.5)
     from tidemark.functions import geometry as g
 
     cam = g.box(F.lit(1400.0), F.lit(700.0), F.lit(400.0), F.lit(300.0))
-    got = {r.s: r.layers for r in df.select("s", layout.layers(F.col("s"), F.lit(1920.0), F.lit(1080.0), half, half, cam).alias("layers")).collect()}
+    rows = df.select(F.col("s").alias("strategy"), F.lit(1920).alias("source_width"), F.lit(1080).alias("source_height"), F.lit(0.5).alias("crop_x"), F.lit(0.5).alias("crop_y"), cam.alias("cam"))
+    got = {r.strategy: r.layers for r in layout.with_layers(rows).collect()}
     assert [x.kind for x in got["conversation"]] == ["panel", "panel"] and got["conversation"][1].dst.y == 964.0
     assert [x.kind for x in got["gaming"]] == ["video", "panel"] and got["gaming"][1].dst.y == 1152.0
     assert [x.kind for x in got["fit_blur"]] == ["blur", "video"] and round(got["fit_blur"][1].dst.h, 2) == 607.5
@@ -98,3 +98,28 @@ def test_probe_of_a_window(spark):
     assert alignment.probe(said, loud, ["k"], 1000.0, 400.0, 30.0).first().offset == 7.0
     df = spark.createDataFrame([(7.0, 0.9), (1.0, 0.9), (7.0, 0.01)], "o double, s double")
     assert [r.w for r in df.select(alignment.warning(F.col("o"), F.col("s"), 2.0).alias("w")).collect()] == ["timelines differ by +7.0s (score 0.90)", None, None]
+
+
+def test_tiles_snap_to_seams_but_keep_the_face(spark):
+    def frames(clip, seam):
+        return [(clip, f, r, [190 if seam is not None and r >= seam else 90] * 32) for f in range(3) for r in range(64)]
+
+    df = spark.createDataFrame(frames("seam", 40) + frames("flat", None) + frames("face", 40), "clip_id string, frame long, row long, values array<int>")
+    box = (0.0, 0.0, 1.0, 45 / 64)
+    boxes = spark.createDataFrame([(c, box) for c in ("seam", "flat", "face", "unseen")], "clip_id string, box struct<x:double,y:double,w:double,h:double>")
+    faces = spark.createDataFrame([("face", 0.5, 43 / 64, 0.4, 0.1)], "clip_id string, x double, y double, width double, height double")
+    got = {r.clip_id: (tuple(r.box), r.strength) for r in track.snap_to_seams(df, boxes, faces).collect()}
+    assert got["seam"] == ((0.0, 0.0, 1.0, 40 / 64), 100.0)
+    assert got["flat"] == got["face"] == got["unseen"] == (box, 0.0)
+
+
+def test_a_derived_facecam_makes_a_clip_gaming(spark):
+    points = spark.createDataFrame([("a", k, float(k), 0.82, 0.2, 0.08, 0.12) for k in range(6)], "clip_id string, seq long, t double, x double, y double, width double, height double")
+    cam = "facecam struct<x:double,y:double,w:double,h:double>"
+    clips = spark.createDataFrame([(c, q, 1920, 1080, 10.0, None, True) for c, q in (("a", "auto"), ("b", "auto"), ("c", "gaming"))], f"clip_id string, requested string, source_width int, source_height int, duration double, {cam}, facecam_auto boolean")
+    out = layout.plan(clips, points)
+    got = {r.clip_id: r for r in out["plans"].collect()}
+    assert (got["a"].strategy, got["a"].facecam_source, got["a"].caption_prefer_top, got["a"].warnings) == ("gaming", "auto", True, ["facecam_box_auto", "upscale_exceeds_threshold"])
+    assert len(out["segments"].filter("clip_id = 'a'").first().layers) == 2
+    assert (got["b"].strategy, got["b"].facecam_source, got["b"].warnings) == ("irl", "", ["facecam_box_auto_failed"])
+    assert (got["c"].strategy, set(got["c"].warnings)) == ("fit_blur", {"facecam_box_missing", "facecam_box_auto_failed"})

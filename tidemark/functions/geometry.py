@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -32,6 +32,14 @@ def crop_inside(rect: Column, ratio: Column, cx: Column | float = 0.5, cy: Colum
     return F.when((rect["w"] <= 0) | (rect["h"] <= 0) | (ratio <= 0), rect).otherwise(placed(rect, w, h, cx, cy))
 
 
+def cropped(df: DataFrame, rect: str, ratio: float, name: str, cx: Column | float = 0.5, cy: Column | float = 0.5) -> DataFrame:
+    """``crop_inside`` of a box column as a column, its size worked out in columns of its own first."""
+    cx, cy = (F.lit(c) if isinstance(c, float) else c for c in (cx, cy))
+    r, wide = F.col(rect), F.col(rect)["w"] > ratio * F.col(rect)["h"]
+    out = df.withColumns({"_w": F.when(wide, r["h"] * ratio).otherwise(r["w"]), "_h": F.when(wide, r["h"]).otherwise(r["w"] / ratio)})
+    return out.withColumn(name, F.when((r["w"] <= 0) | (r["h"] <= 0), r).otherwise(placed(r, F.col("_w"), F.col("_h"), cx, cy))).drop("_w", "_h")
+
+
 def frame(width: Column, height: Column) -> Column:
     return box(F.lit(0.0), F.lit(0.0), width, height)
 

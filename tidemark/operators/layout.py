@@ -58,24 +58,31 @@ def _layer(kind: str, src: Column, dst: Column, z: int) -> Column:
     return F.struct(F.lit(kind).alias("kind"), src.alias("src"), dst.alias("dst"), F.lit(z).alias("z"))
 
 
-def layers(strategy: Column, width: Column, height: Column, crop_x: Column, crop_y: Column, facecam: Column, cfg: Layout = Layout()) -> Column:
-    """Layers (kind, src, dst, z) of one segment."""
+def with_layers(segments: DataFrame, cfg: Layout = Layout()) -> DataFrame:
+    """Segments (strategy, source_width, source_height, crop_x, crop_y, cam box in pixels or null) with their ``layers`` (kind, src, dst, z).
+
+    Boxes are columns of their own: expressions that hold one another several
+    times over take longer to compile than to run.
+    """
     w, h = float(cfg.canvas_width), float(cfg.canvas_height)
     n = lambda v: F.lit(float(v))
-    whole, canvas = g.frame(width, height), g.box(n(0), n(0), n(w), n(h))
-    ratio = F.coalesce(F.try_divide(width.cast("double"), F.when(height > 0, height.cast("double"))), n(w / h))
-    fit_w, cover_w = F.least(n(w), h * ratio), F.greatest(n(w), h * ratio)
+    canvas, game_h, half = g.box(n(0), n(0), n(w), n(h)), float(round(h * GAMEPLAY_RATIO)), (h - PANEL_GAP) / 2
+    width, height, ratio = F.col("source_width").cast("double"), F.col("source_height").cast("double"), F.col("_ratio")
+    out = segments.withColumns({"_whole": g.frame(width, height), "_ratio": F.coalesce(F.try_divide(width, F.when(height > 0, height)), n(w / h)), "_left": g.box(n(0), n(0), width / 2, height), "_right": g.box(width / 2, n(0), width / 2, height)})
+    out = out.withColumns({"_fit": F.least(n(w), h * ratio), "_cover": F.greatest(n(w), h * ratio)})
+    out = g.cropped(out, "_whole", w / h, "_crop", F.col("crop_x"), F.col("crop_y"))
+    if cfg.zoom > 1.0:
+        out = out.withColumn("_crop", g.tighten(F.col("_crop"), F.col("_whole"), cfg.zoom, F.col("crop_x"), F.col("crop_y")))
+    for source, shape, name in (("_whole", w / game_h, "_game"), ("cam", w / (h - game_h), "_cam"), ("_left", w / half, "_one"), ("_right", w / half, "_other")):
+        out = g.cropped(out, source, shape, name)
+    col, strategy = F.col, F.col("strategy")
     centred = lambda x: g.box((n(w) - x) / 2, (n(h) - x / ratio) / 2, x, x / ratio)
-    fit = F.array(_layer("blur", whole, centred(cover_w), 0), _layer("video", whole, centred(fit_w), 1))
-    crop = g.tighten(g.crop_inside(whole, n(w / h), crop_x, crop_y), whole, cfg.zoom, crop_x, crop_y)
-    irl = F.array(_layer("video", crop, canvas, 1))
-    game_h = float(round(h * GAMEPLAY_RATIO))
-    game = _layer("video", g.crop_inside(whole, n(w / game_h)), g.box(n(0), n(0), n(w), n(game_h)), 1)
-    cam = _layer("panel", g.crop_inside(facecam, n(w / (h - game_h))), g.box(n(0), n(game_h), n(w), n(h - game_h)), 2)
-    half = (h - PANEL_GAP) / 2
-    side = lambda x: g.crop_inside(g.box(x, n(0), width / 2, height), n(w / half))
-    talk = F.array(_layer("panel", side(n(0)), g.box(n(0), n(0), n(w), n(half)), 1), _layer("panel", side(width / 2), g.box(n(0), n(half + PANEL_GAP), n(w), n(half)), 2))
-    return F.when(strategy == "irl", irl).when(strategy == "gaming", F.when(facecam.isNotNull(), F.array(game, cam)).otherwise(F.array(game))).when(strategy == "conversation", talk).otherwise(fit)
+    fit = F.array(_layer("blur", col("_whole"), centred(col("_cover")), 0), _layer("video", col("_whole"), centred(col("_fit")), 1))
+    irl = F.array(_layer("video", col("_crop"), canvas, 1))
+    game, cam = _layer("video", col("_game"), g.box(n(0), n(0), n(w), n(game_h)), 1), _layer("panel", col("_cam"), g.box(n(0), n(game_h), n(w), n(h - game_h)), 2)
+    talk = F.array(_layer("panel", col("_one"), g.box(n(0), n(0), n(w), n(half)), 1), _layer("panel", col("_other"), g.box(n(0), n(half + PANEL_GAP), n(w), n(half)), 2))
+    chosen = F.when(strategy == "irl", irl).when(strategy == "gaming", F.when(col("cam").isNotNull(), F.array(game, cam)).otherwise(F.array(game))).when(strategy == "conversation", talk).otherwise(fit)
+    return out.withColumn("layers", chosen).drop("_whole", "_ratio", "_left", "_right", "_fit", "_cover", "_crop", "_game", "_cam", "_one", "_other")
 
 
 def caption_bands(font: float, cfg: Layout = Layout()) -> dict[str, tuple[float, float]]:
@@ -84,14 +91,15 @@ def caption_bands(font: float, cfg: Layout = Layout()) -> dict[str, tuple[float,
     return {"bottom": (max(0.0, h - m - band), max(0.0, h - m)), "top": (m, min(h, m + band))}
 
 
-def band_coverage(track: DataFrame, segments: DataFrame, clips: DataFrame, bands: dict[str, tuple[float, float]], bucket: float = 10.0) -> DataFrame:
+def band_coverage(track: DataFrame, segments: DataFrame, clips: DataFrame, bands: dict[str, tuple[float, float]]) -> DataFrame:
     """Share of a clip's track points whose subject, drawn through its layer, meets each band; 0 without evidence.
 
-    Points meet the first segment with start <= t < end, through buckets of time.
+    Points meet the first segment of their clip with start <= t < end; a clip has
+    few segments (``max_segments``), so they are joined by clip alone.
     """
-    spread = segments.filter("end > start").withColumn("bucket", F.explode(F.sequence(F.floor(F.col("start") / bucket), F.floor(F.col("end") / bucket))))
-    points = track.withColumn("bucket", F.floor(F.col("t") / bucket)).select("clip_id", "seq", "t", "y", "height", "bucket")
-    hit = points.join(spread.select("clip_id", "bucket", "start", "end", "layers"), ["clip_id", "bucket"]).filter((F.col("start") <= F.col("t")) & (F.col("t") < F.col("end")))
+    spans = segments.filter("end > start").select("clip_id", "start", "end", "layers")
+    points = track.select("clip_id", "seq", "t", "y", "height")
+    hit = points.join(spans, "clip_id").filter((F.col("start") <= F.col("t")) & (F.col("t") < F.col("end")))
     first = hit.groupBy("clip_id", "seq", "t", "y", "height").agg(F.min_by("layers", "start").alias("layers")).join(clips.select("clip_id", F.col("source_height").cast("double").alias("sh")), "clip_id").filter("sh > 0")
     unit = lambda c: F.greatest(F.lit(0.0), F.least(F.lit(1.0), c)) * F.col("sh")
     half = F.when(F.col("height") > 0, F.greatest(F.lit(0.01), F.col("height")) / 2).otherwise(SUBJECT_HEIGHT / 2)
@@ -114,16 +122,24 @@ def band_coverage(track: DataFrame, segments: DataFrame, clips: DataFrame, bands
     return clips.select("clip_id").join(shares, "clip_id", "left").fillna(0.0, list(bands))
 
 
-def plan(clips: DataFrame, track: DataFrame, cfg: Layout = Layout(), font: float = STYLES["karaoke_highlight"], crop_bias: float = 0.0) -> dict[str, DataFrame]:
+def plan(clips: DataFrame, track: DataFrame, cfg: Layout = Layout(), font: float = STYLES["karaoke_highlight"], crop_bias: float = 0.0, derived: DataFrame | None = None) -> dict[str, DataFrame]:
     """Plans of clips (clip_id, requested, source_width, source_height, duration, facecam box or null).
 
+    Clips that have no box but ask for one (``facecam_auto``) get theirs from
+    ``derived`` (clip_id, box) or, where that is not given, from the track.
     ``segments``: (clip_id, start, end, crop_x, layers).  ``plans``: strategy,
-    upscale factor, caption band and warnings.
+    upscale factor, caption band, where the facecam box came from and warnings.
     """
-    c = clips.withColumn("cam", g.facecam(F.col("facecam"), F.col("source_width").cast("double"), F.col("source_height").cast("double")))
+    asks = F.col("facecam").isNull() & F.coalesce("facecam_auto", F.lit(False)) if "facecam_auto" in clips.columns else F.lit(False)
+    c = clips.withColumn("asks", asks)
+    if "facecam_auto" in clips.columns:
+        found = facecam_from_track(track, clips, cfg, aspect=panel_aspect(cfg)) if derived is None else derived
+        c = c.join(found.select("clip_id", F.col("box").alias("found")), "clip_id", "left").withColumn("facecam", F.coalesce("facecam", F.when(F.col("asks"), F.col("found")))).drop("found")
+    c = c.withColumn("cam", g.facecam(F.col("facecam"), F.col("source_width").cast("double"), F.col("source_height").cast("double")))
     c = c.withColumn("r", resolve_strategy(F.col("requested"), F.col("source_width"), F.col("source_height"), F.col("cam").isNotNull(), cfg))
     missing = (F.col("r.strategy") == "gaming") & F.col("cam").isNull()
-    c = c.withColumn("strategy", F.when(missing, "fit_blur").otherwise(F.col("r.strategy"))).withColumn("warnings", F.concat("r.warnings", F.array_compact(F.array(F.when(missing, "facecam_box_missing")))))
+    c = c.withColumn("strategy", F.when(missing, "fit_blur").otherwise(F.col("r.strategy"))).withColumn("warnings", F.concat("r.warnings", F.array_compact(F.array(F.when(missing, "facecam_box_missing"), F.when(F.col("asks") & F.col("cam").isNull(), "facecam_box_auto_failed"), F.when(F.col("asks") & F.col("cam").isNotNull() & (F.col("r.strategy") == "gaming"), "facecam_box_auto")))))
+    c = c.withColumn("facecam_source", F.when((F.col("strategy") == "gaming") & F.col("cam").isNotNull(), F.when(F.col("asks"), "auto").otherwise("config")).otherwise(""))
     whole = g.crop_inside(g.frame(F.col("source_width"), F.col("source_height")), F.lit(cfg.canvas_width / cfg.canvas_height))
     irl = c.filter("strategy = 'irl'").withColumn("crop_height", whole["h"])
     tracked = track.join(irl.select("clip_id", "duration", F.col("source_height").cast("double").alias("source_height"), "crop_height"), "clip_id")
@@ -133,11 +149,11 @@ def plan(clips: DataFrame, track: DataFrame, cfg: Layout = Layout(), font: float
     moving = cut.select("clip_id", "start", "end", g.clamp(F.col("x") + crop_bias, F.lit(0.0), F.lit(1.0)).alias("crop_x"), F.coalesce("crop_y", F.lit(0.5)).alias("crop_y"))
     fixed = c.filter("strategy <> 'irl'").select("clip_id", F.lit(0.0).alias("start"), F.greatest(F.lit(0.0), F.col("duration").cast("double")).alias("end"), F.lit(0.5).alias("crop_x"), F.lit(0.5).alias("crop_y"))
     segments = moving.unionByName(fixed).join(c.select("clip_id", "strategy", "source_width", "source_height", "cam"), "clip_id")
-    segments = segments.select("clip_id", "start", "end", "crop_x", layers(F.col("strategy"), F.col("source_width").cast("double"), F.col("source_height").cast("double"), F.col("crop_x"), F.col("crop_y"), F.col("cam"), cfg).alias("layers"))
+    segments = with_layers(segments, cfg).select("clip_id", "start", "end", "crop_x", "layers")
     grown = segments.select("clip_id", F.explode("layers").alias("l")).filter("l.kind <> 'blur'").groupBy("clip_id").agg(F.greatest(F.lit(1.0), F.max(g.upscale(F.col("l.src"), F.col("l.dst")))).alias("factor"))
     shares = band_coverage(track, segments, clips, caption_bands(font, cfg))
     p = c.join(grown, "clip_id", "left").join(shares, "clip_id", "left").withColumn("factor", F.coalesce("factor", F.lit(1.0)))
     busy = (F.col("strategy") != "gaming") & (F.col("bottom") > cfg.avoid_ratio) & (F.col("bottom") >= F.col("top"))
     warnings = F.concat("warnings", F.array_compact(F.array(F.when(F.col("factor") > cfg.warn_upscale, "upscale_exceeds_threshold"), F.when(busy, "caption_band_moved"))))
-    plans = p.select("clip_id", F.col("requested"), "strategy", F.round("factor", 3).alias("upscale_factor"), ((F.col("strategy") == "gaming") | busy).alias("caption_prefer_top"), F.round("bottom", 4).alias("bottom_coverage"), warnings.alias("warnings"))
+    plans = p.select("clip_id", F.col("requested"), "strategy", F.round("factor", 3).alias("upscale_factor"), ((F.col("strategy") == "gaming") | busy).alias("caption_prefer_top"), F.round("bottom", 4).alias("bottom_coverage"), "facecam_source", warnings.alias("warnings"))
     return {"segments": segments, "plans": plans}

@@ -153,21 +153,47 @@ def coverage_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = lambda v: F.lit(float(v))
     one = F.array(F.struct(F.lit("video").alias("kind"), g.box(n(0), n(0), n(607.5), n(1080)).alias("src"), g.box(n(0), n(0), n(1080), n(1920)).alias("dst"), F.lit(1).alias("z")))
     segments = clips.select("clip_id", F.lit(0.0).alias("start"), F.lit(30 * 86400.0).alias("end"), one.alias("layers"))
-    got = layout.band_coverage(t, segments, clips, layout.caption_bands(60.0), 86400.0)
+    got = layout.band_coverage(t, segments, clips, layout.caption_bands(60.0))
     return got.select("clip_id", F.round("bottom", 6).alias("bottom"), F.round("top", 6).alias("top"))
 
 
-def layout_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts as clips of several sizes and strategies."""
+def _clips(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Parts as clips of several sizes and strategies, a month long; users' values as tracks of some of them, views as faces."""
     from tidemark.functions import geometry as g
 
     p = table(spark, sf_dir, "part")
-    size = F.col("p_size")
+    size, key = F.col("p_size"), F.col("p_partkey")
     cam = F.when(size % 3 == 0, g.box(F.lit(0.7), F.lit(0.7), F.lit(0.25), F.lit(0.25)))
-    clips = p.select(F.col("p_partkey").alias("clip_id"), F.element_at(F.array(F.lit("auto"), F.lit("irl"), F.lit("gaming"), F.lit("conversation"), F.lit("fit_blur")), (size % 5 + 1).cast("int")).alias("requested"), (size * 40 + 200).alias("source_width"), (size * 25 + 100).alias("source_height"), F.lit(30.0).alias("duration"), cam.alias("facecam"))
-    none = clips.limit(0).select("clip_id", F.lit(0).cast("long").alias("seq"), F.lit(0.0).alias("t"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y"), F.lit(0.0).alias("width"), F.lit(0.0).alias("height"))
-    got = layout.plan(clips, none)["plans"]
-    return got.select("clip_id", "requested", "strategy", "upscale_factor", "caption_prefer_top", F.array_join("warnings", ",").alias("warnings"))
+    clips = p.select(
+        key.alias("clip_id"), F.element_at(F.array(F.lit("auto"), F.lit("irl"), F.lit("gaming"), F.lit("conversation"), F.lit("fit_blur")), (size % 5 + 1).cast("int")).alias("requested"),
+        (size * 40 + 200).alias("source_width"), (size * 25 + 100).alias("source_height"), F.lit(30 * 86400.0).alias("duration"), cam.alias("facecam"), (key % 2 == 0).alias("facecam_auto"),
+    )
+    return clips, _track(spark, sf_dir).withColumn("width", F.when(F.col("height") > 0, 0.1).otherwise(0.0)).drop("duration")
+
+
+def layout_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = layout.plan(*_clips(spark, sf_dir))["plans"]
+    return got.select("clip_id", "requested", "strategy", "upscale_factor", "caption_prefer_top", "bottom_coverage", "facecam_source", F.array_join("warnings", ",").alias("warnings"))
+
+
+def derived_facecams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    clips, points = _clips(spark, sf_dir)
+    return layout.facecam_from_track(points, clips, aspect=layout.panel_aspect()).select("clip_id", *(F.round(F.col(f"box.{c}"), 6).alias(c) for c in "xywh"))
+
+
+def snapped_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tiles of customers on pictures with a step at some row, some with a face that must stay inside."""
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("clip_id"))
+    of = F.col("clip_id")
+    seam = F.when(of % 5 == 0, 999).otherwise(of % 31 + 24)
+    pixel = lambda k: (F.col("row") * 7 + k * 3 + F.col("frame")) % 5 + F.when(F.col("row") >= seam, 150).otherwise(50)
+    frames = c.select(of, F.explode(F.sequence(F.lit(0), F.lit(2))).alias("frame")).select("*", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("row"))
+    frames = frames.select("clip_id", "frame", "row", F.array(*(pixel(k) for k in range(16))).alias("values"))
+    edge = lambda v: F.lit(float(v)).alias
+    boxes = c.select(of, F.struct(edge(0)("x"), (of % 7 * 0.05).alias("y"), edge(1)("w"), (of % 3 * 0.1 + 0.5).alias("h")).alias("box"))
+    faces = c.filter(of % 4 == 0).select(of, F.lit(0.5).alias("x"), F.lit(0.55).alias("y"), F.lit(0.4).alias("width"), F.lit(0.2).alias("height"))
+    got = track.snap_to_seams(frames, boxes, faces)
+    return got.select("clip_id", *(F.round(F.col(f"box.{k}"), 6).alias(k) for k in "xywh"), F.round("strength", 6).alias("strength"))
 
 
 def face_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -275,9 +301,49 @@ p AS (SELECT clip_id, lag, c, w[lag + 1:lag + q] AS part FROM l),
 s AS (SELECT clip_id, lag, CASE WHEN sqrt(list_dot_product(part, part)) > 1e-9 THEN list_dot_product(c, part) / (sqrt(list_dot_product(c, c)) * sqrt(list_dot_product(part, part))) ELSE 0.0 END AS score FROM p),
 m AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY clip_id ORDER BY round(score, 9) DESC, lag) = 1)
 SELECT clip_id, CASE WHEN score > 0 THEN lag ELSE 0 END AS lag, round(greatest(score, 0.0), 4) AS score FROM m"""
+_CLIPS = f"""{_TR}, p AS (SELECT p_partkey AS clip_id, ['auto', 'irl', 'gaming', 'conversation', 'fit_blur'][p_size % 5 + 1] AS requested, (p_size * 40 + 200)::DOUBLE AS sw, (p_size * 25 + 100)::DOUBLE AS sh, p_size % 3 = 0 AS given, p_partkey % 2 = 0 AND p_size % 3 <> 0 AS asks FROM part),
+seen AS (SELECT clip_id, median(x) AS mx, median(y) AS my FROM r WHERE height > 0 GROUP BY 1 HAVING count(*) >= 4),
+tw AS (SELECT p.clip_id, sw, sh, mx, my, greatest(0.1::DOUBLE * 1.6::DOUBLE * sw, 0.22::DOUBLE * sw) AS w0, 0.2::DOUBLE * 1.6::DOUBLE * sh AS fh FROM p JOIN seen USING (clip_id)),
+th AS (SELECT *, least(sw, w0) AS w1, greatest(least(sw, w0) / (1080.0::DOUBLE / 768), fh) AS h1 FROM tw),
+tile AS (SELECT *, least(CASE WHEN w1 / (1080.0::DOUBLE / 768) < fh THEN h1 * (1080.0::DOUBLE / 768) ELSE w1 END, sw) AS w, least(h1, sh) AS h FROM th),
+cams AS (SELECT clip_id, least(greatest(mx * sw - w / 2, 0), sw - w) / sw AS x, least(greatest(my * sh - h / 2, 0), sh - h) / sh AS y, w / sw AS w, h / sh AS h FROM tile)"""
+_LAYOUT = f"""WITH {_CLIPS},
+a AS (SELECT p.*, CASE WHEN given THEN 0.25::DOUBLE * sw WHEN asks THEN cams.w * sw END AS cw, CASE WHEN given THEN 0.25::DOUBLE * sh WHEN asks THEN cams.h * sh END AS ch, CASE WHEN given THEN 0.7::DOUBLE * sh WHEN asks THEN cams.y * sh END AS cy FROM p LEFT JOIN cams USING (clip_id)),
+f AS (SELECT *, CASE WHEN requested <> 'auto' THEN requested WHEN cw IS NOT NULL THEN 'gaming' WHEN least(sw, sh) >= 720 THEN 'irl' ELSE 'fit_blur' END AS one FROM a),
+q AS (SELECT *, requested = 'auto' AND cw IS NULL AND least(sw, sh) < 720 OR one IN ('irl', 'conversation') AND sh < 720 AS low, one = 'gaming' AND cw IS NULL AS missing,
+  CASE WHEN one IN ('irl', 'conversation') AND sh < 720 OR one = 'gaming' AND cw IS NULL THEN 'fit_blur' ELSE one END AS strategy FROM f),
+g AS (SELECT *, CASE strategy WHEN 'irl' THEN 1920 / sh WHEN 'gaming' THEN greatest(1152 / least(sh, sw / (1080.0 / 1152)), greatest(1080 / least(cw, ch * (1080.0 / 768)), 768 / least(ch, cw / (1080.0 / 768))))
+  WHEN 'conversation' THEN 1080 / (sw / 2) ELSE least(1080.0, 1920 * sw / sh) / sw END AS factor FROM q),
+pt AS (SELECT clip_id, y, CASE WHEN height > 0 THEN height / 2 ELSE 0.125 END AS half FROM r WHERE t < 2592000.0),
+ly AS (SELECT clip_id, l.* FROM g, LATERAL (SELECT unnest(CASE strategy WHEN 'irl' THEN [{{'sy': 0.0::DOUBLE, 'sh2': sh, 'dy': 0.0::DOUBLE, 'dh': 1920.0::DOUBLE}}]
+   WHEN 'conversation' THEN [{{'sy': (sh - sw / 2 / (1080.0 / 956)) / 2, 'sh2': sw / 2 / (1080.0 / 956), 'dy': 0.0, 'dh': 956.0}}, {{'sy': (sh - sw / 2 / (1080.0 / 956)) / 2, 'sh2': sw / 2 / (1080.0 / 956), 'dy': 964.0, 'dh': 956.0}}]
+   WHEN 'fit_blur' THEN [{{'sy': 0.0, 'sh2': sh, 'dy': (1920 - least(1080.0, 1920 * sw / sh) / (sw / sh)) / 2, 'dh': least(1080.0, 1920 * sw / sh) / (sw / sh)}}]
+   ELSE [{{'sy': 0.0, 'sh2': sh, 'dy': 0.0, 'dh': 1152.0}}, {{'sy': cy + (ch - least(ch, cw / (1080.0 / 768))) / 2, 'sh2': least(ch, cw / (1080.0 / 768)), 'dy': 1152.0, 'dh': 768.0}}] END, max_depth := 2)) l),
+mt AS (SELECT pt.clip_id, bool_or(y * sh BETWEEN sy AND sy + sh2 AND dy + (greatest(0, y - half) * sh - sy) * (dh / sh2) <= 1660 AND dy + (least(1, y + half) * sh - sy) * (dh / sh2) >= 1465) AS low,
+  bool_or(y * sh BETWEEN sy AND sy + sh2 AND dy + (greatest(0, y - half) * sh - sy) * (dh / sh2) <= 455 AND dy + (least(1, y + half) * sh - sy) * (dh / sh2) >= 260) AS top FROM (SELECT *, row_number() OVER () AS n FROM pt) pt JOIN ly USING (clip_id) JOIN p USING (clip_id) GROUP BY pt.clip_id, n),
+cv AS (SELECT clip_id, avg(low::INT) AS low, avg(top::INT) AS top FROM mt GROUP BY 1),
+o AS (SELECT g.*, coalesce(cv.low, 0.0) AS cover, strategy <> 'gaming' AND coalesce(cv.low, 0) > 0.25 AND cv.low >= cv.top AS busy FROM g LEFT JOIN cv USING (clip_id))
+SELECT clip_id, requested, strategy, round(cover, 4) AS bottom_coverage, round(greatest(1.0, factor), 3) AS upscale_factor, strategy = 'gaming' OR busy AS caption_prefer_top, CASE WHEN strategy = 'gaming' THEN CASE WHEN asks THEN 'auto' ELSE 'config' END ELSE '' END AS facecam_source,
+ concat_ws(',', CASE WHEN low THEN 'low_resolution_layout' END, CASE WHEN missing THEN 'facecam_box_missing' END, CASE WHEN asks AND cw IS NULL THEN 'facecam_box_auto_failed' END, CASE WHEN asks AND cw IS NOT NULL AND one = 'gaming' THEN 'facecam_box_auto' END,
+  CASE WHEN factor > 2 THEN 'upscale_exceeds_threshold' END, CASE WHEN busy THEN 'caption_band_moved' END) AS warnings FROM o"""
+_SNAPPED = """WITH c AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 5 = 0 THEN 999 ELSE c_custkey % 31 + 24 END AS seam, c_custkey % 7 * 0.05::DOUBLE AS y, c_custkey % 3 * 0.1::DOUBLE + 0.5::DOUBLE AS h FROM customer),
+t AS (SELECT *, least(round_even(y * 64, 0), 63)::INT AS y0, least(64, round_even((y + h) * 64, 0))::INT AS y1 FROM c),
+k AS (SELECT *, greatest(3, round_even(0.12 * (y1 - y0), 0)) AS band, greatest(1, round_even(0.15 * (y1 - y0), 0)) AS reach, greatest(8, round_even(0.25 * (y1 - y0), 0)) AS stay FROM t),
+v AS (SELECT seam, f, r, list_transform(range(0, 16), lambda k: (r * 7 + k * 3 + f) % 5 + CASE WHEN r >= seam THEN 150 ELSE 50 END) AS v FROM (SELECT DISTINCT seam FROM c) s, range(0, 3) f(f), range(0, 64) r(r)),
+d AS (SELECT seam, f, r, v, lag(v) OVER (PARTITION BY seam, f ORDER BY r) AS w FROM v),
+s AS (SELECT seam, r, median(list_avg(list_transform(range(1, 17), lambda i: abs(v[i] - w[i])))) AS step FROM d WHERE r > 0 GROUP BY ALL),
+e AS (SELECT id, edge, arg_max(r, {'a': step, 'b': -r}) AS r, max(step) AS step, median(step) AS usual FROM (SELECT id, seam, band, unnest(['low', 'top']) AS edge, unnest([y1 - 1, y0]) AS at_row FROM k) q JOIN s ON s.seam = q.seam AND s.r BETWEEN at_row + 1 - band AND at_row + 1 + band GROUP BY ALL),
+g AS (SELECT * FROM e WHERE step >= 8 AND step >= 2.5 * usual),
+m AS (SELECT k.*, l.r AS lr, l.step AS ls, u.r AS ur, u.step AS us, k.id % 4 = 0 AS face FROM k LEFT JOIN g l ON l.id = k.id AND l.edge = 'low' LEFT JOIN g u ON u.id = k.id AND u.edge = 'top'),
+a AS (SELECT *, coalesce(abs(lr - y1) <= reach AND lr - y0 >= stay AND (NOT face OR (y0 / 64 <= 0.45 + 1e-6 AND lr / 64 >= 0.65 - 1e-6)), FALSE) AS lower FROM m),
+b AS (SELECT *, CASE WHEN lower THEN lr ELSE y1 END AS bottom FROM a),
+z AS (SELECT *, coalesce(abs(ur - y0) <= reach AND bottom - ur >= stay AND (NOT face OR (ur / 64 <= 0.45 + 1e-6 AND bottom / 64 >= 0.65 - 1e-6)), FALSE) AS upper FROM b),
+n AS (SELECT *, CASE WHEN upper THEN ur ELSE y0 END AS above FROM z)
+SELECT id AS clip_id, 0.0::DOUBLE AS x, round(CASE WHEN above <> y0 OR bottom <> y1 THEN above / 64 ELSE y END, 6) AS y, 1.0::DOUBLE AS w, round(CASE WHEN above <> y0 OR bottom <> y1 THEN (bottom - above) / 64 ELSE h END, 6) AS h,
+ round(CASE WHEN above <> y0 OR bottom <> y1 THEN greatest(CASE WHEN lower THEN ls END, CASE WHEN upper THEN us END) ELSE 0.0 END, 6) AS strength FROM n"""
 _COVER = lambda a, b: f"avg(CASE WHEN greatest(0.0, y - h) * 1080 * 1920 / 1080 <= {b} AND least(1.0, y + h) * 1080 * 1920 / 1080 >= {a} THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END)"
 
-QUERIES = {f.__name__: f for f in (timeline_offset, sliding_ncc, verified_offset, baseline_median, burst_end, level_decay, bounds_decision, review_windows, proposed_bounds, edit_plans, deadband_segments, capped_segments, centroids, crop_centers, coverage_ratio, layout_plans, face_tracks)}
+QUERIES = {f.__name__: f for f in (timeline_offset, sliding_ncc, verified_offset, baseline_median, burst_end, level_decay, bounds_decision, review_windows, proposed_bounds, edit_plans, deadband_segments, capped_segments, centroids, crop_centers, coverage_ratio, layout_plans, derived_facecams, snapped_boxes, face_tracks)}
 ORACLE_SQL = {
     "timeline_offset": f"""WITH {_E}, {_HIST('ha', "event_type = 'click'")}, {_HIST('hb', "event_type <> 'click'")}, {_Z('za', 'ha')}, {_Z('zb', 'hb')},
 x AS (SELECT za.user_id, zb.bin - za.bin AS lag, sum(za.z * zb.z) AS total FROM za JOIN zb ON za.user_id = zb.user_id AND zb.bin BETWEEN za.bin - 24 AND za.bin + 24 GROUP BY ALL),
@@ -301,6 +367,9 @@ SELECT candidate_id, round(s1, 6) AS start, round(e1, 6) AS "end", round(mt, 6)
     "deadband_segments": f"""WITH RECURSIVE {_STEADY(0.3)}, l AS (SELECT clip_id, start, coalesce(lead(start) OVER (PARTITION BY clip_id ORDER BY k), 2592000.0) AS stop, x FROM d)
 SELECT clip_id, round(start, 2) AS start, round(stop, 2) AS "end", round(x, 6) AS x FROM l WHERE stop > start""",
     "capped_segments": _CAPPED,
+    "layout_plans": _LAYOUT,
+    "derived_facecams": f"WITH {_CLIPS} SELECT clip_id, round(x, 6) AS x, round(y, 6) AS y, round(w, 6) AS w, round(h, 6) AS h FROM cams",
+    "snapped_boxes": _SNAPPED,
     "face_tracks": _FACES,
     "centroids": f"""WITH {_E}, h AS (SELECT user_id, floor((t % 86400) / 3600) AS place, sum(value) AS energy FROM s GROUP BY ALL)
 SELECT user_id, round(CASE WHEN sum(energy) <= 1e-9 THEN 0.5 ELSE 0.65::DOUBLE * (sum(energy * (place + 0.5)) / 24 / sum(energy)) + 0.175::DOUBLE END, 6) AS center FROM h GROUP BY user_id""",
