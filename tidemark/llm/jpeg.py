@@ -16,7 +16,9 @@ Progressive or arithmetic files are refused.
 
 Defined results: a null text counts as empty; an empty payload is padded to
 192 bytes; payloads beyond one picture's size go on in further pictures, one
-after the other in the same media value.
+after the other in the same media value; repeated rows give equal values; columns
+other than id and text are ignored, whatever their names; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -443,11 +445,13 @@ def media_features(media: DataFrame) -> DataFrame:
         stored = batch.column(2).to_pylist()
         rows = []
         for whole, (payload, sizes) in zip(stored, decode(stored), strict=True):
-            wide, high = sizes[0]
-            average, slope = thumbnail_hashes(payload[: wide * high], wide, high)
+            wide, hashes, at = sizes[0][0], [], 0
+            for w, h in sizes:
+                hashes.append(":".join(thumbnail_hashes(payload[at : at + w * h], w, h)))
+                at += w * h
             rows.append((
                 len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(whole), hashlib.sha256(whole).hexdigest(),
-                f"{wide * 8}x{high * 8}x{len(sizes)}:{average}:{slope}", wide * 8, sum(h for _, h in sizes) * 8,
+                f"{wide * 8}x{sizes[0][1] * 8}x{len(sizes)}:{'+'.join(hashes)}", wide * 8, sum(h for _, h in sizes) * 8,
             ))
         kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int32())
         columns = [pa.array(v, k) for v, k in zip(zip(*rows, strict=True), kinds, strict=True)]

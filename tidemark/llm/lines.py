@@ -10,7 +10,9 @@ that stay, by position.
 Hashes are 128 bits of BLAKE2b.  Defined results: a null or empty text is one
 empty line; null doc_ids count as one document smaller than any other; repeated
 rows of a doc_id count as one document and are treated alike; lines of repeated
-text within a document count once.
+text within a document count once; very long texts and lines count whole; columns
+other than id and text are ignored, whatever their names; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations

@@ -19,7 +19,9 @@
 
 Defined results: a null text counts as empty; an empty document is one piece
 that holds only the end id; repeated rows are packed each; very long documents
-are cut into whole sequences, the first piece being shorter.
+are cut into whole sequences, the first piece being shorter; which of equal pieces
+goes where is any; a null doc_id is packed as any other; columns other than id and
+text are ignored, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations

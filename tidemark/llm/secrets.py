@@ -12,8 +12,9 @@ words.  Where a whole run is not random, or a base span covers some of it, its p
 between separators are tested: neighbours that are no words are taken together,
 as keys may hold separators, and then each part alone.
 
-Defined results: null and empty texts have no spans.  Offsets are code points,
-the end exclusive.
+Defined results: null and empty texts have no spans; very long texts are read
+whole; repeated rows give repeated results; an empty table gives an empty column;
+no column but the text is read.  Offsets are code points, the end exclusive.
 """
 
 from __future__ import annotations

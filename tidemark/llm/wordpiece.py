@@ -6,8 +6,11 @@ longest pieces read so far are popped and matching goes on under the second
 root; next to it stands how many pieces that pops.  A word is read once, left
 to right; the count is the sum of the numbers on the links taken.
 
-A word that cannot be split into pieces counts as one unknown token.  Null and
-empty texts have no words and no tokens.
+Defined results: a word that cannot be split into pieces counts as one unknown
+token; null and empty texts have no words and no tokens; texts and words of any
+length are read whole, in time linear in it; repeated rows give repeated results;
+columns other than id and text are ignored, whatever their names; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
