@@ -19,11 +19,12 @@ def components(links: DataFrame, scratch: Scratch, most_rounds: int = 200) -> Da
     labels = scratch.save(edges.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("label")).withColumnRenamed("u", "node"))
     for _ in range(most_rounds):
         around = edges.join(labels.select(F.col("node").alias("v"), "label"), "v").groupBy(F.col("u").alias("node")).agg(F.min("label").alias("near"))
-        # A label is a node too, and has itself a label: joined by its own hash, partial minima first.
-        better = labels.join(around, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
+        # A label is a node too, and has itself a label.  Written first, so that a join by label can split one that most nodes have.
+        better = scratch.save(labels.join(around, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label")))
         roots = better.select(F.col("node").alias("root"), F.col("label").alias("top"))
         jumped = scratch.save(better.join(roots, F.col("label") == F.col("root")).select("node", "old", F.least("label", "top").alias("label")))
         scratch.drop(labels)
+        scratch.drop(better)
         labels = jumped
         if not labels.filter(F.col("label") != F.col("old")).limit(1).count():
             break
