@@ -5,15 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.sequences import islands
 
-#: Pairs of a run up to which it is folded natively; longer runs are walked.
-MOST_FOLDED = 4096
-
-
 def fuse(first: DataFrame, second: DataFrame, keys: Sequence[str], proximity: int, weight: float = 0.5, at: str = "us", seq: str = "seq", score: str = "score") -> DataFrame:
     """Each row of ``first``, in order, takes the nearest free row of ``second`` within ``proximity``.
 
@@ -32,34 +28,11 @@ def fuse(first: DataFrame, second: DataFrame, keys: Sequence[str], proximity: in
         F.array_sort(F.collect_list(F.when(F.col("side") == 0, F.struct("us", "seq", "score")))).alias("a"),
         F.array_sort(F.collect_list(F.when(F.col("side") == 1, F.struct("us", "seq", "score")))).alias("b"),
     )
-    large = F.size("a") * F.size("b") > MOST_FOLDED
-    folded, walked = rows.filter(~large), rows.filter(large)
-    pair = "array<struct<a:struct<us:bigint,seq:bigint,score:double>,b:struct<us:bigint,seq:bigint,score:double>>>"
-
-    def step(acc: Column, x: Column) -> Column:
-        free = F.filter("b", lambda y: (F.abs(y["us"] - x["us"]) <= proximity) & ~F.exists(acc, lambda p: p["b"]["seq"].eqNullSafe(y["seq"])))
-        # Least distance first, then the later place: arrays of b are sorted by (us, seq).
-        best = F.try_element_at(F.array_sort(F.transform(free, lambda y: F.struct(F.abs(y["us"] - x["us"]).alias("d"), (-y["us"]).alias("u"), (-y["seq"]).alias("s"), y.alias("y")))), F.lit(1))
-        return F.concat(acc, F.array(F.struct(x.alias("a"), best["y"].alias("b"))))
-
-    matched = folded.withColumn("pairs", F.aggregate("a", F.array().cast(pair), step))
-    left = F.filter("b", lambda y: ~F.exists("pairs", lambda p: p["b"]["seq"].eqNullSafe(y["seq"])))
-    fused = F.transform(
-        "pairs",
-        lambda p: F.struct(
-            p["a"]["us"].alias("us"), F.when(p["b"].isNotNull(), "pair").otherwise("first").alias("kind"),
-            F.when(p["b"].isNotNull(), F.least(F.lit(1.0), p["a"]["score"] + weight * p["b"]["score"])).otherwise(p["a"]["score"]).alias("score"),
-            p["a"]["seq"].alias("first_seq"), p["b"]["seq"].alias("second_seq"), p["b"]["us"].alias("second_us"),
-        ),
-    )
-    none = F.lit(None).cast("long")
-    rest = F.transform(left, lambda y: F.struct(y["us"].alias("us"), F.lit("second").alias("kind"), y["score"].alias("score"), none.alias("first_seq"), y["seq"].alias("second_seq"), y["us"].alias("second_us")))
-    small = matched.select(*keys, F.inline(F.concat(fused, rest)))
-    return small.unionByName(_walked(walked, keys, proximity, weight))
+    return _walked(rows, keys, proximity, weight)
 
 
 def _walked(rows: DataFrame, keys: Sequence[str], proximity: int, weight: float) -> DataFrame:
-    """The same over long runs: a walk that looks only at the rows within reach, where a fold would look at all."""
+    """Both sides of each run walked in order, looking only at rows within reach."""
     kinds = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in keys)
 
     def walk(batches):

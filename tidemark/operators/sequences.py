@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,28 +17,61 @@ def islands(df: DataFrame, keys: Sequence[str], order: Sequence[str], starts: Co
     return df.withColumn(name, F.sum(F.coalesce(starts, F.lit(True)).cast("long")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
 
 
-def _apart(keys: Sequence[str], order: Sequence[str], at: str, gap: int) -> Column:
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return F.col(at) - F.lag(at).over(w) >= gap
+def ordered_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], step: Callable, schema: str | None = None, finish: Callable | None = None) -> DataFrame:
+    """Rows of each key in order, through ``step(state, rows) -> (state, out rows)``.
 
+    For what must be decided row by row: rows are sorted in their partition, so
+    Spark spills and nothing is gathered; a task holds one Arrow batch and the
+    state (None at first) of one key, and takes time in proportion to its rows.
+    ``finish(state)`` gives what is left at the end of a key.
+    """
+    laid = (df.repartition(*keys) if keys else df.repartition(1)).sortWithinPartitions(*keys, *order)
+    schema = schema or ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+
+    def runs(batch: pa.RecordBatch):
+        new = np.zeros(batch.num_rows, bool)
+        for k in keys:
+            column = batch.column(k)
+            apart = pc.fill_null(pc.not_equal(column[1:], column[:-1]), False)
+            new[1:] |= np.asarray(apart) | np.asarray(pc.xor(pc.is_null(column[1:]), pc.is_null(column[:-1])))
+        edges = [0, *np.flatnonzero(new).tolist(), batch.num_rows]
+        for low, high in zip(edges[:-1], edges[1:], strict=True):
+            yield tuple(batch.column(k)[low].as_py() for k in keys), batch.slice(low, high - low)
+
+    def run(batches):
+        key, state = None, None
+        for batch in batches:
+            out = []
+            for own, rows in runs(batch) if batch.num_rows else ():
+                if own != key:
+                    if key is not None and finish is not None:
+                        out.append(finish(state))
+                    key, state = own, None
+                state, some = step(state, rows)
+                out.append(some)
+            out = [x for x in out if x is not None and x.num_rows]
+            if out:
+                yield from pa.Table.from_batches(out).combine_chunks().to_batches()
+        if key is not None and finish is not None and (last := finish(state)) is not None:
+            yield last
+
+    return laid.mapInArrow(run, schema)
 
-def thin(df: DataFrame, keys: Sequence[str], gap: int, at: str = "us", seq: str = "seq") -> DataFrame:
-    """Rows at least ``gap`` after the last row kept; what is suppressed does not move the mark.
 
-    A row ``gap`` after its predecessor is always kept, so rows are folded only
-    within runs of closer rows.
-    """
-    runs = islands(df, keys, [at, seq], _apart(keys, [at, seq], at, gap))
-    rows = runs.groupBy(*keys, "island").agg(F.array_sort(F.collect_list(F.struct(at, seq, *(c for c in df.columns if c not in (at, seq, *keys))))).alias("rows"))
-    empty = F.slice(F.col("rows"), 1, 0)
-    state = F.struct(F.lit(None).cast("long").alias("last"), empty.alias("kept"))
+def thin(df: DataFrame, keys: Sequence[str], gap: int, at: str = "us", seq: str = "seq") -> DataFrame:
+    """Rows at least ``gap`` after the last row kept; what is suppressed does not move the mark."""
 
-    def step(acc: Column, x: Column) -> Column:
-        keep = acc["last"].isNull() | (x[at] - acc["last"] >= gap)
-        return F.struct(F.when(keep, x[at]).otherwise(acc["last"]).alias("last"), F.when(keep, F.concat(acc["kept"], F.array(x))).otherwise(acc["kept"]).alias("kept"))
+    def step(last: int | None, rows: pa.RecordBatch):
+        times = rows.column(at).to_numpy()
+        k = 0 if last is None else int(np.searchsorted(times, last + gap))
+        kept = []
+        while k < len(times):
+            last = int(times[k])
+            kept.append(k)
+            k = max(k + 1, int(np.searchsorted(times, last + gap)))
+        return last, rows.take(pa.array(kept, pa.int64()))
 
-    kept = rows.select(*keys, F.inline(F.aggregate("rows", state, step, lambda acc: acc["kept"])))
-    return kept.select(*df.columns)
+    return ordered_scan(df, keys, [at, seq], step)
 
 
 def dedupe_nearby(df: DataFrame, keys: Sequence[str], gap: int, at: str = "us", seq: str = "seq", score: str = "score") -> DataFrame:
@@ -43,17 +79,24 @@ def dedupe_nearby(df: DataFrame, keys: Sequence[str], gap: int, at: str = "us",
 
     ``keys`` include the kind of signal: kinds do not suppress each other.
     """
-    runs = islands(df, keys, [at, seq], _apart(keys, [at, seq], at, gap))
-    rows = runs.groupBy(*keys, "island").agg(F.array_sort(F.collect_list(F.struct(at, seq, *(c for c in df.columns if c not in (at, seq, *keys))))).alias("rows"))
-    empty = F.slice(F.col("rows"), 1, 0)
-
-    def step(acc: Column, x: Column) -> Column:
-        held = F.try_element_at(acc, F.lit(-1))
-        near = F.coalesce(x[at] - held[at] < gap, F.lit(False))
-        better = near & (x[score] > held[score])
-        return F.when(~near, F.concat(acc, F.array(x))).when(better, F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(x))).otherwise(acc)
 
-    return rows.select(*keys, F.inline(F.aggregate("rows", empty, step))).select(*df.columns)
+    def step(held: pa.RecordBatch | None, rows: pa.RecordBatch):
+        times, scores = rows.column(at).to_pylist(), rows.column(score).to_pylist()
+        mark, best = (held.column(at)[0].as_py(), held.column(score)[0].as_py()) if held is not None else (None, None)
+        done, k = [], -1  # -1: the row held from before
+        for n, (time, value) in enumerate(zip(times, scores, strict=True)):
+            if mark is None or time - mark >= gap:
+                if mark is not None:
+                    done.append(k)
+                mark, best, k = time, value, n
+            elif value > best:
+                mark, best, k = time, value, n
+        out = rows.take(pa.array([x for x in done if x >= 0], pa.int64()))
+        if done and done[0] < 0:
+            out = pa.Table.from_batches([held, out]).combine_chunks().to_batches()[0]
+        return (held if k < 0 else rows.slice(k, 1)), out
+
+    return ordered_scan(df, keys, [at, seq], step, finish=lambda held: held)
 
 
 def sessions(df: DataFrame, keys: Sequence[str], gap: int, at: str = "us", seq: str = "seq", name: str = "session") -> DataFrame:
@@ -94,14 +137,19 @@ def smooth(df: DataFrame, keys: Sequence[str], alpha: float, at: str = "t", valu
     The sum runs in input order within a key, so results equal a plain loop's.
     """
     a = min(1.0, max(1e-3, alpha))
-    rest = [c for c in df.columns if c not in (*keys, at, seq, *values)]
-    rows = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(at, seq, *values, *rest))).alias("rows"))
-
-    def step(acc: Column, x: Column) -> Column:
-        last = F.try_element_at(acc, F.lit(-1))
-        new = [(F.when(F.size(acc) == 0, x[v].cast("double")).otherwise(last[v] + F.lit(a) * (x[v] - last[v]))).alias(v) for v in values]
-        return F.concat(acc, F.array(F.struct(x[at].alias(at), x[seq].alias(seq), *new, *(x[c].alias(c) for c in rest))))
-
-    kind = ",".join(f"{c}:{df.schema[c].dataType.simpleString()}" for c in (at, seq)) + "," + ",".join([*(f"{v}:double" for v in values), *(f"{c}:{df.schema[c].dataType.simpleString()}" for c in rest)])
-    start = F.array().cast(f"array<struct<{kind}>>")
-    return rows.select(*keys, F.inline(F.aggregate("rows", start, step)))
+    out = [f"`{f.name}` {'double' if f.name in values else f.dataType.simpleString()}" for f in df.schema.fields]
+
+    def step(last: dict | None, rows: pa.RecordBatch):
+        last = last or {}
+        columns = list(rows.columns)
+        for v in values:
+            place = rows.schema.get_field_index(v)
+            s, smoothed = last.get(v), []
+            for x in columns[place].to_pylist():
+                s = float(x) if s is None else s + a * (x - s)
+                smoothed.append(s)
+            last[v] = s
+            columns[place] = pa.array(smoothed, pa.float64())
+        return last, pa.RecordBatch.from_arrays(columns, names=rows.schema.names)
+
+    return ordered_scan(df, keys, [at, seq], step, ", ".join(out))
