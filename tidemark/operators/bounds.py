@@ -88,7 +88,7 @@ def _gathered(candidates: DataFrame, evidence: DataFrame, name: str, order: list
     return within(evidence, candidates, overlap).groupBy("candidate_id").agg(F.array_sort(F.collect_list(F.struct(*order))).alias(name))
 
 
-def _median(values: Column) -> Column:
+def median_of(values: Column) -> Column:
     """Median of an array of numbers, null of an empty one."""
     v, n = F.array_sort(values), F.size(values)
     low, high = F.try_element_at(v, F.floor((n + 1) / 2).cast("int")), F.try_element_at(v, (F.floor(n / 2) + 1).cast("int"))
@@ -143,7 +143,7 @@ def decide(candidates: DataFrame, words: DataFrame, chat: DataFrame, levels: Dat
     moments = F.filter(F.sequence(F.lit(0), F.lit(int(reach / step + 1e-9))), lambda k: (k == 0) | lasting(k))
     near = F.exists("chat", lambda c: c["t"].between(at - w, at + reach))
     burst = F.when(F.coalesce(near, F.lit(False)), F.least(at + F.array_max(moments) * step, at + tail))
-    base = _median(F.transform(F.filter("levels", lambda x: x["t"].between(at - baseline, at)), lambda x: x["value"]))
+    base = median_of(F.transform(F.filter("levels", lambda x: x["t"].between(at - baseline, at)), lambda x: x["value"]))
     out = out.withColumns({"burst_end": burst, "level": F.greatest(F.lit(min_rms), 1.5 * F.coalesce(base, F.lit(min_rms))), "main_ts": at, "main_end": F.greatest(at, F.coalesce("main.end", at))})
     out = out.withColumn("decay", F.array_min(F.transform(F.filter("levels", lambda x: x["t"].between(at, at + tail) & (x["value"] < F.col("level"))), lambda x: x["t"])))
     out = out.withColumn("payoff_ts", F.greatest(F.col("main_end"), F.least(F.coalesce(F.greatest("burst_end", "decay"), at), at + tail)))

@@ -154,6 +154,12 @@ def resolve_jobs(candidates: DataFrame, streams: DataFrame, streamers: DataFrame
     return j.filter("problem is null").drop("problem"), j.filter("problem is not null")
 
 
+def run_counters(outcomes: DataFrame, keys: Sequence[str], outcome: str = "outcome", known: Sequence[str] = ("done", "skipped", "failed")) -> DataFrame:
+    """What a run did per key: rows ``seen``, one count for each known outcome, and ``other``."""
+    is_known = F.coalesce(F.col(outcome).isin(*known), F.lit(False))
+    return outcomes.groupBy(*keys).agg(F.count("*").alias("seen"), *(F.count_if(F.col(outcome) == k).alias(k) for k in known), F.count_if(~is_known).alias("other"))
+
+
 def changed_inputs(rows: DataFrame, done: DataFrame, keys: Sequence[str], inputs: Sequence[str]) -> DataFrame:
     """Rows whose inputs have a fingerprint (``fingerprint``) that ``done`` does not hold for their key."""
     mark = F.sha2(F.to_json(F.struct(*inputs)), 256)

@@ -42,7 +42,8 @@ def verified_offset(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def baseline_median(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = events(spark, sf_dir)
-    return e.groupBy(F.floor(F.col("us") / (86_400 * MICROS)).alias("day")).agg(F.round(F.median("value"), 6).alias("median"))
+    days = e.groupBy(F.floor(F.col("us") / (86_400 * MICROS)).alias("day")).agg(F.collect_list("value").alias("values"))
+    return days.select("day", F.round(bounds.median_of(F.col("values")), 6).alias("median"))
 
 
 def _moments(e: DataFrame) -> DataFrame:
