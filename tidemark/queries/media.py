@@ -53,12 +53,10 @@ def _moments(e: DataFrame) -> DataFrame:
 
 
 def burst_end(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How long any events keep coming after each user's best event, at one in five minutes and more."""
+    """How long a user's events keep coming after the best one, at one in two hours and more."""
     e = _seconds(events(spark, sf_dir))
-    m = _moments(e)
-    near = m.select("candidate_id", "source_ts").withColumn("bucket", F.explode(F.sequence(F.floor((F.col("source_ts") - 600) / 7200), F.floor((F.col("source_ts") + 3600) / 7200))))
-    chat = near.join(e.select("t", F.floor(F.col("t") / 7200).alias("bucket")), "bucket").select("candidate_id", "t")
-    return bounds.burst_end(m, chat, ChatRates(window=600.0, min_rate=1 / 300), 3600.0).select("candidate_id", F.round("burst_end", 3).alias("burst_end"))
+    own = e.select(F.col("user_id").alias("candidate_id"), "t")
+    return bounds.burst_end(_moments(e), own, ChatRates(window=7200.0, min_rate=1 / 7200), 36_000.0).select("candidate_id", F.round("burst_end", 3).alias("burst_end"))
 
 
 def level_decay(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -355,8 +353,8 @@ SELECT n.user_id, CASE WHEN a >= 3 AND c >= 3 THEN lag ELSE 0 END AS lag, round(
 SELECT user_id, round(coalesce(median(off) FILTER (WHERE score >= 0.6), 0.0), 5) AS "offset", round(CASE WHEN count(*) FILTER (WHERE score >= 0.6) > 0 THEN avg(score) ELSE max(score) END, 6) AS score, count(*) AS checked, count(*) FILTER (WHERE score >= 0.6) AS confident,
  CASE WHEN count(*) FILTER (WHERE score >= 0.6) > 0 THEN avg(score) ELSE max(score) END >= 0.6 AS is_confident FROM o GROUP BY user_id""",
     "baseline_median": f"WITH {EVENTS} SELECT us // 86400000000 AS day, round(median(value), 6) AS median FROM e GROUP BY 1",
-    "burst_end": f"""WITH {_E}, {_BEST}, k AS (SELECT unnest(range(1, 13)) AS k), c AS (SELECT candidate_id, source_ts, k, (SELECT count(*) FROM s WHERE s.t > source_ts + 300.0 * k - 600.0 AND s.t <= source_ts + 300.0 * k) AS n FROM b CROSS JOIN k)
-SELECT candidate_id, round(source_ts + least(coalesce(max(300.0 * k) FILTER (WHERE n / 600.0::DOUBLE >= 1.0::DOUBLE / 300), 0.0), 3600.0), 3) AS burst_end FROM c GROUP BY candidate_id, source_ts""",
+    "burst_end": f"""WITH {_E}, {_BEST}, c AS (SELECT candidate_id, source_ts, k, (SELECT count(*) FROM s WHERE s.user_id = candidate_id AND s.t > source_ts + 3600.0 * k - 7200.0 AND s.t <= source_ts + 3600.0 * k) AS n FROM b, range(1, 11) r(k))
+SELECT candidate_id, round(source_ts + least(coalesce(max(3600.0 * k) FILTER (WHERE n / 7200.0::DOUBLE >= 1.0::DOUBLE / 7200), 0.0), 36000.0), 3) AS burst_end FROM c GROUP BY candidate_id, source_ts""",
     "level_decay": f"""WITH {_E}, {_BEST}, m AS (SELECT candidate_id, source_ts, median(value) AS base FROM b JOIN s ON user_id = candidate_id AND t BETWEEN source_ts - 864000.0 AND source_ts GROUP BY ALL)
 SELECT candidate_id, round(min(t), 3) AS decay FROM m JOIN s ON user_id = candidate_id AND t BETWEEN source_ts AND source_ts + 864000.0 WHERE value < greatest(0.02::DOUBLE, 1.5::DOUBLE * base) GROUP BY candidate_id""",
     "review_windows": f"""WITH {_REVIEW}

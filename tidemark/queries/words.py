@@ -39,16 +39,16 @@ def chat_context_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return docs.select("lang", "doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "text")).withColumn("seq", F.col("doc_id") * 100_000 + F.col("pos"))
+    return docs.select("lang", "doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "text")).withColumn("seq", F.struct("doc_id", "pos"))
 
 
 def repeated_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The most frequent lines of each language."""
-    return messages.repeated_texts(_lines(spark, sf_dir), ["lang"]).select("lang", F.sha2("text", 256).alias("text_sha256"), "n", "first_seq")
+    return messages.repeated_texts(_lines(spark, sf_dir), ["lang"]).select("lang", F.sha2("text", 256).alias("text_sha256"), "n", F.col("first_seq.doc_id").alias("first_doc"), F.col("first_seq.pos").alias("first_line"))
 
 
 def hashtags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").filter("lang = 'en'")
+    docs = table(spark, sf_dir, "documents")
     return messages.hashtags(docs.select("source", "text"), ["source"], 6, F.col("source"), ["Thing", "#that", "nowhere-to-be"])
 
 
@@ -63,7 +63,7 @@ def _words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def emphasis_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = _words(spark, sf_dir).withColumn("seq", F.col("turn") * 100_000 + F.col("seq"))
+    w = _words(spark, sf_dir).withColumn("seq", F.struct("turn", "seq"))
     return messages.emphasis_words(w, ["conv_id"], ["the", "que", "clip that"])
 
 
@@ -135,16 +135,16 @@ ORACLE_SQL = {
     "chat_context": f"WITH {_CONTEXT} SELECT moment_id, count(*) AS window_count, least(count(*), 5)::BIGINT AS shown, (SELECT count(keyword) FROM s WHERE s.moment_id = i.moment_id) AS keyword_hits FROM i GROUP BY moment_id",
     "chat_context_messages": f"WITH {_CONTEXT} SELECT moment_id, us, seq, keyword FROM s",
     "repeated_texts": """WITH l AS (SELECT lang, doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents),
-c AS (SELECT lang, lower(trim(line)) AS text, count(*) AS n, min(doc_id * 100000 + pos) AS first_seq FROM l WHERE trim(line) <> '' GROUP BY ALL),
-r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n DESC, first_seq) AS rn FROM c)
-SELECT lang, sha256(text) AS text_sha256, n, first_seq FROM r WHERE rn <= 5 AND n >= 2""",
-    "hashtags": f"""WITH d AS (SELECT source, text FROM documents WHERE lang = 'en'), k AS (SELECT source, {_TOKENS} FROM d),
+c AS (SELECT lang, lower(trim(line)) AS text, count(*) AS n, min({'d': doc_id, 'p': pos}) AS first FROM l WHERE trim(line) <> '' GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n DESC, first) AS rn FROM c)
+SELECT lang, sha256(text) AS text_sha256, n, first.d AS first_doc, first.p AS first_line FROM r WHERE rn <= 5 AND n >= 2""",
+    "hashtags": f"""WITH d AS (SELECT source, text FROM documents), k AS (SELECT source, {_TOKENS} FROM d),
 c AS (SELECT source, token AS tag, 2 AS rank, -count(*) AS weight FROM k WHERE length(token) >= 4 AND token NOT IN ({_STOP}) AND NOT regexp_full_match(token, '[0-9]+') GROUP BY ALL),
 a AS (SELECT * FROM c UNION ALL SELECT DISTINCT source, token, 1, CASE token WHEN 'thing' THEN 0 ELSE 1 END FROM k WHERE token IN ('thing', 'that') UNION ALL SELECT DISTINCT source, lower(source), 0, 0 FROM d),
 b AS (SELECT source, tag, min(rank * 1000000000000 + weight) AS o FROM a GROUP BY ALL),
 n AS (SELECT source, tag, CAST(row_number() OVER (PARTITION BY source ORDER BY o, tag) AS INTEGER) AS place FROM b) SELECT source, place, tag FROM n WHERE place <= 6""",
     "token_counts": f"WITH {_TURNS}, k AS (SELECT role, {_TOKENS} FROM t) SELECT role, token, count(*) AS n FROM k WHERE length(token) >= 4 AND token NOT IN ({_STOP}) AND NOT regexp_full_match(token, '[0-9]+') GROUP BY ALL HAVING count(*) >= 3",
-    "emphasis_words": f"""WITH {_W}, c AS (SELECT conv_id, turn * 100000 + seq AS seq, {_EDGE} AS core FROM w),
+    "emphasis_words": f"""WITH {_W}, c AS (SELECT conv_id, {{'t': turn, 's': seq}} AS seq, {_EDGE} AS core FROM w),
 x AS (SELECT conv_id, seq, lower(core) AS word, CASE WHEN length(core) > 1 AND regexp_matches(core, '\\p{{Lu}}') AND NOT regexp_matches(core, '\\p{{Ll}}') THEN 3 ELSE 0 END + CASE WHEN regexp_matches(core, '[0-9]') THEN 2 ELSE 0 END
  + CASE WHEN lower(core) IN ('the', 'que') THEN 2 ELSE 0 END + CASE WHEN lower(core) IN ({_EMO}) THEN 2 ELSE 0 END + CASE WHEN length(core) >= 9 THEN 1 ELSE 0 END AS score FROM c WHERE core <> ''),
 s AS (SELECT conv_id, word, CAST(sum(score) AS BIGINT) AS score, min(seq) AS first FROM x WHERE score > 0 GROUP BY ALL),
