@@ -227,6 +227,7 @@ def _order_calls(order: DataFrame) -> DataFrame:
         before, left = left, state.filter("open > 0").count()
         if left == before:
             break
+    scratch.keep_only(order, state)
     found = state.select(F.col("conv_id").alias("c"), F.col("event_id").alias("e"), "place", "open")
     is_cyclic = F.coalesce(F.col("open") > 0, F.lit(False))
     is_placed = F.col("place").isNotNull() & ~is_cyclic

@@ -186,6 +186,7 @@ def pack(found: DataFrame, capacity: int = 1024, partitions: int | None = None)
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long"
     ranked = scratch.save(ordered.mapInArrow(number, f"{schema}, part int, rank long"))
+    scratch.keep_only(ranked)
     held = ranked.groupBy("length", "part").agg(F.count("*").alias("n"))
     before = held.select("length", "part", "n", (F.sum("n").over(Window.partitionBy("length").orderBy("part")) - F.col("n")).alias("before"))
     table = before.collect()  # partitions + capacity rows at most

@@ -107,7 +107,8 @@ def _chance_table() -> np.ndarray:
     """
     edges = np.concatenate([2.0 ** -(k + 1) * (1 + np.arange(1 << MANTISSA) / (1 << MANTISSA)) for k in range(_SHIFT - MANTISSA)])
     width = 2.0 ** -np.repeat(np.arange(1, _SHIFT - MANTISSA + 1), 1 << MANTISSA) / (1 << MANTISSA)
-    per_bucket = 2.0 ** (np.arange(2 * _STEPS) / 2) / REGISTERS
+    # Empty buckets borrow, so each has one element at least.
+    per_bucket = np.maximum(1.0, 2.0 ** (np.arange(2 * _STEPS) / 2) / REGISTERS)
     cells = np.array([np.exp(n * np.log1p(-edges)) * -np.expm1(n * np.log1p(np.maximum(-width / np.maximum(1 - edges, width), -1 + 1e-16))) for n in per_bucket])
     return cells @ cells.T
 
