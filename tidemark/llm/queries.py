@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, dedup, jpeg, lines, minhash, packing, repeats, secrets, sentencepiece, toxicity, wordpiece
+from tidemark.llm import chat, checks, dedup, jpeg, lines, minhash, packing, repair, repeats, secrets, sentencepiece, toxicity, trie, wordpiece
 from tidemark.llm.common import table
 
 
@@ -75,10 +75,18 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.link_calls(chat.reply_events(messages), REPLY_SCHEMA).drop("text")
 
 
+def op11_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair(table(spark, sf_dir, "conversations"))
+
+
 def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.conversation_trie(table(spark, sf_dir, "conversations"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -141,21 +149,13 @@ SELECT conv_id, turn, role, kind, event_id, link, invalid,
 FROM j
 """
 
-_OP12_SQL = r"""
-WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents),
-p AS (SELECT doc_id, words, list_transform(range(1, len(words) - 48), lambda i: md5(array_to_string(words[i:i + 49], ' '))) AS windows FROM w),
-s AS (SELECT doc_id, unnest(windows) AS win, generate_subscripts(windows, 1) AS a FROM p),
-f AS (SELECT win, min(doc_id) AS low FROM s GROUP BY win HAVING min(doc_id) < max(doc_id)),
-g AS (SELECT DISTINCT s.doc_id, s.a + k AS pos FROM s JOIN f ON s.win = f.win AND f.low < s.doc_id, range(0, 50) AS r(k)),
-l AS (SELECT doc_id, list(pos) AS gone FROM g GROUP BY doc_id),
-e AS (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS pos FROM w),
-j AS (SELECT e.doc_id, word, pos FROM e ANTI JOIN g ON e.doc_id = g.doc_id AND e.pos = g.pos),
-t AS (SELECT doc_id, string_agg(word, ' ' ORDER BY pos) AS kept, count(*) AS stay FROM j GROUP BY doc_id)
-SELECT w.doc_id, len(words) AS n_words, len(words) - coalesce(stay, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
-FROM w LEFT JOIN t ON w.doc_id = t.doc_id
-"""
-
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_sentencepiece, op2_media, op3_token_counts, op4_toxicity, op5_packing, op6_exact_dedup, op7_secrets, op8_minhash, op9_line_dedup, op10_chat, op12_substring_dedup, pipeline)
-}
-ORACLE_SQL: dict[str, str] = {"op6_exact_dedup": _OP6_SQL, "op9_line_dedup": _OP9_SQL, "op10_chat": _OP10_SQL, "op12_substring_dedup": _OP12_SQL}
+    f.__name__: f
+    for f in (
+        op1_sentencepiece, op2_media, op3_token_counts, op4_toxicity, op5_packing, op6_exact_dedup, op7_secrets, op8_minhash, op9_line_dedup, op10_chat,
+        op11_structure_repair, op12_substring_dedup, op13_prefix_trie, pipeline,
+    )
+}
+ORACLE_SQL: dict[str, str] = {
+    "op6_exact_dedup": _OP6_SQL, "op9_line_dedup": _OP9_SQL, "op10_chat": _OP10_SQL, "op11_structure_repair": checks.OP11, "op12_substring_dedup": checks.OP12, "op13_prefix_trie": checks.OP13,
+}
