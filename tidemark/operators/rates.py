@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.sequences import thin
+from tidemark.operators.sequences import above_trailing, thin
 
 
 def window_counts(df: DataFrame, keys: Sequence[str], window: int, baseline: int, at: str = "us", seq: str = "seq", part: int | None = None) -> DataFrame:
@@ -40,14 +40,12 @@ def rate_spikes(df: DataFrame, keys: Sequence[str], window: int, baseline: int,
     return thin(hot, keys, window, at, seq)
 
 
-def level_spikes(df: DataFrame, keys: Sequence[str], frames: int, multiplier: float, floor: float, refractory: int, at: str = "us", value: str = "value", seq: str = "seq") -> DataFrame:
+def level_spikes(df: DataFrame, keys: Sequence[str], frames: int, multiplier: float, floor: float, refractory: int, at: str = "us", value: str = "value", seq: str = "seq", blocks: int | None = None) -> DataFrame:
     """Values ``multiplier`` times the mean of the ``frames`` before them, ``floor`` at least, ``refractory`` apart.
 
     The first value of a key is its own baseline.  Returns keys, at, seq, value, level (the baseline).
     """
-    w = Window.partitionBy(*keys).orderBy(at, seq).rowsBetween(-frames, -1)
-    found = df.select(*keys, at, seq, value).withColumn("level", F.coalesce(F.avg(value).over(w), F.col(value)))
-    hot = found.filter((F.col(value) >= floor) & (F.col("level") > 1e-8) & (F.col(value) >= F.col("level") * multiplier))
+    hot = above_trailing(df.select(*keys, at, seq, value), keys, frames, multiplier, floor, at, value, seq, blocks)
     return thin(hot, keys, refractory, at, seq)
 
 

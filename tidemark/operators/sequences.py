@@ -1,4 +1,9 @@
-"""Sequential scans: thinning, suppression of near duplicates, sessions, carry-forward, smoothing."""
+"""Sequential scans: thinning, suppression of near duplicates, sessions, carry-forward, smoothing.
+
+All of them run in blocks (``operators.blocks``), so one key may hold any share
+of all rows.  Rows without a time have no place on a timeline: thinning and
+suppression leave them out, a session is opened by each of them.
+"""
 
 from __future__ import annotations
 
@@ -6,10 +11,11 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.blocks import Scan, block_scan, runs
+
 
 def islands(df: DataFrame, keys: Sequence[str], order: Sequence[str], starts: Column, name: str = "island") -> DataFrame:
     """Number runs of rows per key; ``starts`` says whether a row opens one (null counts as opening)."""
@@ -18,31 +24,21 @@ def islands(df: DataFrame, keys: Sequence[str], order: Sequence[str], starts: Co
 
 
 def ordered_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], step: Callable, schema: str | None = None, finish: Callable | None = None) -> DataFrame:
-    """Rows of each key in order, through ``step(state, rows) -> (state, out rows)``.
+    """Rows of each key in order, through ``step(state, rows) -> (state, out rows)``, a key in one task.
 
-    For what must be decided row by row: rows are sorted in their partition, so
-    Spark spills and nothing is gathered; a task holds one Arrow batch and the
-    state (None at first) of one key, and takes time in proportion to its rows.
-    ``finish(state)`` gives what is left at the end of a key.
+    For what must be decided row by row and has no summary: rows are sorted in
+    their partition, so Spark spills and nothing is gathered; a task holds one
+    Arrow batch and the state (None at first) of one key, and takes time in
+    proportion to its rows.  ``finish(state)`` gives what is left at the end of a key.
     """
     laid = (df.repartition(*keys) if keys else df.repartition(1)).sortWithinPartitions(*keys, *order)
     schema = schema or ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
 
-    def runs(batch: pa.RecordBatch):
-        new = np.zeros(batch.num_rows, bool)
-        for k in keys:
-            column = batch.column(k)
-            apart = pc.fill_null(pc.not_equal(column[1:], column[:-1]), False)
-            new[1:] |= np.asarray(apart) | np.asarray(pc.xor(pc.is_null(column[1:]), pc.is_null(column[:-1])))
-        edges = [0, *np.flatnonzero(new).tolist(), batch.num_rows]
-        for low, high in zip(edges[:-1], edges[1:], strict=True):
-            yield tuple(batch.column(k)[low].as_py() for k in keys), batch.slice(low, high - low)
-
     def run(batches):
         key, state = None, None
         for batch in batches:
             out = []
-            for own, rows in runs(batch) if batch.num_rows else ():
+            for own, rows in runs(batch, keys) if batch.num_rows else ():
                 if own != key:
                     if key is not None and finish is not None:
                         out.append(finish(state))
@@ -58,35 +54,93 @@ def ordered_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], step:
     return laid.mapInArrow(run, schema)
 
 
-def thin(df: DataFrame, keys: Sequence[str], gap: int, at: str = "us", seq: str = "seq") -> DataFrame:
-    """Rows at least ``gap`` after the last row kept; what is suppressed does not move the mark."""
+def _followed(following: np.ndarray) -> np.ndarray:
+    """Where the chain of each row ends; ``following`` points to a later row, or past the last one.  Pointers are doubled."""
+    n = len(following)
+    at = np.where(following < n, following, np.arange(n))
+    while True:
+        further = at[at]
+        if (further == at).all():
+            return at
+        at = further
+
+
+class _Thin(Scan):
+    """State: the time of the last row kept.  Summary: for a first kept row within one gap of the block's start, the last one kept."""
+
+    def __init__(self, gap: int, at: str):
+        self.gap, self.at = gap, at
+
+    def _times(self, rows) -> np.ndarray:
+        return np.asarray(rows.column(self.at).combine_chunks() if isinstance(rows, pa.Table) else rows.column(self.at)).astype(np.int64)
+
+    def summary(self, rows):
+        t = self._times(rows)
+        ends = _followed(np.maximum(np.searchsorted(t, t + self.gap), np.arange(len(t)) + 1))
+        near = int(np.searchsorted(t, t[0] + self.gap)) + 1
+        return t[:near], t[ends[:near]]
 
-    def step(last: int | None, rows: pa.RecordBatch):
-        times = rows.column(at).to_numpy()
-        k = 0 if last is None else int(np.searchsorted(times, last + gap))
+    def enter(self, last, summary):
+        times, ends = summary
+        k = 0 if last is None else int(np.searchsorted(times, last + self.gap))
+        return last if k == len(times) else int(ends[k])
+
+    def step(self, last, rows):
+        times = self._times(rows)
+        k = 0 if last is None else int(np.searchsorted(times, last + self.gap))
         kept = []
         while k < len(times):
             last = int(times[k])
             kept.append(k)
-            k = max(k + 1, int(np.searchsorted(times, last + gap)))
+            k = max(k + 1, int(np.searchsorted(times, last + self.gap)))
         return last, rows.take(pa.array(kept, pa.int64()))
 
-    return ordered_scan(df, keys, [at, seq], step)
-
-
-def dedupe_nearby(df: DataFrame, keys: Sequence[str], gap: int, at: str = "us", seq: str = "seq", score: str = "score") -> DataFrame:
-    """Within ``gap`` of the row held last, only the better of both is held; the held row's time is its own.
 
-    ``keys`` include the kind of signal: kinds do not suppress each other.
-    """
-
-    def step(held: pa.RecordBatch | None, rows: pa.RecordBatch):
-        times, scores = rows.column(at).to_pylist(), rows.column(score).to_pylist()
-        mark, best = (held.column(at)[0].as_py(), held.column(score)[0].as_py()) if held is not None else (None, None)
+def thin(df: DataFrame, keys: Sequence[str], gap: int, at: str = "us", seq: str = "seq", blocks: int | None = None) -> DataFrame:
+    """Rows at least ``gap`` after the last row kept; what is suppressed does not move the mark.  Rows without a time go."""
+    return block_scan(df.filter(F.col(at).isNotNull()), keys, [at, seq], _Thin(gap, at), blocks=blocks)
+
+
+class _Nearby(Scan):
+    """State: the row held.  Summary: for each row that may be the first to take over from a held one, the row held at the end."""
+
+    def __init__(self, gap: int, at: str, score: str):
+        self.gap, self.at, self.score = gap, at, score
+
+    def _read(self, rows) -> tuple[np.ndarray, np.ndarray]:
+        whole = rows.select([self.at, self.score]) if isinstance(rows, pa.Table) else pa.Table.from_batches([rows.select([self.at, self.score])])
+        scores = whole.column(self.score).cast(pa.float64()).fill_null(-np.inf).to_numpy()
+        return whole.column(self.at).to_numpy().astype(np.int64), scores
+
+    def summary(self, rows):
+        t, v = self._read(rows)
+        n = len(t)
+        better, stack = np.full(n, n), []
+        for k, x in enumerate(v.tolist()):
+            while stack and v[stack[-1]] < x:
+                better[stack.pop()] = k
+            stack.append(k)
+        ends = _followed(np.minimum(np.maximum(np.searchsorted(t, t + self.gap), np.arange(n) + 1), better))
+        near = int(np.searchsorted(t, t[0] + self.gap)) + 1
+        best = np.maximum.accumulate(v[:near])
+        last, at = np.unique(ends[:near], return_inverse=True)
+        return t[:near], best, at, rows.take(pa.array(last)).combine_chunks().to_batches()[0]
+
+    def enter(self, held, summary):
+        times, best, at, last = summary
+        k = 0
+        if held is not None:
+            (mark,), (score,) = self._read(held)
+            k = min(int(np.searchsorted(times, mark + self.gap)), int(np.searchsorted(best, score, "right")))
+        return held if k == len(times) else last.slice(int(at[k]), 1)
+
+    def step(self, held, rows):
+        times, scores = (x.tolist() for x in self._read(rows))
+        mark, best = (float("nan"), 0.0) if held is None else (x[0] for x in self._read(held))
         done, k = [], -1  # -1: the row held from before
         for n, (time, value) in enumerate(zip(times, scores, strict=True)):
-            if mark is None or time - mark >= gap:
-                if mark is not None:
+            if k < 0 and held is None or time - mark >= self.gap:
+                if k >= 0 or held is not None:
                     done.append(k)
                 mark, best, k = time, value, n
             elif value > best:
@@ -96,13 +150,54 @@ def dedupe_nearby(df: DataFrame, keys: Sequence[str], gap: int, at: str = "us",
             out = pa.Table.from_batches([held, out]).combine_chunks().to_batches()[0]
         return (held if k < 0 else rows.slice(k, 1)), out
 
-    return ordered_scan(df, keys, [at, seq], step, finish=lambda held: held)
+    def finish(self, held):
+        return held
+
 
+def dedupe_nearby(df: DataFrame, keys: Sequence[str], gap: int, at: str = "us", seq: str = "seq", score: str = "score", blocks: int | None = None) -> DataFrame:
+    """Within ``gap`` of the row held last, only the better of both is held; the held row's time is its own.
+
+    ``keys`` include the kind of signal: kinds do not suppress each other.  Rows
+    without a time go; no score is less than any.
+    """
+    return block_scan(df.filter(F.col(at).isNotNull()), keys, [at, seq], _Nearby(gap, at, score), blocks=blocks)
+
+
+class _Sessions(Scan):
+    """State: time of the last row, sessions so far.  Summary: first and last time, sessions opened behind the first row."""
+
+    def __init__(self, gap: int, at: str):
+        self.gap, self.at = gap, at
+
+    def _apart(self, before: int | None, time: int | None) -> bool:
+        return before is None or time is None or time - before > self.gap
+
+    def _opened(self, times) -> np.ndarray:
+        """Whether each row but the first opens a session."""
+        t = times.combine_chunks() if isinstance(times, pa.ChunkedArray) else times
+        known, t = np.asarray(t.is_valid()), np.asarray(t.fill_null(0)).astype(np.int64)
+        return ~known[1:] | ~known[:-1] | (t[1:] - t[:-1] > self.gap)
 
-def sessions(df: DataFrame, keys: Sequence[str], gap: int, at: str = "us", seq: str = "seq", name: str = "session") -> DataFrame:
+    def summary(self, rows):
+        times = rows.column(self.at)
+        return times[0].as_py(), times[-1].as_py(), int(self._opened(times).sum())
+
+    def enter(self, state, summary):
+        first, last, opened = summary
+        before, n = state or (None, 0)
+        return last, n + opened + self._apart(before, first)
+
+    def step(self, state, rows):
+        times = rows.column(self.at)
+        before, n = state or (None, 0)
+        number = n + np.cumsum(np.append(self._apart(before, times[0].as_py()), self._opened(times)))
+        return (times[-1].as_py(), int(number[-1])), pa.RecordBatch.from_arrays([*rows.columns, pa.array(number, pa.int64())], names=[*rows.schema.names, "number"])
+
+
+def sessions(df: DataFrame, keys: Sequence[str], gap: int, at: str = "us", seq: str = "seq", name: str = "session", blocks: int | None = None) -> DataFrame:
     """Number sessions: a row more than ``gap`` after its predecessor opens one (exactly ``gap`` does not)."""
-    w = Window.partitionBy(*keys).orderBy(at, seq)
-    return islands(df, keys, [at, seq], F.col(at) - F.lag(at).over(w) > gap, name)
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields), f"`{name}` long"])
+    return block_scan(df, keys, [at, seq], _Sessions(gap, at), schema, blocks)
 
 
 def coalesce_sessions(df: DataFrame, keys: Sequence[str], gap: int, at: str = "us", seq: str = "seq", score: str = "score", kind: str = "kind", payload: Column | None = None) -> DataFrame:
@@ -124,32 +219,130 @@ def coalesce_sessions(df: DataFrame, keys: Sequence[str], gap: int, at: str = "u
     )
 
 
-def carry_forward(spine: DataFrame, seen: DataFrame, keys: Sequence[str], at: str, values: Sequence[str]) -> DataFrame:
+class _LastSeen(Scan):
+    """State: the last value seen in each column (arrays of one)."""
+
+    def __init__(self, values: Sequence[str]):
+        self.values = list(values)
+
+    def summary(self, rows):
+        return self._last(None, rows)
+
+    def _last(self, state, rows):
+        out = {}
+        for v in self.values:
+            column = rows.column(v).combine_chunks() if isinstance(rows, pa.Table) else rows.column(v)
+            at = np.flatnonzero(np.asarray(column.is_valid()))
+            out[v] = column.take(pa.array(at[-1:])) if len(at) else state[v] if state else None
+        return out
+
+    def enter(self, state, summary):
+        return summary if state is None else {v: state[v] if x is None else x for v, x in summary.items()}
+
+    def step(self, state, rows):
+        columns = list(rows.columns)
+        for v in self.values:
+            place = rows.schema.get_field_index(v)
+            column, before = columns[place], (state or {}).get(v)
+            lead = 0 if before is None else 1
+            whole = pa.concat_arrays([before, column]) if lead else column
+            at = np.maximum.accumulate(np.where(np.asarray(whole.is_valid()), np.arange(len(whole)), -1))[lead:]
+            columns[place] = whole.take(pa.array(at, mask=at < 0))
+        return self._last(state, rows), pa.RecordBatch.from_arrays(columns, names=rows.schema.names)
+
+
+def fill_forward(df: DataFrame, keys: Sequence[str], order: Sequence[str], values: Sequence[str], blocks: int | None = None) -> DataFrame:
+    """Nulls of ``values`` replaced by the last value before them in the order (null before the first)."""
+    return block_scan(df, keys, order, _LastSeen(values), blocks=blocks)
+
+
+def carry_forward(spine: DataFrame, seen: DataFrame, keys: Sequence[str], at: str, values: Sequence[str], blocks: int | None = None) -> DataFrame:
     """On every row of the spine, the last values seen at or before it (null before the first)."""
-    joined = spine.join(seen.select(*keys, at, *values), [*keys, at], "left")
-    w = Window.partitionBy(*keys).orderBy(at).rowsBetween(Window.unboundedPreceding, 0)
-    return joined.select(*keys, at, *(F.last(v, ignorenulls=True).over(w).alias(v) for v in values))
+    joined = spine.join(seen.select(*keys, at, *values), [*keys, at], "left").select(*keys, at, *values)
+    return fill_forward(joined, keys, [at], values, blocks)
 
 
-def smooth(df: DataFrame, keys: Sequence[str], alpha: float, at: str = "t", values: Sequence[str] = ("x",), seq: str = "seq") -> DataFrame:
-    """Exponential moving averages: the first value, then ``s + alpha * (x - s)``; alpha within [0.001, 1].
+class _Smooth(Scan):
+    """State: the last average of each value.  Summary: the affine map of a run, and what it makes of its own first value."""
 
-    The sum runs in input order within a key, so results equal a plain loop's.
-    """
-    a = min(1.0, max(1e-3, alpha))
-    out = [f"`{f.name}` {'double' if f.name in values else f.dataType.simpleString()}" for f in df.schema.fields]
+    def __init__(self, alpha: float, values: Sequence[str]):
+        self.alpha, self.values = alpha, list(values)
+
+    def summary(self, rows):
+        out, stay = {}, 1.0 - self.alpha
+        for v in self.values:
+            x = rows.column(v).drop_null().cast(pa.float64()).to_numpy()
+            n = len(x)
+            weights = stay ** np.arange(n - 1, -1, -1, dtype=np.float64)
+            added = self.alpha * float(weights @ x) if n else 0.0
+            out[v] = (stay**n, added, added + float(x[0]) * weights[0] * stay if n else None)
+        return out
 
-    def step(last: dict | None, rows: pa.RecordBatch):
-        last = last or {}
+    def enter(self, state, summary):
+        state = state or {}
+        return {v: fresh if state.get(v) is None else factor * state[v] + added for v, (factor, added, fresh) in summary.items()}
+
+    def step(self, state, rows):
+        state = dict(state or {})
         columns = list(rows.columns)
-        for v in values:
+        for v in self.values:
             place = rows.schema.get_field_index(v)
-            s, smoothed = last.get(v), []
+            s, smoothed = state.get(v), []
             for x in columns[place].to_pylist():
-                s = float(x) if s is None else s + a * (x - s)
+                if x is not None:
+                    s = float(x) if s is None else s + self.alpha * (x - s)
                 smoothed.append(s)
-            last[v] = s
+            state[v] = s
             columns[place] = pa.array(smoothed, pa.float64())
-        return last, pa.RecordBatch.from_arrays(columns, names=rows.schema.names)
+        return state, pa.RecordBatch.from_arrays(columns, names=rows.schema.names)
+
 
-    return ordered_scan(df, keys, [at, seq], step, ", ".join(out))
+def smooth(df: DataFrame, keys: Sequence[str], alpha: float, at: str = "t", values: Sequence[str] = ("x",), seq: str = "seq", blocks: int | None = None) -> DataFrame:
+    """Exponential moving averages: the first value, then ``s + alpha * (x - s)``; alpha within [0.001, 1].
+
+    A missing value leaves the average as it is.  Averages carried from one block
+    to the next are composed as affine maps; within a block the sum runs in order.
+    """
+    a = min(1.0, max(1e-3, alpha))
+    out = ", ".join(f"`{f.name}` {'double' if f.name in values else f.dataType.simpleString()}" for f in df.schema.fields)
+    return block_scan(df, keys, [at, seq], _Smooth(a, values), out, blocks)
+
+
+class _Trailing(Scan):
+    """State: the last values.  Rows get ``level``, the mean of the values before them, their own where there is none; only those that ``keep`` says go on."""
+
+    def __init__(self, frames: int, value: str, keep: Callable[[np.ndarray, np.ndarray], np.ndarray]):
+        self.frames, self.value, self.keep = frames, value, keep
+
+    def _values(self, rows) -> np.ndarray:
+        column = rows.column(self.value)
+        return (column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column).cast(pa.float64()).fill_null(np.nan).to_numpy(zero_copy_only=False)
+
+    def summary(self, rows):
+        return self._values(rows)[-self.frames :]
+
+    def enter(self, state, summary):
+        return (summary if state is None else np.append(state, summary))[-self.frames :]
+
+    def step(self, state, rows):
+        own = self._values(rows)
+        before = np.zeros(0) if state is None else state
+        whole = np.concatenate([np.full(self.frames - len(before), np.nan), before, own])
+        frames = np.lib.stride_tricks.sliding_window_view(whole, self.frames)[:-1]
+        known = ~np.isnan(frames)
+        n = known.sum(axis=1)
+        total = np.where(known, frames, 0.0).sum(axis=1)
+        level = np.where(n > 0, total / np.maximum(n, 1), own)
+        keep = np.flatnonzero(self.keep(own, level))
+        out = pa.RecordBatch.from_arrays([*rows.columns, pa.array(level)], names=[*rows.schema.names, "level"])
+        return np.append(before, own)[-self.frames :], out.take(pa.array(keep))
+
+
+def above_trailing(df: DataFrame, keys: Sequence[str], frames: int, multiplier: float, floor: float, at: str = "us", value: str = "value", seq: str = "seq", blocks: int | None = None) -> DataFrame:
+    """Rows whose value is ``floor`` at least and ``multiplier`` times the mean of the ``frames`` before it, with that mean as ``level``.
+
+    Missing values count neither way; the first value of a key is its own mean.
+    """
+    keep = lambda v, level: (v >= floor) & (level > 1e-8) & (v >= level * multiplier)
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields), "level double"])
+    return block_scan(df, keys, [at, seq], _Trailing(frames, value, keep), schema, blocks)

@@ -6,7 +6,7 @@ import os
 import tempfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -17,6 +17,15 @@ def shared_folder(spark: SparkSession) -> str:
     return (found or tempfile.gettempdir()).rstrip("/")
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` computed once and read from the shared folder from then on, in the same partitions and order."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(shared_folder(df.sparkSession))
+    make_importable(df.sparkSession)
+    return df.checkpoint()
+
+
 def make_importable(spark: SparkSession) -> None:
     """Let Python workers find this package where the driver found it, whatever their working folder is."""
     root = str(Path(__file__).resolve().parents[1])
