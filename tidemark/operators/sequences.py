@@ -331,7 +331,9 @@ class _Trailing(Scan):
         frames = np.lib.stride_tricks.sliding_window_view(whole, self.frames)[:-1]
         known = ~np.isnan(frames)
         n = known.sum(axis=1)
-        total = np.where(known, frames, 0.0).sum(axis=1)
+        total = np.zeros(len(own))
+        for k in range(self.frames):  # in order, as a plain loop adds
+            total += np.where(known[:, k], frames[:, k], 0.0)
         level = np.where(n > 0, total / np.maximum(n, 1), own)
         keep = np.flatnonzero(self.keep(own, level))
         out = pa.RecordBatch.from_arrays([*rows.columns, pa.array(level)], names=[*rows.schema.names, "level"])

@@ -47,12 +47,10 @@ def detect(messages: DataFrame, levels: DataFrame | None = None, cfg: Settings =
         events = chat
     else:
         audio = audio_signals(levels, cfg)
-        fused = fuse(chat, audio, KEY, whole(cfg.fusion.proximity), cfg.fusion.audio_weight)
-        one = fused.join(chat.select(*KEY, F.col("seq").alias("first_seq"), F.col("kind").alias("chat_kind"), F.col("details").alias("chat")), [*KEY, "first_seq"], "left")
-        one = one.join(audio.select(*KEY, F.col("seq").alias("second_seq"), F.col("details").alias("audio")), [*KEY, "second_seq"], "left")
-        kind = F.when(F.col("kind") == "pair", "chat_audio").when(F.col("kind") == "first", F.col("chat_kind")).otherwise("intensity_spike")
-        pair = F.concat(F.lit('{"kind":"chat_audio","chat":'), F.col("chat"), F.lit(',"audio":'), F.col("audio"), F.lit("}"))
-        events = one.select(*KEY, "us", kind.alias("kind"), "score", F.coalesce("first_seq", "second_seq").alias("seq"), F.coalesce(pair, "chat", "audio").alias("details"))
+        one = fuse(chat, audio, KEY, whole(cfg.fusion.proximity), cfg.fusion.audio_weight, first_also=["kind", "details"], second_also=["details"])
+        kind = F.when(F.col("kind") == "pair", "chat_audio").when(F.col("kind") == "first", F.col("first_kind")).otherwise("intensity_spike")
+        pair = F.concat(F.lit('{"kind":"chat_audio","chat":'), F.col("first_details"), F.lit(',"audio":'), F.col("second_details"), F.lit("}"))
+        events = one.select(*KEY, "us", kind.alias("kind"), "score", F.coalesce("first_seq", "second_seq").alias("seq"), F.coalesce(pair, "first_details", "second_details").alias("details"))
     found = coalesce_sessions(events, KEY, whole(cfg.fusion.coalesce_gap), payload=F.col("details"))
     signals = F.concat(F.lit('{"kinds":'), F.to_json("kinds"), F.lit(',"event_count":'), F.col("event_count").cast("string"), F.lit(',"events":['), F.array_join("events", ","), F.lit("]}"))
     out = found.select(*KEY, (F.col("peak_us") / 1e6).alias("source_ts"), F.col("peak_score").alias("score"), "kinds", "event_count", signals.alias("signals"))

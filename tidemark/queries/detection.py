@@ -102,11 +102,26 @@ def forward_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def nearest_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The nearest event of each user to noon of each day, within half a day."""
+    """The nearest event of each user to noon of each day on which there is one."""
     e = events(spark, sf_dir).select("user_id", "us", "seq")
-    noon = e.select("user_id", (F.floor(F.col("us") / (86_400 * MICROS)) * 86_400 * MICROS + 43_200 * MICROS).alias("us")).distinct()
-    found = fusion.nearest_sample(noon, e, ["user_id"], 43_200 * MICROS, values=["seq"])
-    return found.select("user_id", "us", "distance", "seq")
+    return fusion.nearest_sample(_noons(e), e, ["user_id"], values=["seq"]).select("user_id", "us", "distance", "seq")
+
+
+def _noons(e: DataFrame) -> DataFrame:
+    return e.select("user_id", (F.floor(F.col("us") / (86_400 * MICROS)) * 86_400 * MICROS + 43_200 * MICROS).alias("us")).distinct()
+
+
+def nearest_sample_within(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nearest event of each user to noon of each day, within half a day, by buckets."""
+    e = events(spark, sf_dir).select("user_id", "us", "seq")
+    return fusion.nearest_sample_within(_noons(e), e, ["user_id"], 43_200 * MICROS, values=["seq"]).select("user_id", "us", "distance", "seq")
+
+
+def nearest_error(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each purchase the error of the same user that is nearest in time, however far."""
+    e = events(spark, sf_dir)
+    found = fusion.nearest_sample(e.filter("event_type = 'purchase'"), e.filter("event_type = 'error'"), ["user_id"], values=["seq", "value"])
+    return found.select("user_id", "us", "distance", "sample_us", "seq", F.round("value", 6).alias("value"))
 
 
 def activity_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -224,7 +239,11 @@ SELECT user_id, min(us) AS start_us, max(us) AS end_us, max(us) FILTER (WHERE be
        max(event_type) FILTER (WHERE best = 1) AS peak_kind, count(*) AS event_count, array_to_string(list_sort(list(DISTINCT event_type)), ',') AS kinds
 FROM r GROUP BY user_id, s"""
 
-QUERIES = {f.__name__: f for f in (rate_window_counts, rate_spikes, rate_spikes_by_type, value_spikes, rms_frames, dedupe_nearby, thinned, fuse_signals, coalesce_moments, chat_signals, ranked_moments, ema_smooth, forward_fill, nearest_sample, activity_histogram, normalized_activity, stream_rate_spikes, live_rate_spikes)}
+_NEAREST = f"""WITH {EVENTS}, n AS (SELECT DISTINCT user_id, us // 86400000000 * 86400000000 + 43200000000 AS noon FROM e)
+SELECT n.user_id, n.noon AS us, abs(e.us - n.noon) AS distance, e.seq FROM n JOIN e ON e.user_id = n.user_id AND e.us BETWEEN n.noon - 43200000000 AND n.noon + 43200000000
+QUALIFY row_number() OVER (PARTITION BY n.user_id, n.noon ORDER BY abs(e.us - n.noon), e.us, e.seq) = 1"""
+
+QUERIES = {f.__name__: f for f in (rate_window_counts, rate_spikes, rate_spikes_by_type, value_spikes, rms_frames, dedupe_nearby, thinned, fuse_signals, coalesce_moments, chat_signals, ranked_moments, ema_smooth, forward_fill, nearest_sample, nearest_sample_within, nearest_error, activity_histogram, normalized_activity, stream_rate_spikes, live_rate_spikes)}
 _HIST = """h AS (SELECT event_type, bin, coalesce(n, 0)::DOUBLE AS level FROM (SELECT DISTINCT event_type FROM e) t CROSS JOIN (SELECT unnest(range(0, 720)) AS bin) b
      LEFT JOIN (SELECT event_type, greatest(0, least(719, trunc((us - 1704067200000000) / 1000000.0::DOUBLE / 3600.0::DOUBLE)))::BIGINT AS bin, count(*) AS n FROM e GROUP BY ALL) c USING (event_type, bin))"""
 ORACLE_SQL = {
@@ -247,9 +266,11 @@ SELECT user_id, seq, round(v, 6) AS smoothed FROM s""",
     "forward_fill": f"""WITH {EVENTS}, d AS (SELECT user_id, us // 86400000000 AS day, arg_max(value, us) AS value FROM e GROUP BY ALL),
 s AS (SELECT user_id, day FROM (SELECT DISTINCT user_id FROM e) u CROSS JOIN (SELECT unnest(range(min(us // 86400000000), max(us // 86400000000) + 1)) AS day FROM e) x)
 SELECT user_id, day, round(last_value(value IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 6) AS value FROM s LEFT JOIN d USING (user_id, day)""",
-    "nearest_sample": f"""WITH {EVENTS}, n AS (SELECT DISTINCT user_id, us // 86400000000 * 86400000000 + 43200000000 AS noon FROM e)
-SELECT n.user_id, n.noon AS us, abs(e.us - n.noon) AS distance, e.seq FROM n JOIN e ON e.user_id = n.user_id AND e.us BETWEEN n.noon - 43200000000 AND n.noon + 43200000000
-QUALIFY row_number() OVER (PARTITION BY n.user_id, n.noon ORDER BY abs(e.us - n.noon), e.us, e.seq) = 1""",
+    "nearest_sample": _NEAREST,
+    "nearest_sample_within": _NEAREST,
+    "nearest_error": f"""WITH {EVENTS}, p AS (SELECT DISTINCT user_id, us FROM e WHERE event_type = 'purchase')
+SELECT p.user_id, p.us, abs(x.us - p.us) AS distance, x.us AS sample_us, x.seq, round(x.value, 6) AS value FROM p JOIN e x ON x.user_id = p.user_id AND x.event_type = 'error'
+QUALIFY row_number() OVER (PARTITION BY p.user_id, p.us ORDER BY abs(x.us - p.us), x.us, x.seq) = 1""",
     "activity_histogram": f"WITH {EVENTS}, {_HIST} SELECT event_type, bin, level FROM h",
     "normalized_activity": f"WITH {EVENTS}, {_HIST}, s AS (SELECT event_type, avg(level) AS m, stddev_pop(level) AS d FROM h GROUP BY 1) SELECT event_type, bin, round(CASE WHEN d <= 1e-9 THEN 0.0 ELSE (level - m) / d END, 6) AS z FROM h JOIN s USING (event_type)",
 }
