@@ -157,3 +157,62 @@ def test_context_keeps_keywords(spark):
     assert "clip it" in [r.text for r in got["messages"].collect()]
     assert [(r.text, r.n) for r in got["repeated"].collect()] == [("kekw", 10)]
     assert got["messages"].filter(F.col("text") == "KEKW").count() == 0
+
+
+def uncovered(spans, blocks):
+    out = []
+    for start, end in spans:
+        for a, b in sorted(blocks):
+            if b > start and a < end:
+                if a > start:
+                    out.append((start, a))
+                start = max(start, b)
+        if end > start:
+            out.append((start, end))
+    return out
+
+
+def joined(spans, gap):
+    out = []
+    for a, b in sorted((max(0, a), b) for a, b in spans if b > max(0, a)):
+        if out and a - out[-1][1] <= gap:
+            out[-1] = (out[-1][0], max(out[-1][1], b))
+        else:
+            out.append((a, b))
+    return out
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_dead_air_sweep_matches_lists(spark, seed):
+    rng = random.Random(seed)
+    make = lambda n, size: [(a, a + rng.randrange(-1, size) / 4) for a in (rng.randrange(-8, 260) / 4 for _ in range(n))]
+    silences, words, protect = make(40, 24), make(25, 6), make(4, 12)
+    cfg = DeadAir(keep_pad=0.25, max_removed_ratio=0.2)
+    heard = joined([(a, min(b, 60.0)) for a, b in silences], 0.25)
+    rest = uncovered(uncovered(heard, joined(words, 0)), joined(protect, 0))
+    long = [(a + 0.25, b - 0.25) for a, b in rest if b - a - 0.5 >= cfg.min_gap]
+    cut, total = [], 0.0
+    for a, b in sorted(long, key=lambda s: (round(s[1] - s[0], 3), -s[0])):
+        total += b - a
+        if total <= 12.0 + 1e-9:
+            cut.append((a, b))
+    got, s = plan(spark, silences, duration=60.0, protect=protect, words=words, keep_pad=0.25, max_removed_ratio=0.2)
+    assert pairs(got["gaps"]) == sorted(cut) and s.n_gaps == len(cut) and s.capped == (len(cut) < len(long))
+    shown = [x for x in uncovered([(0.0, 60.0)], cut) if x[1] - x[0] >= cfg.min_keep]
+    assert pairs(got["keeps"]) == shown and abs(s.removed_seconds - (60.0 - sum(b - a for a, b in shown))) < 1e-9
+
+
+def test_dead_air_of_a_clip_with_a_hundred_thousand_spans(spark):
+    n = 100_000
+    clips = spark.createDataFrame([("a", 10.0 * n)], "clip_id string, duration double")
+    at = lambda a, b: spark.range(n).selectExpr("'a' AS clip_id", f"id * 10 + {a}D AS start", f"id * 10 + {b}D AS end")
+    got = deadair.plan(clips, at(1, 4), DeadAir(max_removed_ratio=1.0), at(2, 2.1), at(6, 7))["summary"].first()
+    assert (got.n_gaps, got.applied, got.capped) == (n, True, False)
+
+
+def test_dead_air_ignores_spans_without_an_end(spark):
+    rows = spark.createDataFrame([("a", 2.0, None), ("a", None, 4.0), ("a", 5.0, 8.0)], "clip_id string, start double, end double")
+    clips = spark.createDataFrame([("a", 10.0), ("b", 5.0)], "clip_id string, duration double")
+    got = deadair.plan(clips, rows, DeadAir())
+    assert pairs(got["gaps"]) == [(5.2, 7.8)] and {(r.clip_id, r.applied) for r in got["summary"].collect()} == {("a", True), ("b", False)}
+    assert deadair.plan(clips.limit(0), rows.limit(0), DeadAir())["summary"].collect() == []
