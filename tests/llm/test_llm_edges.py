@@ -272,6 +272,38 @@ def test_the_ratio_judges_all_but_numbers(scanner):
     assert not any(map(scanner.is_random, ("2024-01-05-10-22-33-0001", "978-3-16-148410-0/2/11", "00491512345678901234567", "TheQuickBrownFoxJumpsOver")))
 
 
+ALPHABETS = {
+    "base62": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "lower": "abcdefghijklmnopqrstuvwxyz", "upper": "ABCDEFGHIJKLMNOPQRSTUVWXYZ",
+    "upper hex": "0123456789ABCDEF", "hex": "0123456789abcdef", "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567",
+}
+
+
+@pytest.mark.parametrize("name", ALPHABETS)
+@pytest.mark.parametrize("n", [12, 16, 19, 20, 32, 40, 48, 64])
+def test_random_keys_are_found_as_far_as_they_are_dense(scanner, name, n):
+    rng = random.Random(f"{name}{n}")
+    keys = ["".join(rng.choices(ALPHABETS[name], k=n)) for _ in range(150)]
+    limit = 1.9 if n >= 20 else 1.7 if n >= 16 else 1.4
+    dense = [k for k in keys if n < limit * len(scanner.encoding.encode_ordinary(k)) and any(c.isalpha() for c in k)]
+    found = [k for k in keys if any((s, e) == (4, 4 + n) for s, e, _ in scanner.spans(f"see {k} there"))]
+    lower_hex = name == "hex" and n >= 32  # the base kind takes them all
+    assert found == (keys if lower_hex else dense)
+    if n >= 32:
+        assert len(found) > 0.85 * len(keys)
+
+
+def test_prose_digests_and_numbers_have_no_random_spans(scanner):
+    prose = """The characteristics of internationalization responsibilities notwithstanding, uncharacteristically straightforward
+    misunderstandings of TELECOMMUNICATIONS and Donaudampfschifffahrtsgesellschaft, https-config/database/credentials/production,
+    get_user_authentication_settings, handleWindowResizeEventListener, JavaScriptObjectNotation, COPYRIGHT-HOLDERS-DISCLAIMERS"""
+    assert scanner.spans(prose) == []
+    upper = "0123456789ABCDEF3C2D1B0A99887766"
+    for before in ("sha256: ", "MD5=", "md5sum ", "commit ", 'ETag: "', "checksum-", "sha1/"):
+        assert scanner.spans(f"x {before}{upper} y") == []
+    assert [k for _, _, k in scanner.spans(f"the key {upper} is new")] == ["random"]
+    assert scanner.spans("2024-01-05-10-22-33-0001 00491512345678901234567 ==================== 1/2/3/4/5/6/7/8/9/10/11") == []
+
+
 def test_words_and_base_spans_hide_no_keys(scanner):
     rng = random.Random(5)
     signs = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"

@@ -4,13 +4,14 @@ The base patterns are assignments to telling names, access key ids and long
 runs of hexadecimal digits.  The method adds candidates (long runs of the
 characters that keys are made of) whose characters per token under a byte-level
 BPE vocabulary are few: a vocabulary that covers prose needs many tokens for
-random strings.  Known digests (runs of hexadecimal digits of the usual
-lengths), UUIDs and strings of one class of characters (numbers with any
-separators among them) are left out first, and so is what a base span covers;
-identifiers made of words pass the test itself, as the vocabulary has their
-words.  Where a whole run is not random, or a base span covers some of it, its parts
-between separators are tested: neighbours that are no words are taken together,
-as keys may hold separators, and then each part alone.
+random strings.  Left out first are known digests (hexadecimal digits of a usual
+length that the text before calls a digest), UUIDs, numbers (no letter at all) and
+what a base span covers; identifiers made of words pass the test itself, as the
+vocabulary has their words.  The fewer characters a string has, the lower its ratio
+must be; fewer than ``LEAST_RUN`` have too few tokens to tell.  Where a whole run is
+not random, or a base span covers some of it, its parts between separators are
+tested: neighbours that are no words are taken together, as keys may hold
+separators, and then each part alone.
 
 Defined results: null and empty texts have no spans; very long texts are read
 whole; repeated rows give repeated results; an empty table gives an empty column;
@@ -22,7 +23,6 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
-import string
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -37,25 +37,28 @@ HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{32,}")
 KINDS = ("assign", "access", "hex", "random")
 LEAST_ASSIGN, LEAST_ACCESS = 8, 16
 
-LEAST_RUN = 20
+LEAST_RUN = 12
 CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{%d,}" % LEAST_RUN)
 #: Lengths of MD5, SHA-1, SHA-224, SHA-256, SHA-384 and SHA-512 in hexadecimal digits.
 DIGESTS = (32, 40, 56, 64, 96, 128)
 UUID = re.compile(r"[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}")
+#: What stands before a digest: its name and a sign or two.
+NAMED_DIGEST = re.compile(r"(?ai:(?<![a-z])(?:md5|sha-?[0-9]{1,3}|digest|checksum|commit|revision|etag|integrity|hash)(?:sum)?)[\"'\x20:=@(/_-]{0,4}\Z")
 #: The parts of a run; a UUID is one of them.
 PART = re.compile(r"(?<![A-Za-z0-9])" + UUID.pattern + r"(?![A-Za-z0-9])|[A-Za-z0-9]+")
-#: A string with fewer characters for each token counts as random.
-LEAST_RATIO = 1.9
-_MIXED = (string.ascii_lowercase, string.ascii_uppercase, string.digits)
-
+#: A string with fewer characters for each token counts as random, from so many characters on.
+LIMITS = ((20, 1.9), (16, 1.7), (LEAST_RUN, 1.4))
+LEAST_RATIO = LIMITS[0][1]
 
 #: From this length a part of many characters per token is a word, and ends what may be one key.
 LEAST_WORD = 4
 
 
-def is_known(text: str) -> bool:
-    """A digest of a usual length, or a UUID."""
-    return bool(len(text) in DIGESTS and re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", text) or UUID.fullmatch(text))
+def is_known(text: str, before: str = "") -> bool:
+    """A UUID, or a digest of a usual length that the text ``before`` it calls one."""
+    if UUID.fullmatch(text):
+        return True
+    return bool(len(text) in DIGESTS and re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", text) and NAMED_DIGEST.search(before))
 
 
 def uncovered(part: tuple[int, int], covered: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -77,24 +80,24 @@ class Scanner:
         table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines())}
         self.encoding = tiktoken.Encoding("secrets", pat_str=pattern, mergeable_ranks=table, special_tokens={})
 
-    def is_dense(self, text: str) -> bool:
+    def is_dense(self, text: str, limit: float = LEAST_RATIO) -> bool:
         """Few characters per token, as in random strings."""
-        return len(text) < LEAST_RATIO * len(self.encoding.encode_ordinary(text))
+        return len(text) < limit * len(self.encoding.encode_ordinary(text))
 
-    def is_random(self, text: str) -> bool:
-        """Few characters per token, and neither a known digest nor an identifier."""
-        if is_known(text) or sum(any(c in own for c in text) for own in _MIXED) < 2:
-            return False
-        return self.is_dense(text)
+    def is_random(self, text: str, before: str = "") -> bool:
+        """Few characters per token for its length, and neither a known digest (by what stands ``before``) nor an identifier nor a number."""
+        limit = next((x for n, x in LIMITS if len(text) >= n), 0.0)
+        return bool(limit) and any(c.isalpha() for c in text) and not is_known(text, before) and self.is_dense(text, limit)
 
-    def random_parts(self, run: str, covered: list[tuple[int, int]]) -> list[tuple[int, int]]:
-        """What of a run is random, but for what is covered."""
-        if not covered and self.is_random(run):
+    def random_parts(self, run: str, covered: list[tuple[int, int]], before: str = "") -> list[tuple[int, int]]:
+        """What of a run is random, but for what is covered; ``before`` is the text in front of it."""
+        parts = [(m, is_known(m.group(), before + run[: m.start()])) for m in PART.finditer(run)]
+        if not covered and not any(known for _, known in parts) and self.is_random(run, before):
             return [(0, len(run))]
         groups: list[list[tuple[int, int]]] = [[]]
-        for m in PART.finditer(run):
+        for m, known in parts:
             a, b = m.span()
-            if is_known(m.group()) or any(s <= a and b <= e for s, e in covered) or b - a >= LEAST_WORD and not self.is_dense(m.group()):
+            if known or any(s <= a and b <= e for s, e in covered) or b - a >= LEAST_WORD and not self.is_dense(m.group()):
                 groups.append([])
             else:
                 groups[-1].append((a, b))
@@ -108,13 +111,10 @@ class Scanner:
             if not group:
                 continue
             whole = (group[0][0], group[-1][1])
-            found = [whole] if self._is_key(run, whole) else [p for p in group if self._is_key(run, p)]
+            found = [whole] if self.is_random(run[slice(*whole)]) else [p for p in group if self.is_random(run[slice(*p)])]
             out += [piece for p in found for piece in uncovered(p, covered)]
         return out
 
-    def _is_key(self, run: str, part: tuple[int, int]) -> bool:
-        return part[1] - part[0] >= LEAST_RUN and self.is_random(run[slice(*part)])
-
     def spans(self, text: str) -> list[tuple[int, int, str]]:
         """(start, end, kind) by start, then kind as listed."""
         out = []
@@ -128,7 +128,7 @@ class Scanner:
         for m in CANDIDATE.finditer(text):
             a, b = m.span()
             covered = [(max(s, a) - a, min(e, b) - a) for s, e, _ in base if s < b and a < e]
-            out += [(a + s, a + e, 3) for s, e in self.random_parts(m.group(), covered)]
+            out += [(a + s, a + e, 3) for s, e in self.random_parts(m.group(), covered, text[max(0, a - 24) : a])]
         return [(s, e, KINDS[k]) for s, e, k in sorted(out, key=lambda x: (x[0], x[2]))]
 
 
