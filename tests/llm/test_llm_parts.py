@@ -266,6 +266,62 @@ def test_arguments_are_written_canonically(spark):
     assert got["call"].json.startswith('{"arguments":{"deep":{"c":true,"z":[1,{"a":1.5,"b":null}]},"n":2,"q":"xA\\n"},"content":null,')
 
 
+NUMBERS = [("1e2", "100"), ("100", "100"), ("100.0", "100"), ("0.1E+3", "100"), ("-0", "0"), ("-0.0e5", "0"), ("1.50", "1.5"), ("150e-2", "1.5"), ("-12.050", "-12.05"), ("1e-7", "1e-7"),
+           ("0.0000001", "1e-7"), ("1e-6", "0.000001"), ("10000000000000000000000", "1e22"), ("1e22", "1e22"), ("12345678901234567890.10", "12345678901234567890.1"), ("1.2345678901234567890123e22", "1.2345678901234567890123e22")]
+
+
+def test_equal_values_have_one_text(spark):
+    from decimal import Decimal
+
+    rows = [(f'{{"z": [{n}, "{n}"], "a": {{"b": {n}}}}}', f'{{"a":{{"b":{c}}},"z":[{c},"{n}"]}}') for n, c in NUMBERS]
+    rows += [('["n1","s",{"":null}]', '["n1","s",{"":null}]'), ('{"b":1,"a":"x\\"y\\\\"}', '{"a":"x\\"y\\\\","b":1}'), ('{"a":1,"a":2}', None), ("{", None), (None, None), ('"' + "\\n" * 50_000 + '"', '"' + "\\n" * 50_000 + '"')]
+    got = spark.createDataFrame(rows, "text string, want string").select("want", chat.canonical_json(F.col("text")).alias("got")).collect()
+    assert all(r.got == r.want for r in got)
+    assert all(Decimal(n) == Decimal(c) for n, c in NUMBERS)
+    assert all(chat._python_number(float(n)) == c for n, c in NUMBERS if len(n) < 16)
+
+
+def test_schemas_compare_types_and_values_at_any_depth(spark):
+    schema = {"get": {
+        "required": ["q"],
+        "properties": {
+            "q": {"enum": [True, "true", 5, None, [1, 2.0]]},
+            "n": {"type": "integer", "minimum": 0},
+            "deep": {"type": "object", "required": ["k"], "properties": {"k": {"type": "string", "maxLength": 3}, "l": {"type": "array", "items": {"type": "object", "properties": {"x": {"type": "number"}}, "additionalProperties": False}}}},
+        },
+        "additionalProperties": False,
+    }}
+    cases = [
+        ('{"q":true}', None), ('{"q":"true"}', None), ('{"q":5.0}', None), ('{"q":[1e0,2]}', None), ('{"q":"5"}', "q is not allowed"), ('{"q":false}', "q is not allowed"), ('{"q":null}', "missing q"), ("{}", "missing q"),
+        ('{"q":5,"n":10.0}', None), ('{"q":5,"n":1e3}', None), ('{"q":5,"n":1.5}', "n is no integer"), ('{"q":5,"n":"1"}', "n is no integer"), ('{"q":5,"n":-1}', "n is too small"), ('{"q":5,"n":null}', None),
+        ('{"q":5,"deep":{"k":"abc","l":[{"x":1},{"x":2.5}]}}', None), ('{"q":5,"deep":[1]}', "deep is no object"), ('{"q":5,"deep":{}}', "missing deep.k"), ('{"q":5,"deep":{"k":"abcd"}}', "deep.k is too long"),
+        ('{"q":5,"deep":{"k":"a","l":[{"x":1},{"x":"2"}]}}', "an item of deep.l.x is no number"), ('{"q":5,"deep":{"k":"a","l":[{"y":1}]}}', "an unknown field in an item of deep.l"), ('{"q":5,"deep":{"k":"a","l":[7]}}', "an item of deep.l is no object"),
+        ('{"q":5,"z":1}', "an unknown field"), ('{"q":5,"q":6}', "a repeated key"), ('{"q":5,"deep":{"k":"a","k":"b"}}', "a repeated key"), ("[1]", "arguments are no object"), ('{"q":', "arguments are no object"), (None, "arguments are no object"),
+    ]
+    got = spark.createDataFrame([(k, a) for k, (a, _) in enumerate(cases)], "k int, a string").select("k", chat.invalid_reason(F.lit("get"), F.col("a"), schema).alias("r")).collect()
+    assert {r.k: r.r for r in got} == {k: want for k, (_, want) in enumerate(cases)}
+
+
+def test_calls_with_several_needs_settle_in_few_rounds(spark, monkeypatch):
+    n = 200
+    rows = [(1, k, "assistant", _call(f"c{k}", [f"c{x}" for x in (k - 1, k - 2) if x >= 0])) for k in range(1, n)] + [(1, n, "assistant", _call("c0", []))]
+    rows += [(2, n - k, "assistant", _call(f"{side}{k}", [f"{s}{k - 1}" for s in "ab"] if k else [])) for k in range(n // 2) for side in "ab"]
+    m = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    saves = []
+    monkeypatch.setattr(chat.Scratch, "save", lambda self, df, _save=chat.Scratch.save: saves.append(1) or _save(self, df))
+    got = {(r.conv_id, r.event_id): (r.order_turn, r.order_level, r.cyclic) for r in chat.link_calls(chat.embedded_events(m), {"get": {}}).collect()}
+    assert all(got[1, f"c{k}"] == (n, k, False) for k in range(n)) and all(got[2, f"{s}{k}"] == (n, k, False) for k in range(n // 2) for s in "ab")
+    assert len(saves) < 45
+
+
+def test_columns_of_any_name_and_arguments_as_strings(spark):
+    rows = [(1, 0, "assistant", '{"tool_call":{"id":7,"name":"get","arguments":"{\\"n\\": 1e1}","needs":[]}}', "x", "y", 1, "z"), (1, 1, "tool", '{"tool_result":{"id":7.0}}', "x", "y", 1, "z")]
+    m = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, tool string, arguments string, needs int, call_id string")
+    got = {r.kind: r for r in chat.link_calls(chat.embedded_events(m), {"get": {"properties": {"n": {"type": "integer"}}}}).collect()}
+    assert got["call"].link == "linked" and got["call"].invalid is None and '"arguments":{"n":10}' in got["call"].json
+    assert chat.link_calls(chat.reply_events(m), REPLY_SCHEMA).count() == 2 and chat.link_calls(chat.embedded_events(m.limit(0)), {}).count() == 0
+
+
 def test_messages_of_any_kind(spark):
     rows = [(1, 0, "user", "hi", "x"), (1, 0, "user", "hi", "x"), (1, 1, "assistant", None, "x"), (None, None, None, None, None), (2, None, "user", "", "x"), (3, 1, "assistant", "z" * 200_000, "x")]
     m = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, json string")

@@ -67,7 +67,23 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: The tool that a plain dialogue calls with each user turn.
-REPLY_SCHEMA = {"reply": {"required": ["text"], "properties": {"text": {"type": "string", "minLength": 1, "maxLength": 4000}}, "additionalProperties": False}}
+REPLY_SCHEMA = {
+    "reply": {
+        "required": ["text"],
+        "properties": {
+            "first": {"type": "boolean"},
+            "style": {
+                "type": "object",
+                "required": ["tone"],
+                "properties": {"length": {"type": "integer", "minimum": 0}, "marks": {"type": "array", "items": {"type": "number", "maximum": 40}}, "tone": {"type": "string", "enum": ["plain", "asking"]}},
+                "additionalProperties": False,
+            },
+            "text": {"type": "string", "minLength": 1, "maxLength": 4000},
+            "turn": {"type": "integer"},
+        },
+        "additionalProperties": False,
+    }
+}
 
 
 def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -134,13 +150,15 @@ j AS (
   SELECT a.*, b.turn AS other, place,
          CASE WHEN a.kind = 'call' THEN CASE WHEN b.turn IS NULL THEN 'unanswered' ELSE 'linked' END
               WHEN a.kind = 'result' THEN CASE WHEN b.turn IS NULL THEN 'orphan' ELSE 'linked' END END AS link,
-         CASE WHEN a.kind = 'call' THEN CASE WHEN length(a.text) < 1 THEN 'text is too short' WHEN length(a.text) > 4000 THEN 'text is too long' END END AS invalid
+         length(a.text) - length(replace(a.text, '.', '')) AS stops, length(a.text) - length(replace(a.text, ',', '')) AS commas,
+         CASE WHEN a.kind = 'call' THEN CASE WHEN greatest(length(a.text) - length(replace(a.text, '.', '')), length(a.text) - length(replace(a.text, ',', '')) + 0.5) > 40 THEN 'an item of style.marks is too large'
+              WHEN (length(a.text) + 3) % 7 = 0 THEN 'style.tone is not allowed' WHEN length(a.text) < 1 THEN 'text is too short' WHEN length(a.text) > 4000 THEN 'text is too long' END END AS invalid
   FROM m a LEFT JOIN m b ON a.conv_id = b.conv_id AND a.event_id = b.event_id AND a.kind <> b.kind
   LEFT JOIN p ON p.conv_id = a.conv_id AND p.of_event = a.event_id)
 SELECT conv_id, turn, role, kind, event_id, link, invalid,
        greatest(turn, coalesce(place.turn, turn)) AS order_turn,
        CAST(CASE WHEN place IS NULL OR place.turn < turn THEN 0 WHEN kind = 'call' THEN place.far ELSE place.far + 1 END AS INTEGER) AS order_level, FALSE AS cyclic,
-       concat('{"arguments":', CASE WHEN kind = 'call' THEN concat('{"text":', CAST(to_json(text) AS VARCHAR), '}') ELSE 'null' END,
+       concat('{"arguments":', CASE WHEN kind = 'call' THEN concat('{"first":', turn = 0, ',"style":{"length":', length(text), ',"marks":[', stops, ',', commas, '.5],"tone":"', CASE WHEN (length(text) + 3) % 7 = 0 THEN 'loud' WHEN length(text) % 2 = 0 THEN 'asking' ELSE 'plain' END, '"},"text":', CAST(to_json(text) AS VARCHAR), ',"turn":', turn, '}') ELSE 'null' END,
               ',"content":', CASE WHEN kind = 'call' THEN 'null' ELSE CAST(to_json(text) AS VARCHAR) END,
               ',"conv":', conv_id, ',"id":', coalesce('"' || event_id || '"', 'null'), ',"kind":"', kind,
               '","link":', coalesce('"' || link || '"', 'null'), ',"role":', CAST(to_json(role) AS VARCHAR),
