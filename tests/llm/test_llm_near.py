@@ -7,6 +7,8 @@ from collections import Counter, defaultdict
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from tidemark.llm import minhash
 
 
@@ -97,3 +99,37 @@ def test_prefix_pairs_lose_nothing(spark, rows):
     own = [set(s) for s in sets]
     want = {(a, b) for b in range(len(own)) for a in range(b) if 5 * len(own[a] & own[b]) >= 4 * len(own[a] | own[b])}
     assert want and want <= got
+
+
+def skewless(spark, make):
+    """Rows read by the tasks of each shuffled stage while ``make`` runs, with nothing broadcast and small thresholds: the largest share of one task."""
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false",
+            "spark.sql.adaptive.advisoryPartitionSizeInBytes": "2k", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "4k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5"}
+    was = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        return make()
+    finally:
+        for k, v in was.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_a_line_of_half_of_all_documents_is_split(spark, monkeypatch):
+    from tidemark.llm import lines
+    from tidemark.llm.common import Scratch
+
+    line = "a line that is long enough to be counted as boilerplate"
+    docs = spark.range(30_000).selectExpr("id AS doc_id", f"concat('own ', id, ' line that is long enough to be counted here', IF(id % 2 = 0, '\\n{line}', '')) AS text").repartition(12)
+
+    def tasks():
+        gone = lines.frequent_lines(docs, Scratch(spark, "test"))
+        return gone.withColumn("task", F.spark_partition_id()).groupBy("task").count().collect()
+
+    found = skewless(spark, tasks)
+    most = max(r["count"] for r in found)
+    assert sum(r["count"] for r in found) == 14_999 and most < 14_999 / 4, most  # pieces are as large as the other partitions, in bytes
+    monkeypatch.setattr(lines, "MOST_BROADCAST", 10)
+    by_shuffle = {tuple(r) for r in lines.drop_lines(docs).collect()}
+    monkeypatch.undo()
+    assert by_shuffle == {tuple(r) for r in lines.drop_lines(docs).collect()}

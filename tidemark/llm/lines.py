@@ -3,9 +3,11 @@
 Texts are split at line ends; each line long enough gives (hash of its
 normalised form, doc_id), distinct within a document where it lies.  Documents
 are counted per hash with partial aggregation, so a line that a third of all
-documents holds meets as one row of each task.  The hashes to drop are joined
-back, gathered per document, and each text is put together again from the lines
-that stay, by position.
+documents holds meets as one row of each task.  The hashes to drop are written,
+so that the join back can split one that many documents hold, and gathered per
+document; each text that loses a line is put together again from the lines that
+stay, by position.  Texts that lose none are not shuffled, as long as the ids of
+those that do are few enough to be broadcast.
 
 Hashes are 128 bits of BLAKE2b.  Defined results: a null or empty text is one
 empty line; null doc_ids count as one document smaller than any other; repeated
@@ -23,8 +25,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import map_batches, texts_of
+from tidemark.llm.common import Scratch, map_batches, texts_of
 
+#: Ids of documents that lose lines are broadcast up to this many (8 bytes each); beyond it all texts are joined by a shuffle.
+MOST_BROADCAST = 1 << 20
 WHITE = b" \t\n\v\f\r"
 
 
@@ -41,7 +45,7 @@ def line_hash(line: bytes, min_chars: int) -> bytes | None:
     return hashlib.blake2b(key, digest_size=16).digest()
 
 
-def frequent_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> DataFrame:
+def frequent_lines(docs: DataFrame, scratch: Scratch, min_chars: int = 40, min_docs: int = 5) -> DataFrame:
     """Lines to drop: (doc_id, hash) of every document but the largest doc_id that holds a line of ``min_docs`` documents."""
 
     def explode(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -57,14 +61,23 @@ def frequent_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> D
     # Rows of one doc_id meet first only where ids repeat; a plain count would count them twice.
     distinct = lines.groupBy("hash", "doc_id").agg(F.lit(1).alias("one"))
     counts = distinct.groupBy("hash").agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("keep_id")).filter(F.col("n_docs") >= min_docs)
+    counts = scratch.save(counts.select("hash", "keep_id"))
     return distinct.join(counts, "hash").filter(~F.col("doc_id").eqNullSafe(F.col("keep_id"))).select("doc_id", "hash")
 
 
 def drop_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, n_lines (before), n_dropped, text (of the lines that stay)."""
     texts = texts_of(docs, id_col, text_col)
-    gone = frequent_lines(texts, min_chars, min_docs).groupBy(F.col("doc_id").alias("of")).agg(F.collect_list("hash").alias("gone"))
-    joined = texts.join(gone, F.col("doc_id").eqNullSafe(F.col("of")), "left").select("doc_id", "text", "gone")
+    scratch = Scratch(docs.sparkSession, "lines")
+    gone = scratch.save(frequent_lines(texts, scratch, min_chars, min_docs).groupBy(F.col("doc_id").alias("of")).agg(F.collect_list("hash").alias("gone")))
+    scratch.keep_only(gone)
+    same = F.col("doc_id").eqNullSafe(F.col("of"))
+    if gone.count() <= MOST_BROADCAST:
+        ids = F.broadcast(gone.select("of"))
+        joined = texts.join(ids, same, "left_semi").join(gone, same).select("doc_id", "text", "gone")
+        joined = joined.unionByName(texts.join(ids, same, "left_anti").withColumn("gone", F.lit(None).cast("array<binary>")))
+    else:
+        joined = texts.join(gone, same, "left").select("doc_id", "text", "gone")
 
     def rebuild(batch: pa.RecordBatch) -> pa.RecordBatch:
         lines, dropped, out = [], [], []

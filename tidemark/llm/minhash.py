@@ -146,7 +146,7 @@ def unsettled(members: DataFrame, labels: DataFrame, scratch: Scratch) -> DataFr
     return placed.join(_looked_up(scratch, several.select("key", "main")), "key")
 
 
-def profiles(full: DataFrame, wanted: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+def profiles(full: DataFrame, wanted: DataFrame, threshold: tuple[int, int], scratch: Scratch | None = None) -> DataFrame:
     """Of the nodes in ``wanted``: n, common (shingles that another of them holds too) and prefix, those of the first shingles in the order that are common.
 
     Nodes that can have no partner among them are left out.
@@ -154,7 +154,9 @@ def profiles(full: DataFrame, wanted: DataFrame, threshold: tuple[int, int]) ->
     top, bottom = threshold
     sets = full.join(wanted, "node", "left_semi")
     spelled = sets.select("node", F.explode("shingles").alias("s"))
+    # Written, so that the join can split a shingle that many sets hold.
     counts = spelled.groupBy("s").agg(F.count("*").alias("m")).filter("m > 1")
+    counts = scratch.save(counts) if scratch else counts
     shared = spelled.join(counts, "s").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("m", "s"))).alias("shared"))
     out = sets.select("node", F.size("shingles").cast("long").alias("n")).join(shared, "node").withColumn("common", F.size("shared").cast("long"))
     # The first n - ceil(t n) + 1 shingles begin with those that no other set holds.
@@ -195,7 +197,10 @@ def near_components(docs: DataFrame, width: int = 5, threshold: tuple[int, int]
 
     keyed = bands(nodes)
     buckets = keyed.groupBy("key").agg(F.count("*").alias("size"), F.min("node").alias("center")).filter(F.col("size") > 1)
-    members = scratch.save(keyed.join(buckets.select("key", "center"), "key"))
+    # Written first, as above, for a key that many nodes have.
+    buckets = scratch.save(buckets.select("key", "center"))
+    members = scratch.save(keyed.join(buckets, "key"))
+    scratch.drop(buckets)
     candidates = members.select("node").distinct()
     full = scratch.save(full_sets(texts, nodes.select("node", "doc_id", "digest").join(candidates, "node", "left_semi"), width))
 
@@ -206,7 +211,7 @@ def near_components(docs: DataFrame, width: int = 5, threshold: tuple[int, int]
         return components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).filter("a != b").union(links), scratch)
 
     held = scratch.save(unsettled(members, labels, scratch))
-    known = scratch.save(profiles(full, held.select("node").distinct(), threshold))
+    known = scratch.save(profiles(full, held.select("node").distinct(), threshold, scratch))
     held = scratch.save(held.join(known.drop("prefix"), "node"))
     typical = held.groupBy("key").agg(F.max_by(F.struct("node", "comp", "n", "common"), F.struct(F.col("common") / F.col("n"), "n", "node")).alias("t"))
     # Two sets share at least t / (1 + t) of their sizes together, and at most what is common of either.
