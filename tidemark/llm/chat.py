@@ -37,6 +37,8 @@ their names; an empty table gives an empty result.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -357,33 +359,38 @@ def _order_calls(order: DataFrame) -> DataFrame:
         return scratch.save(joined.filter(F.col("longer").isNull() | (F.col("longer") < F.col("far"))).drop("c", "e", "end", "longer"))
 
     state = gathered(start, edges)
+    done: list[DataFrame] = []
     left = state.filter("open > 0").count()
     while left:
         fewer = lean(edges)
         scratch.drop(edges)
         counts = fewer.groupBy(F.col("conv_id").alias("c"), F.col("event_id").alias("e")).agg(F.count("*").alias("open"))
-        needed = state.drop("open").join(counts, is_of("event_id"), "left").select(F.col("conv_id").alias("c"), F.col("event_id").alias("e"), "place", F.coalesce("open", F.lit(0)).alias("open"))
-        own = counts.withColumnRenamed("open", "own_open")
-        met = fewer.join(needed, is_of("need")).drop("c", "e").join(own, is_of("event_id")).drop("c", "e")
-        through = (F.col("open") == 1) | (F.col("open") > 1) & (F.col("open") <= FEW) & (F.col("own_open") <= SEVERAL)
-        behind = fewer.select(F.col("conv_id").alias("c"), F.col("event_id").alias("e"), F.col("need").alias("via"), F.col("rank").alias("via_rank"), F.col("far").alias("via_far"))
-        step = met.withColumn("through", through).join(behind, is_of("need") & F.col("through"), "left").select(
+        needed = state.select(F.col("conv_id").alias("c"), F.col("event_id").alias("e"), "place", (F.col("open") > 0).alias("waits"))
+        met = fewer.join(needed, is_of("need")).drop("c", "e").join(counts.withColumnRenamed("open", "own_open"), is_of("event_id")).drop("c", "e")
+        met = met.join(counts, is_of("need"), "left").drop("c", "e")
+        through = F.col("waits") & ((F.col("open") == 1) | (F.col("open") <= FEW) & (F.col("own_open") <= SEVERAL))
+        # A settled need leaves its place, so what is read in a round is what waits and what has just settled.
+        behind = met.select(
+            F.col("conv_id").alias("c"), F.col("event_id").alias("e"), F.when(F.col("waits"), F.col("need")).alias("via"), F.when(F.col("waits"), F.col("rank")).alias("via_rank"), F.col("far").alias("via_far"),
+            F.when(~F.col("waits"), raised(F.col("place"), F.col("far"))).alias("via_least"),
+        )
+        step = met.withColumn("through", F.coalesce(through, F.lit(False))).join(behind, is_of("need") & F.col("through"), "left").select(
             "conv_id",
             "event_id",
-            F.when(F.col("through"), F.col("via")).when(F.col("open") > 0, F.col("need")).alias("need"),
-            F.when(F.col("through"), F.col("via_rank")).when(F.col("open") > 0, F.col("rank")).alias("rank"),
+            F.when(F.col("through"), F.col("via")).when(F.col("waits"), F.col("need")).alias("need"),
+            F.when(F.col("through"), F.col("via_rank")).when(F.col("waits"), F.col("rank")).alias("rank"),
             F.when(F.col("through"), F.least(F.col("far") + F.col("via_far"), F.lit(_TOP))).otherwise(F.col("far")).alias("far"),
-            F.when((F.col("open") == 0) | F.col("through"), raised(F.col("place"), F.col("far"))).alias("least"),
+            F.when(~F.col("waits"), raised(F.col("place"), F.col("far"))).when(F.col("through"), F.greatest(raised(F.col("place"), F.col("far")), F.when(F.col("via_least").isNotNull(), raised(F.col("via_least"), F.col("far"))))).alias("least"),
         )
         edges = scratch.save(step.groupBy("conv_id", "event_id", "need").agg(F.max("rank").alias("rank"), F.max("far").alias("far"), F.max("least").alias("least")))
-        after = gathered(state.select("conv_id", "event_id", "place"), edges)
+        done.append(state.filter("open = 0"))
+        after = gathered(state.filter("open > 0").select("conv_id", "event_id", "place"), edges)
         scratch.drop(fewer)
-        scratch.drop(state)
         before, left, state = left, after.filter("open > 0").count(), after
         if left == before:
             break
-    scratch.keep_only(order, state)
-    found = state.select(F.col("conv_id").alias("c"), F.col("event_id").alias("e"), "place", "open")
+    scratch.drop(edges)
+    found = reduce(DataFrame.unionByName, done, state).select(F.col("conv_id").alias("c"), F.col("event_id").alias("e"), "place", "open")
     is_cyclic = F.coalesce(F.col("open") > 0, F.lit(False))
     is_placed = F.col("place").isNotNull() & ~is_cyclic
     return order.join(found, is_of("event_id"), "left").select(
