@@ -219,6 +219,26 @@ def coalesce_sessions(df: DataFrame, keys: Sequence[str], gap: int, at: str = "u
     )
 
 
+class _Number(Scan):
+    """State: rows so far."""
+
+    def summary(self, rows):
+        return rows.num_rows
+
+    def enter(self, state, summary):
+        return (state or 0) + summary
+
+    def step(self, state, rows):
+        n = state or 0
+        return n + rows.num_rows, pa.RecordBatch.from_arrays([*rows.columns, pa.array(np.arange(n + 1, n + 1 + rows.num_rows))], names=[*rows.schema.names, "number"])
+
+
+def numbered(df: DataFrame, order: Sequence[str], keys: Sequence[str] = (), blocks: int | None = None) -> DataFrame:
+    """Rows with their ``number`` in the order, from 1 and without gaps: counts per block give each block its first number."""
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields), "number long"])
+    return block_scan(df, list(keys), list(order), _Number(), schema, blocks)
+
+
 class _LastSeen(Scan):
     """State: the last value seen in each column (arrays of one)."""
 

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import like_any
+from tidemark.operators.sequences import numbered
 
 #: Allowed values of enumerated columns (fixed values).
 ENUMS = {
@@ -130,8 +131,7 @@ def upsert_streamers(known: DataFrame, seen: DataFrame) -> DataFrame:
     grouped = seen.groupBy("login").agg(F.max_by("seen_name", F.when(F.col("seen_name").isNotNull(), F.col("order"))).alias("seen_name"), F.min("order").alias("first"))
     new = grouped.join(known.select("login"), "login", "left_anti")
     top = known.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top"))
-    # New logins of one batch are few beside the facts; ids must be dense, hence one ordering.
-    fresh = new.crossJoin(F.broadcast(top)).select((F.col("top") + F.row_number().over(Window.orderBy("first", "login"))).cast("long").alias("id"), "login", F.coalesce("seen_name", "login").alias("display_name"))
+    fresh = numbered(new, ["first", "login"]).crossJoin(F.broadcast(top)).select((F.col("top") + F.col("number")).cast("long").alias("id"), "login", F.coalesce("seen_name", "login").alias("display_name"))
     old = known.join(grouped, "login", "left").select("id", "login", F.coalesce("seen_name", "display_name").alias("display_name"))
     return old.unionByName(fresh)
 
