@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.config import Settings
@@ -16,13 +18,23 @@ from tidemark.operators.sequences import coalesce_sessions, dedupe_nearby
 KEY = ["stream_id"]
 
 
+def keyword_details(of: Callable[[str], Column] = F.col) -> Column:
+    """JSON of a keyword event; ``of`` gives its fields by name."""
+    return F.to_json(F.struct(F.lit("keyword").alias("kind"), of("keyword").alias("keyword"), of("user").alias("user")))
+
+
+def rate_details(of: Callable[[str], Column] = F.col) -> Column:
+    """JSON of a rate event."""
+    rounded = lambda c: F.round(of(c), 3)
+    return F.to_json(F.struct(F.lit("rate_spike").alias("kind"), rounded("window_rate").alias("window_rate"), rounded("baseline_rate").alias("baseline_rate"), rounded("ratio").alias("multiplier"), of("window_count").alias("window_count")))
+
+
 def chat_signals(messages: DataFrame, cfg: Settings = Settings()) -> DataFrame:
     """Keyword and rate events of messages (stream_id, seq, us, user, text): (stream_id, seq, us, kind, score, details)."""
     c = cfg.chat
-    words = keyword_hits(messages, c.keywords).select(*KEY, "us", F.lit("keyword").alias("kind"), F.lit(c.keyword_score).alias("score"), "seq", F.to_json(F.struct(F.lit("keyword").alias("kind"), "keyword", "user")).alias("details"))
+    words = keyword_hits(messages, c.keywords).select(*KEY, "us", F.lit("keyword").alias("kind"), F.lit(c.keyword_score).alias("score"), "seq", keyword_details().alias("details"))
     rates = rate_spikes(messages, KEY, whole(c.window), whole(c.baseline), c.multiplier, c.min_rate)
-    details = F.struct(F.lit("rate_spike").alias("kind"), F.round("window_rate", 3).alias("window_rate"), F.round("baseline_rate", 3).alias("baseline_rate"), F.round("ratio", 3).alias("multiplier"), "window_count")
-    spikes = rates.select(*KEY, "us", F.lit("rate_spike").alias("kind"), F.lit(c.spike_score).alias("score"), "seq", F.to_json(details).alias("details"))
+    spikes = rates.select(*KEY, "us", F.lit("rate_spike").alias("kind"), F.lit(c.spike_score).alias("score"), "seq", rate_details().alias("details"))
     return dedupe_nearby(words.unionByName(spikes), [*KEY, "kind"], whole(c.dedupe_gap))
 
 
@@ -52,6 +64,11 @@ def detect(messages: DataFrame, levels: DataFrame | None = None, cfg: Settings =
         pair = F.concat(F.lit('{"kind":"chat_audio","chat":'), F.col("first_details"), F.lit(',"audio":'), F.col("second_details"), F.lit("}"))
         events = one.select(*KEY, "us", kind.alias("kind"), "score", F.coalesce("first_seq", "second_seq").alias("seq"), F.coalesce(pair, "first_details", "second_details").alias("details"))
     found = coalesce_sessions(events, KEY, whole(cfg.fusion.coalesce_gap), payload=F.col("details"))
+    return candidates(found, cfg)
+
+
+def candidates(found: DataFrame, cfg: Settings = Settings()) -> DataFrame:
+    """Moments (stream_id, peak_us, peak_score, kinds, event_count, events: JSON of each) as candidates with their reason."""
     signals = F.concat(F.lit('{"kinds":'), F.to_json("kinds"), F.lit(',"event_count":'), F.col("event_count").cast("string"), F.lit(',"events":['), F.array_join("events", ","), F.lit("]}"))
     out = found.select(*KEY, (F.col("peak_us") / 1e6).alias("source_ts"), F.col("peak_score").alias("score"), "kinds", "event_count", signals.alias("signals"))
     return out.withColumns({"reason": extract_reason(F.col("signals")), "pre": F.lit(cfg.pre_context), "post": F.lit(cfg.post_context)})

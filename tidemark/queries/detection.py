@@ -163,6 +163,28 @@ def live_rate_spikes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("event_type", "seq", "us", *(F.round(c, 6).alias(c) for c in ("window_rate", "baseline_rate", "ratio")))
 
 
+def live_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events arrive as a stream of messages and become candidates with their reasons as the watermark passes them."""
+    from tidemark.streaming import candidates, live
+
+    source = table(spark, sf_dir, "events")
+    place = f"{shared_folder(spark)}/tidemark-moments-{uuid.uuid4().hex}"
+    columns = [F.lit(0).cast("long").alias("stream_id"), F.col("event_id").alias("seq"), timestamp_micros(F.col("ts")).alias("us"), F.col("user_id").cast("string").alias("user"), F.col("event_type").alias("text")]
+    source.limit(1).select(F.lit(-1).cast("long").alias("stream_id"), F.lit(-1).cast("long").alias("seq"), F.lit(1 << 52).alias("us"), F.lit("").alias("user"), F.lit("").alias("text")).write.parquet(f"{place}/last")
+    arrived = spark.readStream.schema(source.schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir).select(*columns)
+    last = spark.readStream.schema("stream_id long, seq long, us long, user string, text string").parquet(f"{place}/last")
+    key = "spark.sql.streaming.stateStore.providerClass"
+    was = spark.conf.get(key)
+    spark.conf.set(key, candidates.ROCKSDB)
+    try:
+        found = candidates.live_candidates(arrived.union(last), 600 * MICROS, MOMENTS)
+        live.collect_arrived(found, f"{place}/table", f"{place}/offsets")
+    finally:
+        spark.conf.set(key, was)
+    out = spark.read.schema(found.schema).parquet(f"{place}/table")
+    return out.select("source_ts", F.round("score", 6).alias("score"), "event_count", F.array_join("kinds", ",").alias("kinds"), "reason")
+
+
 _COUNTS = f"""c AS (SELECT *, count(*) OVER (PARTITION BY k ORDER BY us RANGE BETWEEN {W} PRECEDING AND CURRENT ROW) AS wc,
                     count(*) OVER (PARTITION BY k ORDER BY us RANGE BETWEEN {B} PRECEDING AND CURRENT ROW) AS bc FROM (SELECT *, {{key}} AS k FROM e) x),
      q AS (SELECT k, seq, us, wc / 300.0::DOUBLE AS wr, bc / 3600.0::DOUBLE AS br FROM c WHERE wc / 300.0::DOUBLE >= 0.008::DOUBLE AND wc / 300.0::DOUBLE >= bc / 3600.0::DOUBLE * 3.0::DOUBLE),
@@ -231,6 +253,15 @@ SELECT source_ts, round(score, 6) AS score, event_count, kinds,
  concat_ws('; ', CASE WHEN who IS NOT NULL THEN 'Chat asked to clip it ("error" from ' || who || ')' END, CASE WHEN times IS NOT NULL THEN 'Chat rate jumped ' || {_ONE.replace("x", "times")} || 'x vs the last minute' END,
   CASE WHEN loud IS NOT NULL THEN 'Audio got ' || {_ONE.replace("x", "loud")} || 'x louder than the recent baseline' END) AS reason FROM z"""
 
+_LIVE = f"""WITH RECURSIVE {_SIGNALS},
+f AS (SELECT us, seq * 2 + (kind = 'rate_spike')::INT AS seq, kind, score, who, times FROM ch),
+g AS (SELECT *, CASE WHEN us - lag(us) OVER (ORDER BY us, seq) <= 1200000000 THEN 0 ELSE 1 END AS fresh FROM f),
+h AS (SELECT *, sum(fresh) OVER (ORDER BY us, seq ROWS UNBOUNDED PRECEDING) AS s FROM g),
+z AS (SELECT s, arg_max(us, {{'a': score, 'b': -us, 'c': -seq}}) / 1e6 AS source_ts, max(score) AS score, count(*) AS event_count, array_to_string(list_sort(list(DISTINCT kind)), ',') AS kinds,
+             arg_min(who, {{'a': us, 'b': seq}}) FILTER (WHERE who IS NOT NULL) AS who, arg_min(times, {{'a': us, 'b': seq}}) FILTER (WHERE times IS NOT NULL) AS times FROM h GROUP BY s)
+SELECT source_ts, round(score, 6) AS score, event_count, kinds,
+ concat_ws('; ', CASE WHEN who IS NOT NULL THEN 'Chat asked to clip it ("error" from ' || who || ')' END, CASE WHEN times IS NOT NULL THEN 'Chat rate jumped ' || {_ONE.replace("x", "times")} || 'x vs the last minute' END) AS reason FROM z"""
+
 _SESSIONS = f"""WITH {EVENTS},
 f AS (SELECT *, CASE WHEN us - lag(us) OVER (PARTITION BY user_id ORDER BY us, seq) <= 43200000000 THEN 0 ELSE 1 END AS fresh FROM e),
 g AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY us, seq) AS s FROM f),
@@ -243,7 +274,7 @@ _NEAREST = f"""WITH {EVENTS}, n AS (SELECT DISTINCT user_id, us // 86400000000 *
 SELECT n.user_id, n.noon AS us, abs(e.us - n.noon) AS distance, e.seq FROM n JOIN e ON e.user_id = n.user_id AND e.us BETWEEN n.noon - 43200000000 AND n.noon + 43200000000
 QUALIFY row_number() OVER (PARTITION BY n.user_id, n.noon ORDER BY abs(e.us - n.noon), e.us, e.seq) = 1"""
 
-QUERIES = {f.__name__: f for f in (rate_window_counts, rate_spikes, rate_spikes_by_type, value_spikes, rms_frames, dedupe_nearby, thinned, fuse_signals, coalesce_moments, chat_signals, ranked_moments, ema_smooth, forward_fill, nearest_sample, nearest_sample_within, nearest_error, activity_histogram, normalized_activity, stream_rate_spikes, live_rate_spikes)}
+QUERIES = {f.__name__: f for f in (rate_window_counts, rate_spikes, rate_spikes_by_type, value_spikes, rms_frames, dedupe_nearby, thinned, fuse_signals, coalesce_moments, chat_signals, ranked_moments, ema_smooth, forward_fill, nearest_sample, nearest_sample_within, nearest_error, activity_histogram, normalized_activity, stream_rate_spikes, live_rate_spikes, live_moments)}
 _HIST = """h AS (SELECT event_type, bin, coalesce(n, 0)::DOUBLE AS level FROM (SELECT DISTINCT event_type FROM e) t CROSS JOIN (SELECT unnest(range(0, 720)) AS bin) b
      LEFT JOIN (SELECT event_type, greatest(0, least(719, trunc((us - 1704067200000000) / 1000000.0::DOUBLE / 3600.0::DOUBLE)))::BIGINT AS bin, count(*) AS n FROM e GROUP BY ALL) c USING (event_type, bin))"""
 ORACLE_SQL = {
@@ -260,6 +291,7 @@ ORACLE_SQL = {
     "coalesce_moments": _SESSIONS,
     "chat_signals": f"WITH RECURSIVE {_SIGNALS} SELECT seq, us, kind, score FROM ch",
     "ranked_moments": _MOMENTS,
+    "live_moments": _LIVE,
     "ema_smooth": f"""WITH RECURSIVE {EVENTS}, n AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY us, seq) AS rn FROM e),
 s AS (SELECT user_id, seq, rn, value AS v FROM n WHERE rn = 1 UNION ALL SELECT n.user_id, n.seq, n.rn, s.v + 0.12::DOUBLE * (n.value - s.v) FROM s JOIN n ON n.user_id = s.user_id AND n.rn = s.rn + 1)
 SELECT user_id, seq, round(v, 6) AS smoothed FROM s""",
