@@ -16,11 +16,35 @@ FACECAM_MIN_WIDTH = 0.22
 CAPTION_LINE_HEIGHT = 1.25
 SUBJECT_HEIGHT = 0.25
 
-#: Caption styles: font size, alignment by band.
+#: Caption sizes by which bands are planned.
 STYLES = {"karaoke_highlight": 78.0, "block_pop": 84.0, "minimal": 60.0}
+#: Caption styles: font, size, weight, capitals, karaoke, outline, shadow, pop (fixed values).
+CAPTIONS = {
+    "karaoke_highlight": ("Arial", 54, 1, True, True, 4, 2, 0),
+    "block_pop": ("Arial", 60, 1, True, False, 5, 3, 108),
+    "minimal": ("Arial", 44, 0, False, False, 3, 1, 0),
+}
+#: Alignments of subtitles by anchor (fixed values).
 ANCHORS = {"bottom": 2, "middle": 5, "top": 8}
 
 
+def resolve_style(name: Column, font: Column | None = None, size: Column | None = None, capitals: bool = True) -> Column:
+    """Struct of the named caption style (unknown names: ``karaoke_highlight``); a font or size given beats its own, capitals can be refused."""
+    known = F.when(name.isin(*CAPTIONS), name).otherwise(F.lit(next(iter(CAPTIONS))))
+    field = lambda k: F.coalesce(*(F.when(known == style, F.lit(values[k])) for style, values in CAPTIONS.items()))
+    given = lambda own, k, nothing: field(k) if own is None else F.coalesce(F.nullif(own, F.lit(nothing)), field(k))
+    return F.struct(
+        known.alias("name"), given(font, 0, "").alias("font"), given(size, 1, 0).alias("size"), field(2).alias("bold"), (field(3) & F.lit(capitals)).alias("capitals"),
+        field(4).alias("karaoke"), field(5).alias("outline"), field(6).alias("shadow"), field(7).alias("pop"),
+    )
+
+
+def resolve_anchor(safe_area: Column, prefer_top: Column) -> Column:
+    """Struct of anchor and alignment: a named band is taken as it is, anything else is the bottom, or the top where the subject is at the bottom."""
+    anchor = F.when(safe_area.isin(*ANCHORS), safe_area).when(F.coalesce(prefer_top, F.lit(False)), "top").otherwise("bottom")
+    return F.struct(anchor.alias("anchor"), F.coalesce(*(F.when(anchor == a, F.lit(n)) for a, n in ANCHORS.items())).alias("alignment"))
+
+
 def resolve_strategy(requested: Column, width: Column, height: Column, has_facecam: Column, cfg: Layout = Layout()) -> Column:
     """Struct of strategy and warnings: a crop is only chosen where the source is tall enough."""
     auto = requested == "auto"

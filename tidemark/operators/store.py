@@ -111,6 +111,12 @@ def revisions(log: DataFrame, keys: Sequence[str] = ("candidate_id",), order: st
     return out.withColumn("is_current", F.coalesce(F.col("revision") == newest, F.lit(False)))
 
 
+def newest_revisions(log: DataFrame, limit: int = 50, keys: Sequence[str] = ("candidate_id",), revision: str = "revision") -> DataFrame:
+    """The newest ``limit`` rows of each key, by revision down; for one key, filter the log first."""
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(revision)))
+    return log.withColumn("place", place).filter(F.col("place") <= max(0, limit))
+
+
 def latest(log: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
     """The last row of each key, with partial aggregation rather than a window."""
     rest = [c for c in log.columns if c not in keys]

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.queries import detection, forms, media, records, spans, words
+from tidemark.queries import detection, forms, media, records, sources, spans, words
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**detection.QUERIES, **spans.QUERIES, **records.QUERIES, **words.QUERIES, **media.QUERIES, **forms.QUERIES}
-ORACLE_SQL: dict[str, str] = {**detection.ORACLE_SQL, **spans.ORACLE_SQL, **records.ORACLE_SQL, **words.ORACLE_SQL, **media.ORACLE_SQL, **forms.ORACLE_SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**detection.QUERIES, **spans.QUERIES, **records.QUERIES, **words.QUERIES, **media.QUERIES, **forms.QUERIES, **sources.QUERIES}
+ORACLE_SQL: dict[str, str] = {**detection.ORACLE_SQL, **spans.ORACLE_SQL, **records.ORACLE_SQL, **words.ORACLE_SQL, **media.ORACLE_SQL, **forms.ORACLE_SQL, **sources.ORACLE_SQL}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -36,20 +36,31 @@ def parse_messages(items: DataFrame, item: str = "item", strict: bool = True) ->
 
 
 def read_chat_json(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
-    """Messages of JSON files: a list, or an object with ``comments`` or ``messages``; (file, seq, ts, user, text, emotes).
+    """Messages of JSON files: a list, an object with ``comments`` or ``messages``, or an object a line; (file, seq, ts, user, text, emotes).
 
-    A file is one document; it is split on the executors.
+    A file is one document; it is split on the executors.  What ``write_chat_json`` writes is read back as it was.
     """
-    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.parse_json("value").alias("doc"))
-    root = F.coalesce(F.try_variant_get("doc", "$", "array<variant>"), F.try_variant_get("doc", "$.comments", "array<variant>"), F.try_variant_get("doc", "$.messages", "array<variant>"))
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
+    return parse_messages(document_items(files, strict), strict=strict).withColumn("seq", F.col("seq").cast("long"))
+
+
+def document_items(documents: DataFrame, strict: bool = True) -> DataFrame:
+    """Documents (``value`` and further columns) as their messages: (further columns, seq, item)."""
+    docs = documents.withColumn("doc", F.try_parse_json("value"))
+    lines = F.filter(F.split("value", r"\r?\n"), lambda x: x.rlike(r"\S"))
+    by_line = F.when(F.forall(lines, lambda x: F.try_parse_json(x).isNotNull()), F.transform(lines, F.try_parse_json))
+    is_message = F.coalesce(*(F.try_variant_get("doc", f"$.{k}", "double") for k in TIME_KEYS)).isNotNull()
+    root = F.coalesce(
+        F.try_variant_get("doc", "$", "array<variant>"), F.try_variant_get("doc", "$.comments", "array<variant>"), F.try_variant_get("doc", "$.messages", "array<variant>"),
+        F.when(is_message, F.coalesce(by_line, F.array("doc"))),  # a document is read up to the end of its first value
+    )
     if strict:
-        root = F.coalesce(root, F.raise_error(F.lit("neither a list nor an object with comments or messages")).cast("array<variant>"))
-    items = files.select("file", F.posexplode(root).alias("seq", "item"))
-    return parse_messages(items, strict=strict).withColumn("seq", F.col("seq").cast("long"))
+        root = F.coalesce(root, F.when(F.col("value").rlike(r"\S"), F.raise_error(F.lit("neither a list nor an object with comments or messages"))).cast("array<variant>"))
+    return docs.select(*(c for c in documents.columns if c != "value"), F.posexplode(root).alias("seq", "item"))
 
 
 def write_chat_json(messages: DataFrame, path: str) -> None:
-    """One object of ts, user, text and emotes on each line."""
+    """One object of ts, user, text and emotes on each line, files as large as the rows' partitions; ``read_chat_json`` reads them."""
     messages.select("ts", "user", "text", "emotes").write.mode("overwrite").json(path)
 
 
