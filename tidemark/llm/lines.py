@@ -74,7 +74,8 @@ def drop_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, id_col:
     same = F.col("doc_id").eqNullSafe(F.col("of"))
     if gone.count() <= MOST_BROADCAST:
         ids = F.broadcast(gone.select("of"))
-        joined = texts.join(ids, same, "left_semi").join(gone, same).select("doc_id", "text", "gone")
+        # Joined by a shuffle at every size, as lists of lines grow with the texts.
+        joined = texts.join(ids, same, "left_semi").join(gone.hint("merge"), same).select("doc_id", "text", "gone")
         joined = joined.unionByName(texts.join(ids, same, "left_anti").withColumn("gone", F.lit(None).cast("array<binary>")))
     else:
         joined = texts.join(gone, same, "left").select("doc_id", "text", "gone")
