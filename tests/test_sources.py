@@ -4,16 +4,19 @@ from __future__ import annotations
 
 import json
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark import queries
 from tidemark.config import Faces, Layout
 from tidemark.functions import geometry as g
 from tidemark.functions import text as tx
 from tidemark.operators import alignment, layout, metadata, store, track
 from tidemark.operators.reasons import extract_reason
 from tidemark.plans import editing
+from tidemark.queries.common import rounded
 from tidemark.sources import chat, documents, media
 
 
@@ -245,6 +248,22 @@ def test_centroid_and_motion(spark):
     assert path.x > 0.5 > path.y and path.t == 0.75
 
 
+def test_motion_tracks_round_as_their_sql(spark, tmp_path):
+    """Rows differ by 3 and 5 in two quarters: y is 0.5203125, whose double times a million lies below the half."""
+    con = duckdb.connect()
+    con.execute("CREATE TABLE events AS SELECT * FROM (VALUES (0, TIMESTAMP '2024-01-01 00:30:00', 1, 'a', 0.0::DOUBLE), (1, TIMESTAMP '2024-01-02 06:30:00', 1, 'a', 3.2), (2, TIMESTAMP '2024-01-02 12:30:00', 1, 'a', 5.9)) t(event_id, ts, user_id, event_type, value)")
+    con.execute(f"COPY events TO '{tmp_path}/events.parquet' (FORMAT parquet)")
+    want = con.execute(queries.ORACLE_SQL["motion_tracks"]).fetchall()
+    assert [r[3] for r in want] == [0.520312]
+    assert [tuple(r) for r in queries.QUERIES["motion_tracks"](spark, str(tmp_path)).collect()] == want
+
+
+def test_rounded_as_duckdb_rounds(spark):
+    values = [0.5203125, 0.7094374999999999, 0.0000005, 1.0000005, -0.5203125, 2.5, 0.0, 12345.6789015, None]
+    got = spark.createDataFrame([(v,) for v in values], "v double").select(rounded(F.col("v"), 6).alias("r")).collect()
+    assert [r.r for r in got] == [duckdb.execute("SELECT round(?::DOUBLE, 6)", [v]).fetchone()[0] for v in values]
+
+
 def test_geometry(spark):
     df = spark.createDataFrame([(1920.0, 1080.0)], "w double, h double")
     r = df.select(g.crop_inside(g.frame(F.col("w"), F.col("h")), F.lit(9 / 16), 0.9, 0.5).alias("c"), g.parse_box(F.lit("0.1, 0.2,0.3 ,0.4")).alias("b"), g.parse_box(F.lit("auto")).alias("n")).first()

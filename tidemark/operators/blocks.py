@@ -11,6 +11,10 @@ executors.
     time, one small state a block is kept.
 3.  Each block runs over its rows once more, from the state it is entered with.
 
+Where summaries tell states but for rounding (``Scan.exact``), the blocks that a
+key runs through are run again from the states they are entered with, until each
+is entered with what the one before it ends with.
+
 So one key is scanned by as many tasks as it has blocks, and results equal those
 of a single scan.
 """
@@ -25,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tidemark.session import checkpointed
 
@@ -35,9 +40,12 @@ class Scan:
     ``summary`` gets a run's rows and returns something small; ``enter`` applies a
     summary to the state a run is entered with (None: the key begins there);
     ``step`` runs over rows from a state; ``finish`` gives what is left behind a
-    key's last row.
+    key's last row.  If ``exact`` is false, ``enter`` may be off by rounding where
+    a run is entered with a state.
     """
 
+    exact = True
+
     def summary(self, rows: pa.Table) -> Any:
         raise NotImplementedError
 
@@ -120,15 +128,51 @@ def _entered(placed: DataFrame, keys: list[str], scan: Scan) -> tuple[dict[int,
 
     enters: dict[int, Any] = {}
     last_of: set[int] = set()
-    key, state, before = None, None, None
+    after: dict[int, int] = {}  # blocks of one key that came in and goes on, and the block it goes on in
+    key, state, before, through = None, None, None, False
     for block, told in placed.mapInArrow(summarize, "block long, told binary").orderBy("block").toLocalIterator():
         first, last, summary = pickle.loads(told)
         if first == key:
             enters[block] = state
+            if through:
+                after[before] = block
         elif before is not None:
             last_of.add(before)
         state = scan.enter(state if first == last == key else None, summary)
+        through = first == last and block in enters
         key, before = last, block
     if before is not None:
         last_of.add(before)
-    return enters, last_of
+    return (enters if scan.exact else _settled(placed, scan, enters, after)), last_of
+
+
+def _settled(placed: DataFrame, scan: Scan, enters: dict[int, Any], after: dict[int, int]) -> dict[int, Any]:
+    """``enters`` such that each block is entered with what the one before it ends with, run row by row.
+
+    In a round, blocks run from where they are entered by what is known so far,
+    side by side; the first of a key that is not settled is so after it.  Most
+    forget the last bits of a start, so two rounds do; what has stood still is
+    taken to stand still again, and checked in the next round.
+    """
+    ran: dict[int, tuple[Any, Any]] = {}
+    same = lambda a, b: repr(a) == repr(b)  # noqa: E731  (NaN too)
+    while stale := {b: enters[b] for b in after if b not in ran or not same(ran[b][0], enters[b])}:
+
+        def run(batches, stale=stale):
+            from pyspark import TaskContext
+
+            block = TaskContext.get().partitionId()
+            state = stale.get(block)
+            for batch in batches:
+                if batch.num_rows:
+                    state, _ = scan.step(state, batch)
+            if block in stale:
+                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([pickle.dumps(state)], pa.binary())], names=["block", "told"])
+
+        own = placed.filter(F.spark_partition_id().isin(list(stale)))
+        for block, told in own.mapInArrow(run, "block long, told binary").collect():
+            ran[block] = (stale[block], pickle.loads(told))
+        for block, following in after.items():
+            start, end = ran[block]
+            enters[following] = end if same(start, enters[block]) or not same(start, end) else enters[block]
+    return enters

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.times import MICROS
 from tidemark.operators import layout, store, track
 from tidemark.plans import editing
-from tidemark.queries.common import EVENTS, events, table
+from tidemark.queries.common import EVENTS, events, rounded, table
 from tidemark.queries.media import _E, _seconds
 from tidemark.session import shared_folder
 from tidemark.sources import chat, documents, media
@@ -132,7 +132,7 @@ def motion_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 def motion_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where the difference lies, smoothed over the days."""
     got = track.motion_track(track.motion_profiles(_pictures(spark, sf_dir)), ["clip_id"], 1.0)
-    return got.select("clip_id", "seq", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
+    return got.select("clip_id", "seq", rounded(F.col("x"), 6).alias("x"), rounded(F.col("y"), 6).alias("y"))
 
 
 def live_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
