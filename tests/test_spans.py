@@ -216,3 +216,17 @@ def test_dead_air_ignores_spans_without_an_end(spark):
     got = deadair.plan(clips, rows, DeadAir())
     assert pairs(got["gaps"]) == [(5.2, 7.8)] and {(r.clip_id, r.applied) for r in got["summary"].collect()} == {("a", True), ("b", False)}
     assert deadair.plan(clips.limit(0), rows.limit(0), DeadAir())["summary"].collect() == []
+
+
+def test_burst_end_counts_and_rounds_as_its_sql(spark, tmp_path):
+    """Sums of doubles put the one event of user 1 within two hours before 2 h; that of user 2 is next to a half."""
+    import duckdb
+
+    from tidemark import queries
+
+    con = duckdb.connect()
+    con.execute("CREATE TABLE events AS SELECT *, 'a' AS event_type, 1.0::DOUBLE AS value FROM (VALUES (0, make_timestamp(1704067200000000 + 258793550908), 1), (1, make_timestamp(1704067200000000 + 128000500), 2)) t(event_id, ts, user_id)")
+    con.execute(f"COPY events TO '{tmp_path}/events.parquet' (FORMAT parquet)")
+    want = sorted(con.execute(queries.ORACLE_SQL["burst_end"]).fetchall())
+    assert want[0][1] == 265993.551
+    assert sorted(tuple(r) for r in queries.QUERIES["burst_end"](spark, str(tmp_path)).collect()) == want

@@ -30,9 +30,12 @@ def burst_end(candidates: DataFrame, chat: DataFrame, rate: ChatRates = ChatRate
     step, reach = max(0.5, w / 2), max(w, search)
     near = candidates.select("candidate_id", "source_ts").join(chat, KEY).filter(F.col("t").between(F.col("source_ts") - w, F.col("source_ts") + reach)).select("candidate_id", "source_ts", F.col("t"))
     # A message counts for the moments m with m - w < t <= m: a few per message, so no spine is joined.
-    first = F.greatest(F.lit(1), F.ceil((F.col("t") - F.col("source_ts")) / step - 1e-9))
-    last = F.least(F.lit(int(reach / step + 1e-9)), F.ceil((F.col("t") + w - F.col("source_ts")) / step - 1e-9) - 1)
-    moments = near.select("candidate_id", "source_ts", F.explode(F.when(last >= first, F.sequence(first.cast("int"), last.cast("int"))).otherwise(F.array().cast("array<int>"))).alias("k"))
+    # Those beside them are asked too, as sums of doubles may round across an edge.
+    first = F.greatest(F.lit(1), F.ceil((F.col("t") - F.col("source_ts")) / step) - 1)
+    last = F.least(F.lit(int(reach / step + 1e-9)), F.ceil((F.col("t") + w - F.col("source_ts")) / step) + 1)
+    asked = near.select("candidate_id", "source_ts", "t", F.explode(F.when(last >= first, F.sequence(first.cast("int"), last.cast("int"))).otherwise(F.array().cast("array<int>"))).alias("k"))
+    moment = F.col("source_ts") + step * F.col("k")
+    moments = asked.filter((F.col("t") > moment - w) & (F.col("t") <= moment))
     counts = moments.groupBy("candidate_id", "source_ts", "k").agg(F.count("*").alias("n")).filter(F.col("n") / w >= rate.min_rate).groupBy("candidate_id").agg(F.max("k").alias("k"))
     some = near.groupBy("candidate_id").agg(F.first("source_ts").alias("source_ts"))
     return some.join(counts, KEY, "left").select("candidate_id", F.least(F.col("source_ts") + F.coalesce(F.col("k") * step, F.lit(0.0)), F.col("source_ts") + search).alias("burst_end"))

@@ -9,7 +9,7 @@ from tidemark.config import Bounds, ChatRates, Settings
 from tidemark.functions.times import MICROS
 from tidemark.operators import alignment, bounds, layout, track
 from tidemark.plans import editing
-from tidemark.queries.common import EVENTS, events, table
+from tidemark.queries.common import EVENTS, events, rounded, table
 
 START = 1704067200 * MICROS
 
@@ -56,7 +56,7 @@ def burst_end(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How long a user's events keep coming after the best one, at one in two hours and more."""
     e = _seconds(events(spark, sf_dir))
     own = e.select(F.col("user_id").alias("candidate_id"), "t")
-    return bounds.burst_end(_moments(e), own, ChatRates(window=7200.0, min_rate=1 / 7200), 36_000.0).select("candidate_id", F.round("burst_end", 3).alias("burst_end"))
+    return bounds.burst_end(_moments(e), own, ChatRates(window=7200.0, min_rate=1 / 7200), 36_000.0).select("candidate_id", rounded(F.col("burst_end"), 3).alias("burst_end"))
 
 
 def level_decay(spark: SparkSession, sf_dir: str) -> DataFrame:
