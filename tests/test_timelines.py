@@ -150,3 +150,50 @@ def test_live_spikes_equal_batch(spark, tmp_path, chat):
     q.awaitTermination()
     batch = rates.rate_spikes(chat, ["stream_id"], 5 * MICROS, 60 * MICROS, 3.0, 0.5)
     assert sorted(r.seq for r in spark.table("live_spikes_2").collect()) == sorted(r.seq for r in batch.collect())
+
+
+@pytest.fixture(scope="module")
+def tied(spark, tmp_path_factory):
+    """Events of which several are of one instant, as a folder of tables and in DuckDB; ``rows(query)`` are the rows of both."""
+    import duckdb
+
+    from tidemark import queries
+
+    rng = random.Random(11)
+    values, us = [], 1704067200 * MICROS
+    for k in range(400):
+        us += int(rng.choice([20, 60, 400, 3000]) * MICROS)
+        kind, value = rng.choice(["error", "error", "view", "click", "purchase"]), rng.choice([1.25, 2.5, 10.0, 90.0])
+        values += [(n * 1000 + k, us, n * 10 + k % 7, kind, value) for n in range(rng.choice([1, 1, 3]))]
+    con, at = duckdb.connect(), tmp_path_factory.mktemp("tied")
+    con.execute("CREATE TABLE raw (event_id BIGINT, us BIGINT, user_id BIGINT, event_type VARCHAR, value DOUBLE)")
+    con.executemany("INSERT INTO raw VALUES (?, ?, ?, ?, ?)", values)
+    con.execute("CREATE TABLE events AS SELECT event_id, make_timestamp(us) AS ts, user_id, event_type, value, '{}' AS props FROM raw")
+    con.execute(f"COPY events TO '{at}/events.parquet' (FORMAT parquet)")
+
+    def rows(name):
+        df, ran = queries.QUERIES[name](spark, str(at)), con.execute(queries.ORACLE_SQL[name])
+        return sorted(tuple(map(str, r)) for r in df.select(*(c[0] for c in ran.description)).collect()), sorted(tuple(map(str, r)) for r in ran.fetchall())
+
+    return rows
+
+
+@pytest.mark.parametrize("name", ["rate_window_counts"])
+def test_rows_of_one_instant_count_as_in_sql(tied, name):
+    got, want = tied(name)
+    assert got == want and want
+
+
+def test_counts_go_on_over_batches(spark):
+    """Instants that lie in two batches of rows, parts of one baseline."""
+    rng = random.Random(6)
+    times = sorted(rng.randrange(0, 300) for _ in range(900))
+    df = spark.createDataFrame([("s", k, t) for k, t in enumerate(times)], "k string, seq long, us long")
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    was = spark.conf.get(key)
+    spark.conf.set(key, 7)
+    try:
+        got = {r.seq: (r.window_count, r.baseline_count) for r in rates.window_counts(df, ["k"], 20, 100, part=100, peers=True).collect()}
+    finally:
+        spark.conf.set(key, was)
+    assert got == {k: tuple(sum(t - w <= u <= t for u in times) for w in (20, 100)) for k, t in enumerate(times)}

@@ -2,51 +2,103 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.blocks import runs
 from tidemark.operators.sequences import above_trailing, thin
+from tidemark.session import checkpointed
 
 
-def window_counts(df: DataFrame, keys: Sequence[str], window: int, baseline: int, at: str = "us", seq: str = "seq", part: int | None = None) -> DataFrame:
+def window_counts(
+    df: DataFrame, keys: Sequence[str], window: int, baseline: int, at: str = "us", seq: str = "seq", part: int | None = None,
+    peers: bool = False, keep: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None,
+) -> DataFrame:
     """At each row, the rows up to it within ``window`` and ``baseline`` before it (window_count, baseline_count).
 
-    A RANGE frame takes in later rows of the same instant; these are taken off.
+    Of the rows of one instant, those up to the row count, or all with ``peers``,
+    as in a RANGE frame.  Only rows that ``keep`` of both counts says go on.
+    Rows without a time go.
+
     A stream is cut into parts of time (16 baselines unless ``part`` says
     otherwise); a part also sees the rows one baseline before it, so one stream
-    may hold any share of all rows.
-    """
-    size = max(baseline, part or 16 * baseline)
+    may hold any share of all rows.  A part is streamed in order: a task holds
+    the times of one baseline and, with ``peers``, the rows of one instant, and
+    time grows in proportion to the rows.
+    """
+    size, names = max(baseline, part or 16 * baseline), df.columns
     own, upto = F.floor(F.col(at) / size), F.floor((F.col(at) + baseline) / size)
-    spread = df.withColumn("_own", own).withColumn("_part", F.explode(F.sequence(own, upto)))
-    by = Window.partitionBy(*keys, "_part")
-    same = Window.partitionBy(*keys, "_part", at)
-    later = F.count("*").over(same) - F.row_number().over(same.orderBy(seq))
-    count = lambda span: F.count("*").over(by.orderBy(at).rangeBetween(-span, 0)) - later
-    return spread.withColumn("window_count", count(window)).withColumn("baseline_count", count(baseline)).filter(F.col("_own") == F.col("_part")).drop("_own", "_part")
-
-
-def rate_spikes(df: DataFrame, keys: Sequence[str], window: int, baseline: int, multiplier: float, min_rate: float, at: str = "us", seq: str = "seq") -> DataFrame:
+    spread = df.select("*", F.posexplode(F.sequence(own, upto)).alias("_place", "_part"))
+    laid = spread.repartition(*keys, "_part").sortWithinPartitions(*keys, "_part", at, seq)
+
+    def counted(past: np.ndarray, rows: pa.RecordBatch) -> tuple[np.ndarray, pa.RecordBatch]:
+        """Rows of a part with their counts, and the times that rows behind them need; ``past`` are those before them."""
+        times = np.asarray(rows.column(at)).astype(np.int64)
+        whole = np.concatenate([past, times])
+        upto = np.searchsorted(whole, times, "right") if peers else np.arange(len(past) + 1, len(whole) + 1)
+        wc, bc = (upto - np.searchsorted(whole, times - span) for span in (window, baseline))
+        mask = np.asarray(rows.column("_place")) == 0
+        if keep is not None:
+            mask &= keep(wc, bc)
+        out = pa.RecordBatch.from_arrays([*(rows.column(c) for c in names), pa.array(wc, pa.int64()), pa.array(bc, pa.int64())], names=[*names, "window_count", "baseline_count"])
+        return whole[np.searchsorted(whole, times[-1] - baseline) :], out.filter(pa.array(mask))
+
+    def run(batches):
+        key, past, held = None, np.zeros(0, np.int64), []
+        joined = lambda parts: pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+        for batch in batches:
+            for own, rows in runs(batch, [*keys, "_part"]) if batch.num_rows else ():
+                if own != key:
+                    if held:
+                        yield counted(past, joined(held))[1]
+                    key, past, held = own, np.zeros(0, np.int64), []
+                if peers:  # the last instant may go on in the next batch
+                    times = np.asarray(rows.column(at)).astype(np.int64)
+                    last = int(np.searchsorted(times, times[-1]))
+                    if last or held and held[-1].column(at)[0].as_py() != times[-1]:
+                        past, out = counted(past, joined([*held, rows.slice(0, last)]))
+                        held = []
+                        yield out
+                    held.append(rows.slice(last))
+                else:
+                    past, out = counted(past, rows)
+                    yield out
+        if held:
+            yield counted(past, joined(held))[1]
+
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields), "window_count long", "baseline_count long"])
+    return laid.mapInArrow(run, schema)
+
+
+def rate_spikes(df: DataFrame, keys: Sequence[str], window: int, baseline: int, multiplier: float, min_rate: float, at: str = "us", seq: str = "seq", peers: bool = False) -> DataFrame:
     """Moments whose rate is ``multiplier`` times the baseline's and ``min_rate`` per second at least, ``window`` apart.
 
+    With ``peers``, rows of one instant count for each other, and go on together.
     Returns keys, at, seq, window_rate, baseline_rate, ratio, window_count.
     """
+
+    def hot(wc: np.ndarray, bc: np.ndarray) -> np.ndarray:
+        wr, br = wc / (window / 1e6), bc / (baseline / 1e6)
+        return (wr >= min_rate) & (br > 0) & (wr >= br * multiplier)
+
     wr = F.col("window_count") / F.lit(window / 1e6)
     br = F.col("baseline_count") / F.lit(baseline / 1e6)
-    found = window_counts(df.select(*keys, at, seq), keys, window, baseline, at, seq).select(*keys, at, seq, wr.alias("window_rate"), br.alias("baseline_rate"), (wr / br).alias("ratio"), "window_count")
-    hot = found.filter((F.col("window_rate") >= min_rate) & (F.col("baseline_rate") > 0) & (F.col("window_rate") >= F.col("baseline_rate") * multiplier))
-    return thin(hot, keys, window, at, seq)
+    # Kept first: a range partitioning goes over its input twice.
+    found = checkpointed(window_counts(df.select(*keys, at, seq), keys, window, baseline, at, seq, peers=peers, keep=hot))
+    return thin(found.select(*keys, at, seq, wr.alias("window_rate"), br.alias("baseline_rate"), (wr / br).alias("ratio"), "window_count"), keys, window, at, seq, peers=peers)
 
 
-def level_spikes(df: DataFrame, keys: Sequence[str], frames: int, multiplier: float, floor: float, refractory: int, at: str = "us", value: str = "value", seq: str = "seq", blocks: int | None = None) -> DataFrame:
-    """Values ``multiplier`` times the mean of the ``frames`` before them, ``floor`` at least, ``refractory`` apart.
+def level_spikes(df: DataFrame, keys: Sequence[str], frames: int, multiplier: float, floor: float, refractory: int, at: str = "us", value: str = "value", seq: str = "seq", blocks: int | None = None, peers: bool = False) -> DataFrame:
+    """Values ``multiplier`` times the mean of the ``frames`` before them, ``floor`` at least, ``refractory`` apart (rows of one instant not, with ``peers``).
 
     The first value of a key is its own baseline.  Returns keys, at, seq, value, level (the baseline).
     """
     hot = above_trailing(df.select(*keys, at, seq, value), keys, frames, multiplier, floor, at, value, seq, blocks)
-    return thin(hot, keys, refractory, at, seq)
+    return thin(hot, keys, refractory, at, seq, peers=peers)
 
 
 def rms_frames(samples: DataFrame, keys: Sequence[str], rate: int, frame: float, index: str = "idx", value: str = "value") -> DataFrame:
