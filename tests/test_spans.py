@@ -230,3 +230,30 @@ def test_burst_end_counts_and_rounds_as_its_sql(spark, tmp_path):
     want = sorted(con.execute(queries.ORACLE_SQL["burst_end"]).fetchall())
     assert want[0][1] == 265993.551
     assert sorted(tuple(r) for r in queries.QUERIES["burst_end"](spark, str(tmp_path)).collect()) == want
+
+
+def test_context_matches_a_loop(spark):
+    """Ties in time, windows across parts and batches, streams, several caps."""
+    rng = random.Random(4)
+    said = [(s, rng.randrange(0, 900), k, "u", rng.choice(["clip it", "hello", "", "lol", None])) for k in range(700) for s in (rng.choice([1, 2]),)]
+    asked = [(k, rng.choice([1, 2, 3]), rng.randrange(0, 900)) for k in range(60)]
+    m = spark.createDataFrame(said, "stream_id long, us long, seq long, user string, text string")
+    moment = spark.createDataFrame(asked, "moment_id long, stream_id long, us long")
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    was = spark.conf.get(key)
+    spark.conf.set(key, 9)
+    try:
+        for cap, before, after in ((3, 10, 10), (40, 20, 31), (2, 0, 0)):
+            got = messages.context(moment, m, ["clip it"], cap, before, after)
+            rows, counts = {}, {}
+            for k, stream, at in asked:
+                inside = [x for x in said if x[0] == stream and at - before <= x[1] <= at + after]
+                spoken = sorted((x[4] != "clip it", abs(x[1] - at - (after - before) / 2), x[1], x[2]) for x in inside if x[4] in ("clip it", "hello"))[:cap]
+                rows[k], counts[k] = [(x[2], x[3]) for x in spoken], (len(inside), len(spoken), sum(not x[0] for x in spoken))
+            shown = {}
+            for r in got["messages"].collect():
+                shown.setdefault(r.moment_id, []).append((r.us, r.seq))
+            assert {k: sorted(v) for k, v in shown.items()} == {k: sorted(v) for k, v in rows.items() if v}
+            assert {r.moment_id: (r.window_count, r.shown, r.keyword_hits) for r in got["counts"].collect()} == counts
+    finally:
+        spark.conf.set(key, was)

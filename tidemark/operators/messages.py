@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.config import Cues
 from tidemark.functions import text as tx
+from tidemark.operators.blocks import runs
 from tidemark.operators.sequences import islands
 
 
@@ -36,18 +39,119 @@ def context(moments: DataFrame, messages: DataFrame, keywords: Sequence[str], ca
     included), shown and keyword_hits.
     """
     bucket = max(before, after, 1)
+    keyword = tx.first_keyword(F.col("text"), [k.lower() for k in keywords])
+    said = F.trim("text") != ""
+    # 0: holds a keyword, 1: says something, 2: is counted only.
+    rank = F.when(said & keyword.isNotNull(), 0).when(said & ~tx.is_emote_only(F.col("text")), 1).otherwise(2)
+    spoken = messages.withColumns({"keyword": keyword, "_rank": rank}).filter("_rank < 2")
+    shown = _around(moments, spoken, cap, before, after).select("stream_id", "moment_id", F.inline("shown"))
+    around = _around(moments, messages.select("stream_id", "us", rank.alias("_rank")), 0, before, after)
+    sums = around.groupBy("moment_id").agg(*(F.sum(c).alias(c) for c in ("n", "spoken", "with_keyword")))
+    zero = lambda c: F.coalesce(c, F.lit(0).cast("long"))
+    most = lambda c: F.least(zero(F.col(c)), F.lit(cap).cast("long"))
+    counts = moments.select("moment_id").join(sums, "moment_id", "left").select("moment_id", zero(F.col("n")).alias("window_count"), most("spoken").alias("shown"), most("with_keyword").alias("keyword_hits"))
     want = moments.select("moment_id", "stream_id", F.col("us").alias("at")).withColumn("bucket", F.explode(F.sequence(F.floor((F.col("at") - before) / bucket), F.floor((F.col("at") + after) / bucket))))
     have = messages.withColumn("bucket", F.floor(F.col("us") / bucket))
     inside = want.join(have, ["stream_id", "bucket"]).filter(F.col("us").between(F.col("at") - before, F.col("at") + after)).drop("bucket")
-    keyword = tx.first_keyword(F.col("text"), [k.lower() for k in keywords])
-    spoken = inside.filter(F.trim("text") != "").withColumn("keyword", keyword).filter(F.col("keyword").isNotNull() | ~tx.is_emote_only(F.col("text")))
-    middle = F.col("at") + (after - before) / 2
-    order = Window.partitionBy("moment_id").orderBy(F.col("keyword").isNull(), F.abs(F.col("us") - middle), "us", "seq")
-    shown = spoken.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= cap).drop("place", "at")
-    counts = moments.select("moment_id").join(inside.groupBy("moment_id").agg(F.count("*").alias("window_count")), "moment_id", "left")
-    counts = counts.join(shown.groupBy("moment_id").agg(F.count("*").alias("shown"), F.count("keyword").alias("keyword_hits")), "moment_id", "left")
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
-    return {"messages": shown, "repeated": repeated_texts(inside, ["moment_id"]), "counts": counts.select("moment_id", zero("window_count"), zero("shown"), zero("keyword_hits"))}
+    return {"messages": shown, "repeated": repeated_texts(inside, ["moment_id"]), "counts": counts}
+
+
+def _nearest(times: np.ndarray, at: np.ndarray, middle: np.ndarray, cap: int, before: int, after: int) -> np.ndarray:
+    """For each moment the places of the ``cap`` nearest of sorted times on either side of its middle, -1 where there are none in its window."""
+    turned = np.lexsort((-np.arange(len(times)), times))  # backwards, the first of one instant comes first
+    low, high = np.searchsorted(times, at - before), np.searchsorted(times, at + after, "right")
+    split = np.clip(np.searchsorted(times, middle), low, high)[:, None]
+    left, right = split - 1 - np.arange(cap), split + np.arange(cap)
+    if not len(times):
+        return np.full((len(at), 2 * cap), -1)
+    return np.hstack([np.where(left >= low[:, None], turned[np.maximum(left, 0)], -1), np.where(right < high[:, None], np.minimum(right, len(times) - 1), -1)])
+
+
+def _chosen(times: np.ndarray, rank: np.ndarray, at: np.ndarray, cap: int, before: int, after: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the rows to show at each moment, one after the other, and how many each has: keywords first, then the nearest to the middle, then in order."""
+    middle = at + (after - before) / 2
+    own = [np.flatnonzero(rank == k) for k in (0, 1)]
+    found = [_nearest(times[rows], at, middle, cap, before, after) for rows in own]
+    places = np.hstack([np.where(near >= 0, np.append(rows, -1)[near], -1) for rows, near in zip(own, found, strict=True)])
+    behind = np.repeat([[0, 1]], 2 * cap, axis=1).reshape(1, -1) + 2 * (places < 0)
+    order = np.lexsort((places, np.abs(times[places] - middle[:, None]), behind), axis=1)[:, :cap]
+    best = np.take_along_axis(places, order, axis=1)
+    return best[best >= 0], (best >= 0).sum(axis=1)
+
+
+def _around(moments: DataFrame, messages: DataFrame, cap: int, before: int, after: int) -> DataFrame:
+    """Moments with the messages (stream_id, us, _rank, ...) within their windows: how many (``n``), how many of rank 0 and 1 (``spoken``)
+    and of rank 0 (``with_keyword``), and the ``cap`` to show (``shown``, without a cap none).
+
+    Streams are cut into parts of 16 windows, each also sees what its moments
+    reach.  A part is streamed in order, and counts and nearest messages are
+    looked up in sorted times: a task holds about two windows, and time grows
+    with the messages and the moments, not with their pairs.
+    """
+    size = 16 * max(before + after, 1)
+    carried = [c for c in messages.columns if c not in ("stream_id", "_rank")] if cap else []
+    types = {f.name: f.dataType.simpleString() for f in messages.schema.fields}
+    order = [c for c in ("seq",) if c in messages.columns]
+    have = messages.filter("stream_id IS NOT NULL").withColumn("_part", F.explode(F.sequence(F.floor((F.col("us") - after) / size), F.floor((F.col("us") + before) / size))))
+    want = moments.filter("stream_id IS NOT NULL AND us IS NOT NULL").select("moment_id", "stream_id", "us", F.floor(F.col("us") / size).alias("_part"), F.lit(-1).alias("_rank"))
+    laid = have.unionByName(want, allowMissingColumns=True).repartition("stream_id", "_part").sortWithinPartitions("stream_id", "_part", "us", *order)
+
+    def settled(table: pa.Table, done: np.ndarray) -> pa.RecordBatch:
+        """The moments ``done`` (places in the table) with what is around them."""
+        times, rank = (table.column(c).to_numpy().astype(np.int64) for c in ("us", "_rank"))
+        at, counts = times[done], []
+        for most in (2, 1, 0):
+            own = times[(rank >= 0) & (rank <= most)]
+            counts.append(pa.array(np.searchsorted(own, at + after, "right") - np.searchsorted(own, at - before), pa.int64()))
+        columns = [table.column(c).take(pa.array(done)).combine_chunks() for c in ("moment_id", "stream_id")] + counts
+        if cap:
+            rows = np.flatnonzero(rank >= 0)
+            found, sizes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for k in range(0, len(at), 4096):
+                some, n = _chosen(times[rows], rank[rows], at[k : k + 4096], cap, before, after) if len(rows) else (np.zeros(0, np.int64), np.zeros(len(at[k : k + 4096]), np.int64))
+                found.append(some)
+                sizes.append(n)
+            taken = table.select(carried).take(pa.array(rows[np.concatenate(found)] if len(rows) else np.zeros(0, np.int64))).combine_chunks()
+            flat = [c.combine_chunks() if c.num_chunks != 1 else c.chunk(0) for c in taken.columns]
+            offsets = np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
+            columns.append(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(flat, names=carried)))
+        names = ["moment_id", "stream_id", "n", "spoken", "with_keyword", "shown"][: len(columns)]
+        columns = [c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in columns]
+        return pa.RecordBatch.from_arrays(columns, names=names)
+
+    def passed(parts: list[pa.RecordBatch], last: bool) -> tuple[list[pa.RecordBatch], pa.RecordBatch | None]:
+        """What later moments need of a part's rows so far, and the moments that nothing behind them can change."""
+        table = pa.Table.from_batches(parts)
+        times, moment = table.column("us").to_numpy(), table.column("_rank").to_numpy() < 0
+        ready = moment & (last | (times + after < times[-1]))
+        out = settled(table, np.flatnonzero(ready)) if ready.any() else None
+        waiting = times[moment & ~ready]
+        start = np.searchsorted(times, (waiting[0] if len(waiting) else times[-1]) - before)
+        rest = table.slice(int(start))
+        drop = ready[int(start) :]
+        return [] if last else rest.filter(pa.array(~drop)).combine_chunks().to_batches(), out
+
+    def run(batches):
+        key, parts, fresh = None, [], 0
+        for batch in batches:
+            for own, rows in runs(batch, ["stream_id", "_part"]) if batch.num_rows else ():
+                if own != key:
+                    if parts and (out := passed(parts, True)[1]) is not None:
+                        yield out
+                    key, parts, fresh = own, [], 0
+                parts.append(rows)
+                fresh += rows.num_rows
+                if 2 * fresh >= sum(p.num_rows for p in parts):
+                    parts, out = passed(parts, False)
+                    fresh = 0
+                    if out is not None:
+                        yield out
+        if parts and (out := passed(parts, True)[1]) is not None:
+            yield out
+
+    kinds = {f.name: f.dataType.simpleString() for f in moments.schema.fields}
+    shown = [f"shown array<struct<{','.join(f'`{c}`:{types[c]}' for c in carried)}>>"] if cap else []
+    return laid.mapInArrow(run, ", ".join([f"moment_id {kinds['moment_id']}", f"stream_id {types['stream_id']}", "n long", "spoken long", "with_keyword long", *shown]))
 
 
 def token_counts(texts: DataFrame, keys: Sequence[str], text: str = "text", least: int = 4) -> DataFrame:
